@@ -87,9 +87,9 @@ rated AS (SELECT *, 3 * source_size / weight AS most, sum(source_size) OVER () A
 rates AS (SELECT *, (total - 3 * sizes_before)::DOUBLE / (weights - weights_before)::DOUBLE AS rate FROM rated),
 final AS (SELECT rate AS final FROM rates WHERE most > rate ORDER BY most, source NULLS LAST LIMIT 1),
 aimed AS (SELECT source, source_size, least((3 * source_size)::DOUBLE, coalesce(weight * (SELECT final FROM final), (3 * source_size)::DOUBLE)) AS target FROM rates),
-ranked AS (SELECT r.*, row_number() OVER (PARTITION BY r.source ORDER BY size, coalesce(((doc_id % 4096) + 4096) % 4096, 4096), doc_id NULLS LAST) - 1 AS at FROM rows r),
+ranked AS (SELECT r.*, row_number() OVER (PARTITION BY r.source ORDER BY size, coalesce(((doc_id % 4096) + 4096) % 4096, 4096), doc_id NULLS LAST) - 1 AS place FROM rows r),
 placed AS (SELECT k.*, a.source_size, a.target, CASE WHEN a.source_size > 0 THEN a.target / a.source_size::DOUBLE ELSE 0.0 END AS rate,
   ('0x' || substr(md5('20:' || coalesce('=' || k.source, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS start FROM ranked k JOIN aimed a ON k.source IS NOT DISTINCT FROM a.source),
-copied AS (SELECT *, (floor((at + 1) * rate + start) - floor(at * rate + start))::BIGINT AS copies FROM placed)
+copied AS (SELECT *, (floor((place + 1) * rate + start) - floor(place * rate + start))::BIGINT AS copies FROM placed)
 SELECT doc_id, size, source_size, target, copies * size AS taken FROM copied
 """
