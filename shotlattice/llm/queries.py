@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import embeddings, jaccard, licenses, mixing, outliers, packing, quality_knn, url_rules
+from . import embeddings, jaccard, licenses, mixing, outliers, packing, quality_knn, repeats, url_rules
 from .common import table
 
 
@@ -28,6 +28,10 @@ def op6_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op7_repeat_removal(spark, sf_dir):
+    return repeats.digest(repeats.unrepeated(table(spark, sf_dir, "documents")))
+
+
 def op8_ngram_jaccard_join(spark, sf_dir):
     return jaccard.jaccard_components(table(spark, sf_dir, "documents")).drop("k1", "k2")
 
