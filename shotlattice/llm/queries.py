@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import embeddings, jaccard, licenses, mixing, outliers, packing, quality_knn, repeats, url_rules
+from . import embeddings, jaccard, katz, licenses, mixing, outliers, packing, quality_knn, repeats, url_rules
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op2_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_katz_scores(spark, sf_dir):
+    return katz.katz_scores(table(spark, sf_dir, "documents"))
+
+
 def op4_license_scan(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
 
