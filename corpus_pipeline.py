@@ -1,19 +1,44 @@
-"""A training-corpus pipeline over ``documents``: stages that each read what their predecessor kept."""
+"""A training-corpus pipeline over ``documents``: stages that each read what their predecessor kept.
+
+All stages but the last return the columns of ``documents``; the last returns the pieces of the packed sequences.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shotlattice.llm import packing
+from shotlattice.llm import jaccard, mixing, outliers, packing, repeats
 from shotlattice.llm.common import table, written
 
 
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packing: the pieces of every document that is left."""
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and are no outliers of their language and source."""
+    return outliers.accepted(docs)
+
+
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the smallest id."""
+    return jaccard.representatives(docs)
+
+
+def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without the bytes of long strings that repeat; n_chars follows the text."""
+    others = tuple(c for c in docs.columns if c != "text")
+    cut = repeats.unrepeated(docs, keep=others, as_text=True)
+    return cut.select(*[F.col("kept").alias(c) if c == "text" else F.length("kept").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.drawn(docs)
+
+
+def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of every document that is left."""
     return packing.pack(docs)
 
 
-STAGES = [("packing", pack)]
+STAGES = [("quality rules", quality_rules), ("n-gram Jaccard join", ngram_jaccard), ("suffix-array dedup", repeat_removal), ("mixing", source_mix), ("packing", sequence_packing)]
 
 #: SQL can express neither the robust estimates nor the packing; the tests hold each stage against a brute-force version.
 ORACLE_SQL = None

@@ -15,7 +15,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .common import buffers, dropped, hashed_words, mixed, parts_of, shingle_hashes, slices, written
+from .common import SPACE, buffers, dropped, hashed_words, mixed, parts_of, shingle_hashes, slices, written
 from .graph import Sets, components
 
 WIDTH = 5
@@ -286,7 +286,7 @@ def _joined(blocks: DataFrame, percent: int) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, k1, k2 (the class of equal sets; 0, 0 for the empty set).
+    """One row per document: doc_id, n_shingles, component_id, k1, k2 (the class of equal sets; 0, 0 for the empty set), text_hash.
 
     A text without words, or null, has an empty set and links with nothing. Rows with a null id take part; ``component_id`` is the smallest id that is not null,
     and null if there is none. Repeated rows link with one another. An empty table gives an empty result. Other columns are not read.
@@ -332,9 +332,27 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
         for batch in batches:
             info = np.concatenate([np.frombuffer(b, INFO) for b in batch.column(0).to_pylist()] or [np.zeros(0, INFO)])
             ids = pa.array(info["id"], pa.int64(), mask=info["no_id"] > 0)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(info["n"]), pa.array(info["k1"].view(np.int64)), pa.array(info["k2"].view(np.int64))], ["doc_id", "n_shingles", "k1", "k2"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(info["n"]), pa.array(info["k1"].view(np.int64)), pa.array(info["k2"].view(np.int64)), pa.array(info["text"])], ["doc_id", "n_shingles", "k1", "k2", "text_hash"])
 
-    listed = counted.where("kind = 1").select("blob").mapInArrow(described, "doc_id long, n_shingles long, k1 long, k2 long")
+    listed = counted.where("kind = 1").select("blob").mapInArrow(described, "doc_id long, n_shingles long, k1 long, k2 long, text_hash long")
     out = listed.join(of_class, ["k1", "k2"], "left")
     dropped(keys, prefixes, sets)
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "k1", "k2")
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "k1", "k2", "text_hash")
+
+
+def representatives(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stand for their components: the smallest id of each, one row of it; and every row without words.
+
+    A component whose ids are all null keeps one row of each class of equal sets.
+    """
+    found = jaccard_components(docs, width, percent).where("n_shingles > 0")
+    group = [F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("k1")).alias("k1"), F.when(F.col("component_id").isNull(), F.col("k2")).alias("k2")]
+    first = found.groupBy(*group).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first"))
+    first = first.select("first.doc_id", "first.text_hash")
+    rows = found.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    first = written(first.join(rows, first.doc_id.eqNullSafe(rows.doc_id) & (first.text_hash == rows.text_hash)).select(first.doc_id, first.text_hash, "n"), "first")
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id_"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash_"), F.rlike(F.coalesce("text", F.lit("")), F.lit(f"[^{SPACE}]")).alias("words_"))
+    same = keyed.id_.eqNullSafe(first.doc_id) & (keyed.hash_ == first.text_hash)
+    once = keyed.where("words_").join(first.where("n = 1"), same, "left_semi").select("row.*")
+    repeated = keyed.where("words_").join(first.where("n > 1"), same, "left_semi").dropDuplicates(["id_", "hash_"]).select("row.*")
+    return once.unionByName(keyed.where("not words_").select("row.*")).unionByName(repeated)

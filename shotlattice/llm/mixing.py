@@ -50,13 +50,14 @@ def targets(sizes: DataFrame, limit: int = LIMIT) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, seed: int = 20, lots: int = 4096, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, copies, taken (copies * size).
+def mix(docs: DataFrame, seed: int = 20, lots: int = 4096, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, copies, taken (copies * size), and ``row`` with the columns ``carry`` if there are any.
 
     Null text has size 0; null sources are a source of their own, after all others; a source without words has target 0 and copies 0. Null ids come last
     among equals; repeated rows are ranked each for itself, so every row has its own copies. An empty table gives an empty result. Other columns are not read.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), *([F.struct(*carry).alias("row")] if carry else []))
+    own = ["row"] if carry else []
     lot = F.coalesce(F.pmod(F.col("doc_id"), F.lit(lots)), F.lit(lots)).cast("int")
     rows = rows.withColumn("lot", lot)
     cells = rows.groupBy("source", "size", "lot").agg(F.count(F.lit(1)).alias("n"))
@@ -70,11 +71,17 @@ def mix(docs: DataFrame, seed: int = 20, lots: int = 4096, limit: int = LIMIT, i
     sized = sized.join(sources, same(sized, sources, "source")).select(sized.source, "size", "sizes_before", "source_size", "target")
     cells = cells.join(sized, same(cells, sized, "source", "size")).select(cells.source, cells["size"], "lot", (F.col("lots_before") + F.col("sizes_before")).alias("before"), "source_size", "target")
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("source", "size", "lot").orderBy(F.col("doc_id").asc_nulls_last())) - 1)
-    joined = ranked.join(cells, same(ranked, cells, "source", "size", "lot")).select(ranked.doc_id, ranked.source, ranked["size"], "source_size", "target", (F.col("before") + F.col("rank")).alias("at"))
+    joined = ranked.join(cells, same(ranked, cells, "source", "size", "lot")).select(ranked.doc_id, ranked.source, ranked["size"], "source_size", "target", *own, (F.col("before") + F.col("rank")).alias("at"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     start = offset_of(F.col("source"), seed)
     copies = (F.floor((F.col("at") + 1) * rate + start) - F.floor(F.col("at") * rate + start)).cast("long")
-    return joined.withColumn("copies", copies).select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return joined.withColumn("copies", copies).select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *own)
+
+
+def drawn(docs: DataFrame, **settings) -> DataFrame:
+    """The rows of ``docs``, with all their columns, each as often as the mix takes it."""
+    taken = mix(docs, carry=tuple(docs.columns), **settings).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 #: The same mix in DuckDB's SQL.

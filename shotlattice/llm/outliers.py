@@ -185,3 +185,10 @@ def robust_outliers(docs: DataFrame) -> DataFrame:
     rows = written(measured(docs.select("doc_id", "lang", "source", "text")).drop("text"), "statistics")
     out = verdict(rows, estimates(rows.where("not base_failed").select(*GROUP, *X)))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2")
+
+
+def accepted(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that neither the base rules nor the estimates reject."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "lang", "source", "text")
+    x = written(measured(docs.select("lang", "source", "text")).where("not base_failed").select(*GROUP, *X), "statistics")
+    return verdict(measured(rows), estimates(x)).where("kept").select("row.*")

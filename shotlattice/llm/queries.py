@@ -37,7 +37,7 @@ def op7_repeat_removal(spark, sf_dir):
 
 
 def op8_ngram_jaccard_join(spark, sf_dir):
-    return jaccard.jaccard_components(table(spark, sf_dir, "documents")).drop("k1", "k2")
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents")).drop("k1", "k2", "text_hash")
 
 
 def op9_quality_classifier(spark, sf_dir):

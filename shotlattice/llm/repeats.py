@@ -273,8 +273,8 @@ def kept_bytes(body: bytes, windows: np.ndarray) -> tuple[bytes, int, int]:
     return np.frombuffer(body, np.uint8)[~gone].tobytes(), int(gone.sum()), spans
 
 
-def unrepeated(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row per document: the columns ``keep``, n_bytes, n_removed, n_spans, kept (binary).
+def unrepeated(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), as_text: bool = False) -> DataFrame:
+    """One row per document: the columns ``keep``, n_bytes, n_removed, n_spans, kept (binary; with ``as_text`` a string without the halves of characters cut in two).
 
     Every byte covered by a string of 400 bytes that starts anywhere else too is removed, at all of its places. A null text is empty; texts under 400 bytes stay whole; repeated rows are
     repeats of one another. An empty table gives an empty result. Columns named in ``keep`` pass through whatever their names and nulls; others are not read.
@@ -301,14 +301,14 @@ def unrepeated(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] =
                 if more_.is_valid:
                     windows = np.concatenate((windows, np.array([(m["start"], m["last"]) for m in more_.as_py()], np.int64).reshape(-1, 2)))
                 left, removed, spans = kept_bytes(body, windows)
-                out.append((len(body), removed, spans, left))
+                out.append((len(body), removed, spans, left.decode("utf-8", "ignore") if as_text else left))
             cols = list(zip(*out)) or [[]] * 4
             own = [batch.column(k) for k in named]
-            yield pa.RecordBatch.from_arrays([*own, *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.binary())], [*named, "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([*own, *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.string() if as_text else pa.binary())], [*named, "n_bytes", "n_removed", "n_spans", "kept"])
 
     both = rest.unionByName(asked).select("text", "dups", "more", *named)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in both.schema if f.name in named)
-    out = both.mapInArrow(cut, f"{schema}, n_bytes long, n_removed long, n_spans long, kept binary")
+    out = both.mapInArrow(cut, f"{schema}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
     return out.select(*[F.col(k).alias(c) for k, c in named.items()], "n_bytes", "n_removed", "n_spans", "kept")
 
 
