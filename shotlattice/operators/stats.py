@@ -55,11 +55,11 @@ def weighted(df: DataFrame, keys: list[str], value: str, weight: str) -> DataFra
 
     The deviation is taken about the mean in a second pass, not from a difference of squares.
     """
-    rows = df.where(F.col(value).isNotNull() & F.col(weight).isNotNull())
-    mean = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(weight).alias("w"), F.sum(F.col(value) * F.col(weight)).alias("s"))
-    mean = mean.select(*keys, "n", "w", F.when(F.col("w") > 0, F.col("s") / F.col("w")).alias("mean"))
-    off = rows.join(mean, keys).groupBy(*keys).agg(F.sum(F.col(weight) * F.pow(F.col(value) - F.col("mean"), F.lit(2.0))).alias("q"))
-    return mean.join(off, keys).select(*keys, "n", "mean", F.when((F.col("n") > 1) & (F.col("w") > 0), F.sqrt(F.col("q") / F.col("w"))).alias("sd"))
+    rows = df.where(F.col(value).isNotNull() & F.col(weight).isNotNull()).select(*keys, F.col(value).alias("x_"), F.col(weight).alias("w_"))
+    mean = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("w_").alias("total_"), F.sum(F.col("x_") * F.col("w_")).alias("s_"))
+    mean = mean.select(*keys, "n", "total_", F.when(F.col("total_") > 0, F.col("s_") / F.col("total_")).alias("mean"))
+    off = rows.join(mean, keys).groupBy(*keys).agg(F.sum(F.col("w_") * F.pow(F.col("x_") - F.col("mean"), F.lit(2.0))).alias("q_"))
+    return mean.join(off, keys).select(*keys, "n", "mean", F.when((F.col("n") > 1) & (F.col("total_") > 0), F.sqrt(F.col("q_") / F.col("total_"))).alias("sd"))
 
 
 def mix(df: DataFrame, keys: list[str], label: str, weight: str, out: str = "share") -> DataFrame:
