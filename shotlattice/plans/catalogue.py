@@ -791,3 +791,6 @@ def tumbling_counts(spark, d):
     e = table(spark, d, "events")
     w = F.window("ts", "1 hour")
     return e.groupBy(w, "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
+
+
+from . import more  # noqa: E402,F401  registers its queries
