@@ -90,3 +90,33 @@ def euler(m: Column) -> Column:
         F.degrees(F.when(locked, F.atan2(-at(1, 2), at(1, 1))).otherwise(F.atan2(at(2, 1), at(2, 2)))).alias("pitch"),
         F.degrees(F.when(locked, F.lit(0.0)).otherwise(F.atan2(at(1, 0), at(0, 0)))).alias("roll"),
     )
+
+
+def head_box(face: Column, width: Column, height: Column) -> Column:
+    """A face box grown to the head (0.2 of its width left and 0.2 right, 0.4 of its height up, 0.1 down), as shares of the frame."""
+    w, h = face["x2"] - face["x1"], face["y2"] - face["y1"]
+    share = lambda x, of: F.least(F.greatest(x / of, F.lit(0.0)), F.lit(1.0))
+    return box(share(face["x1"] - 0.2 * w, width), share(face["y1"] - 0.4 * h, height), share(face["x2"] + 0.2 * w, width), share(face["y2"] + 0.1 * h, height))
+
+
+def face_of_head(head: Column) -> Column:
+    """The face box that ``head_box`` grows to a head away from the frame's edges."""
+    w, h = (head["x2"] - head["x1"]) / 1.4, (head["y2"] - head["y1"]) / 1.5
+    return box(head["x1"] + 0.2 * w, head["y1"] + 0.4 * h, head["x2"] - 0.2 * w, head["y2"] - 0.1 * h)
+
+
+def look_score(in_frame: Column, gaze_degrees: Column, target_degrees: Column, cone: float = 20.0) -> Column:
+    """How well a gaze points at a target: presence times a bell of the angle between."""
+    return in_frame * F.exp(-F.pow(wrapped_degrees(gaze_degrees, target_degrees) / cone, F.lit(2.0)))
+
+
+def fitted(width: Column, height: Column, longest: int) -> Column:
+    """Whole-number sides with the longer at most ``longest``."""
+    scale = F.least(F.lit(1.0), longest / F.greatest(width, height))
+    return F.struct(F.rint(width * scale).cast("int").alias("width"), F.rint(height * scale).cast("int").alias("height"))
+
+
+def ninth(x: Column, y: Column) -> Column:
+    """Name of the cell of a 3 by 3 grid that holds a point of the unit square."""
+    band = lambda v, names: F.when(v < 1 / 3, names[0]).when(v > 2 / 3, names[2]).otherwise(names[1])
+    return F.concat_ws(" ", band(y, ("top", "middle", "bottom")), band(x, ("left", "centre", "right")))

@@ -192,3 +192,84 @@ def similarity_rank_order(spark, d):
 def interval_verdicts(spark, d):
     ci = C.bootstrap_mean(events(spark, d), "video", "value")
     return ci.select("mean", "low", "high", B.verdict(c("low"), c("high"), F.lit(40.0), F.lit(60.0)).alias("verdict"))
+
+
+@query(f"{WITH}, s AS (SELECT video, label, segment, value / 200 AS share FROM e WHERE value >= 50) SELECT video, label, list_aggregate(list_sort(list(DISTINCT segment)), 'string_agg', ',') AS segments, sum(share) AS seconds FROM s GROUP BY 1, 2", "seconds")
+def subjects(spark, d):
+    s = events(spark, d).where("value >= 50")
+    return s.groupBy("video", "label").agg(F.array_join(F.array_sort(F.collect_set("segment")), ",").alias("segments"), F.sum(c("value") / 200).alias("seconds"))
+
+
+@query(f"{WITH}, b AS (SELECT video, segment, avg(k) FILTER (label = 'view') AS back FROM e GROUP BY ALL), t AS (SELECT video, segment, label, avg(k) AS d FROM e WHERE label <> 'view' GROUP BY ALL) SELECT video, segment, label, d / nullif(back, 0) AS ratio, row_number() OVER (PARTITION BY video, segment ORDER BY d DESC, label)::INT AS rank FROM t JOIN b USING (video, segment)", "ratio")
+def depth_order(spark, d):
+    e = events(spark, d)
+    back = e.groupBy("video", "segment").agg(F.avg(F.when(c("label") == "view", c("k"))).alias("back"))
+    t = e.where("label <> 'view'").groupBy("video", "segment", "label").agg(F.avg("k").alias("d")).join(back, ["video", "segment"])
+    ranked = t.select("video", "segment", "label", F.try_divide("d", "back").alias("ratio"), "d")
+    from ..operators.stats import top_by
+
+    return top_by(ranked, ["video", "segment"], [c("d").desc(), c("label")], 1 << 30).drop("d")
+
+
+@query(f"{WITH} SELECT event_id, CASE WHEN k / 100 < 1 / 3 THEN 'top' WHEN k / 100 > 2 / 3 THEN 'bottom' ELSE 'middle' END || ' ' || CASE WHEN value / 200 < 1 / 3 THEN 'left' WHEN value / 200 > 2 / 3 THEN 'right' ELSE 'centre' END AS place FROM e")
+def grid_places(spark, d):
+    return events(spark, d).select("event_id", G.ninth(c("value") / 200, c("k") / 100).alias("place"))
+
+
+@query(f"{WITH}, t AS (SELECT video, segment, label, quantile_cont(value, 0.5) AS height FROM e GROUP BY ALL) SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY video, segment ORDER BY height DESC, label) = 1", "height")
+def tallest_track(spark, d):
+    from ..operators.stats import top_by
+
+    t = events(spark, d).groupBy("video", "segment", "label").agg(F.percentile("value", F.lit(0.5)).alias("height"))
+    return top_by(t, ["video", "segment"], [c("height").desc(), c("label")], 1).drop("rank")
+
+
+@query(f"{WITH} SELECT event_id, least(greatest((k - 0.2 * 40) / 200, 0), 1) AS x1, least(greatest((segment - 0.4 * 60) / 100, 0), 1) AS y1, least(greatest((k + 40 + 0.2 * 40) / 200, 0), 1) AS x2, least(greatest((segment + 60 + 0.1 * 60) / 100, 0), 1) AS y2 FROM e", "x1 y1 x2 y2")
+def head_boxes(spark, d):
+    b = G.head_box(G.box(c("k"), c("segment"), c("k") + 40, c("segment") + 60), F.lit(200), F.lit(100))
+    return events(spark, d).select("event_id", b.alias("b")).select("event_id", "b.*")
+
+
+@query(f"{WITH} SELECT event_id, k / 100 * exp(-pow(abs(((((value * 3 - segment * 12 + 180) % 360) + 360) % 360) - 180) / 20, 2)) AS score FROM e", "score")
+def look_scores(spark, d):
+    return events(spark, d).select("event_id", G.look_score(c("k") / 100, c("value") * 3, c("segment") * 12.0).alias("score"))
+
+
+def centroid_labels(spark, d):
+    from ..operators import entity as E
+    from .catalogue import prompts
+
+    v = table(spark, d, "embeddings")
+    return E.zero_shot(v, "vec_id", "embedding", prompts(spark, d), 1).select("vec_id", c("label").alias("found")).join(v.select("vec_id", c("label").alias("truth")), "vec_id")
+
+
+@query()
+def assignment_scores(spark, d):
+    from ..operators import assess
+
+    return assess.assignment_scores(centroid_labels(spark, d).withColumn("item", F.lit(1)), "item", "truth", "found")
+
+
+@query()
+def cluster_silhouettes(spark, d):
+    from ..operators import assess
+    from .catalogue import imputed
+
+    p = imputed(spark, d).where("field = 'mix'")
+    members = p.select(c("a").alias("item")).union(p.select("b")).distinct().select("item", F.pmod("item", F.lit(3)).alias("cluster"))
+    return assess.silhouettes(p, members, "imputed")
+
+
+@query()
+def neighbour_stability(spark, d):
+    from ..operators import assess
+    from .catalogue import imputed
+
+    return assess.stability(imputed(spark, d), "imputed")
+
+
+@query()
+def precision_interval(spark, d):
+    from ..operators import assess
+
+    return assess.precision_interval(labelled_docs(spark, d).withColumn("good", c("quality") == 1), "doc_id", "good", "n_chars")

@@ -164,3 +164,56 @@ def test_streaming_counts_match_batch(spark, tmp_path):
     batch = windows.windowed(rows, "ts", ["k"], "1 hour", None, "10 minutes", aggs)
     assert sorted(map(tuple, spark.table("w").collect())) == sorted(map(tuple, batch.collect()))
     assert windows.sessions(rows, "ts", ["k"], "30 minutes", "1 hour", aggs).count() == 30
+
+
+def test_assignment_is_the_best_of_all():
+    import itertools
+
+    import numpy as np
+
+    from shotlattice.operators import assess
+
+    rng = np.random.default_rng(1)
+    for n, m in ((3, 3), (2, 4), (4, 2), (5, 5), (1, 1)):
+        for _ in range(10):
+            g = rng.integers(0, 9, (n, m))
+            small = g if n <= m else g.T
+            best = max(sum(small[i, j] for i, j in enumerate(p)) for p in itertools.permutations(range(small.shape[1]), small.shape[0]))
+            pairs = assess.best_assignment(g)
+            assert len(pairs) == min(n, m) and len({i for i, _ in pairs}) == len({j for _, j in pairs}) == min(n, m)
+            assert sum(g[i, j] for i, j in pairs) == best
+
+
+def test_pixels():
+    import numpy as np
+
+    from shotlattice.functions import pixels
+
+    x = np.zeros((8, 8, 3), np.uint8)
+    x[:, 4:] = 255
+    assert pixels.palette(x)[0][1] == 0.5 and pixels.classical(x)["brightness"] == pytest.approx(0.5) and pixels.classical(x)["symmetry"] == pytest.approx(0.0)
+    assert pixels.histograms(x)[0, [0, 15]].tolist() == [0.5, 0.5]
+    gray = x[..., 0]
+    assert pixels.bars(gray) == 0.5 and pixels.bars(gray * 0) == 1.0 and pixels.sharpness(gray * 0) == 0.0
+    assert pixels.normals(np.ones((3, 3)))[1, 1].tolist() == [0.0, 0.0, 1.0]
+    assert pixels.masked((2, 2), [(0, 0, 1, 1)]).tolist() == [[False, True], [True, True]]
+
+
+def test_camera_and_pose(spark):
+    from shotlattice.operators import media as M
+
+    steps = spark.createDataFrame([(1, 0.01, 0.0)] * 4 + [(2, 0.01, 0.0), (2, None, 0.0)], "k int, x double, y double")
+    got = {r.k: r for r in M.camera(steps, ["k"], "x", "y", 24.0).collect()}
+    assert (round(got[1].pan, 6), got[1].rig, got[1].move, got[1].direction) == (0.24, "steady", "pan", "left") and got[2].move == "unknown" and got[2].rig is None
+
+
+def test_similarity_is_symmetric_and_zero_on_copies(spark):
+    from shotlattice.operators import similarity
+
+    items = spark.createDataFrame([(i,) for i in (1, 2, 3)], "item int")
+    labels = spark.createDataFrame([(1, "tags", "a", 1.0), (2, "tags", "a", 1.0), (3, "tags", "b", 1.0)], "item int, field string, label string, w double")
+    numbers = spark.createDataFrame([(1, "outdoor", 0.2), (2, "outdoor", 0.2)], "item int, field string, x double")
+    s = similarity.Similarity(similarity.Readings(items, labels, numbers))
+    d = {(r.a, r.b): r.score for r in s.overall().collect()}
+    assert d[1, 2] == 0 and d[1, 3] == d[2, 3] > 0
+    assert [(r.item, r.other) for r in s.nearest(1).orderBy("item").collect()] == [(1, 2), (2, 1), (3, 1)]
