@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -41,6 +42,9 @@ def written(df: DataFrame, what: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._llm_path = path
+    del df
+    gc.collect()
+    spark._jvm.System.gc()  # shuffle files go when the driver's garbage does: ask for it, as their rows are in the table now
     return out
 
 
