@@ -3,10 +3,10 @@
 1. Documents with equal sets of word shingles are one class.
 2. A set can only be in a link if enough of its n-grams are in another class too. Every n-gram whose hash is in the lower half is counted by classes; a class
    stays a candidate if so many of its counted n-grams are shared that a partner may hold the share that a link takes. This drops no link.
-3. The candidates' sets, each in the global order of the hashes, are joined in prefix trees: sets with a common start share nodes and the overlap counted on them;
-   a subtree is left as soon as its sizes or what is left of both sets cannot reach the required overlap, or all of its sets are in the component already.
-   First the blocks are the sets with a common n-gram among their first ones; that finds nearly all components. Then every n-gram of the sets' prefixes
-   (two sets in a link have a common n-gram there) whose sets are still in different components makes a block, so no link between components is lost.
+3. The candidates' sets, each in the global order (by the number of sets that have an n-gram, then by hash), are joined in prefix trees: sets with a common
+   start share nodes and the overlap counted on them; a subtree is left as soon as its sizes or what is left of both sets cannot reach the required overlap, or all of its sets are in the component already.
+   First the blocks are the sets with a common n-gram among their first ones by hash; that finds nearly all components. Then every n-gram of the sets' prefixes,
+   the rarest first (two sets in a link have a common n-gram there), whose sets are still in different components makes a block, so no link between components is lost.
 4. Components over all links found.
 """
 
@@ -26,26 +26,28 @@ CHUNK = 4 << 20
 
 
 class Node:
-    __slots__ = ("seg", "kids", "ends", "least", "most", "depth", "members")
+    __slots__ = ("seg", "kids", "ends", "least", "most", "longest", "depth", "members")
 
     def __init__(self, seg, depth):
         self.seg, self.depth = seg, depth
         self.kids, self.ends, self.members = {}, [], []
-        self.least, self.most = 1 << 62, 0
+        self.least, self.most, self.longest = 1 << 62, 0, 0
 
 
-def trie_links(sets: list[np.ndarray], known: Sets, percent: int = PERCENT) -> list[tuple[int, int]]:
+def trie_links(sets: list[np.ndarray], known: Sets, percent: int = PERCENT, sizes: list[int] | None = None) -> list[tuple[int, int]]:
     """Links that join components of ``known`` (updated): pairs (i, j) of ascending sets with Jaccard similarity of at least ``percent`` / 100.
 
-    Of the links between two components one is returned, as ``known`` holds the rest together.
+    ``sizes`` are those of the whole sets where members that no other set has were left out. Of the links between two components one is returned, as
+    ``known`` holds the rest together.
     """
     if len(sets) < 2:
         return []
-    sizes = [len(s) for s in sets]
+    lengths = [len(s) for s in sets]
+    sizes = sizes or lengths
     _, local = np.unique(np.concatenate(sets), return_inverse=True)
-    cuts = np.cumsum([0, *sizes])
+    cuts = np.cumsum([0, *lengths])
     sets = [local[a:b] for a, b in zip(cuts, cuts[1:])]
-    mark = np.zeros(int(local.max()) + 1, bool)
+    mark = np.zeros(int(local.max(initial=-1)) + 1, bool)
     root = Node(local[:0], 0)
     out: list[tuple[int, int]] = []
     both = 100 + percent
@@ -57,23 +59,23 @@ def trie_links(sets: list[np.ndarray], known: Sets, percent: int = PERCENT) -> l
         return len(m) == 1 and known.root(m[0]) == own
 
     for x in sorted(range(len(sets)), key=lambda i: (sizes[i], i)):
-        s, n = sets[x], sizes[x]
+        s, n, length = sets[x], sizes[x], lengths[x]
         mark[s] = True
         stack = [(root, 0)]
         while stack:
             node, overlap = stack.pop()
             if node.most * 100 < percent * n or (node.members and settled(node, known.root(x))):
                 continue
-            rest = n
+            rest = length
             if len(node.seg):
                 overlap += int(np.count_nonzero(mark[node.seg]))
-                rest = n - int(np.searchsorted(s, node.seg[-1], "right"))
-            if both * (overlap + min(rest, node.most - node.depth)) < percent * (n + node.least):
+                rest = length - int(np.searchsorted(s, node.seg[-1], "right"))
+            if both * (overlap + min(rest, node.longest - node.depth)) < percent * (n + node.least):
                 continue
             for y in node.ends:
                 if both * overlap >= percent * (n + sizes[y]) and known.join(x, y):
                     out.append((x, y))
-            near = int(s[n - rest]) if rest else -1
+            near = int(s[length - rest]) if rest else -1
             for first, kid in node.kids.items():
                 if first != near:
                     stack.append((kid, overlap))
@@ -82,25 +84,25 @@ def trie_links(sets: list[np.ndarray], known: Sets, percent: int = PERCENT) -> l
         mark[s] = False
         node, at = root, 0
         while True:
-            node.least, node.most = min(node.least, n), max(node.most, n)
+            node.least, node.most, node.longest = min(node.least, n), max(node.most, n), max(node.longest, length)
             if not node.members or known.root(node.members[-1]) != known.root(x):
                 node.members.append(x)
-            if at == n:
+            if at == length:
                 node.ends.append(x)
                 break
             kid = node.kids.get(int(s[at]))
             if kid is None:
-                leaf = Node(s[at:], n)
-                leaf.least = leaf.most = n
+                leaf = Node(s[at:], length)
+                leaf.least, leaf.most, leaf.longest = n, n, length
                 leaf.members, leaf.ends = [x], [x]
                 node.kids[int(s[at])] = leaf
                 break
-            m = min(len(kid.seg), n - at)
+            m = min(len(kid.seg), length - at)
             differ = np.flatnonzero(kid.seg[:m] != s[at : at + m])
             common = int(differ[0]) if len(differ) else m
             if common < len(kid.seg):
                 upper = Node(kid.seg[:common], kid.depth - len(kid.seg) + common)
-                upper.least, upper.most, upper.members = kid.least, kid.most, list(kid.members)
+                upper.least, upper.most, upper.longest, upper.members = kid.least, kid.most, kid.longest, list(kid.members)
                 upper.kids[int(kid.seg[common])] = kid
                 kid.seg = kid.seg[common:]
                 node.kids[int(s[at])] = upper
@@ -227,48 +229,204 @@ def _classes(counted: DataFrame, percent: int) -> DataFrame:
     return counted.groupBy("part").applyInArrow(settle, "k1 long, k2 long, n long, first long, text_hash long, candidate boolean")
 
 
-def _sets(rows: DataFrame, classes: DataFrame, width: int) -> DataFrame:
-    """(cid, tokens) of each candidate class; tokens: 64-bit hashes, ascending."""
-    cands = classes.where("candidate").select("first", "text_hash")
-    texts = rows.join(cands, rows["doc_id"].eqNullSafe(cands["first"]) & (rows["hash"] == cands["text_hash"]), "left_semi").select("text")
+#: A fixed bitmap of candidates' text hashes, 4 MB: it only saves reading others; whether a set is a candidate's is decided by a join.
+BITS, SEGMENT = 25, 19
+
+
+def _bitmap(classes: DataFrame) -> np.ndarray:
+    def mark(batches):
+        import pyarrow as pa
+
+        found = np.zeros(1 << BITS, bool)
+        for batch in batches:
+            found[batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - BITS)] = True
+        parts = [(i, np.packbits(x).tobytes()) for i, x in enumerate(found.reshape(-1, 1 << SEGMENT)) if x.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary())], ["segment", "bits"])
+
+    def either(key, table):
+        import pyarrow as pa
+
+        bits = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in table.column("bits").to_pylist()])
+        return pa.table({"segment": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([bits.tobytes()], pa.binary())})
+
+    rows = classes.where("candidate").select("text_hash").mapInArrow(mark, "segment int, bits binary").groupBy("segment").applyInArrow(either, "segment int, bits binary")
+    out = np.zeros(1 << BITS - 3, np.uint8)
+    for r in rows.collect():  # at most 4 MB, whatever the corpus
+        out[r.segment << SEGMENT - 3 : (r.segment + 1) << SEGMENT - 3] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def _chunks(rows: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """Sets of the candidate classes, many to a row: chunk, k1, k2, cuts, tokens (64-bit hashes, set by set)."""
+    bitmap = rows.sparkSession.sparkContext.broadcast(_bitmap(classes))
 
     def make(batches):
         import pyarrow as pa
 
+        bits = bitmap.value
         for batch in batches:
-            offsets, data = buffers(batch.column(0))
+            at = batch.column("hash").to_numpy().view(np.uint64) >> np.uint64(64 - BITS)
+            own = (bits[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1
+            offsets, data = buffers(batch.column("text").filter(pa.array(own > 0)))
             for a, b in slices(offsets, CHUNK):
                 h, r, k1, k2 = doc_sets(offsets[a : b + 1], data, width)
                 cuts = np.searchsorted(r, np.arange(b - a + 1))
                 blobs = [h[x:y].tobytes() for x, y in zip(cuts, cuts[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(blobs, pa.binary())], ["k1", "k2", "tokens"])
 
-    return texts.mapInArrow(make, "k1 long, k2 long, tokens binary").dropDuplicates(["k1", "k2"]).select(F.monotonically_increasing_id().alias("cid"), "k1", "k2", "tokens")
+    def gather(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        number, k, t, held = TaskContext.get().partitionId() << 24, [], [], 0
+
+        def row():
+            cuts = np.cumsum([0, *(len(x) // 8 for x in t)]).astype(np.int64)
+            k1, k2 = (np.array([x[i] for x in k], np.int64).tobytes() for i in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in ((number, pa.int64()), (k1, pa.binary()), (k2, pa.binary()), (cuts.tobytes(), pa.binary()), (b"".join(t), pa.binary()))], ["chunk", "k1", "k2", "cuts", "tokens"])
+
+        for batch in batches:
+            for a, b, tokens in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                k.append((a, b)), t.append(tokens)
+                held += len(tokens)
+                if held >= CHUNK or len(t) == 1 << 16:
+                    yield row()
+                    number, held = number + 1, 0
+                    k.clear(), t.clear()
+        if t:
+            yield row()
+
+    made = rows.select("text", "hash").mapInArrow(make, "k1 long, k2 long, tokens binary")
+    made = made.join(classes.where("candidate").select("k1", "k2"), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
+    return made.mapInArrow(gather, "chunk long, k1 binary, k2 binary, cuts binary, tokens binary")
+
+
+#: How many sets an n-gram is in, by class: below 2, 4, 8, 16, 64, 256, 1024, and more.
+STEPS = (2, 4, 8, 16, 64, 256, 1024)
+ALONE = np.uint64(1) << np.uint64(61)
+
+
+def _packed(tokens: bytes, cuts: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(48 bits of hash, 16 of row) ascending, and in that order hashes and rows; and the number of sets."""
+    h, cuts = np.frombuffer(tokens, np.uint64), np.frombuffer(cuts, np.int64)
+    rows = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+    packed = ((h >> np.uint64(16)) << np.uint64(16)) | rows.astype(np.uint64)
+    order = np.argsort(packed, kind="stable")
+    return packed[order], h[order], rows[order], cuts
+
+
+def _ordered(chunks: DataFrame) -> DataFrame:
+    """(cid, k1, k2, n, tokens): each set in the global order, the n-grams of the fewest sets first; a token is 3 bits of that class and 61 of the hash.
+
+    The n-grams that no other set has would come first of all and are left out; ``n`` is the size of the whole set. The class is the same wherever an n-gram stands, so this is one order for all sets.
+    """
+    parts = parts_of(chunks.sparkSession)
+    lots = np.array([((1 << 64) * p // parts) >> 16 << 16 for p in range(parts)], np.uint64)
+
+    def ask(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for chunk, cuts, tokens in zip(*(batch.column(c).to_pylist() for c in ("chunk", "cuts", "tokens"))):
+                packed = _packed(tokens, cuts)[0]
+                at = [*np.searchsorted(packed, lots).tolist(), len(packed)]
+                out += [(p, chunk, packed[x:y].tobytes()) for p, (x, y) in enumerate(zip(at, at[1:])) if y > x]
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary()))], ["part", "chunk", "blob"])
+
+    def answer(key, table):
+        import pyarrow as pa
+
+        asked = [np.frombuffer(b, np.uint64) >> np.uint64(16) for b in table.column("blob").to_pylist()]
+        _, at, n = np.unique(np.concatenate(asked), return_inverse=True, return_counts=True)
+        found = np.searchsorted(STEPS, n, "right").astype(np.uint8)[at]
+        cuts = np.cumsum([0, *map(len, asked)])
+        blobs = [pa.compress(found[x:y].tobytes(), codec="zstd", asbytes=True) for x, y in zip(cuts, cuts[1:])]
+        sizes = np.diff(cuts)
+        none = pa.nulls(len(blobs), pa.binary())
+        return pa.table({"chunk": table.column("chunk"), "part": pa.array([key[0].as_py()] * len(blobs), pa.int32()), "n": pa.array(sizes, pa.int64()), "tokens": pa.array(blobs, pa.binary()), "k1": none, "k2": none, "cuts": none})
+
+    def order(key, table):
+        import pyarrow as pa
+
+        rows = table.to_pylist()
+        own = next(r for r in rows if r["part"] < 0)
+        classes = [np.frombuffer(pa.decompress(r["tokens"], decompressed_size=r["n"], codec="zstd", asbytes=True), np.uint8) for r in sorted(rows, key=lambda r: r["part"]) if r["part"] >= 0]
+        _, h, of, cuts = _packed(own["tokens"], own["cuts"])
+        t = (np.concatenate(classes).astype(np.uint64) << np.uint64(61)) | (h >> np.uint64(3)) if classes else h
+        t, of = (x[keep] for keep in [t >= ALONE] for x in (t, of))
+        order = np.lexsort((t, of))
+        t, at = t[order], np.searchsorted(of[order], np.arange(len(cuts)))
+        k1, k2 = (np.frombuffer(own[k], np.int64) for k in ("k1", "k2"))
+        cid = (key[0].as_py() << 16) + np.arange(len(k1), dtype=np.int64)
+        return pa.table({"cid": cid, "k1": k1, "k2": k2, "n": np.diff(cuts), "tokens": pa.array([t[x:y].tobytes() for x, y in zip(at, at[1:])], pa.binary())})
+
+    asked = chunks.mapInArrow(ask, "part int, chunk long, blob binary")
+    answers = asked.groupBy("part").applyInArrow(answer, "chunk long, part int, n long, tokens binary, k1 binary, k2 binary, cuts binary")
+    own = chunks.select("chunk", F.lit(-1).alias("part"), F.lit(0).cast("long").alias("n"), "tokens", "k1", "k2", "cuts")
+    return answers.unionByName(own).groupBy("chunk").applyInArrow(order, "cid long, k1 long, k2 long, n long, tokens binary")
 
 
 def _keys(sets: DataFrame, percent: int, first: int | None) -> DataFrame:
-    """(key, cid): the ``first`` n-grams of each set, or those of its prefix."""
+    """(key, cid, n, place): the ``first`` n-grams by hash of each set, or those of its prefix, with their places in the whole ordered set."""
 
     def take(batches):
         import pyarrow as pa
 
         for batch in batches:
-            cid = batch.column(0).to_numpy()
-            tokens = [np.frombuffer(t, np.uint64) for t in batch.column(1).to_pylist()]
-            tokens = [t[: first or len(t) - -(-percent * len(t) // 100) + 1] for t in tokens]
-            keys = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.repeat(cid, [len(t) for t in tokens]))], ["key", "cid"])
+            cid, n, keys, places = batch.column(0).to_numpy(), batch.column(1).to_numpy(), [], []
+            for blob, size in zip(batch.column(2).to_pylist(), n.tolist()):
+                t = np.frombuffer(blob, np.uint64)
+                before = size - len(t)
+                at = np.argsort(t & (ALONE - np.uint64(1)))[:first] if first else np.arange(min(len(t), max(0, size - -(-percent * size // 100) + 1 - before)))
+                keys.append(t[at]), places.append(at + before)
+            many = [len(t) for t in keys]
+            cols = [np.concatenate(keys).view(np.int64) if keys else n[:0], np.repeat(cid, many), np.repeat(n, many), np.concatenate(places) if places else n[:0]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["key", "cid", "n", "place"])
+
+    return sets.select("cid", "n", "tokens").mapInArrow(take, "key long, cid long, n long, place long")
+
+
+def _possible(prefixes: DataFrame, percent: int) -> DataFrame:
+    """Of (key, cid, comp, n, place) the rows that a set of another component could be linked to over their key, by sizes and what is left of both sets.
+
+    A key's rows are dealt into tiles of two lots of ``BLOCK`` rows or fewer, so no task holds more of them; the rows of a tile come out once.
+    """
+    lots = parts_of(prefixes.sparkSession) * 4
+
+    def test(_, table):
+        import pyarrow as pa
+
+        key, sub, n, comp, place = (table.column(c).to_numpy() for c in ("key", "sub", "n", "comp", "place"))
+        order = np.lexsort((sub, key))
+        cuts = np.flatnonzero(np.concatenate(([True], (key[order][1:] != key[order][:-1]) | (sub[order][1:] != sub[order][:-1]), [True])))
+        ok = np.zeros(len(key), bool)
+        for x, y in zip(cuts, cuts[1:]):
+            i = order[x:y]
+            size, left, own = n[i], n[i] - place[i], comp[i]
+            # all before the places may differ: the overlap is at most what is left of either
+            ok[i] = ((own[:, None] != own) & ((100 + percent) * np.minimum(left[:, None], left) >= percent * (size[:, None] + size))).any(axis=1)
+        return table.select(["key", "sub", "cid", "comp"]).filter(pa.array(ok))
+
+    return _tiles(prefixes).withColumn("lot", F.pmod(F.xxhash64("key", "sub"), F.lit(lots))).groupBy("lot").applyInArrow(test, "key long, sub long, cid long, comp long")
+
 
-    return sets.select("cid", "tokens").mapInArrow(take, "key long, cid long")
+def _tiles(rows: DataFrame) -> DataFrame:
+    """Rows of keys that stand in more than one component, with the number ``sub`` of a tile: each pair of a key's rows meets in a tile."""
+    split = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("m")).where("low <> high").select("key", "m")
+    dealt = rows.join(split, "key").withColumn("deal", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("deal")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("deal") - 1)))
+    sub = (F.least("own", "other") * F.col("deal") + F.greatest("own", "other")).cast("long")
+    return dealt.withColumn("sub", sub).drop("deal", "own", "other", "m")
 
 
 def _joined(blocks: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) within blocks; columns lot, key, sub, cid, comp, tokens."""
+    """Links (a, b) within blocks; columns lot, key, sub, cid, comp, n, tokens. In the trees the n-grams of the most sets come first: they are shared."""
 
     def join(_, table):
         import pyarrow as pa
 
-        key, sub, cid, comp = (table.column(c).to_numpy() for c in ("key", "sub", "cid", "comp"))
+        key, sub, cid, comp, n = (table.column(c).to_numpy() for c in ("key", "sub", "cid", "comp", "n"))
         tokens = table.column("tokens")
         order = np.lexsort((cid, sub, key))
         cuts = np.flatnonzero(np.concatenate(([True], (key[order][1:] != key[order][:-1]) | (sub[order][1:] != sub[order][:-1]), [True])))
@@ -278,7 +436,9 @@ def _joined(blocks: DataFrame, percent: int) -> DataFrame:
             known, seen = Sets(len(mine)), {}
             for i, c in enumerate(comp[mine].tolist()):
                 known.join(seen.setdefault(c, i), i)
-            for i, j in trie_links([np.frombuffer(tokens[int(m)].as_py(), np.uint64) for m in mine], known, percent):
+            sets = [np.frombuffer(tokens[int(m)].as_py(), np.uint64) for m in mine]
+            sets = [~t[::-1] for t in sets]
+            for i, j in trie_links(sets, known, percent, n[mine].tolist()):
                 a.append(cid[mine[i]]), b.append(cid[mine[j]])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -296,24 +456,21 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
     counted = written(_counted(rows, width, percent), "counted")
     classes = written(_classes(counted, percent), "classes")
-    sets = written(_sets(rows, classes, width), "sets")
+    chunks = written(_chunks(rows, classes, width), "chunks")
+    sets = written(_ordered(chunks), "sets")
+    dropped(chunks)
 
     keys = written(_keys(sets, percent, FIRST), "keys")
-    often = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    blocks = keys.join(often, "key").withColumn("sub", F.pmod(F.xxhash64("cid", "key"), F.ceil(F.col("n") / F.lit(BLOCK))))
-    blocks = blocks.join(sets.select("cid", "tokens"), "cid").select(F.pmod(F.xxhash64("key", "sub"), F.lit(lots)).alias("lot"), "key", "sub", "cid", F.col("cid").alias("comp"), "tokens")
+    often = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    blocks = keys.join(often, "key").withColumn("sub", F.pmod(F.xxhash64("cid", "key"), F.ceil(F.col("m") / F.lit(BLOCK)))).drop("n", "place")
+    blocks = blocks.join(sets.select("cid", "n", "tokens"), "cid").select(F.pmod(F.xxhash64("key", "sub"), F.lit(lots)).alias("lot"), "key", "sub", "cid", F.col("cid").alias("comp"), "n", "tokens")
     links = written(_joined(blocks, percent), "links")
     comps = written(components(links), "components")
 
-    prefixes = _keys(sets, percent, None).join(comps, F.col("cid") == F.col("node"), "left").select("key", "cid", F.coalesce("component", "cid").alias("comp"))
+    prefixes = _keys(sets, percent, None).join(comps, F.col("cid") == F.col("node"), "left").select("key", "cid", "n", "place", F.coalesce("component", "cid").alias("comp"))
     prefixes = written(prefixes, "prefixes")
-    split = prefixes.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high").select("key", "n")
-    open_ = prefixes.join(split, "key").select("key", "cid", "comp", "n")
-    # a block of many sets is dealt into tiles of two lots of sets: each pair of its sets meets in one tile
-    deal = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(BLOCK))).cast("int")
-    tiles = open_.withColumn("deal", deal).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("deal")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("deal") - 1)))
-    tiles = tiles.select("key", "cid", "comp", (F.least("own", "other") * F.col("deal") + F.greatest("own", "other")).cast("long").alias("sub"))
-    tiles = tiles.join(sets.select("cid", "tokens"), "cid").select(F.pmod(F.xxhash64("key", "sub"), F.lit(lots)).alias("lot"), "key", "sub", "cid", "comp", "tokens")
+    tiles = written(_possible(prefixes, percent), "tiles")
+    tiles = tiles.join(sets.select("cid", "n", "tokens"), "cid").select(F.pmod(F.xxhash64("key", "sub"), F.lit(lots)).alias("lot"), "key", "sub", "cid", "comp", "n", "tokens")
     more = written(_joined(tiles, percent), "links")
     if more.isEmpty():
         last = comps
