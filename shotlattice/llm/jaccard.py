@@ -268,11 +268,12 @@ def _chunks(rows: DataFrame, classes: DataFrame, width: int) -> DataFrame:
             at = batch.column("hash").to_numpy().view(np.uint64) >> np.uint64(64 - BITS)
             own = (bits[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1
             offsets, data = buffers(batch.column("text").filter(pa.array(own > 0)))
+            ids = batch.column("doc_id").filter(pa.array(own > 0))
             for a, b in slices(offsets, CHUNK):
                 h, r, k1, k2 = doc_sets(offsets[a : b + 1], data, width)
                 cuts = np.searchsorted(r, np.arange(b - a + 1))
                 blobs = [h[x:y].tobytes() for x, y in zip(cuts, cuts[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(blobs, pa.binary())], ["k1", "k2", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), ids[a:b], pa.array(blobs, pa.binary())], ["k1", "k2", "doc_id", "tokens"])
 
     def gather(batches):
         import pyarrow as pa
@@ -296,8 +297,11 @@ def _chunks(rows: DataFrame, classes: DataFrame, width: int) -> DataFrame:
         if t:
             yield row()
 
-    made = rows.select("text", "hash").mapInArrow(make, "k1 long, k2 long, tokens binary")
-    made = made.join(classes.where("candidate").select("k1", "k2"), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
+    made = rows.select("text", "hash", "doc_id").mapInArrow(make, "k1 long, k2 long, doc_id long, tokens binary")
+    own = classes.where("candidate").select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "first")
+    # a class's copies stay behind: only its first row's set goes on
+    made = made.join(own, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
+    made = made.dropDuplicates(["k1", "k2"]).select("k1", "k2", "tokens")
     return made.mapInArrow(gather, "chunk long, k1 binary, k2 binary, cuts binary, tokens binary")
 
 
