@@ -28,7 +28,7 @@ def normal(df: pd.DataFrame) -> pd.DataFrame:
         if str(x.dtype).startswith("datetime"):
             out[c] = x.astype("datetime64[us]").astype(str)
         elif x.dtype == object and not all(v is None or isinstance(v, (int, float, bool, np.number)) or type(v).__name__ == "Decimal" for v in x):
-            out[c] = x.map(lambda v: "~" if v is None or v != v else str(v))
+            out[c] = x.map(lambda v: "~" if v is None or isinstance(v, float) and v != v else str(v))
         else:
             out[c] = pd.to_numeric(x.astype(object).where(x.notna(), np.nan)).astype(float)
     return pd.DataFrame(out).sort_values(sorted(out), ignore_index=True)
