@@ -2,7 +2,7 @@
 
 Texts become chunks of token numbers once; all later steps exchange distinct words and distinct bigrams of chunks, not tokens.
 
-1. ``chunks``: each holds about two million tokens as places in its own list of distinct words.
+1. ``chunks``: each holds about a million tokens as places in its own list of distinct words.
 2. ``unigrams``, by lots of words: each chunk sends its words with their training counts and gets back ids and counts.
 3. ``bigrams``, by lots of histories: each chunk sends its bigrams with their training counts and gets back the counts of the whole corpus, and for histories
    of bigrams that are not known there what their backoff weight is made of. A history with more than a lot's share of the tokens is dealt by bigram;
@@ -15,6 +15,8 @@ The tables hold the model: unigram and bigram counts in lots. Nothing grows on t
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
@@ -23,7 +25,7 @@ from .common import buffers, hashed_words, mixed, parts_of, slices, written
 END = np.uint64(0x5DEECE66D1234567)
 #: Counts up to K are discounted.
 K = 5
-TOKENS = 2_000_000
+TOKENS = 1_000_000
 SLICE = 1 << 20
 _DOC = np.dtype([("id", "<i8"), ("no_id", "u1"), ("train", "u1"), ("tokens", "<i8")])
 _BEGIN = 0xFFFFFFFF
@@ -56,6 +58,35 @@ def unrising(b: bytes, dtype) -> np.ndarray:
     return np.cumsum(unpacked(b, dtype), dtype=dtype)
 
 
+def paired(keys: np.ndarray) -> bytes:
+    """Ascending pairs (history, word) in 64 bits: each history once with the number of its words, words as steps within their history."""
+    h, w = (keys >> np.uint64(32)).astype(np.uint32), keys.astype(np.uint32)
+    start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
+    step = np.diff(w, prepend=np.uint32(0))
+    step[start] = w[start]
+    return pickle.dumps((rising(h[start]), packed(np.diff(start, append=len(h)).astype(np.uint32)), packed(step)))
+
+
+def unpaired(b: bytes) -> np.ndarray:
+    heads, many, step = pickle.loads(b)
+    h, many, step = unrising(heads, np.uint32), unpacked(many, np.uint32).astype(np.int64), unpacked(step, np.uint32)
+    if not len(h):
+        return np.zeros(0, np.uint64)
+    total = np.cumsum(step, dtype=np.uint32)
+    start = np.concatenate(([0], np.cumsum(many)[:-1]))
+    w = total - np.repeat(total[start] - step[start], many)  # modulo 2**32
+    return (np.repeat(h, many).astype(np.uint64) << np.uint64(32)) | w
+
+
+def summary(sums: np.ndarray) -> tuple[bytes, bytes]:
+    """Rows of K + 1 whole numbers and a fraction."""
+    return packed(sums[:, : K + 1].astype(np.int64).ravel()), sums[:, K + 1].tobytes()
+
+
+def unsummary(x: tuple[bytes, bytes]) -> np.ndarray:
+    return np.concatenate((unpacked(x[0], np.int64).reshape(-1, K + 1).astype(float), np.frombuffer(x[1]).reshape(-1, 1)), axis=1)
+
+
 def discounts(counts: np.ndarray, k: int = K) -> np.ndarray:
     """d_0..d_k+1 from counts of counts n_1..n_k+1 (``counts[r]``): Good-Turing as Katz uses it, d_r = 1 above k.
 
@@ -125,7 +156,7 @@ def chunked(docs: DataFrame, parts: int) -> DataFrame:
             train = np.repeat(d["train"] > 0, d["tokens"])
             counts = np.bincount(at[train], minlength=len(words)).astype(np.uint32)
             state["next"], state["n"] = state["next"] + 1, 0
-            return pa.RecordBatch.from_arrays([pa.array([x]) for x in (state["next"] - 1, d.tobytes(), words[order].tobytes(), packed(counts), packed(at))], names)
+            return pa.RecordBatch.from_arrays([pa.array([x]) for x in (state["next"] - 1, d.tobytes(), rising(words[order]), packed(counts), packed(at))], names)
 
         for batch in batches:
             offsets, data = buffers(batch.column("text"))
@@ -159,9 +190,9 @@ def counted_words(chunks: DataFrame, parts: int) -> DataFrame:
         for batch in batches:
             out = []
             for chunk, words, counts in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                words, counts = np.frombuffer(words, np.uint64), unpacked(counts, np.uint32)
+                words, counts = unrising(words, np.uint64), unpacked(counts, np.uint32)
                 cuts = np.searchsorted(lot_of(words, parts), np.arange(parts + 1))
-                out += [(p, chunk, words[x:y].tobytes(), counts[x:y].tobytes()) for p, (x, y) in enumerate(zip(cuts, cuts[1:])) if y > x]
+                out += [(p, chunk, rising(words[x:y]), packed(counts[x:y])) for p, (x, y) in enumerate(zip(cuts, cuts[1:])) if y > x]
             cols = list(zip(*out)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["part", "chunk", "a", "b"])
 
@@ -169,7 +200,7 @@ def counted_words(chunks: DataFrame, parts: int) -> DataFrame:
         import pyarrow as pa
 
         part = key[0].as_py()
-        asked = [(c, np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint32)) for c, a, b in zip(*(table.column(x).to_pylist() for x in ("chunk", "a", "b")))]
+        asked = [(c, unrising(a, np.uint64), unpacked(b, np.uint32)) for c, a, b in zip(*(table.column(x).to_pylist() for x in ("chunk", "a", "b")))]
         words, at = np.unique(np.concatenate([a for _, a, _ in asked]), return_inverse=True)
         total = np.bincount(at, np.concatenate([b for _, _, b in asked]).astype(float)).astype(np.int64)
         ids = (np.arange(len(words), dtype=np.int64) * parts + part).astype(np.uint32)
@@ -179,7 +210,7 @@ def counted_words(chunks: DataFrame, parts: int) -> DataFrame:
             start += len(a)
             out.append((0, chunk, part, packed(ids[mine]), packed(total[mine])))
         known = total > 0
-        out.append((1, None, part, words[known].tobytes(), packed(total[known])))
+        out.append((1, None, part, rising(words[known]), packed(total[known])))
         ends = total[words == END]
         totals = [total.sum(), known.sum(), ends.sum(), *np.bincount(np.minimum(total, K + 2), minlength=K + 3)[: K + 2]]
         out.append((2, None, part, np.array(totals, np.int64).tobytes(), None))
@@ -264,14 +295,10 @@ def counted_bigrams(chunk_rows: DataFrame, uni: Unigrams, parts: int) -> DataFra
         cuts = np.searchsorted(lot * 2 + hot, np.arange(2 * parts + 1))
         for p, (x, y) in enumerate(zip(cuts, cuts[1:])):
             if y > x:
-                import pickle
-
-                out.append((p % 2, chunk, p // 2, rising(bigrams[x:y]), pickle.dumps((packed(n[x:y]), packed(words[x:y])))))
+                out.append((p % 2, chunk, p // 2, paired(bigrams[x:y]), pickle.dumps((packed(n[x:y]), packed(words[x:y])))))
         return _table(out)
 
     def count(key, table):
-        import pickle
-
         part = key[0].as_py()
         out, totals = [], np.zeros(K + 2, np.int64)
         rows = table.select(["kind", "chunk", "a", "b"]).to_pylist()
@@ -280,7 +307,7 @@ def counted_bigrams(chunk_rows: DataFrame, uni: Unigrams, parts: int) -> DataFra
             for r in rows:
                 if r["kind"] == hot:
                     n, words = pickle.loads(r["b"])
-                    asked.append((r["chunk"], unrising(r["a"], np.uint64), unpacked(n, np.uint32), unpacked(words, np.int64)))
+                    asked.append((r["chunk"], unpaired(r["a"]), unpacked(n, np.uint32), unpacked(words, np.int64)))
             if not asked:
                 continue
             keys, first, at = np.unique(np.concatenate([a for _, a, _, _ in asked]), return_index=True, return_inverse=True)
@@ -289,7 +316,7 @@ def counted_bigrams(chunk_rows: DataFrame, uni: Unigrams, parts: int) -> DataFra
             known = total > 0
             seen, r, p = keys[known], total[known], uni.p(words[known])
             totals += np.bincount(np.minimum(r, K + 2), minlength=K + 3)[: K + 2]
-            out.append((1, None, part, rising(seen), packed(r)))
+            out.append((1, None, part, paired(seen), packed(r)))
             history, start = np.unique((seen >> np.uint64(32)).astype(np.uint32), return_index=True)
             sums = np.zeros((len(history), K + 2))  # n_1..n_K, the sum of higher counts, the base mass of the followers
             if len(history):
@@ -313,7 +340,7 @@ def counted_bigrams(chunk_rows: DataFrame, uni: Unigrams, parts: int) -> DataFra
                     unseen = np.unique(keys[mine[total[mine] == 0]] >> np.uint64(32)).astype(np.uint32)
                     where = np.minimum(np.searchsorted(history, unseen), len(history) - 1)
                     ok = history[where] == unseen
-                    weights = pickle.dumps((unseen[ok].tobytes(), sums[where[ok]].tobytes()))
+                    weights = pickle.dumps((rising(unseen[ok]), summary(sums[where[ok]])))
                 out.append((0, chunk, part * 2 + hot, packed(total[mine] * 2 + closed[mine]), weights))
         out.append((2, None, part, totals.tobytes(), None))
         return _table(out)
@@ -333,8 +360,6 @@ def scored(rows: DataFrame, uni: Unigrams, d: np.ndarray, hot: dict[int, np.ndar
     documents, tokens = uni.documents, uni.tokens
 
     def run(_, table):
-        import pickle
-
         import pyarrow as pa
 
         rows = _rows(table)
@@ -350,7 +375,7 @@ def scored(rows: DataFrame, uni: Unigrams, d: np.ndarray, hot: dict[int, np.ndar
         for a in answers:
             if a["b"]:
                 h, s = pickle.loads(a["b"])
-                known_h.append(np.frombuffer(h, np.uint32)), known_s.append(np.frombuffer(s).reshape(-1, K + 2))
+                known_h.append(unrising(h, np.uint32)), known_s.append(unsummary(s))
         known_h, known_s = np.concatenate(known_h), np.concatenate(known_s)
         known_h, keep = np.unique(known_h, return_index=True)
         known_s = known_s[keep]
