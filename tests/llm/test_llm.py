@@ -330,6 +330,27 @@ def test_estimates_match_numpy(spark):
     assert sorted(r.doc_id for r in outliers.accepted(df).collect()) == sorted(i for i, r in got.items() if r.kept)
 
 
+def test_each_feature_rejects_by_itself(spark):
+    rng = random.Random(12)
+    lined = lambda ws, n: "\n".join(" ".join(ws[i : i + n]) for i in range(0, len(ws), n))
+    clean = [lined(prose(rng, rng.randint(60, 300)).split(), 10) for _ in range(200)]
+    words_ = lambda: prose(rng, 300).split()
+    half = [" ".join(prose(rng, 5).split()) for _ in range(30)] * 2
+    rng.shuffle(half)
+    ws = words_()
+    odd = {
+        "word_length": lined([w + w[: len(w) // 2] for w in words_()], 10),
+        "symbols": lined([w + "#" * (i % 6 == 0) for i, w in enumerate(words_())], 10),
+        "dup_lines": "\n".join(half),
+        "repeats": " ".join(ws[:240] + ws[:36]),
+        "capitals": lined([w.capitalize() if i % 2 else w for i, w in enumerate(words_())], 10),
+    }
+    got = {r.doc_id: r for r in outliers.robust_outliers(docs_of(spark, [*clean, *odd.values()])).collect()}
+    assert sum(got[i].kept for i in range(200)) >= 199
+    for i, name in enumerate(odd, 200):
+        assert not got[i].base_failed and not got[i].kept, (name, got[i].d2)
+
+
 # ---------------------------------------------------------------- 4
 
 
