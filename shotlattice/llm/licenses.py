@@ -2,12 +2,34 @@
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Equivalent spellings, applied in this order to lower-case text. Fixed values.
 SPELLINGS = (("https://", "http://"), ("licence", "license"), ("sub-license", "sublicense"), ("non-commercial", "noncommercial"), ("favour", "favor"), ("organisation", "organization"), ("authorisation", "authorization"), ("recognise", "recognize"), ("per cent", "percent"), ("&", " and "))
-#: A line that says whose copyright it is; dropped.
-COPYRIGHT = r"^\s*(copyright\s*(\(c\)|©|\d{4})|\(c\)\s*\d{4}|©|all rights reserved)"
+#: Words that follow "copyright" in running text and in wrapped lines of licences; a line that goes on with one of them says nothing about a holder.
+RUNNING = "act acts also and are as can cases claim claims disclaimer doctrines exceptions for has have if in including infringement infringements interest interests is issue issues law laws license licenses like line lines management material may more must notice notices of office on or owner owners ownership patent permission permissions protection protections resulting right rights shall should statement statements status term that the then those to treaties treaty under violation violations was were which will with work works holder holders".split()
+
+
+def _other(words_: list[str], first: bool = True) -> str:
+    """Pattern of the start of a word that is none of ``words_``, without looking ahead, which not every engine can."""
+    heads = sorted({w[0] for w in words_ if w})
+    free = "".join(c for c in "abcdefghijklmnopqrstuvwxyz" if c not in heads)
+    if first:
+        here = [rf"[{free}]", r"[^\x00-\x7f]"]
+    else:  # where one of the words ends, only more letters make another word of it
+        here = [rf"[{free}]"] if "" in words_ else [rf"[^{''.join(heads)}]", "$"]
+    return "(" + "|".join([*here, *[h + _other([w[1:] for w in words_ if w[:1] == h], False) for h in heads]]) + ")"
+
+
+#: A line that says whose copyright it is, behind whatever marks a comment; dropped. Neither year nor sign is needed where a holder follows.
+COPYRIGHT = (
+    r"^[^\p{L}\p{N}]*((portions\s+)?(spdx-filecopyrighttext:|copyright\s*:?\s*(\(c\)|©|\d{4}|[<\[{]|by\s|the\s.{0,80}(authors|committee|community|company|contributors|developers|foundation|group|maintainers|organization|owners|project|regents|team|university))|copyright\s+"
+    + _other(RUNNING)
+    + r".{0,80}$)|\(c\)\s*\d{4}|©|all rights reserved)"
+)
 PUNCTUATION = r"[^\p{L}\p{N}]+"
 
 #: Known licences and notices. Fixed values.
@@ -32,6 +54,44 @@ KNOWN = (
     ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
 )
 
+#: Whole texts: licence and file, count of title lines at its top, other titles, what its appendix starts with.
+WHOLE = (
+    ("Apache-2.0", 3, ("Apache License", "Apache License 2.0", "Apache License, Version 2.0", "Apache License Version 2.0, January 2004"), "END OF TERMS|APPENDIX"),
+    ("BSD-2-Clause", 1, ("The BSD 2-Clause License", "BSD 2-Clause \"Simplified\" License", "Simplified BSD License", "BSD License"), None),
+    ("BSD-3-Clause", 1, ("The BSD 3-Clause License", "BSD 3-Clause \"New\" or \"Revised\" License", "New BSD License", "Modified BSD License", "BSD License"), None),
+    ("CC-BY-SA-4.0", 1, ("Creative Commons Attribution-ShareAlike 4.0 International", "CC BY-SA 4.0"), None),
+    ("CC0-1.0", 2, ("CC0 1.0 Universal",), None),
+    ("GPL-2.0", 2, (), "END OF TERMS|How to Apply These Terms"),
+    ("GPL-3.0", 2, (), "END OF TERMS|How to Apply These Terms"),
+    ("LGPL-2.1", 2, (), "END OF TERMS|How to Apply These Terms"),
+    ("LGPL-3.0", 2, (), None),
+    ("MPL-2.0", 2, ("Mozilla Public License, version 2.0", "Mozilla Public License 2.0"), "Exhibit A|Exhibit B"),
+    ("Unlicense", 0, ("The Unlicense", "Unlicense"), "For more information"),
+)
+#: Titles of the bodies above.
+TITLES = {"MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "Expat License"), "ISC": ("ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)"), "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "BSD 0-Clause License", "0BSD License")}
+
+
+def _whole() -> tuple:
+    """(license, text) of every whole text with each of its titles and without, with its appendix and without, with numbered items and, in short texts, without."""
+    found = []
+    bodies = {name: next(t for n, t in KNOWN if n == name) for name in TITLES}
+    bodies = [(n, t, TITLES[n], None) for n, t in bodies.items()]
+    for name, lines, titles, end in WHOLE:
+        text = (Path(__file__).parent / "license_texts" / f"{name}.txt").read_text(encoding="utf-8")
+        rows = [x for x in text.split("\n") if x.strip()]
+        bodies.append((name, "\n".join(rows[lines:]), (*["\n".join(rows[:lines])] * bool(lines), *titles), end))
+    for name, body, titles, end in bodies:
+        cuts = [m.start() for m in re.finditer(rf"(?m)^\W*({end})", body)] if end else []
+        parts = [body, *[body[:c] for c in cuts]]
+        if len(body) < 3000:
+            parts += [re.sub(r"(?m)^\s*\d\.\s", "", x) for x in parts if re.search(r"(?m)^\s*\d\.\s", x)]
+        found += [(name, f"{t}\n{x}") for x in parts for t in ("", *titles)]
+    return tuple(dict.fromkeys(found))
+
+
+KNOWN += _whole()
+
 
 def canonical_lines(text: Column) -> Column:
     """The lines of a text in canonical form, without copyright and blank lines."""

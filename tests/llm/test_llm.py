@@ -366,6 +366,29 @@ def test_license_scan_matches_sql(spark):
     assert list(got.license[-5:].fillna("-")) == ["MIT", "MIT", "-", "CC-BY-NC-4.0", "-"] and list(got.line_licenses[-3:]) == ["MIT", "CC-BY-NC-4.0", ""]
 
 
+def test_whole_licenses_in_their_usual_forms(spark):
+    body = {n: next(t for m, t in licenses.KNOWN if m == n) for n in ("MIT", "ISC")}
+    file = lambda n: (licenses.Path(licenses.__file__).parent / "license_texts" / f"{n}.txt").read_text()
+    commented = "".join(f"# {x}\n" for x in file("BSD-3-Clause").replace("<year>, <owner>", "2021 Some Body").split("\n"))
+    cases = [
+        ("MIT", f"MIT License\n\nCopyright (c) 2020 X\n\n{body['MIT']}"),
+        ("ISC", f"ISC License\n\nCopyright <YEAR> <HOLDER>\n\n{body['ISC']}"),
+        ("BSD-3-Clause", commented),
+        *[(n, file(n)) for n, *_ in licenses.WHOLE],
+        ("GPL-3.0", file("GPL-3.0").split("END OF TERMS")[0]),
+        *[("MIT", f"{line}\n{body['MIT']}") for line in ("# Copyright 2020 X", "// Copyright (c) X", "* Copyright 2020 X", "Copyright The X Authors", "Copyright <YEAR> <HOLDER>", "Copyright Jane Doe")],
+        (None, f"copyright holders be liable\n{body['MIT']}"),
+        (None, f"Some words.\n{body['MIT']}"),
+    ]
+    df = docs_of(spark, [t for _, t in cases])
+    got = licenses.scan(df).toPandas().sort_values("doc_id", ignore_index=True)
+    assert list(got.license.fillna("-")) == [n or "-" for n, _ in cases]
+    con = duckdb.connect()
+    con.register("documents", df.toPandas()[["doc_id", "text"]])
+    want = con.sql(licenses.sql()).df()[list(got.columns)].sort_values("doc_id", ignore_index=True)
+    pd.testing.assert_frame_equal(got.fillna("-"), want.fillna("-"), check_dtype=False)
+
+
 # ---------------------------------------------------------------- 1
 
 
