@@ -386,19 +386,60 @@ def placement(spark, d):
 LOOKS_SQL = f"{PAIRS_SQL}, l AS (SELECT a % 100 AS a, b % 100 AS b, segment, abs(ak - bk) < 20 AS hit FROM p), g AS (SELECT a, b, segment, count(*) AS n, sum(hit::INT) AS hits FROM l GROUP BY ALL), t AS (SELECT a, b, sum(n)::BIGINT AS n, sum(hits)::BIGINT AS hits, sum(hits) / sum(n) AS share FROM g GROUP BY ALL), k AS (SELECT a, b, hits / n AS peak_share, n::BIGINT AS peak_n, segment AS peak_segment FROM g WHERE n >= 3 QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY hits / n DESC, n DESC, segment) = 1)"
 
 
-def looks(spark, d):
-    p = day_pairs(spark, d).select((F.col("a") % 100).alias("a"), (F.col("b") % 100).alias("b"), "segment", (F.abs(F.col("a_k") - F.col("b_k")) < 20).alias("hit"))
+def looks(pairs):
+    p = pairs.select((F.col("a") % 100).alias("a"), (F.col("b") % 100).alias("b"), "segment", (F.abs(F.col("a_k") - F.col("b_k")) < 20).alias("hit"))
     return J.looks_at(p, "segment", 3)
 
 
 @query(f"{LOOKS_SQL} SELECT * FROM t LEFT JOIN k USING (a, b)", "share peak_share")
 def looks_at(spark, d):
-    return looks(spark, d)
+    return looks(day_pairs(spark, d))
 
 
 @query(f"{LOOKS_SQL} SELECT a, b FROM t LEFT JOIN k USING (a, b) WHERE peak_share >= 0.5")
 def relation_evidence(spark, d):
-    return looks(spark, d).where("peak_share >= 0.5").select("a", "b")
+    return looks(day_pairs(spark, d)).where("peak_share >= 0.5").select("a", "b")
+
+
+# The pair queries above see one label, as their SQL does; these see all events, with the hour as place since a day holds too many users.
+
+
+HOURS_SQL = f"{WITH}, h AS (SELECT *, frame // 3600 AS hour FROM e)"
+HOUR_PAIRS_SQL = f"{HOURS_SQL}, s AS (SELECT video, hour AS segment, avg(value) AS value, avg(k) AS k FROM h GROUP BY ALL), p AS (SELECT a.video AS a, b.video AS b, a.segment, a.value AS av, b.value AS bv, a.k AS ak, b.k AS bk FROM s a JOIN s b ON a.segment = b.segment AND a.video < b.video)"
+
+
+def hours(spark, d):
+    return events(spark, d).withColumn("segment", F.floor(F.col("frame") / 3600))
+
+
+def hour_pairs(spark, d):
+    s = hours(spark, d).groupBy("video", "segment").agg(F.avg("value").alias("value"), F.avg("k").alias("k"))
+    return J.pairs_at(s, "video", ["segment"], ["value", "k"])
+
+
+@query(f"{HOURS_SQL}, p AS (SELECT DISTINCT video, hour FROM h) SELECT a.video AS a, b.video AS b, count(*)::BIGINT AS n FROM p a JOIN p b ON a.hour = b.hour AND a.video < b.video GROUP BY 1, 2")
+def co_presence_all(spark, d):
+    return J.co_presence(hours(spark, d), "video", ["segment"])
+
+
+@query(_SQL["synchrony"].replace(PAIRS_SQL, HOUR_PAIRS_SQL))
+def synchrony_all(spark, d):
+    return J.synchrony(hour_pairs(spark, d), "value", 5)
+
+
+@query(_SQL["placement"].replace(PAIRS_SQL, HOUR_PAIRS_SQL))
+def placement_all(spark, d):
+    return J.placement(hour_pairs(spark, d), "value", "k", "value")
+
+
+@query(_SQL["looks_at"].replace(PAIRS_SQL, HOUR_PAIRS_SQL))
+def looks_at_all(spark, d):
+    return looks(hour_pairs(spark, d))
+
+
+@query(_SQL["relation_evidence"].replace(PAIRS_SQL, HOUR_PAIRS_SQL))
+def relation_evidence_all(spark, d):
+    return looks(hour_pairs(spark, d)).where("peak_share >= 0.5").select("a", "b")
 
 
 @query(f"{WITH}, s AS (SELECT video, segment, value AS x, k AS y FROM e QUALIFY row_number() OVER (PARTITION BY video, segment ORDER BY frame, event_id) = 1) SELECT a.segment, a.video AS entity, b.video AS target, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS distance FROM s a JOIN s b ON a.segment = b.segment AND a.video <> b.video WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 10 QUALIFY row_number() OVER (PARTITION BY a.segment, a.video ORDER BY sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), b.video) = 1", "distance")
@@ -708,12 +749,22 @@ def kappa(spark, d):
 FUZZY_SQL = f"{WITH}, a AS (SELECT DISTINCT video, label FROM e WHERE segment < 10), b AS (SELECT DISTINCT video, label FROM e WHERE segment >= 20), s(l, r) AS (SELECT x.label, y.label FROM (SELECT DISTINCT label FROM e) x, (SELECT DISTINCT label FROM e) y WHERE x.label = y.label OR substr(x.label, 1, 1) = substr(y.label, 1, 1)), f AS (SELECT video, label, EXISTS (SELECT 1 FROM s JOIN b ON b.label = s.r WHERE s.l = a.label AND b.video = a.video) AS hit FROM a), g AS (SELECT video, label, EXISTS (SELECT 1 FROM s JOIN a ON a.label = s.l WHERE s.r = b.label AND a.video = b.video) AS hit FROM b), fa AS (SELECT video, count(*) AS n, count(*) FILTER (hit) AS h FROM f GROUP BY 1), ga AS (SELECT video, count(*) AS n, count(*) FILTER (hit) AS h FROM g GROUP BY 1) SELECT video, coalesce(fa.n - fa.h, 0)::BIGINT AS only_first, coalesce(fa.h, 0)::BIGINT AS common, coalesce(ga.n - ga.h, 0)::BIGINT AS only_second FROM fa FULL JOIN ga USING (video)"
 
 
-@query(FUZZY_SQL)
-def fuzzy_topic_overlap(spark, d):
+def fuzzy_overlap(spark, d, until, since):
+    """Labels of the days before ``until`` against those of the days from ``since``."""
     e = events(spark, d)
     names = e.select("label").distinct()
     sim = names.select(F.col("label").alias("l")).join(names.select(F.col("label").alias("r")), F.left("l", F.lit(1)) == F.left("r", F.lit(1))).withColumn("sim", F.lit(1.0))
-    return C.fuzzy_overlap(e.where("segment < 10").select("video", "label").distinct(), e.where("segment >= 20").select("video", "label").distinct(), sim, ["video"], "label", 0.9)
+    return C.fuzzy_overlap(e.where(F.col("segment") < until).select("video", "label").distinct(), e.where(F.col("segment") >= since).select("video", "label").distinct(), sim, ["video"], "label", 0.9)
+
+
+@query(FUZZY_SQL)
+def fuzzy_topic_overlap(spark, d):
+    return fuzzy_overlap(spark, d, 10, 20)
+
+
+@query(FUZZY_SQL.replace("segment < 10", "segment < 16").replace("segment >= 20", "segment >= 16"))
+def fuzzy_topic_overlap_all(spark, d):
+    return fuzzy_overlap(spark, d, 16, 16)
 
 
 @query(f"{LABELLED_SQL} SELECT lang, source, count(*)::BIGINT AS n, avg((quality = said)::INT) AS recall FROM x GROUP BY GROUPING SETS ((), (lang), (source))", "recall")

@@ -8,7 +8,7 @@ from ..functions import bands as B, geometry as G, strings as S
 from ..operators import joins as J, media as M, scoring as C, similarity
 from ..sources import readers
 from .adapters import events, table
-from .catalogue import LABELLED_SQL, SPANS_SQL, WITH, day_spans, labelled_docs, query
+from .catalogue import HOURS_SQL, LABELLED_SQL, SPANS_SQL, WITH, day_spans, hours, labelled_docs, query
 
 c = F.col
 
@@ -74,6 +74,11 @@ def graph_degrees(spark, d):
     return M.degrees(J.co_presence(events(spark, d).where("label = 'error'"), "video", ["segment"]), 8)
 
 
+@query(f"{HOURS_SQL}, p AS (SELECT DISTINCT a.video AS a, b.video AS b FROM h a JOIN h b ON a.hour = b.hour AND a.video < b.video), n AS (SELECT a AS node FROM p UNION ALL SELECT b FROM p) SELECT node, count(*)::BIGINT AS degree FROM n GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8")
+def graph_degrees_all(spark, d):
+    return M.degrees(J.co_presence(hours(spark, d), "video", ["segment"]), 8)
+
+
 @query(f"{WITH} SELECT event_id, coalesce((value - min(value) OVER w) / nullif(max(value) OVER w - min(value) OVER w, 0), 0) AS depth FROM e WINDOW w AS (PARTITION BY video, segment)", "depth")
 def min_max_scaled(spark, d):
     return events(spark, d).select("event_id", M.min_max(None, ["video", "segment"], "value").alias("depth"))
