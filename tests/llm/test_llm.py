@@ -457,6 +457,15 @@ def test_url_verdicts(spark):
     ]
 
 
+def test_words_inside_path_segments_are_mined(spark):
+    rng = random.Random(2)
+    name = lambda: "".join(rng.choice("aeioulnrst") for _ in range(9))
+    teach = [(f"http://{name()}.io/{name()}-bets_{name()}/{name()}", True) for _ in range(40)] + [(f"http://{name()}.io/{name()}-news-{name()}", False) for _ in range(60)]
+    pages = spark.createDataFrame([(0, "http://a.io/best-Bets-2024", None), (1, "http://a.io/best-news", None), (2, "http://a.io/bets", None), (3, "http://a.io/alphabets", None)], "page_id long, url string, html string")
+    got = {r.page_id: r.mined for r in url_rules.judge(pages, spark.createDataFrame(teach, "url string, block boolean"), min_support=0.05).collect()}
+    assert got == {0: True, 1: False, 2: True, 3: False}
+
+
 def test_mined_rules_match_counting(spark):
     teach = spark.createDataFrame([(f"http://h{i % 4}.io/{'ab'[i % 2]}/{'xyz'[i % 3]}", i % 4 == 1 or i % 6 == 0) for i in range(240)], "url string, block boolean")
     rules = url_rules.mine(teach, 0.05, 0.6).collect()
