@@ -4,7 +4,9 @@ Every task packs the documents it reads, in their order, so there is no shuffle
 level array plus the fragments of the windows still open. A document of ``size`` ids or more fills whole
 windows by itself; what remains is placed in the fill level whose choice leaves the least sum of squared
 counts of partially filled windows. When a task's rows end, its open windows are drained into one another
-by cutting, and the last one is cut into power-of-two sequences, which need no padding.
+by cutting, and the last one is cut into power-of-two sequences, which need no padding. So that little is left to that,
+input partitions are joined until a task has ``least_docs`` documents or so. At most ``most_open`` windows are open; of lengths that never
+fill one another the windows of the level with the most are drained.
 """
 
 from __future__ import annotations
@@ -15,7 +17,9 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, drained boolean"
+#: Documents a task, about, where the table has as many; windows open in a task, at most (8 KB each at 2,048 ids).
+LEAST_DOCS, MOST_OPEN = 20_000, 8_192
 #: Entries of a worker's cache of encoded chunks; beyond it chunks are encoded again. About 100 bytes each.
 CACHE = 400_000
 
@@ -25,16 +29,22 @@ class Chunks:
 
     The pattern never joins the two sides of a single space between characters that are not white space, so the ids of a text
     are those of its chunks (each with its leading space) one after another. A text with other uses of the space is encoded
-    whole.
+    whole. Texts are split at the tokenizer's added tokens first, as ``tokenizers`` does.
     """
 
     def __init__(self, path: str):
         import base64
+        import json
+        import re
 
         import public_tokenizers
         import tiktoken
 
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+        with open(path.removesuffix(".json") + ".tiktoken", "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        with open(path, encoding="utf-8") as f:
+            self.added = {x["content"]: np.array([x["id"]], "<u4").tobytes() for x in json.load(f)["added_tokens"]}
+        self.at_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.core = tiktoken.Encoding("chunks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.cache: dict[str, bytes] = {}
 
@@ -43,6 +53,11 @@ class Chunks:
 
     def __call__(self, text: str) -> bytes:
         """The ids of a text, little-endian unsigned 32-bit."""
+        if any(token in text for token in self.added):
+            return b"".join(self.added[x] if x in self.added else self.plain(x) for x in self.at_added.split(text) if x)
+        return self.plain(text)
+
+    def plain(self, text: str) -> bytes:
         chunks = text.split(" ")
         if len(chunks) == 1:
             return self.whole(text)
@@ -98,10 +113,10 @@ class Packer:
         self.open[fill].append(window)
         return None
 
-    def drain(self) -> Iterator[list]:
-        """What is still open, joined by cutting: full windows, then at most one that isn't."""
+    def drain(self, levels=None) -> Iterator[list]:
+        """What is open at the levels, joined by cutting: full windows, then at most one that isn't, which stays open; with all levels it is cut into powers of two."""
         queue, fill = [], 0
-        for level in range(self.size - 1, 0, -1):
+        for level in range(self.size - 1, 0, -1) if levels is None else levels:
             for window in self.open[level]:
                 for key, start, length in window:
                     while fill + length >= self.size:
@@ -112,7 +127,12 @@ class Packer:
                     if length:
                         queue.append((key, start, length))
                         fill += length
-            self.open[level] = []
+            self.open[level], self.count[level] = [], 0
+        if levels is not None:
+            if fill:
+                self.count[fill] += 1
+                self.open[fill].append(queue)
+            return
         while fill:
             part = 1 << (fill.bit_length() - 1)
             took, rest, at = [], [], 0
@@ -127,19 +147,20 @@ class Packer:
             queue, fill = rest, fill - part
 
 
-def pack(docs: DataFrame, size: int = 2048, end: int = 1, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, size: int = 2048, end: int = 1, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", least_docs: int = LEAST_DOCS, most_open: int = MOST_OPEN) -> DataFrame:
     """Pack the texts of ``docs`` into sequences of at most ``size`` ids; one row per piece.
 
     A document is the ids of its text, then ``end``. Pieces of a document have distinct ``start``; the pieces of a sequence are
-    gapless from offset 0. A null text counts as empty (one id, the end); a null id stays null; repeated rows are packed
-    each for itself; an empty table gives an empty result. Other columns are not read, whatever their names. ``sequence_id`` is
-    unique over the result. ``tokenizer``: a file of byte-pair ranks.
+    gapless from offset 0; ``drained`` pieces were joined by cutting, the others placed by the rule. A null text counts as empty (one id, the end); a null id stays null; repeated rows are packed
+    each for itself; texts of any length are taken whole; an empty table gives an empty result. Of levels that leave equal sums the fullest is taken. Other columns are not read, whatever
+    their names. ``sequence_id`` is unique over the result. ``tokenizer``: a file of ``tokenizers`` with the same vocabulary as ranks beside it.
     """
     if tokenizer is None:
         import public_tokenizers
 
-        tokenizer = public_tokenizers.path("byte_bpe_50k.tiktoken")
+        tokenizer = public_tokenizers.path("byte_bpe_50k.json")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.coalesce(max(1, docs.count() // least_docs))  # joins neighbouring partitions, no shuffle; never more than there are
 
     def run(batches):
         import pyarrow as pa
@@ -147,20 +168,21 @@ def pack(docs: DataFrame, size: int = 2048, end: int = 1, tokenizer: str | None
 
         encode = _chunks(tokenizer)
         packer = Packer(size, TaskContext.get().partitionId() << 40)
-        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "drained"]
         out: list[tuple] = []
         stop = np.array([end], "<u4").tobytes()
 
-        def close(window):
+        def close(window, drained):
             s, at = packer.sequence(), 0
-            for (doc, ids, total), start, length in window:
-                out.append((doc, start, length, zlib.crc32(ids[start * 4 : (start + length) * 4]), total, s, at))
+            for (doc, ids, total, before), start, length in window:  # of a document only the ids of its last window are held: those from ``before`` on
+                x = (start - before) * 4
+                out.append((doc, start, length, zlib.crc32(ids[x : x + length * 4]), total, s, at, drained))
                 at += length
 
         def flushed():
-            cols = list(zip(*out)) or [[]] * 7
+            cols = list(zip(*out)) or [[]] * len(names)
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.bool_() if n == "drained" else pa.int64()) for n, c in zip(names, cols)], names)
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -168,16 +190,19 @@ def pack(docs: DataFrame, size: int = 2048, end: int = 1, tokenizer: str | None
                 total = len(ids) // 4
                 at = 0
                 while total - at >= size:
-                    out.append((doc, at, size, zlib.crc32(ids[at * 4 : (at + size) * 4]), total, packer.sequence(), 0))
+                    out.append((doc, at, size, zlib.crc32(ids[at * 4 : (at + size) * 4]), total, packer.sequence(), 0, False))
                     at += size
                 if at < total:
-                    full = packer.place(((doc, ids, total), at), total - at)
+                    full = packer.place(((doc, ids[at * 4 :], total, at), at), total - at)
                     if full:
-                        close(full)
-            if len(out) > 20_000:
-                yield flushed()
+                        close(full, False)
+                    elif packer.count.sum() > most_open:
+                        for window in packer.drain([int(np.argmax(packer.count))]):
+                            close(window, True)
+                if len(out) > 20_000:
+                    yield flushed()
         for window in packer.drain():
-            close(window)
+            close(window, True)
         yield flushed()
 
     return rows.mapInArrow(run, PIECES)
