@@ -1,18 +1,18 @@
 """Quality rules: base rules on each text, then robust multivariate outliers by language and source.
 
 All of it is DataFrame expressions. A text's statistics come from its own arrays, so there is no shuffle of words. The minimum-covariance-determinant
-estimate of each group of equal language and source is reached by concentration steps: from the group's median and spread, the three quarters of
-its documents nearest by Mahalanobis distance give the next mean and covariance. Statistics are whole numbers (steps of 1/1024), so sums are exact and no
+estimate of each group of equal language and source is sought from several starts, all of them fixed by the data: the median with the least spreads, the median with
+the median absolute deviations, and the plain mean and covariance. From each, concentration steps are made (the three quarters of the group's documents nearest by Mahalanobis distance
+give the next mean and covariance) until no determinant falls any more; of a group's estimates the one with the least determinant is taken, of equal ones the first
+start's. All groups and starts take a step together. Statistics are whole numbers (steps of 1/1024), so sums are exact and no
 result depends on the order of rows; medians and distance ranks come from counts of distinct whole numbers, of which there are few thousand.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import SPACE, let, words, written
+from .common import SPACE, dropped, let, words, written
 
 STEP = 1024
 #: Statistic vector: name and least spread, a regulariser of singular covariances. Those of word_length and capitals are no more than the spread of clean text; the
@@ -20,10 +20,12 @@ STEP = 1024
 FEATURES = (("word_length", 0.03), ("symbols", 0.05), ("dup_lines", 0.05), ("repeats", 0.05), ("capitals", 0.01))
 DIMS = len(FEATURES)
 KEEP = 0.75
-STEPS = 3
+#: Concentration steps at most, and the fall of a determinant's logarithm that counts as one.
+STEPS, FALL = 12, 1e-3
 #: Pseudo-documents by which a small group leans on the whole corpus.
 PRIOR = 30
-#: Chi-square quantile 0.9999 with 5 degrees of freedom, and the consistency factor of the covariance of the nearest three quarters.
+#: Chi-square quantile 0.9999 with 5 degrees of freedom, and the consistency factor of the covariance of the nearest three quarters, with what
+#: the heavier tails of text statistics ask for (1.41 for normal ones).
 CUTOFF, CONSISTENT = 25.74, 1.52
 
 
@@ -33,22 +35,15 @@ def repeat_words(ws: Column, width: int = 8) -> Column:
     hashes = F.transform(F.sequence(F.lit(1), n - F.lit(width - 1)), lambda i: F.xxhash64(F.slice(ws, i, F.lit(width))))
 
     def covered(hs: Column) -> Column:
-        def ranked(low: Column) -> Column:
-            keyed = F.array_sort(F.transform(hs, lambda h, i: h.bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long"))))
-
-            def places(s: Column) -> Column:
-                high = lambda x: x.bitwiseAND(F.bitwise_not(low))
-                twice = F.filter(s, lambda x, i: F.coalesce(high(F.get(s, i - 1)) == high(x), F.lit(False)) | F.coalesce(high(F.get(s, i + 1)) == high(x), F.lit(False)))
-                at = F.sort_array(F.transform(twice, lambda x: x.bitwiseAND(low)))
-                zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
-                return F.aggregate(at, zero, lambda a, p: F.struct((a["n"] + p + width - F.greatest(p, a["end"])).alias("n"), (p + width).alias("end")), lambda a: a["n"])
-
-            return let(keyed, places)
+        def places(s: Column) -> Column:
+            same = lambda x, i: F.coalesce(F.get(s, i)["h"] == x["h"], F.lit(False))
+            twice = F.filter(s, lambda x, i: same(x, i - 1) | same(x, i + 1))
+            at = F.sort_array(F.transform(twice, lambda x: x["i"].cast("long")))
+            zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
+            return F.aggregate(at, zero, lambda a, p: F.struct((a["n"] + p + width - F.greatest(p, a["end"])).alias("n"), (p + width).alias("end")), lambda a: a["n"])
 
-        low = F.expr("1L")
-        # the low bits of a key hold the place, the high bits the hash: as many low bits as the count of windows has
-        bits = F.length(F.bin(F.size(hs).cast("long")))
-        return F.when(F.size(F.array_distinct(hs)) == F.size(hs), F.lit(0).cast("long")).otherwise(let(F.call_function("shiftleft", low, bits) - 1, ranked))
+        keyed = F.sort_array(F.transform(hs, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(hs)) == F.size(hs), F.lit(0).cast("long")).otherwise(let(keyed, places))
 
     return F.when(n <= width, F.lit(0).cast("long")).otherwise(let(hashes, covered))
 
@@ -124,43 +119,83 @@ def factored(df: DataFrame) -> DataFrame:
     return df.drop(*[f"s{i}{j}" for i, j in PAIRS])
 
 
-def start(x: DataFrame) -> DataFrame:
-    """Each group's median and, from the median absolute deviation of the whole corpus about it, a first diagonal spread."""
-    whole = x.agg(*[F.percentile(c, F.lit(0.5)).alias(f"g{i}") for i, c in enumerate(X)])
-    groups = x.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n"), *[F.percentile(c, F.lit(0.5)).alias(f"c{i}") for i, c in enumerate(X)])
-    blend = lambda i: (F.col("n") * F.col(f"c{i}") + PRIOR * F.col(f"g{i}")) / (F.col("n") + PRIOR) / F.lit(float(STEP))
-    groups = groups.crossJoin(F.broadcast(whole)).select(*GROUP, *[blend(i).alias(f"m{i}") for i in range(DIMS)])  # one row beside each group's
-    for i, j in PAIRS:
-        groups = groups.withColumn(f"l{i}{j}", F.lit(FEATURES[i][1] * 1.5 if i == j else 0.0))
-    return groups
-
-
-def concentrated(x: DataFrame, estimate: DataFrame) -> DataFrame:
-    """One concentration step: mean and covariance of each group's nearest three quarters."""
-    spaced = distance(x.join(estimate, _same(x, estimate)).select(*[x[g] for g in GROUP], *X, *[estimate[c] for c in estimate.columns if c not in GROUP]))
-    ranked = spaced.withColumn("q", F.least(F.floor(F.log1p("d2") * 64), F.lit(4096)).cast("long")).select(*GROUP, *X, "q", *[f"m{i}" for i in range(DIMS)])
-    limit = ranked.groupBy(*GROUP).agg(F.percentile("q", F.lit(KEEP)).alias("limit"))
-    limit = written(limit, "limits")
-    near = ranked.join(limit, _same(ranked, limit)).where("q <= limit").select(*[ranked[g] for g in GROUP], *X)
+M = [f"m{i}" for i in range(DIMS)]
+L = [f"l{i}{j}" for i, j in PAIRS]
+
+
+def with_determinant(df: DataFrame) -> DataFrame:
+    """The logarithm of the covariance's determinant added as log_det."""
+    logs = [2 * F.log(f"l{i}{i}") for i in range(DIMS)]
+    return df.withColumn("log_det", sum(logs[1:], logs[0]))
+
+
+def moments(rows: DataFrame, by: tuple[str, ...], factor: float) -> DataFrame:
+    """Center and factor of the covariance (times ``factor``) of the rows' x by ``by``, each leaning on the whole of its start."""
     product = lambda i, j: F.sum(F.col(f"x{i}") * F.col(f"x{j}")).cast("decimal(38,0)").alias(f"p{i}{j}")
-    sums = near.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"t{i}") for i, c in enumerate(X)], *[product(i, j) for i, j in PAIRS])
-    whole = sums.agg(F.sum("n").alias("all_n"), *[F.sum(f"t{i}").alias(f"all_t{i}") for i in range(DIMS)])
-    both = sums.crossJoin(F.broadcast(whole))  # one row beside each group's
+    sums = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"t{i}") for i, c in enumerate(X)], *[product(i, j) for i, j in PAIRS])
+    whole = sums.groupBy("start").agg(F.sum("n").alias("all_n"), *[F.sum(f"t{i}").alias(f"all_t{i}") for i in range(DIMS)])
+    both = sums.join(F.broadcast(whole), "start")  # one row a start beside each group's
     n = F.col("n").cast("double")
     mean = lambda i: F.col(f"t{i}") / n / STEP
     moved = lambda i: (n * mean(i) + PRIOR * F.col(f"all_t{i}") / F.col("all_n") / STEP) / (n + PRIOR)
-    cov = lambda i, j: CONSISTENT * n / (n + PRIOR) * (F.col(f"p{i}{j}").cast("double") / n / (STEP * STEP) - mean(i) * mean(j))
+    cov = lambda i, j: factor * n / (n + PRIOR) * (F.col(f"p{i}{j}").cast("double") / n / (STEP * STEP) - mean(i) * mean(j))
     least = lambda i: F.lit(FEATURES[i][1] ** 2)
-    out = both.select(*GROUP, *[moved(i).alias(f"m{i}") for i in range(DIMS)], *[(cov(i, j) + least(i) if i == j else cov(i, j)).alias(f"s{i}{j}") for i, j in PAIRS])
-    return written(factored(out), "estimates")
+    out = both.select(*by, *[moved(i).alias(f"m{i}") for i in range(DIMS)], *[(cov(i, j) + least(i) if i == j else cov(i, j)).alias(f"s{i}{j}") for i, j in PAIRS])
+    return with_determinant(factored(out)).select(*by, *M, *L, "log_det")
+
+
+def starts(x: DataFrame) -> DataFrame:
+    """The first estimates of each group, by the number ``start``: 1 median and least spreads, 2 median and median absolute deviations, 3 mean and covariance."""
+    whole = x.agg(*[F.percentile(c, F.lit(0.5)).alias(f"g{i}") for i, c in enumerate(X)])
+    groups = x.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n"), *[F.percentile(c, F.lit(0.5)).alias(f"c{i}") for i, c in enumerate(X)])
+    groups = written(groups, "medians")
+    beside = x.join(groups, _same(x, groups)).select(*[x[g] for g in GROUP], *[F.abs(F.col(f"x{i}") - F.col(f"c{i}")).alias(f"y{i}") for i in range(DIMS)])
+    spreads = beside.groupBy(*GROUP).agg(*[(F.percentile(f"y{i}", F.lit(0.5)) * 1.4826 / STEP).alias(f"d{i}") for i in range(DIMS)])
+    blend = lambda i: (F.col("n") * F.col(f"c{i}") + PRIOR * F.col(f"g{i}")) / (F.col("n") + PRIOR) / F.lit(float(STEP))
+    groups = groups.join(spreads, _same(groups, spreads)).select(*[groups[g] for g in GROUP], "n", *[f"c{i}" for i in range(DIMS)], *[f"d{i}" for i in range(DIMS)])
+    groups = groups.crossJoin(F.broadcast(whole)).select(*GROUP, *[blend(i).alias(f"m{i}") for i in range(DIMS)], *[f"d{i}" for i in range(DIMS)])  # one row beside each group's
+    least = lambda i: F.lit(FEATURES[i][1])
+    diagonal = lambda spread: [spread(i).alias(f"l{i}{j}") if i == j else F.lit(0.0).alias(f"l{i}{j}") for i, j in PAIRS]
+    one = groups.select(*GROUP, F.lit(1).alias("start"), *M, *diagonal(lambda i: least(i) * 1.5))
+    two = groups.select(*GROUP, F.lit(2).alias("start"), *M, *diagonal(lambda i: F.sqrt(F.col(f"d{i}") ** 2 + least(i) ** 2)))
+    three = moments(x.withColumn("start", F.lit(3)), (*GROUP, "start"), 1.0)
+    return with_determinant(one.unionByName(two)).unionByName(three)
+
+
+def concentrated(x: DataFrame, estimate: DataFrame, few: bool) -> DataFrame:
+    """One concentration step of every start: mean and covariance of each group's nearest three quarters; ``few``: the estimates may be sent to all."""
+    spaced = distance(x.join(F.broadcast(estimate) if few else estimate, _same(x, estimate)).select(*[x[g] for g in GROUP], "start", *X, *M, *L))
+    ranked = spaced.withColumn("q", F.least(F.floor(F.log1p("d2") * 64), F.lit(4096)).cast("long")).select(*GROUP, "start", *X, "q")
+    limit = written(ranked.groupBy(*GROUP, "start").agg(F.percentile("q", F.lit(KEEP)).alias("limit")), "limits")
+    near = ranked.join(limit, [*_same(ranked, limit), ranked["start"] == limit["start"]]).where("q <= limit").select(*[ranked[g] for g in GROUP], ranked["start"], *X)
+    out = written(moments(near, (*GROUP, "start"), CONSISTENT), "estimates")
+    dropped(limit)
+    return out
+
+
+def _few(estimate: DataFrame) -> bool:
+    """Whether a table of estimates is small enough to be sent to all: at most 20,000 rows of 200 bytes."""
+    return estimate.limit(20_001).count() <= 20_000
 
 
 def estimates(x: DataFrame, steps: int = STEPS) -> DataFrame:
-    """Center and factor by (lang, source) of a table with lang, source and x0..; texts that fail the base rules are to be left out by the caller."""
-    now = written(start(x), "estimates")
-    for _ in range(steps):
-        now = concentrated(x, now)
-    return now
+    """Center, factor, log_det and start by (lang, source) of a table with lang, source and x0..: of all starts the least determinant reached.
+
+    Texts that fail the base rules are to be left out by the caller. The first step of any start may raise its determinant, as it starts from other spreads; later ones go on while some determinant falls
+    by more than ``FALL``, at most ``steps`` times in all.
+    """
+    now = written(starts(x), "estimates")
+    few = _few(now)
+    for step in range(steps):
+        new = concentrated(x, now, few)
+        old = now.select(*GROUP, "start", F.col("log_det").alias("before"))
+        fell = step == 0 or not new.join(old, [*_same(new, old), new["start"] == old["start"]]).where(F.col("log_det") < F.col("before") - FALL).isEmpty()
+        dropped(now)
+        now = new
+        if not fell:
+            break
+    best = F.min_by(F.struct("start", *M, *L, "log_det"), F.struct(F.round("log_det", 6), "start")).alias("best")
+    return written(now.groupBy(*GROUP).agg(best).select(*GROUP, "best.*"), "estimates")
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -171,25 +206,25 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def verdict(rows: DataFrame, estimate: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
-    """``rows`` (from ``measured``) with the columns d2 and kept; a group without an estimate keeps what the base rules keep."""
-    other = [c for c in estimate.columns if c not in GROUP]
+    """``rows`` (from ``measured``) with the columns d2, log_det and kept; a group without an estimate keeps what the base rules keep."""
+    other = [*M, *L, "log_det"]
     joined = rows.join(estimate, _same(rows, estimate), "left").select(*[rows[c] for c in rows.columns], *[estimate[c] for c in other])
-    return distance(joined).drop(*other).withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= cutoff, F.lit(True)))
+    return distance(joined).drop(*M, *L).withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= cutoff, F.lit(True)))
 
 
 def robust_outliers(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, d2.
+    """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, d2, log_det (of its group's covariance).
 
-    A null text is empty and fails the base rules. Null language or source are groups of their own. Repeated rows are judged alike. An empty table gives an empty result.
-    Other columns are not read.
+    A null text is empty and fails the base rules; texts of any length are measured whole. Null language or source are groups of their own. Repeated rows are judged alike, and so are
+    documents with equal statistics. An empty table gives an empty result. Other columns are not read.
     """
     rows = written(measured(docs.select("doc_id", "lang", "source", "text")).drop("text"), "statistics")
     out = verdict(rows, estimates(rows.where("not base_failed").select(*GROUP, *X)))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2", "log_det")
 
 
 def accepted(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, that neither the base rules nor the estimates reject."""
     rows = docs.select(F.struct(*docs.columns).alias("row"), "lang", "source", "text")
-    x = written(measured(docs.select("lang", "source", "text")).where("not base_failed").select(*GROUP, *X), "statistics")
-    return verdict(measured(rows), estimates(x)).where("kept").select("row.*")
+    rows = written(measured(rows).select("row", *GROUP, "base_failed", *X), "statistics")  # beside their rows, so that texts are measured once
+    return verdict(rows, estimates(rows.where("not base_failed").select(*GROUP, *X))).where("kept").select("row.*")
