@@ -9,6 +9,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: The characters that separate words, as a regular expression class body.
@@ -60,8 +61,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def parts_of(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+#: Input bytes of a lot, at most, by what Spark knows of a table's size.
+LOT_BYTES = 32 << 20
+
+
+def parts_of(of: SparkSession | DataFrame) -> int:
+    """Lots that rows are dealt into: the shuffle partitions, or more if a table is so large that a lot would hold more than ``LOT_BYTES`` of it."""
+    spark = of if isinstance(of, SparkSession) else of.sparkSession
+    least = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if of is spark:
+        return least
+    leaves = of._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    size = sum(x for x in sizes if x < 1 << 60)  # a leaf of unknown size claims more than any table has
+    return max(least, min(-(-size // LOT_BYTES), 1 << 17))
 
 
 def let(value: Column, body) -> Column:
@@ -83,6 +96,8 @@ _LOWER[65:91] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _UNBASE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _POWERS = {}
+#: Bytes up to which a word's hash is its polynomial.
+LONG = 32
 
 
 def powers(n: int, base: np.uint64 = _BASE) -> tuple[np.ndarray, np.ndarray]:
@@ -152,6 +167,8 @@ def hashed_words(offsets: np.ndarray, data: np.ndarray, lower: bool = True) -> t
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
     hashes = mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    for i in np.flatnonzero(ends - starts > LONG).tolist():  # sums of powers are no hash of long words: two that swap letters may agree for any base
+        hashes[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
     rows = np.searchsorted(offsets - offsets[0], starts, "right") - 1
     return hashes, rows
 

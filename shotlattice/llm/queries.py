@@ -33,7 +33,7 @@ def op6_mixing(spark, sf_dir):
 
 
 def op7_repeat_removal(spark, sf_dir):
-    return repeats.digest(repeats.unrepeated(table(spark, sf_dir, "documents")))
+    return repeats.digest(repeats.unrepeated(table(spark, sf_dir, "documents"), mark=repeats.MARK))
 
 
 def op8_ngram_jaccard_join(spark, sf_dir):
