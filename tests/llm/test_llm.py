@@ -127,10 +127,28 @@ def test_repeats_on_odd_rows(spark):
     passage = prose(rng, 150)
     texts = [*odd_texts(), prose(rng, 50) + passage + prose(rng, 40), prose(rng, 30) + passage[3:] + "é", passage[:399], passage[10:500] + passage[10:500]]
     got = repeats.digest(repeats.unrepeated(docs_of(spark, texts))).collect()
-    want = [(i, len((t or "").encode()), *b) for i, (t, b) in enumerate(zip(texts, repeats.brute_force([(t or "").encode() for t in texts])))]
+    want = [(i, len((t or "").encode()), *b, b[0]) for i, (t, b) in enumerate(zip(texts, repeats.brute_force([(t or "").encode() for t in texts])))]
     assert sorted(map(tuple, got)) == want
 
 
+def repeats_and_marks(texts, window=400, mark=200):
+    bodies = [(t or "").encode() for t in texts]
+    return [(i, len(b), *r, m[0]) for i, (b, r, m) in enumerate(zip(bodies, repeats.brute_force(bodies, window), repeats.brute_force(bodies, mark)))]
+
+
+@pytest.mark.parametrize("hot", [4096, 3])
+def test_repeats_with_marks_and_hot_anchors(spark, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT", hot)  # with 3, most anchors are dealt out by windows
+    rng = random.Random(5)
+    common = [prose(rng, 60)[:n] for n in (150, 330, 430)]
+    texts = [prose(rng, rng.randint(0, 40)) + common[i % 3] + prose(rng, rng.randint(0, 40)) for i in range(40)]
+    texts += [*odd_texts(), texts[0], texts[1] * 3, common[2]]
+    got = repeats.digest(repeats.unrepeated(docs_of(spark, texts), mark=200)).collect()
+    assert sorted(map(tuple, got)) == repeats_and_marks(texts)
+    got = repeats.unrepeated(docs_of(spark, texts), window=200).select("doc_id", "n_removed").collect()
+    assert sorted(map(tuple, got)) == [(r[0], r[-1]) for r in repeats_and_marks(texts)]
+
+
 def test_index_matches():
     rng = np.random.default_rng(2)
     parts = [bytes(rng.integers(97, 99, 60).astype(np.uint8)) for _ in range(6)]
@@ -208,8 +226,7 @@ def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    texts = [*odd_texts(), "a  b", " lead", "trail ", "it's 12 o'clock\n\n now \t x", "\u00a0nbsp \u3000wide", "two\n words here", "end\n", "mixed \u00e9\u4e2d 1,2"]
+    texts = [*odd_texts(), "hello <|endoftext|> there", "<|endoftext|>", "a<|endoftext|><|endoftext|> b <|endoftext", "<|endoftext|> x  <|endoftext|>  y", "a  b", " lead", "trail ", "it's 12 o'clock\n\n now \t x", "\u00a0nbsp \u3000wide", "two\n words here", "end\n", "mixed \u00e9\u4e2d 1,2"]
     ids = {i: [*t.encode(x or "", add_special_tokens=False).ids, 1] for i, x in enumerate(texts)}
     rows = packing.pack(docs_of(spark, texts).repartition(3), size=256).collect()
     doc, seq = defaultdict(list), defaultdict(list)
@@ -224,6 +241,14 @@ def test_packing_round_trip(spark):
     assert len(doc) == len(texts)
 
 
+def test_lengths_that_never_fill_one_another_stay_bounded(spark):
+    texts = [" ".join(["a"] * 159)] * 300  # 160 ids each with the end, windows of 256
+    rows = packing.pack(docs_of(spark, texts).repartition(1), size=256, most_open=8).toPandas()
+    assert rows.groupby("doc_id").length.sum().eq(160).all() and rows.drained.mean() > 0.9
+    sizes = rows.groupby("sequence_id").length.sum()
+    assert ((sizes == 256) | (sizes & (sizes - 1) == 0)).all() and sizes.sum() == 300 * 160
+
+
 def test_place_takes_the_level_with_least_squares():
     p, rng = packing.Packer(16, 0), random.Random(1)
     for _ in range(300):
@@ -291,28 +316,49 @@ def test_base_rules(spark):
         assert not (r.base_failed and r.kept)
 
 
-def brute_estimate(x, groups, steps):
-    """The concentration steps in numpy, group by group."""
+def test_the_least_determinant_leaves_out_a_third_that_is_tight_elsewhere(spark):
+    """Outliers that are few and far must not be in the half that is kept, whatever the start."""
+    rng = np.random.default_rng(3)
+    good = (rng.normal(0, 0.05, (300, outliers.DIMS)) + 1) * outliers.STEP
+    bad = (rng.normal(0, 0.002, (60, outliers.DIMS)) + 3) * outliers.STEP
+    rows = [("en", "s", *map(int, v)) for v in np.concatenate((good, bad))]
+    x = spark.createDataFrame(rows, "lang string, source string, " + ", ".join(f"x{i} long" for i in range(outliers.DIMS)))
+    (est,) = outliers.estimates(x).collect()
+    assert all(abs(est[f"m{i}"] - 1) < 0.02 for i in range(outliers.DIMS))
+
+
+def brute_estimate(x, groups):
+    """Minimum determinant over three starts in numpy, group by group: (distance, log determinant)."""
+    x = x / outliers.STEP
     floor = np.array([f[1] for f in outliers.FEATURES])
-    whole = np.percentile(x, 50, axis=0)
-    est = {}
-    for g in set(groups):
-        own = x[[h == g for h in groups]]
-        n = len(own)
-        est[g] = ((n * np.percentile(own, 50, axis=0) + outliers.PRIOR * whole) / (n + outliers.PRIOR) / outliers.STEP, np.diag(floor * 1.5))
-    dist = lambda v, m, low: (np.linalg.solve(low, (v / outliers.STEP - m).T) ** 2).sum(axis=0)
-    for _ in range(steps):
-        near = {}
-        for g, (m, low) in est.items():
-            own = x[[h == g for h in groups]]
-            q = np.minimum(np.floor(np.log1p(dist(own, m, low)) * 64), 4096)
-            near[g] = own[q <= np.percentile(q, outliers.KEEP * 100)]
-        mean = np.concatenate(list(near.values())).mean(axis=0) / outliers.STEP
-        for g, own in near.items():
-            n, own = len(own), own / outliers.STEP
-            cov = outliers.CONSISTENT * n / (n + outliers.PRIOR) * np.cov(own.T, ddof=0).reshape(outliers.DIMS, -1) + np.diag(floor**2)
-            est[g] = ((n * own.mean(axis=0) + outliers.PRIOR * mean) / (n + outliers.PRIOR), np.linalg.cholesky(cov))
-    return {g: (lambda v, g=g: dist(v, *est[g])) for g in est}
+    prior, p = outliers.PRIOR, len(floor)
+    rows = {g: x[[h == g for h in groups]] for g in dict.fromkeys(groups)}
+    dist = lambda v, m, cov: np.einsum("ni,ij,nj->n", v - m, np.linalg.inv(cov), v - m)
+
+    def moments(sets, factor):
+        whole = np.concatenate(list(sets.values())).mean(axis=0)
+        return {
+            g: ((len(v) * v.mean(axis=0) + prior * whole) / (len(v) + prior), factor * len(v) / (len(v) + prior) * np.cov(v.T, ddof=0).reshape(p, p) + np.diag(floor**2)) for g, v in sets.items()
+        }
+
+    medians = {g: (len(v) * np.median(v, axis=0) + prior * np.median(x, axis=0)) / (len(v) + prior) for g, v in rows.items()}
+    mads = {g: 1.4826 * np.median(abs(v - np.median(v, axis=0)), axis=0) for g, v in rows.items()}
+    now = [{g: (m, np.diag((1.5 * floor) ** 2)) for g, m in medians.items()}, {g: (m, np.diag(mads[g] ** 2 + floor**2)) for g, m in medians.items()}, moments(rows, 1.0)]
+    det = lambda e: {g: np.linalg.slogdet(cov)[1] for g, (_, cov) in e.items()}
+    for step in range(outliers.STEPS):
+        new = []
+        for est in now:
+            near = {}
+            for g, v in rows.items():
+                q = np.minimum(np.floor(np.log1p(dist(v, *est[g])) * 64), 4096)
+                near[g] = v[q <= np.percentile(q, outliers.KEEP * 100)]
+            new.append(moments(near, outliers.CONSISTENT))
+        fell = step == 0 or any(det(b)[g] < det(a)[g] - outliers.FALL for a, b in zip(now, new) for g in rows)
+        now = new
+        if not fell:
+            break
+    best = {g: min((round(det(e)[g], 6), i) for i, e in enumerate(now)) for g in rows}
+    return {g: ((lambda v, e=now[i][g]: dist(v / outliers.STEP, *e)), d) for g, (d, i) in best.items()}
 
 
 def test_estimates_match_numpy(spark):
@@ -322,10 +368,11 @@ def test_estimates_match_numpy(spark):
     df = docs_of(spark, texts, sources=sources)
     x = outliers.measured(df).where("not base_failed").orderBy("doc_id").select("doc_id", "source", *outliers.X).toPandas()
     v = x[outliers.X].to_numpy(float)
-    d = brute_estimate(v, [s if isinstance(s, str) else None for s in x.source], outliers.STEPS)
+    d = brute_estimate(v, [s if isinstance(s, str) else None for s in x.source])
     got = {r.doc_id: r for r in outliers.robust_outliers(df).collect()}
     for i, (doc, s) in enumerate(zip(x.doc_id, x.source)):
-        assert got[doc].d2 == pytest.approx(d[s if isinstance(s, str) else None](v[i : i + 1])[0], rel=1e-6)
+        far, log_det = d[s if isinstance(s, str) else None]
+        assert got[doc].d2 == pytest.approx(far(v[i : i + 1])[0], rel=1e-6) and got[doc].log_det == pytest.approx(log_det, abs=1e-5)
     assert all(got[i].kept for i in range(150) if not got[i].base_failed) and not any(got[i].kept for i in range(150, 170))
     assert sorted(r.doc_id for r in outliers.accepted(df).collect()) == sorted(i for i, r in got.items() if r.kept)
 
@@ -514,7 +561,7 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in two.collect()} == set(comp)
     ids = sorted(set(comp))
     three = stages[2](spark, two, SF).cache()
-    brute = repeats.brute_force([rows[i].text.encode() for i in ids])
+    brute = repeats.brute_force([rows[i].text.encode() for i in ids], repeats.MARK)
     got = {r.doc_id: r for r in three.collect()}
     assert three.columns == docs.columns and sorted(got) == ids
     for i, (removed, _, _) in zip(ids, brute):
