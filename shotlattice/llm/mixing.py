@@ -4,15 +4,15 @@ Each document of a source is expected ``target / source size`` times. Those expe
 offset is added, and a document is emitted once for each integer boundary its interval crosses. The order along a source is by size,
 so that a sample holds small and large documents in their shares and its words come near the target.
 
-The prefix sums never gather a source in one task: counts are kept by (source, size), then by (source, size, lot) with ``lots`` lots,
-and rows are ranked only inside a lot.
+The prefix sums never gather a source in one task: counts are kept by (source, size), then by (source, size, lot) with ``lots`` lots by the hash of the id,
+and rows are ranked only inside a lot. Words are counted once: ids, sources and sizes are written as a table that the later steps read.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import SPACE
+from .common import SPACE, written
 
 LIMIT = 3
 
@@ -50,16 +50,15 @@ def targets(sizes: DataFrame, limit: int = LIMIT) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, seed: int = 20, lots: int = 4096, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, copies, taken (copies * size), and ``row`` with the columns ``carry`` if there are any.
+def _hashed(columns: list[str], df: DataFrame) -> Column:
+    """A hash of the columns, those of a kind that has none left out."""
+    return F.xxhash64(*[F.col(c) for c in columns if "map<" not in df.schema[c].dataType.simpleString() and "variant" not in df.schema[c].dataType.simpleString()] or [F.lit(0)])
 
-    Null text has size 0; null sources are a source of their own, after all others; a source without words has target 0 and copies 0. Null ids come last
-    among equals; repeated rows are ranked each for itself, so every row has its own copies. An empty table gives an empty result. Other columns are not read.
-    """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), *([F.struct(*carry).alias("row")] if carry else []))
-    own = ["row"] if carry else []
-    lot = F.coalesce(F.pmod(F.col("doc_id"), F.lit(lots)), F.lit(lots)).cast("int")
-    rows = rows.withColumn("lot", lot)
+
+def _ranked(rows: DataFrame, lots: int, limit: int, seed: int) -> DataFrame:
+    """``rows`` (doc_id, source, size, tie and others) with source_size, target and copies added."""
+    hashed = F.conv(F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
+    rows = rows.withColumn("lot", F.coalesce(F.pmod(hashed, F.lit(lots)), F.lit(lots)).cast("int"))
     cells = rows.groupBy("source", "size", "lot").agg(F.count(F.lit(1)).alias("n"))
     in_size = Window.partitionBy("source", "size").orderBy("lot").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("lots_before", F.coalesce(F.sum("n").over(in_size), F.lit(0)))
@@ -70,18 +69,38 @@ def mix(docs: DataFrame, seed: int = 20, lots: int = 4096, limit: int = LIMIT, i
     same = lambda a, b, *keys: [a[k].eqNullSafe(b[k]) for k in keys]
     sized = sized.join(sources, same(sized, sources, "source")).select(sized.source, "size", "sizes_before", "source_size", "target")
     cells = cells.join(sized, same(cells, sized, "source", "size")).select(cells.source, cells["size"], "lot", (F.col("lots_before") + F.col("sizes_before")).alias("before"), "source_size", "target")
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("source", "size", "lot").orderBy(F.col("doc_id").asc_nulls_last())) - 1)
-    joined = ranked.join(cells, same(ranked, cells, "source", "size", "lot")).select(ranked.doc_id, ranked.source, ranked["size"], "source_size", "target", *own, (F.col("before") + F.col("rank")).alias("at"))
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("source", "size", "lot").orderBy(F.col("doc_id").asc_nulls_last(), "tie")) - 1)
+    joined = ranked.join(cells, same(ranked, cells, "source", "size", "lot")).select(*[ranked[c] for c in rows.columns if c != "lot"], "source_size", "target", (F.col("before") + F.col("rank")).alias("at"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     start = offset_of(F.col("source"), seed)
     copies = (F.floor((F.col("at") + 1) * rate + start) - F.floor(F.col("at") * rate + start)).cast("long")
-    return joined.withColumn("copies", copies).select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *own)
+    return joined.withColumn("copies", copies).drop("at")
+
+
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> list[Column]:
+    return [F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size")]
+
 
+def mix(docs: DataFrame, seed: int = 20, lots: int = 4096, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, copies, taken (copies * size).
 
-def drawn(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs``, with all their columns, each as often as the mix takes it."""
-    taken = mix(docs, carry=tuple(docs.columns), **settings).where("copies > 0")
-    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+    Null text has size 0; texts of any length are counted whole; null sources are a source of their own, after all others; a source without words has target 0 and copies 0. Null ids come last
+    among equals; rows with equal ids are ranked by the hash of their text, so reruns agree, and repeated rows each for itself, so every row has its own copies. An empty table gives an empty result. Other
+    columns are not read.
+    """
+    rows = docs.select(*_sized(docs, id_col, text_col, source_col), _hashed([text_col], docs).alias("tie"))
+    return _ranked(written(rows, "sizes"), lots, limit, seed).select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def drawn(docs: DataFrame, seed: int = 20, lots: int = 4096, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs``, with all their columns, each as often as the mix takes it; nulls, ties, repeats and empty tables as in ``mix``.
+
+    Rows are written with numbers; only the numbers are ranked, and those taken meet their rows by an equi join.
+    """
+    rows = docs.select(F.monotonically_increasing_id().alias("number"), *_sized(docs, id_col, text_col, source_col), _hashed(docs.columns, docs).alias("tie"), F.struct(*docs.columns).alias("row"))
+    rows = written(rows, "sizes")
+    taken = _ranked(rows.drop("row"), lots, limit, seed).where("copies > 0").select("number", "copies")
+    return rows.select("number", "row").join(taken, "number").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 #: The same mix in DuckDB's SQL.
@@ -94,7 +113,7 @@ rated AS (SELECT *, 3 * source_size / weight AS most, sum(source_size) OVER () A
 rates AS (SELECT *, (total - 3 * sizes_before)::DOUBLE / (weights - weights_before)::DOUBLE AS rate FROM rated),
 final AS (SELECT rate AS final FROM rates WHERE most > rate ORDER BY most, source NULLS LAST LIMIT 1),
 aimed AS (SELECT source, source_size, least((3 * source_size)::DOUBLE, coalesce(weight * (SELECT final FROM final), (3 * source_size)::DOUBLE)) AS target FROM rates),
-ranked AS (SELECT r.*, row_number() OVER (PARTITION BY r.source ORDER BY size, coalesce(((doc_id % 4096) + 4096) % 4096, 4096), doc_id NULLS LAST) - 1 AS place FROM rows r),
+ranked AS (SELECT r.*, row_number() OVER (PARTITION BY r.source ORDER BY size, coalesce(('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % 4096, 4096), doc_id NULLS LAST) - 1 AS place FROM rows r),
 placed AS (SELECT k.*, a.source_size, a.target, CASE WHEN a.source_size > 0 THEN a.target / a.source_size::DOUBLE ELSE 0.0 END AS rate,
   ('0x' || substr(md5('20:' || coalesce('=' || k.source, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS start FROM ranked k JOIN aimed a ON k.source IS NOT DISTINCT FROM a.source),
 copied AS (SELECT *, (floor((place + 1) * rate + start) - floor(place * rate + start))::BIGINT AS copies FROM placed)
