@@ -131,65 +131,111 @@ INFO = np.dtype([("k1", "<u8"), ("k2", "<u8"), ("n", "<i8"), ("half", "<i8"), ("
 _LOW = np.uint64(1) << np.uint64(63)
 
 
+#: Text bytes, and classes, of a task that are counted before anything is sent; an owner of this number stands for several.
+HELD, SEVERAL = 16 << 20, 0xFFFF
+
+
+def _first_of_class(info: np.ndarray) -> np.ndarray:
+    """The first row of each class: the smallest id that is not null, then the smallest text hash."""
+    info = info[np.lexsort((info["text"], info["id"], info["no_id"], info["k2"], info["k1"]))]
+    if len(info):
+        info = info[np.concatenate(([True], (info["k1"][1:] != info["k1"][:-1]) | (info["k2"][1:] != info["k2"][:-1])))]
+    return info
+
+
 def _counted(rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """(part, kind, blob): kind 1 describes documents, kind 0 holds for classes how many counted n-grams of one lot are shared."""
-    parts = parts_of(rows.sparkSession)
+    """(part, kind, blob): kind 1 describes documents, kind 2 the first document of each class in a task, kind 0 holds for classes how many counted n-grams are shared.
+
+    A task counts what it has read first. An n-gram that several of its classes have is known to be shared and goes on once, as does a class: neither copies nor an n-gram of
+    all documents make a large group. A class that has copies in several tasks may have an n-gram counted for each, which only makes it a candidate more easily.
+    """
+    parts = parts_of(rows)
 
     def gather(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
+
+        state = {"spread": TaskContext.get().partitionId(), "size": 0, "classes": 0}
+        firsts, tokens, owners = [], [], []
+
+        def batch_of(out):
+            return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["part", "kind", "blob"])
+
+        def sent():
+            info = _first_of_class(np.concatenate(firsts))
+            part = (info["k1"] % np.uint64(parts)).astype(np.int64)
+            out = [(p, 2, info[part == p].tobytes()) for p in np.unique(part).tolist()]
+            t, own = np.concatenate(tokens), np.concatenate(owners)
+            if len(t):
+                keys, own = np.unique(own, return_inverse=True)
+                # 48 bits of the hash and 16 of the class: a shorter hash can only make an n-gram look shared
+                packed = np.unique(((t >> np.uint64(16)) << np.uint64(16)) | own.astype(np.uint64))
+                t = packed >> np.uint64(16)
+                same = t[1:] == t[:-1]
+                several = np.concatenate((same, [False])) | np.concatenate(([False], same))
+                n = np.bincount((packed[several] & np.uint64(SEVERAL)).astype(np.int64), minlength=len(keys))
+                part = (keys % np.uint64(parts)).astype(np.int64)
+                out += [(p, 3, keys[m].tobytes() + n[m].astype(np.uint64).tobytes()) for p in np.unique(part[n > 0]).tolist() for m in [(part == p) & (n > 0)]]
+                once = np.concatenate(([True], ~same))  # of several the first stands for all
+                packed = np.where(several, packed | np.uint64(SEVERAL), packed)[once]
+                lots = [((1 << 63) * p // parts) >> 16 << 16 for p in range(parts + 1)]
+                cuts = np.searchsorted(packed, np.array([min(x, (1 << 64) - 1) for x in lots], np.uint64))
+                cuts[-1] = len(packed)
+                out += [(p, 0, np.uint64(len(keys)).tobytes() + keys.tobytes() + packed[x:y].tobytes()) for p, (x, y) in enumerate(zip(cuts, cuts[1:])) if y > x]
+            firsts.clear(), tokens.clear(), owners.clear()
+            state["size"] = state["classes"] = 0
+            return batch_of(out)
 
         for batch in batches:
             offsets, data = buffers(batch.column("text"))
             ids, hashes = batch.column("doc_id"), batch.column("hash").to_numpy()
             no_id = ids.is_null().to_numpy(zero_copy_only=False)
             ids = ids.fill_null(0).to_numpy()
-            for a, b in slices(offsets, CHUNK):
-                h, r, k1, k2 = doc_sets(offsets[a : b + 1], data, width)
-                n = np.bincount(r, minlength=b - a)
-                low = h < _LOW
-                half = np.bincount(r[low], minlength=b - a)
-                info = np.zeros(b - a, INFO)
-                for name, x in (("k1", k1), ("k2", k2), ("n", n), ("half", half), ("id", ids[a:b]), ("no_id", no_id[a:b]), ("text", hashes[a:b])):
-                    info[name] = x
-                part = (k1 % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                cuts = np.searchsorted(part[order], np.arange(parts + 1))
-                out = [(p, 1, info[order[x:y]].tobytes()) for p, (x, y) in enumerate(zip(cuts, cuts[1:])) if y > x]
-                # 47 bits of the hash and 16 of the row within the chunk: a shorter hash can only make an n-gram look shared
-                for at in range(0, b - a, 1 << 16):
-                    mine = low & (r >= at) & (r < at + (1 << 16))
-                    packed = np.sort(((h[mine] >> np.uint64(16)) << np.uint64(16)) | (r[mine] - at).astype(np.uint64))
-                    lots = [((1 << 63) * p // parts) >> 16 << 16 for p in range(parts + 1)]
-                    cuts = np.searchsorted(packed, np.array([min(x, (1 << 64) - 1) for x in lots], np.uint64))
-                    cuts[-1] = len(packed)
-                    keys = k1[at : at + (1 << 16)]
-                    for p, (x, y) in enumerate(zip(cuts, cuts[1:])):
-                        if y > x:
-                            out.append((p, 0, np.uint64(len(keys)).tobytes() + keys.tobytes() + packed[x:y].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["part", "kind", "blob"])
+            for x, y in slices(offsets, CHUNK):
+                for a in range(x, y, SEVERAL // 2):
+                    b = min(y, a + SEVERAL // 2)
+                    h, r, k1, k2 = doc_sets(offsets[a : b + 1], data, width)
+                    n = np.bincount(r, minlength=b - a)
+                    low = h < _LOW
+                    info = np.zeros(b - a, INFO)
+                    for name, v in (("k1", k1), ("k2", k2), ("n", n), ("half", np.bincount(r[low], minlength=b - a)), ("id", ids[a:b]), ("no_id", no_id[a:b]), ("text", hashes[a:b])):
+                        info[name] = v
+                    state["spread"] += 1
+                    yield batch_of([(state["spread"] % parts, 1, info.tobytes())])
+                    if state["classes"] + b - a >= SEVERAL:
+                        yield sent()
+                    first = _first_of_class(info[n > 0])
+                    firsts.append(first), tokens.append(h[low]), owners.append(k1[r[low]])
+                    state["classes"] += len(first)
+                    state["size"] += int(offsets[b] - offsets[a])
+                    if state["size"] >= HELD:
+                        yield sent()
+        if firsts:
+            yield sent()
 
     def count(key, table):
         import pyarrow as pa
 
         blobs = table.column("blob").to_pylist()
         kinds = table.column("kind").to_pylist()
-        out = [(key[0].as_py(), 1, b) for b, k in zip(blobs, kinds) if k == 1]
-        tokens, owners = [], []
+        out = [(key[0].as_py(), k % 3, b) for b, k in zip(blobs, kinds) if k]
+        tokens, owners, several = [], [], []
         for b, k in zip(blobs, kinds):
             if k == 0:
                 x = np.frombuffer(b, np.uint64)
                 keys, packed = x[1 : 1 + int(x[0])], x[1 + int(x[0]) :]
-                tokens.append(packed >> np.uint64(16))
-                owners.append(keys[(packed & np.uint64(0xFFFF)).astype(np.int64)])
+                own = (packed & np.uint64(SEVERAL)).astype(np.int64)
+                tokens.append(packed >> np.uint64(16)), several.append(own == SEVERAL)
+                owners.append(keys[np.where(own == SEVERAL, 0, own)])
         if tokens:
-            t, o = np.concatenate(tokens), np.concatenate(owners)
-            del tokens, owners
-            order = np.lexsort((o, t))
-            t, o = t[order], o[order]
-            first = np.concatenate(([True], (t[1:] != t[:-1]) | (o[1:] != o[:-1])))  # an n-gram once for each class
-            t, o = t[first], o[first]
+            t, o, m = np.concatenate(tokens), np.concatenate(owners), np.concatenate(several)
+            del tokens, owners, several
+            order = np.lexsort((o, m, t))
+            t, o, m = t[order], o[order], m[order]
+            first = np.concatenate(([True], (t[1:] != t[:-1]) | (o[1:] != o[:-1]) | (m[1:] != m[:-1])))  # an n-gram once for each class
+            t, o, m = t[first], o[first], m[first]
             same = t[1:] == t[:-1]
-            shared = np.concatenate((same, [False])) | np.concatenate(([False], same))
+            shared = (np.concatenate((same, [False])) | np.concatenate(([False], same))) & ~m
             owner, n = np.unique(o[shared], return_counts=True)
             part = (owner % np.uint64(parts)).astype(np.int64)
             for p in np.unique(part).tolist():
@@ -208,12 +254,8 @@ def _classes(counted: DataFrame, percent: int) -> DataFrame:
         import pyarrow as pa
 
         blobs, kinds = table.column("blob").to_pylist(), table.column("kind").to_pylist()
-        info = np.concatenate([np.frombuffer(b, INFO) for b, k in zip(blobs, kinds) if k == 1] or [np.zeros(0, INFO)])
+        info = _first_of_class(np.concatenate([np.frombuffer(b, INFO) for b, k in zip(blobs, kinds) if k == 2] or [np.zeros(0, INFO)]))
         owners = [np.frombuffer(b, np.uint64).reshape(2, -1) for b, k in zip(blobs, kinds) if k == 0]
-        info = info[info["n"] > 0]
-        info = info[np.lexsort((info["text"], info["id"], info["no_id"], info["k2"], info["k1"]))]
-        if len(info):
-            info = info[np.concatenate(([True], (info["k1"][1:] != info["k1"][:-1]) | (info["k2"][1:] != info["k2"][:-1])))]
         found = np.zeros(len(info), np.int64)
         if owners and len(info):
             keys, at = np.unique(np.concatenate([o[0] for o in owners]), return_inverse=True)
@@ -226,7 +268,7 @@ def _classes(counted: DataFrame, percent: int) -> DataFrame:
         ids = pa.array(info["id"], pa.int64(), mask=info["no_id"] > 0)
         return pa.table({"k1": cols["k1"], "k2": cols["k2"], "n": cols["n"], "first": ids, "text_hash": cols["text"], "candidate": pa.array(able)})
 
-    return counted.groupBy("part").applyInArrow(settle, "k1 long, k2 long, n long, first long, text_hash long, candidate boolean")
+    return counted.where("kind <> 1").groupBy("part").applyInArrow(settle, "k1 long, k2 long, n long, first long, text_hash long, candidate boolean")
 
 
 #: A fixed bitmap of candidates' text hashes, 4 MB: it only saves reading others; whether a set is a candidate's is decided by a join.
@@ -324,7 +366,7 @@ def _ordered(chunks: DataFrame) -> DataFrame:
 
     The n-grams that no other set has would come first of all and are left out; ``n`` is the size of the whole set. The class is the same wherever an n-gram stands, so this is one order for all sets.
     """
-    parts = parts_of(chunks.sparkSession)
+    parts = parts_of(chunks)
     lots = np.array([((1 << 64) * p // parts) >> 16 << 16 for p in range(parts)], np.uint64)
 
     def ask(batches):
@@ -396,7 +438,7 @@ def _possible(prefixes: DataFrame, percent: int) -> DataFrame:
 
     A key's rows are dealt into tiles of two lots of ``BLOCK`` rows or fewer, so no task holds more of them; the rows of a tile come out once.
     """
-    lots = parts_of(prefixes.sparkSession) * 4
+    lots = parts_of(prefixes) * 4
 
     def test(_, table):
         import pyarrow as pa
@@ -455,8 +497,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     A text without words, or null, has an empty set and links with nothing. Rows with a null id take part; ``component_id`` is the smallest id that is not null,
     and null if there is none. Repeated rows link with one another. An empty table gives an empty result. Other columns are not read.
     """
-    spark = docs.sparkSession
-    lots = parts_of(spark) * 4
+    lots = parts_of(docs) * 4
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
     counted = written(_counted(rows, width, percent), "counted")
     classes = written(_classes(counted, percent), "classes")

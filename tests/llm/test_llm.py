@@ -90,6 +90,30 @@ def test_jaccard_chain_of_edits(spark):
     assert [got[i] for i in range(len(texts))] == roots_of(sets_of(texts), list(range(len(texts))))
 
 
+def test_long_words_that_swap_letters_are_two(spark):
+    word = "a"
+    while len(word) < 2048:  # Thue-Morse words: sums of powers of an odd base can't tell them from their complements
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs_of(spark, [word, other, word])).collect()}
+    assert got == {0: 0, 1: 1, 2: 0}
+
+
+def test_jaccard_when_tasks_send_often(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "HELD", 2000)
+    monkeypatch.setattr(jaccard, "CHUNK", 700)
+    rng = random.Random(21)
+    base = [prose(rng, 60).split() for _ in range(6)]
+    texts = []
+    for i in range(120):
+        w = list(base[i % 6])
+        w[rng.randrange(60)] = rng.choice(["x", "y", w[0]])
+        texts.append(" ".join(w) + " one common line that all of them have")
+    ids = list(range(len(texts)))
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs_of(spark, texts).repartition(5)).collect()}
+    assert [got[i] for i in ids] == roots_of(sets_of(texts), ids)
+
+
 def test_trie_links_hold_the_same_components_as_all_pairs():
     rng = np.random.default_rng(5)
     sets = [np.unique(rng.integers(0, 60, rng.integers(3, 40))).astype(np.uint64) for _ in range(150)]
