@@ -180,9 +180,9 @@ def _batch(out: list[tuple]):
 def _keyed(rows: DataFrame, window: int, gram: int, parts: int) -> DataFrame:
     """(k1, k2, dups, opens, hots): per text the windows that are repeated, the contexts in question, and the windows to be counted themselves.
 
-    ``rows``: text, k1, k2, and where there are such columns ``ranges`` (window starts to look at) and ``copies`` (rows that the row stands for).
+    ``rows``: text, k1, k2, and where there is such a column ``ranges`` (window starts to look at).
     """
-    ranged, copied = "ranges" in rows.columns, "copies" in rows.columns
+    ranged = "ranges" in rows.columns
 
     def gather(batches):
         held, size = [], 0
@@ -200,13 +200,11 @@ def _keyed(rows: DataFrame, window: int, gram: int, parts: int) -> DataFrame:
             offsets, data = buffers(batch.column("text"))
             key = np.zeros(batch.num_rows, np.dtype(KEY))
             key["k1"], key["k2"] = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
-            copies = batch.column("copies").to_numpy() if copied else np.ones(len(key), np.int64)
             within = [np.frombuffer(b, np.int64).reshape(-1, 2) for b in batch.column("ranges").to_pylist()] if ranged else None
             for a, b in slices(offsets, CHUNK):
-                keys, first, where = np.unique(key[a:b], return_index=True, return_inverse=True)
-                count = np.bincount(where, copies[a:b]).astype(np.int64)
+                keys, first, count = np.unique(key[a:b], return_index=True, return_counts=True)
                 if len(keys) == b - a:  # no copies in the chunk: its bytes as they are
-                    first, keys, count = np.arange(b - a), key[a:b], copies[a:b]
+                    keys = key[a:b]
                     found, doc = runs(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], window, gram, within and within[a:b])
                 else:
                     texts = [data[offsets[a + f] : offsets[a + f + 1]] for f in first]
@@ -258,14 +256,18 @@ def _keyed(rows: DataFrame, window: int, gram: int, parts: int) -> DataFrame:
 
 
 def _searched(texts: DataFrame, window: int, parts: int) -> DataFrame:
-    """(k1, k2, more): windows in question that the index finds elsewhere, of ``texts`` (text, opens)."""
+    """(k1, k2, more): windows in question that the index finds elsewhere, of ``texts`` (text, opens, k1, k2); of copies that a task has one is enough."""
 
     def cut(batches):
         import pyarrow as pa
 
+        seen = set()
         for batch in batches:
             out: dict[int, list] = {}
-            for text, opens in zip(batch.column("text"), batch.column("opens").to_pylist()):
+            for text, opens, *key in zip(batch.column("text"), *(batch.column(c).to_pylist() for c in ("opens", "k1", "k2"))):
+                if tuple(key) in seen:  # a copy
+                    continue
+                seen.add(tuple(key))
                 body = text.as_buffer()
                 asked = np.frombuffer(opens, ASKED)
                 part = (asked["fp"] % np.uint64(parts)).tolist()
@@ -304,7 +306,7 @@ def _searched(texts: DataFrame, window: int, parts: int) -> DataFrame:
         cols = list(zip(*found)) or [[]] * 4
         return pa.table([pa.array(c, pa.int64()) for c in cols], ["k1", "k2", "start", "last"])
 
-    cuts = texts.select("text", "opens").mapInArrow(cut, "part int, asked binary, bytes binary")
+    cuts = texts.select("text", "opens", "k1", "k2").mapInArrow(cut, "part int, asked binary, bytes binary")
     found = cuts.groupBy("part").applyInArrow(search, "k1 long, k2 long, start long, last long")
     return found.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "last")).alias("more"))
 
@@ -337,18 +339,18 @@ def _united(batches):
 def repeated_windows(rows: DataFrame, window: int, gram: int | None = None) -> DataFrame:
     """(k1, k2, windows), a written table: of each text that has any, the starts of windows that are found elsewhere too, as ascending ranges (first, last) of 64-bit numbers.
 
-    ``rows``: text, k1, k2, and maybe ``ranges`` and ``copies`` as in ``_keyed``.
+    ``rows``: text, k1, k2, and maybe ``ranges`` as in ``_keyed``. Joins that texts take part in have no aggregation on them, so that Spark can split the copies of one text.
     """
     gram = gram or gram_of(window)
     parts = parts_of(rows)
     keyed = written(_keyed(rows, window, gram, parts), "asked")
-    texts = rows.join(keyed.where("opens is not null").select("k1", "k2", "opens"), ["k1", "k2"]).dropDuplicates(["k1", "k2"])
+    texts = rows.join(keyed.where("opens is not null").select("k1", "k2", "opens"), ["k1", "k2"])
     more = written(_searched(texts, window, parts), "more")
     hot = keyed.where("hots is not null").select("k1", "k2", F.col("hots").alias("ranges"))
     if hot.isEmpty():
         own = keyed.withColumn("hot", F.lit(None).cast("binary"))
-    else:  # one row of a text stands for it: a context is asked for once
-        counted = rows.select("text", "k1", "k2").join(hot, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
+    else:  # a context of a text with copies is repeated anyway; of others one row is asked for
+        counted = rows.select("text", "k1", "k2").join(hot, ["k1", "k2"])
         counted = _keyed(counted, window, window, parts).select("k1", "k2", F.col("dups").alias("hot"))
         own = keyed.join(counted, ["k1", "k2"], "left")
     own = own.join(more, ["k1", "k2"], "left").select("k1", "k2", "dups", "hot", "more")
@@ -397,8 +399,8 @@ def unrepeated(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] =
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[x[:, 1] >= x[:, 0]].tobytes() or None for x in w], pa.binary())], ["k1", "k2", "ranges"])
 
         within = marks.mapInArrow(longer, "k1 long, k2 long, ranges binary").where("ranges is not null")
-        some = rows.select("text", "k1", "k2").join(within, ["k1", "k2"]).groupBy("k1", "k2").agg(F.first("text").alias("text"), F.first("ranges").alias("ranges"), F.count(F.lit(1)).alias("copies"))
-        some = written(some, "texts")  # distinct texts with repeats that may be long enough
+        some = rows.select("text", "k1", "k2").join(within, ["k1", "k2"])
+        some = written(some, "texts")  # texts with repeats that may be long enough
         longs = repeated_windows(some, window)
         dropped(some)
         found = marks.select("k1", "k2", F.col("windows").alias("marks")).join(longs, ["k1", "k2"], "left")
