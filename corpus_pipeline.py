@@ -22,9 +22,12 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the bytes of long strings that repeat; n_chars follows the text."""
+    """Every document, without the bytes of strings of 200 bytes that repeat; n_chars follows the text.
+
+    A passage of 50 words has 309 bytes at the median, and over 240 in 99 of 100 places of the texts; 400 bytes would let nearly all of them pass.
+    """
     others = tuple(c for c in docs.columns if c != "text")
-    cut = repeats.unrepeated(docs, keep=others, as_text=True)
+    cut = repeats.unrepeated(docs, keep=others, as_text=True, window=repeats.MARK)
     return cut.select(*[F.col("kept").alias(c) if c == "text" else F.length("kept").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
