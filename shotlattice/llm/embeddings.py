@@ -1,7 +1,8 @@
 """Embedding near-duplicates by PCA-ordered tiled comparison.
 
-Equal vectors of a label are one class. Classes of a label are dealt into blocks and every pair of blocks is a tile, so a label of any size is
-spread over tasks. In a tile the vectors are rotated to their principal axes; the leading coordinates are multiplied first, the product of the
+Equal vectors of a label are one class. Classes of a label are dealt into blocks by their place on the axis along which a sample varies most, and pairs of blocks are tiles, so
+a label of any size is spread over tasks. Unit vectors that link lie at most sqrt(2 - 2 threshold) apart, on that axis too: a vector goes to the tiles of blocks within that reach only.
+In a tile the vectors are rotated to their principal axes; the leading coordinates are multiplied first, the product of the
 norms of what is left bounds the rest, and a pair is dropped as soon as its cosine cannot reach the threshold. Survivors are decided on the
 original coordinates in double precision. A tile returns counts and a spanning forest of its links, never the pairs.
 """
@@ -9,16 +10,28 @@ original coordinates in double precision. A tile returns counts and a spanning f
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import let, written
 from .graph import Sets, components
 
 #: Leading coordinates after which bounds are tested, as shares of all.
 STEPS = (1 / 8, 1 / 4, 1 / 2)
-#: Vectors the rotation is fitted on, at most. It orders the work and cannot change a result.
-FIT = 8192
+#: Vectors, and numbers in them, that the rotation is fitted on, at most. It orders the work and cannot change a result.
+FIT, FIT_NUMBERS = 8192, 1 << 22
 SLACK = 1e-9
+#: Bins of the axis by which blocks are made.
+BINS = 4096
+
+
+def scaled(m: np.ndarray) -> np.ndarray:
+    """Rows times powers of two so that the largest component of each is between 1/2 and 1: squares neither overflow nor vanish, and no digit changes."""
+    return np.ldexp(m, -np.frexp(np.abs(m).max(axis=1, initial=0.0))[1][:, None])
+
+
+def unit(m: np.ndarray) -> np.ndarray:
+    m = scaled(m)
+    return m / np.linalg.norm(m, axis=1)[:, None]
 
 
 def rotation(sample: np.ndarray) -> np.ndarray:
@@ -29,6 +42,7 @@ def rotation(sample: np.ndarray) -> np.ndarray:
 
 def linked(a: np.ndarray, b: np.ndarray, axes: np.ndarray | None, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs (into a, into b) with cosine of at least ``threshold``; with ``same`` each unordered pair of a once."""
+    a, b = scaled(a), scaled(b)
     norm_a, norm_b = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
     ua, ub = a / norm_a[:, None], b / norm_b[:, None]
     ra, rb = (ua, ub) if axes is None else (ua @ axes, ub @ axes)
@@ -65,9 +79,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, block: int = 1024,
 
     Only rows with equal labels, not null, and equal lengths are compared. A vector that is null, empty or all zero, or holds a null, NaN or infinite
     component links with nothing. Repeated rows are vectors of their own. ``component_id`` is the smallest id reachable by links, null only where all ids there are null.
-    Other columns are not read. An empty table gives an empty result.
+    Components of any size and vectors of any length are compared whole. Ties need no rule. Other columns are not read. An empty table gives an empty result.
     """
-    spark = vectors.sparkSession
     v = F.col("vector")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("vector"))
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
@@ -75,15 +88,39 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, block: int = 1024,
     rows = rows.withColumn("fit", F.coalesce(fit, F.lit(False)))
     classes = rows.where("fit").groupBy("label", "vector").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("n"))
     classes = written(classes.select(F.monotonically_increasing_id().alias("cid"), "label", F.size("vector").alias("dims"), "vector", "first", "n"), "classes")
-    axes = {}
-    sample = classes.select("vector").orderBy(F.xxhash64("vector")).limit(FIT).collect()
+    longest = classes.agg(F.max("dims")).first()[0] or 1
+    sample = classes.where(F.col("dims") <= FIT_NUMBERS // 64).select("vector").orderBy(F.xxhash64("vector")).limit(max(64, min(FIT, FIT_NUMBERS // longest))).collect()
+    by_dims: dict[int, list] = {}
     for r in sample:
-        axes.setdefault(len(r.vector), []).append(r.vector)
-    axes = {d: rotation((m := np.array(rows_, float)) / np.linalg.norm(m, axis=1)[:, None]) for d, rows_ in axes.items()}
+        by_dims.setdefault(len(r.vector), []).append(r.vector)
+    units = {d: unit(np.array(rows_, float)) for d, rows_ in by_dims.items()}
+    axes = {d: rotation(m) for d, m in units.items()}
+    widest = {d: axes[d][:, int(np.argmax((m @ axes[d]).var(axis=0)))] for d, m in units.items()}
+
+    def placed(batches):
+        import pyarrow as pa
 
-    groups = classes.groupBy("label", "dims").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
-    tiled = classes.join(groups, ["label", "dims"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        for batch in batches:
+            dims = batch.column("dims").to_numpy()
+            at = np.full(len(dims), BINS // 2, np.int32)
+            for d in np.unique(dims).tolist():
+                own = np.flatnonzero(dims == d)
+                if d in widest:
+                    m = np.array(batch.column("vector").take(pa.array(own)).to_pylist(), float)
+                    at[own] = np.clip(np.floor((unit(m) @ widest[d] + 1) / 2 * BINS), 0, BINS - 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at)], [*batch.schema.names, "bin"])
+
+    schema = classes.select("cid", "label", "dims", "vector", "n").schema.add("bin", "integer")
+    binned = written(classes.select("cid", "label", "dims", "vector", "n").mapInArrow(placed, schema), "binned")
+    reach = int(np.ceil(np.sqrt(max(0.0, 2 - 2 * threshold)) / 2 * BINS)) + 1
+    bins = binned.groupBy("label", "dims", "bin").agg(F.count(F.lit(1)).alias("m"))
+    along = Window.partitionBy("label", "dims").orderBy("bin")  # at most BINS rows a group
+    before = F.coalesce(F.sum("m").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bins = bins.withColumn("low", F.floor(before / F.lit(block)).cast("int")).withColumn("deal", F.ceil(F.col("m") / F.lit(block)).cast("int"))
+    near = along.rangeBetween(-reach, reach)
+    bins = bins.withColumn("least", F.min("low").over(near)).withColumn("most", F.max(F.col("low") + F.col("deal") - 1).over(near)).drop("m")
+    tiled = binned.join(bins, ["label", "dims", "bin"]).withColumn("own", F.col("low") + F.pmod(F.xxhash64("cid"), F.col("deal")).cast("int"))
+    tiled = tiled.withColumn("other", F.explode(F.sequence("least", "most")))
     tiled = tiled.select("label", "dims", F.least("own", "other").alias("ti"), F.greatest("own", "other").alias("tj"), "own", "cid", "n", "vector")
 
     def compare(key, batch):
