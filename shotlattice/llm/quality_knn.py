@@ -2,7 +2,8 @@
 
 Terms are hashed byte pairs and a few shares (capitals, symbols, repeated lines, repeated word windows, word length). The space is the leading singular vectors of
 the weighted terms of a bounded, balanced sample of labelled documents; the sample's vectors are broadcast (at most ``2 * per_label`` of them) and every
-document's cosines with all of them are computed in blocks. The ``k`` nearest vote with their similarity.
+document's cosines with all of them are computed in blocks. The ``k`` nearest vote with their similarity; of equally near ones those with the smallest ids. Cosines are
+double-precision sums rounded to 9 places, so that no vote hangs on the order in which a block's products are summed.
 """
 
 from __future__ import annotations
@@ -67,8 +68,8 @@ class Model:
         self.weight[BUCKETS:] = SHARE_WEIGHT
         x = self.unit(x * self.weight)
         _, axes = np.linalg.eigh(x.T @ x) if len(x) else (None, np.eye(x.shape[1]))
-        self.axes = np.ascontiguousarray(axes[:, ::-1][:, :dims]).astype(np.float32)
-        self.vectors = self.unit(x @ self.axes)
+        self.axes = np.ascontiguousarray(axes[:, ::-1][:, :dims])
+        self.vectors = self.unit(self.projected(x)).astype(np.float64)
         self.labels, self.k = labels.astype(np.float32), min(k, len(labels))
 
     @staticmethod
@@ -76,17 +77,26 @@ class Model:
         norm = np.linalg.norm(x, axis=1, keepdims=True)
         return (x / np.where(norm > 0, norm, 1)).astype(np.float32)
 
+    def projected(self, x: np.ndarray) -> np.ndarray:
+        """On the axes, to 6 places: the same for a text whatever others stand in its block."""
+        return np.round(x.astype(np.float64) @ self.axes, 6)
+
     def score(self, x: np.ndarray) -> np.ndarray:
         """Votes for label 1 among the k nearest, weighted by similarity; without text or labelled rows, 0.5 drawn to 0 for empty texts."""
         empty = ~x.any(axis=1)
         if not self.k:
             return np.where(empty, 0.0, 0.5)
-        v = self.unit(self.unit(x * self.weight) @ self.axes)
+        v = self.unit(self.projected(self.unit(x * self.weight))).astype(np.float64)
         out = np.empty(len(v))
         for at in range(0, len(v), 512):
-            cos = v[at : at + 512] @ self.vectors.T
+            cos = np.round(v[at : at + 512] @ self.vectors.T, 9)
             near = np.argpartition(-cos, self.k - 1, axis=1)[:, : self.k]
-            sim = np.take_along_axis(cos, near, 1).astype(float)
+            sim = np.take_along_axis(cos, near, 1)
+            least = sim.min(axis=1)
+            for row in np.flatnonzero((cos >= least[:, None]).sum(axis=1) > self.k):  # ties at the last place: vectors are in order of ids
+                above = np.flatnonzero(cos[row] > least[row])
+                near[row] = [*above, *np.flatnonzero(cos[row] == least[row])[: self.k - len(above)]]
+                sim[row] = cos[row, near[row]]
             vote = np.maximum(sim, 0.0) ** 8 + 1e-12
             out[at : at + 512] = (vote * self.labels[near]).sum(axis=1) / vote.sum(axis=1)
         out[empty] = 0.0
@@ -106,7 +116,8 @@ def batches_of(column, limit: int = 1 << 20):
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = 1500, dims: int = 48, k: int = 15) -> Model:
     """Learn from at most ``per_label`` documents of each label: those with the smallest hashes of their ids, held-out ids left out.
 
-    Null labels and ids teach nothing; of contradictory labels of an id the smaller holds; repeated rows of an id count once.
+    Null labels and ids teach nothing; of contradictory labels of an id the smaller holds; of rows with one id that is chosen the one with the least terms counts. An empty table of either kind
+    gives a model that scores 0.5.
     """
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).where(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -122,8 +133,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = 1500, dims: int = 4
                 x = terms(offsets, data).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(2)[a:b], pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "quality", "x"])
 
-    rows = texts.select(F.col("doc_id").cast("long"), "text", F.col("quality").cast("int")).mapInArrow(run, "doc_id long, quality int, x binary").collect()
-    rows = sorted({r.doc_id: r for r in sorted(rows, key=lambda r: bytes(r.x))}.values(), key=lambda r: r.doc_id)
+    rows = texts.select(F.col("doc_id").cast("long"), "text", F.col("quality").cast("int")).mapInArrow(run, "doc_id long, quality int, x binary")
+    rows = sorted(rows.groupBy("doc_id").agg(F.min(F.struct("x", "quality")).alias("r")).select("doc_id", "r.*").collect(), key=lambda r: r.doc_id)  # one row an id
     x = np.array([np.frombuffer(r.x, np.float16) for r in rows], np.float32).reshape(-1, BUCKETS + SHARES)
     return Model(x, np.array([r.quality for r in rows]), dims, k)
 
@@ -131,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = 1500, dims: int = 4
 def classify(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted.
 
-    A null or empty text scores 0; a null id counts as not held out. Repeated rows score alike. An empty table gives an empty result. Other columns are not read.
+    A null or empty text scores 0; a text of any length is read whole; a null id counts as not held out. Repeated rows score alike; ties among neighbours go to the smallest ids. An empty table gives an empty result. Other columns are not read.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded: see Model
 

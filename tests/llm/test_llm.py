@@ -492,9 +492,50 @@ def test_near_vectors(spark):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (links[i], root(i), root(i) == i), i
 
 
+@pytest.mark.parametrize("size", [1e200, 1e-200, 1.0])
+def test_near_vectors_of_any_norm(spark, size):
+    rows = [(1, [size, size], 0), (2, [size, 1.0001 * size], 0), (3, [size, -size], 0), (4, [1.0, 1.0], 0)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (0, 3), 4: (2, 1)}
+
+
 # ---------------------------------------------------------------- 9
 
 
+def test_votes_match_a_plain_count(spark):
+    """Neighbours by (similarity, id), one document at a time, with many equal texts among the labelled."""
+    rng = random.Random(17)
+    some = [prose(rng, rng.randint(5, 60)) for _ in range(25)]
+    texts = [some[i % 25] + " x" * (i % 3) for i in range(150)] + [prose(rng, 30) for _ in range(20)] + ["", None]
+    df = docs_of(spark, texts)
+    labels = spark.createDataFrame([(i, (i * 7) % 3 % 2, 0) for i in range(150)], "doc_id long, quality int, toxic int")
+    model = quality_knn.fit(df, labels, dims=8, k=5)
+    ids = [i for i in range(150) if zlib.crc32(str(i).encode()) % 5]
+    known = {}
+
+    def vector(t):
+        body = np.frombuffer((t or "").encode(), np.uint8)
+        x = quality_knn.terms(np.array([0, len(body)]), body)[0].astype(np.float16).astype(float) * model.weight
+        y = np.round(np.float32(x / np.linalg.norm(x)).astype(float) @ model.axes, 6)
+        return np.float32(y / np.linalg.norm(y)).astype(float)
+
+    for i in ids:
+        known[i] = vector(texts[i])
+    assert model.k == 5 and len(model.labels) == len(ids)
+    got = {r.doc_id: r.score for r in quality_knn.classify(df, model).collect()}
+    for i, t in enumerate(texts):
+        if not t:
+            assert got[i] == 0
+            continue
+        body = np.frombuffer(t.encode(), np.uint8)
+        x = quality_knn.terms(np.array([0, len(body)]), body)[0].astype(float) * model.weight
+        y = np.round(np.float32(x / np.linalg.norm(x)).astype(float) @ model.axes, 6)
+        v = np.float32(y / np.linalg.norm(y)).astype(float)
+        near = sorted((-round(float(v @ known[j]), 9), j) for j in ids)[:5]
+        votes = [(max(-c, 0) ** 8 + 1e-12, (j * 7) % 3 % 2) for c, j in near]
+        assert got[i] == pytest.approx(sum(a * q for a, q in votes) / sum(a for a, _ in votes), abs=1e-6)
+
+
 def test_quality_held_out(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{d}/{n}.parquet") for n in ("documents", "labels"))
