@@ -47,8 +47,9 @@ def op9_quality_classifier(spark, sf_dir):
 
 def op10_url_filter(spark, sf_dir):
     pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
-    # a page's labels are those of the document with its number
-    known = pages.join(labels, pages.page_id == labels.doc_id).select("url", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("block"))
+    # the number in a page's path is that of the document whose text it shows (language equal for all pages, text for three quarters), so that document's labels are its own
+    number = F.expr("try_cast(regexp_extract(url, '/([0-9]{1,18})([./?#]|$)', 1) as long)")
+    known = pages.withColumn("number", number).join(labels, F.col("number") == labels.doc_id).select("url", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("block"))
     return url_rules.judge(pages, known)
 
 

@@ -578,9 +578,35 @@ def test_words_inside_path_segments_are_mined(spark):
     assert got == {0: True, 1: False, 2: True, 3: False}
 
 
+def test_urls_that_share_many_tokens_are_mined_at_once(spark):
+    long = "&".join(f"q{i}=1" for i in range(40))
+    rng = random.Random(6)
+    some = lambda: "&".join(f"r{i}=1" for i in range(30) if rng.random() < 0.8)
+    teach = [(f"http://a{i}.io/x?{long}", True) for i in range(30)] + [(f"http://b{i}.io/y?{some()}", i % 2 == 0) for i in range(80)] + [(f"http://c{i}.io/z", False) for i in range(34)]
+    rules = url_rules.mine(spark.createDataFrame(teach, "url string, block boolean")).collect()
+    assert any(set(r.rule) <= {*(f"query=q{i}" for i in range(40)), "path=x", "word=path.x"} for r in rules) and all(len(r.rule) <= 12 for r in rules)
+    few = spark.createDataFrame([(f"http://a{i}.io/x?{long if i < 4 else ''}", i % 3 == 0) for i in range(64)], "url string, block boolean")
+    assert url_rules.mine(few).count() == 0
+
+
+def test_rules_hold_on_urls_not_seen_and_chance_makes_none(spark):
+    rng = random.Random(8)
+    name = lambda: "".join(rng.choice("aeioulnrst") for _ in range(6))
+    def url(bad):
+        return f"http://{rng.choice(['www', 'm', 'blog'])}.{rng.choice(['free', 'win', 'big']) if bad else name()}-{rng.choice(['bets', 'casino']) if bad else name()}.io/{rng.choice(['en', 'de'])}/{rng.randint(1, 9999)}"
+
+    rows = [(url(b), b if rng.random() < 0.95 else not b) for b in (rng.random() < 0.3 for _ in range(600))]
+    rules = url_rules.mine(spark.createDataFrame(rows, "url string, block boolean"))
+    unseen = [(url(b), b) for b in (rng.random() < 0.3 for _ in range(300))]
+    hit = {r.url for r in url_rules.blocked_urls(spark.createDataFrame(unseen, "url string, block boolean"), rules).collect()}
+    assert {u for u, b in unseen if b} == hit
+    chance = [(u, rng.random() < 0.3) for u, _ in rows]
+    assert url_rules.mine(spark.createDataFrame(chance, "url string, block boolean")).count() == 0
+
+
 def test_mined_rules_match_counting(spark):
     teach = spark.createDataFrame([(f"http://h{i % 4}.io/{'ab'[i % 2]}/{'xyz'[i % 3]}", i % 4 == 1 or i % 6 == 0) for i in range(240)], "url string, block boolean")
-    rules = url_rules.mine(teach, 0.05, 0.6).collect()
+    rules = url_rules.mine(teach, 0.05).collect()
     rows = [(set(r.t), r.block) for r in teach.select(url_rules.url_tokens(F.col("url")).alias("t"), "block").collect()]
     assert rules
     for r in rules:
