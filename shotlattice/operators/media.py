@@ -104,10 +104,10 @@ def min_max(df: DataFrame, keys: list[str], value: str) -> Column:
 
 
 def smallest_holder(points: DataFrame, boxes: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """Points with the smallest box (id, box) of their group that holds them, the first by id on ties."""
+    """Points with the smallest box (id, box) of their group that holds them, the first by id on ties; areas count to 6 places."""
     p, b = points.alias("p"), boxes.alias("b")
     on = [F.col(f"p.{k}") == F.col(f"b.{k}") for k in keys] + [G.inside(F.col(f"p.{x}"), F.col(f"p.{y}"), F.col("b.box"))]
-    hit = p.join(b, on).groupBy(F.col("p.id").alias("id")).agg(F.min(F.struct(G.area(F.col("b.box")).alias("a"), F.col("b.id").alias("i"))).alias("m"))
+    hit = p.join(b, on).groupBy(F.col("p.id").alias("id")).agg(F.min(F.struct(F.round(G.area(F.col("b.box")), 6).alias("a"), F.col("b.id").alias("i"))).alias("m"))
     return hit.select("id", F.col("m.i").alias("holder"))
 
 

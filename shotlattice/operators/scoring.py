@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def confusion(df: DataFrame, truth: str, found: str) -> DataFrame:
@@ -102,6 +102,13 @@ def resamples(n: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, n, n)
 
 
+def poisson_weight(item: str, seed: int = 0) -> Column:
+    """How often an item is drawn in resample ``draw``: Poisson with mean 1, from a seeded hash; weights above 8 are counted as 8 (once in 800,000)."""
+    u = F.pmod(F.xxhash64(F.lit(seed), "draw", F.col(item)), F.lit(1 << 30)) / float(1 << 30)
+    steps = np.cumsum([np.exp(-1)] + [np.exp(-1) / float(np.prod(range(1, k + 1))) for k in range(1, 8)])
+    return sum((F.when(u >= float(s), 1).otherwise(0) for s in steps), F.lit(0))
+
+
 def bootstrap_mean(df: DataFrame, item: str, value: str, draws: int = 200, seed: int = 0) -> DataFrame:
     """Mean of item means with its 95 % interval over items drawn with Poisson weights from a seeded hash; one row.
 
@@ -109,10 +116,7 @@ def bootstrap_mean(df: DataFrame, item: str, value: str, draws: int = 200, seed:
     """
     items = df.groupBy(item).agg(F.avg(value).alias("x"))
     drawn = items.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    u = F.pmod(F.xxhash64(F.lit(seed), "draw", F.col(item)), F.lit(1 << 30)) / float(1 << 30)
-    steps = np.cumsum([np.exp(-1)] + [np.exp(-1) / float(np.prod(range(1, k + 1))) for k in range(1, 8)])
-    weight = sum((F.when(u >= float(s), 1).otherwise(0) for s in steps), F.lit(0))
-    means = drawn.withColumn("w", weight).groupBy("draw").agg(F.try_divide(F.sum(F.col("x") * F.col("w")), F.sum("w")).alias("m"))
+    means = drawn.withColumn("w", poisson_weight(item, seed)).groupBy("draw").agg(F.try_divide(F.sum(F.col("x") * F.col("w")), F.sum("w")).alias("m"))
     ci = means.agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
     return items.agg(F.avg("x").alias("mean"), F.count(F.lit(1)).alias("items")).crossJoin(ci).select("mean", "items", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
