@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import DEFAULT
 from ..functions import geometry as G
+from ..functions.chance import uniform
 
 
 def codec(v: Column) -> Column:
@@ -161,7 +162,7 @@ def matched_cut(df: DataFrame, keys: list[str], a: str, b: str, cut: float) -> D
 
 def dealt(df: DataFrame, keys: list[str], label: str, seed: int) -> DataFrame:
     """Labels dealt anew among the rows of each group by a seeded hash: what chance would give."""
-    order = [F.xxhash64(F.lit(seed), "id"), F.col("id")]
+    order = [uniform(seed, "id"), F.col("id")]
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("id"))
     hand = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     a, b = df.withColumn("place_", place), df.withColumn("place_", hand)

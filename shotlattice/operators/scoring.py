@@ -6,6 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.chance import uniform, uniform_here
+
 
 def confusion(df: DataFrame, truth: str, found: str) -> DataFrame:
     """(truth, found, n) of rows where both are known."""
@@ -102,11 +104,14 @@ def resamples(n: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, n, n)
 
 
+#: Chances of at most 0, 1, .. 7 draws.
+POISSON = [float(x) for x in np.cumsum([np.exp(-1)] + [np.exp(-1) / float(np.prod(range(1, k + 1))) for k in range(1, 8)])]
+
+
 def poisson_weight(item: str, seed: int = 0) -> Column:
     """How often an item is drawn in resample ``draw``: Poisson with mean 1, from a seeded hash; weights above 8 are counted as 8 (once in 800,000)."""
-    u = F.pmod(F.xxhash64(F.lit(seed), "draw", F.col(item)), F.lit(1 << 30)) / float(1 << 30)
-    steps = np.cumsum([np.exp(-1)] + [np.exp(-1) / float(np.prod(range(1, k + 1))) for k in range(1, 8)])
-    return sum((F.when(u >= float(s), 1).otherwise(0) for s in steps), F.lit(0))
+    u = uniform(seed, "draw", item)
+    return F.aggregate(F.array(*map(F.lit, POISSON)), F.lit(0), lambda n, s: n + (u >= s).cast("int"))
 
 
 def bootstrap_mean(df: DataFrame, item: str, value: str, draws: int = 200, seed: int = 0) -> DataFrame:
@@ -121,27 +126,49 @@ def bootstrap_mean(df: DataFrame, item: str, value: str, draws: int = 200, seed:
     return items.agg(F.avg("x").alias("mean"), F.count(F.lit(1)).alias("items")).crossJoin(ci).select("mean", "items", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
+#: Items whose matrix is sent to all tasks, at most: 64 MB of numbers.
+MATRIX_ITEMS = 2000
+
+
 def mantel(pairs: DataFrame, x: str, y: str, permutations: int = 99, seed: int = 0) -> DataFrame:
     """Rank correlation of two distances over pairs (a, b) and its permutation p-value; one row.
 
-    A collection's matrix of items is its bounded unit: permutations run beside each other, each on the whole matrix.
+    The matrix of a collection of up to ``MATRIX_ITEMS`` items is sent to the tasks once, and permutations are dealt out as numbers; that of a larger one goes to each permutation as rows.
     """
+    rows = pairs.select("a", "b", F.col(x).alias("x"), F.col(y).alias("y")).dropna()
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(set(g["a"]) | set(g["b"]))
-        at = {n: i for i, n in enumerate(names)}
+    def rho(i, j, m, first, p, names):
+        order = np.arange(len(names)) if p == 0 else np.array(sorted(range(len(names)), key=lambda k: (uniform_here(seed, p, names[k]), k)))
+        second = pd.Series(m[order[i], order[j]]).rank()
+        found = first.corr(second)
+        return 0.0 if found != found else found
+
+    def prepared(g: pd.DataFrame):
+        names = sorted({*g["a"].tolist(), *g["b"].tolist()})
+        at = {n: k for k, n in enumerate(names)}
         i, j = g["a"].map(at).to_numpy(), g["b"].map(at).to_numpy()
         m = np.full((len(names), len(names)), np.nan)
         m[i, j] = m[j, i] = g["y"].to_numpy()
-        p = int(g["perm"].iloc[0])
-        order = np.arange(len(names)) if p == 0 else np.random.default_rng([seed, p]).permutation(len(names))
-        z = m[order[i], order[j]]
-        rho = pd.Series(g["x"].to_numpy()).rank().corr(pd.Series(z).rank())
-        return pd.DataFrame({"perm": [p], "rho": [0.0 if rho != rho else rho]})
+        return i, j, m, pd.Series(g["x"].to_numpy()).rank(), names
 
     perms = pairs.sparkSession.range(permutations + 1).select(F.col("id").cast("int").alias("perm"))
-    rows = pairs.select("a", "b", F.col(x).alias("x"), F.col(y).alias("y")).dropna().crossJoin(F.broadcast(perms))
-    each = rows.groupBy("perm").applyInPandas(run, "perm int, rho double")
+    items = rows.select(F.col("a").alias("i")).union(rows.select("b")).distinct().limit(MATRIX_ITEMS + 1).count()
+    if items <= MATRIX_ITEMS:
+        sent = pairs.sparkSession.sparkContext.broadcast(prepared(rows.toPandas()))
+
+        def run(batches):
+            for batch in batches:
+                i, j, m, first, names = sent.value
+                yield pd.DataFrame({"perm": batch["perm"], "rho": [rho(i, j, m, first, int(p), names) for p in batch["perm"]]})
+
+        each = perms.mapInPandas(run, "perm int, rho double")
+    else:
+
+        def alone(g: pd.DataFrame) -> pd.DataFrame:
+            i, j, m, first, names = prepared(g)
+            return pd.DataFrame({"perm": g["perm"].iloc[:1], "rho": [rho(i, j, m, first, int(g["perm"].iloc[0]), names)]})
+
+        each = rows.crossJoin(F.broadcast(perms)).groupBy("perm").applyInPandas(alone, "perm int, rho double")  # permutations: a fixed number
     own = each.where("perm = 0").select(F.col("rho").alias("own"))
     return each.where("perm > 0").crossJoin(own).groupBy("own").agg(((1 + F.sum((F.col("rho") >= F.col("own")).cast("int"))) / (permutations + 1)).alias("p")).select(F.col("own").alias("rho"), "p")
 

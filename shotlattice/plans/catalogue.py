@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import bands as B, geometry as G, strings as S, vectors as V
 from ..operators import distance as D, entity as E, joins as J, records, routing as R, scoring as C, sequences as Q, stats as A
+from ..functions.chance import uniform_sql
 from .adapters import EVENTS_SQL, events, rounded, rounded_sql, table
 
 FLAGSHIP = "nearest_items"
@@ -166,10 +167,15 @@ def whole_item_ranking(spark, d):
     return A.top_by(A.mix(events(spark, d), ["video"], "label", "value"), ["video"], [F.col("share").desc(), F.col("label")], 2)
 
 
-@query()
+@query(
+    f"""{WITH}, c0 AS (SELECT video, label, count(*) AS n FROM e GROUP BY ALL), c AS (SELECT video, label, row_number() OVER (PARTITION BY video ORDER BY n DESC, label) AS r FROM c0), p AS (SELECT video, max(label) FILTER (r = 1) AS one, max(label) FILTER (r = 2) AS two, max(label) FILTER (r = 3) AS three FROM c GROUP BY 1),
+x AS (SELECT *, coalesce(one || two IN ('viewclick', 'clickview', 'errorpurchase', 'purchaseerror'), false) AS clash FROM p)
+SELECT video, concat_ws(',', one, CASE WHEN clash THEN three ELSE two END) AS kept, CASE WHEN clash THEN two ELSE '' END AS dropped FROM x"""
+)
 def exclusive_topk(spark, d):
     e = events(spark, d).groupBy("video", "label").agg((-F.count(F.lit(1))).alias("rank"))
-    return A.exclusive_top(e, ["video"], "label", ["rank"], [("view", "click"), ("error", "purchase")], 2)
+    found = A.exclusive_top(e, ["video"], "label", ["rank"], [("view", "click"), ("error", "purchase")], 2)
+    return found.select("video", F.array_join("kept", ",").alias("kept"), F.array_join("dropped", ",").alias("dropped"))
 
 
 @query()
@@ -779,12 +785,26 @@ def group_sizes_binned(spark, d):
     return c.groupBy("label", B.group_size(F.col("c")).alias("band")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+def poisson_sql(u: str) -> str:
+    return "(" + " + ".join(f"({u} >= {x!r}::DOUBLE)::INT" for x in C.POISSON) + ")"
+
+
+CI_SQL = f"{WITH}, i AS (SELECT video, avg(value) AS x FROM e GROUP BY 1), w AS (SELECT draw, x, {poisson_sql(uniform_sql(0, 'draw', 'video'))} AS w FROM i, range(1, 201) r(draw)), m AS (SELECT draw, sum(x * w) / nullif(sum(w), 0) AS m FROM w GROUP BY 1), ci AS (SELECT (SELECT avg(x) FROM i) AS mean, (SELECT count(*) FROM i)::BIGINT AS items, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m)"
+
+
+@query(f"{CI_SQL} SELECT * FROM ci", "mean low high")
 def bootstrap_ci(spark, d):
     return C.bootstrap_mean(events(spark, d), "video", "value")
 
 
-@query()
+@query(
+    f"""{HELL_SQL}, v AS (SELECT video AS item, avg(value) AS m FROM e GROUP BY 1), t AS (SELECT h.a, h.b, h.raw AS x, abs(va.m - vb.m) AS y FROM h JOIN v va ON va.item = a JOIN v vb ON vb.item = b), n AS (SELECT item, row_number() OVER (ORDER BY item) AS pos FROM v),
+sh AS (SELECT perm, item, row_number() OVER (PARTITION BY perm ORDER BY CASE WHEN perm = 0 THEN 0 ELSE {uniform_sql(0, 'perm', 'item')} END, item) AS pos FROM v, range(0, 50) r(perm)), f AS (SELECT perm, n.item, sh.item AS other FROM sh JOIN n USING (pos)),
+z AS (SELECT f1.perm, t.a, t.b, t.x, u.y FROM t JOIN f f1 ON f1.item = t.a JOIN f f2 ON f2.item = t.b AND f2.perm = f1.perm JOIN t u ON u.a = least(f1.other, f2.other) AND u.b = greatest(f1.other, f2.other)),
+k AS (SELECT perm, rank() OVER (PARTITION BY perm ORDER BY x) + (count(*) OVER (PARTITION BY perm, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY perm ORDER BY y) + (count(*) OVER (PARTITION BY perm, y) - 1) / 2 AS ry FROM z),
+c AS (SELECT perm, corr(rx, ry) AS rho FROM k GROUP BY 1), o AS (SELECT rho AS own FROM c WHERE perm = 0) SELECT own AS rho, (1 + count(*) FILTER (c.rho >= own)) / 50 AS p FROM c, o WHERE perm > 0 GROUP BY own""",
+    "rho p",
+)
 def mantel_test(spark, d):
     h = D.hellinger(item_mix(spark, d)).withColumnRenamed("raw", "x")
     v = events(spark, d).groupBy(F.col("video").alias("item")).agg(F.avg("value").alias("m"))
@@ -818,7 +838,7 @@ def vocabulary_match(spark, d):
     return table(spark, d, "documents").select("doc_id", S.vocabulary_match(F.col("text"), ["the", "license", "general public license", "idiot", "clown"]).alias("found"))
 
 
-@query()
+@query("SELECT doc_id, regexp_matches(lower(text), '(^|[^a-z])(clown|clowns|clownes|idiot|idiots|idiotes|man|mans|manes|men)([^a-z]|$)') AS person FROM documents")
 def person_words(spark, d):
     return table(spark, d, "documents").select("doc_id", S.names_any(F.col("text"), ["clown", "idiot", "man"]).alias("person"))
 
@@ -844,4 +864,4 @@ def tumbling_counts(spark, d):
     return e.groupBy(w, "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
-from . import kits, more  # noqa: E402,F401  they register their queries
+from . import kits, more, parts  # noqa: E402,F401  they register their queries

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import bands as B, geometry as G, strings as S
+from ..functions.chance import uniform_sql
 from ..operators import joins as J, media as M, scoring as C, similarity
 from ..sources import readers
 from .adapters import events, table
-from .catalogue import HOURS_SQL, LABELLED_SQL, SPANS_SQL, WITH, day_spans, hours, labelled_docs, query
+from .catalogue import CI_SQL, FIELDS_SQL, HOURS_SQL, LABELLED_SQL, SPANS_SQL, WITH, day_spans, hours, labelled_docs, poisson_sql, query
 
 c = F.col
 
@@ -130,7 +131,7 @@ def matched_cuts(spark, d):
     return M.matched_cut(events(spark, d), ["label"], "value", "k", 60.0)
 
 
-@query()
+@query(f"{WITH}, a AS (SELECT event_id AS id, video, label, row_number() OVER (PARTITION BY video ORDER BY event_id) AS r, row_number() OVER (PARTITION BY video ORDER BY {uniform_sql(1, 'event_id')}, event_id) AS h FROM e) SELECT a.id, a.label, b.label AS dealt FROM a JOIN a b ON a.video = b.video AND a.r = b.h")
 def dealt_labels(spark, d):
     return M.dealt(events(spark, d).select(c("event_id").alias("id"), "video", "label"), ["video"], "label", 1).select("id", "label", "dealt")
 
@@ -146,7 +147,7 @@ def missing_keys(spark, d):
     return readers.missing(table(spark, d, "documents"), table(spark, d, "labels"), ["doc_id"])
 
 
-@query()
+@query(f"SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') ORDER BY {uniform_sql(3, 'o_orderkey')}, o_orderkey LIMIT 50")
 def seeded_sample(spark, d):
     return readers.seeded_sample(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", table(spark, d, "lineitem").where("l_returnflag = 'R'").select(c("l_orderkey").alias("o_orderkey")), 50, 3)
 
@@ -193,7 +194,7 @@ def similarity_rank_order(spark, d):
     return similarity.Similarity(readings(spark, d), "rank").order()
 
 
-@query()
+@query(f"{CI_SQL} SELECT mean, low, high, CASE WHEN low >= 40 AND high <= 60 THEN 'pass' WHEN high < 40 OR low > 60 THEN 'fail' ELSE 'weak' END AS verdict FROM ci", "mean low high")
 def interval_verdicts(spark, d):
     ci = C.bootstrap_mean(events(spark, d), "video", "value")
     return ci.select("mean", "low", "high", B.verdict(c("low"), c("high"), F.lit(40.0), F.lit(60.0)).alias("verdict"))
@@ -255,7 +256,11 @@ def assignment_scores(spark, d):
     return assess.assignment_scores(centroid_labels(spark, d).withColumn("item", F.lit(1)), "item", "truth", "found")
 
 
-@query()
+@query(
+    f"""{FIELDS_SQL}, pw AS (SELECT a AS item, b AS other, imputed AS d FROM imp WHERE field = 'mix' AND imputed IS NOT NULL UNION ALL SELECT b, a, imputed FROM imp WHERE field = 'mix' AND imputed IS NOT NULL), sm AS (SELECT item, item % 3 AS own, other % 3 AS c, avg(d) AS d FROM pw GROUP BY ALL),
+ab AS (SELECT item, own, max(d) FILTER (own = c) AS a, min(d) FILTER (own <> c) AS b FROM sm GROUP BY ALL) SELECT item, own::BIGINT AS cluster, coalesce((b - a) / nullif(CASE WHEN a IS NULL OR b IS NULL THEN NULL ELSE greatest(a, b) END, 0), 0) AS silhouette FROM ab""",
+    "silhouette",
+)
 def cluster_silhouettes(spark, d):
     from ..operators import assess
     from .catalogue import imputed
@@ -265,7 +270,12 @@ def cluster_silhouettes(spark, d):
     return assess.silhouettes(p, members, "imputed")
 
 
-@query()
+@query(
+    f"""{FIELDS_SQL}, im AS (SELECT field, a, b, imputed AS v FROM imp WHERE imputed IS NOT NULL), base AS (SELECT a, b, avg(v) AS d FROM im GROUP BY ALL), dr AS (SELECT draw, a, b, sum(v * w) / sum(w) AS d FROM (SELECT draw, a, b, v, exp(2 * {uniform_sql(0, 'draw', 'field')} - 1) AS w FROM im, range(1, 21) r(draw)) GROUP BY ALL),
+nr AS (SELECT draw, item, other FROM (SELECT draw, a AS item, b AS other, d FROM dr UNION ALL SELECT draw, b, a, d FROM dr) QUALIFY row_number() OVER (PARTITION BY draw, item ORDER BY d, other) <= 5), o AS (SELECT item, other FROM (SELECT a AS item, b AS other, d FROM base UNION ALL SELECT b, a, d FROM base) QUALIFY row_number() OVER (PARTITION BY item ORDER BY d, other) <= 5)
+SELECT o.item, count(nr.draw) / (count(DISTINCT o.other) * 20) AS overlap FROM o LEFT JOIN nr ON nr.item = o.item AND nr.other = o.other GROUP BY 1""",
+    "overlap",
+)
 def neighbour_stability(spark, d):
     from ..operators import assess
     from .catalogue import imputed
@@ -273,7 +283,12 @@ def neighbour_stability(spark, d):
     return assess.stability(imputed(spark, d), "imputed")
 
 
-@query()
+@query(
+    f"""{LABELLED_SQL}, g AS (SELECT *, (quality = 1)::INT AS good FROM x), w AS (SELECT draw, n_chars, sum(good * w) AS p, sum(w) AS n FROM (SELECT draw, n_chars, good, {poisson_sql(uniform_sql(0, 'draw', 'doc_id'))} AS w FROM g, range(1, 51) r(draw)) GROUP BY ALL),
+r AS (SELECT draw, p, sum(p) OVER o / nullif(sum(n) OVER o, 0) AS pr FROM w WINDOW o AS (PARTITION BY draw ORDER BY n_chars DESC ROWS UNBOUNDED PRECEDING)), ap AS (SELECT draw, sum(pr * p) / nullif(sum(p), 0) AS ap FROM r GROUP BY 1),
+h AS (SELECT n_chars, sum(good) AS p, count(*) AS n FROM g GROUP BY 1), hr AS (SELECT p, sum(p) OVER o / sum(n) OVER o AS pr FROM h WINDOW o AS (ORDER BY n_chars DESC ROWS UNBOUNDED PRECEDING)) SELECT (SELECT sum(pr * p) / sum(p) FROM hr) AS ap, quantile_cont(ap, 0.025) AS low, quantile_cont(ap, 0.975) AS high FROM ap""",
+    "ap low high",
+)
 def precision_interval(spark, d):
     from ..operators import assess
 

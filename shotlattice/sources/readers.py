@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
+from ..functions.chance import uniform
+
 
 def artifact(spark: SparkSession, path: str, schema: StructType | str, made_by: str) -> DataFrame:
     """One JSON document per file with a fixed schema; a missing file names the stage that makes it."""
@@ -58,7 +60,7 @@ def refreshed(wanted: DataFrame, have: DataFrame, computed: DataFrame, keys: lis
 
 def seeded_sample(df: DataFrame, key: str, used: DataFrame, count: int, seed: int) -> DataFrame:
     """``count`` rows that were not used before, in the order of a seeded hash."""
-    return df.join(used.select(key).distinct(), key, "left_anti").orderBy(F.xxhash64(F.lit(seed), key), key).limit(count)
+    return df.join(used.select(key).distinct(), key, "left_anti").orderBy(uniform(seed, key), key).limit(count)
 
 
 class Models:
