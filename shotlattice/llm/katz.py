@@ -1,16 +1,16 @@
-"""Katz backoff bigram scores: Good-Turing discounted counts with exactly normalised backoff weights.
+"""Katz backoff scores of n-grams: Good-Turing discounted counts with exactly normalised backoff weights, evaluated recursively.
 
-Texts become chunks of token numbers once; all later steps exchange distinct words and distinct bigrams of chunks, not tokens.
+Texts become chunks of token numbers once; all later steps exchange distinct words and distinct n-grams of chunks, not tokens.
 
 1. ``chunks``: each holds about a million tokens as places in its own list of distinct words.
-2. ``unigrams``, by lots of words: each chunk sends its words with their training counts and gets back ids and counts.
-3. ``bigrams``, by lots of histories: each chunk sends its bigrams with their training counts and gets back the counts of the whole corpus, and for histories
-   of bigrams that are not known there what their backoff weight is made of. A history with more than a lot's share of the tokens is dealt by bigram;
-   there are fewer of those than lots, and their sums are put together on the driver.
-4. Each chunk scores its documents: P(w | h) = d_r r / c(h) if the bigram has count r > 0, else alpha(h) P(w); P(w) is discounted the same way and leaves
-   the mass of words not known to one unknown word.
-
-The tables hold the model: unigram and bigram counts in lots. Nothing grows on the driver but fixed numbers and the histories named in 3.
+2. Level 1, by lots of words: each chunk sends its words with their training counts and gets back numbers and counts.
+3. Levels 2 to ``order``, by lots of histories: a history is the number of an n-gram of the level below. Each chunk sends its n-grams with their training counts, and what the level below says of
+   them; it gets back the counts of the whole corpus, numbers for the next level, and for histories of n-grams that are not known there what their backoff weight is made of.
+   A history with more than a lot's share of the tokens is dealt by n-gram; there are fewer of those than lots, and Spark sums their parts before the driver sees them.
+4. Each chunk scores its documents: P(w | h) = d_r r / c(h) if the n-gram has count r > 0, else alpha(h) P(w | h') with h' the history without its first word, down to P(w), which is
+   discounted the same way and leaves the mass of words not known to one unknown word. A history that training has not seen has the weight 1.
+
+The tables hold the model: counts of every level in lots. Nothing grows on the driver but fixed numbers and the histories named in 3. Numbers are the lot and the place in it, in 64 bits.
 """
 
 from __future__ import annotations
@@ -25,10 +25,14 @@ from .common import buffers, hashed_words, mixed, parts_of, slices, written
 END = np.uint64(0x5DEECE66D1234567)
 #: Counts up to K are discounted.
 K = 5
+ORDER = 3
 TOKENS = 1_000_000
 SLICE = 1 << 20
 _DOC = np.dtype([("id", "<i8"), ("no_id", "u1"), ("train", "u1"), ("tokens", "<i8")])
-_BEGIN = 0xFFFFFFFF
+#: The history at a document's start, at every level.
+BEGIN = np.uint64(1 << 63)
+#: Bits of a number that are the place in its lot.
+PLACE = 40
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -58,24 +62,24 @@ def unrising(b: bytes, dtype) -> np.ndarray:
     return np.cumsum(unpacked(b, dtype), dtype=dtype)
 
 
-def paired(keys: np.ndarray) -> bytes:
-    """Ascending pairs (history, word) in 64 bits: each history once with the number of its words, words as steps within their history."""
-    h, w = (keys >> np.uint64(32)).astype(np.uint32), keys.astype(np.uint32)
+def paired(h: np.ndarray, w: np.ndarray) -> bytes:
+    """Ascending pairs (history, word): each history once with the number of its words, words as steps within their history."""
     start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
-    step = np.diff(w, prepend=np.uint32(0))
+    step = np.diff(w, prepend=np.uint64(0))
     step[start] = w[start]
     return pickle.dumps((rising(h[start]), packed(np.diff(start, append=len(h)).astype(np.uint32)), packed(step)))
 
 
-def unpaired(b: bytes) -> np.ndarray:
+def unpaired(b: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Histories and words of the pairs, the distinct histories and where each starts."""
     heads, many, step = pickle.loads(b)
-    h, many, step = unrising(heads, np.uint32), unpacked(many, np.uint32).astype(np.int64), unpacked(step, np.uint32)
+    h, many, step = unrising(heads, np.uint64), unpacked(many, np.uint32).astype(np.int64), unpacked(step, np.uint64)
     if not len(h):
-        return np.zeros(0, np.uint64)
-    total = np.cumsum(step, dtype=np.uint32)
+        return h, step, h, many
     start = np.concatenate(([0], np.cumsum(many)[:-1]))
-    w = total - np.repeat(total[start] - step[start], many)  # modulo 2**32
-    return (np.repeat(h, many).astype(np.uint64) << np.uint64(32)) | w
+    total = np.cumsum(step, dtype=np.uint64)
+    w = total - np.repeat(total[start] - step[start], many)  # modulo 2**64
+    return np.repeat(h, many), w, h, start
 
 
 def summary(sums: np.ndarray) -> tuple[bytes, bytes]:
@@ -90,18 +94,22 @@ def unsummary(x: tuple[bytes, bytes]) -> np.ndarray:
 def discounts(counts: np.ndarray, k: int = K) -> np.ndarray:
     """d_0..d_k+1 from counts of counts n_1..n_k+1 (``counts[r]``): Good-Turing as Katz uses it, d_r = 1 above k.
 
-    Where the corpus is too small for it (a missing or implausible n_r) that count takes the absolute discount n_1 / (n_1 + 2 n_2), at least 0.1 and at most 0.9.
+    The counts of counts are smoothed first, as Good-Turing estimates need them: log n_r = a + b log r, fitted with weights n_r, b at most -1.05 (and -2 where fewer than two of them are not 0). So
+    r* / r = (1 + 1/r)^(b + 1), and every d_r lies between 0 and 1 for a corpus of any size.
     """
-    n = counts.astype(float)
+    r = np.arange(1, k + 2)
+    n = counts[1 : k + 2].astype(float)
+    seen = n > 0
+    b = -2.0
+    if seen.sum() > 1:
+        x, y, w = np.log(r[seen]), np.log(n[seen]), n[seen]
+        mx, my = np.average(x, weights=w), np.average(y, weights=w)
+        b = float((w * (x - mx) * (y - my)).sum() / (w * (x - mx) ** 2).sum())
+    e = min(b, -1.05) + 1
+    top = (k + 1) ** e
     d = np.ones(k + 2)
     d[0] = 0
-    absolute = min(0.9, max(0.1, n[1] / (n[1] + 2 * n[2]))) if n[1] + n[2] else 0.5
-    top = (k + 1) * n[k + 1] / n[1] if n[1] else 1.0
-    for r in range(1, k + 1):
-        good = 0.0
-        if n[r] and n[r + 1] and top < 1:
-            good = ((r + 1) * n[r + 1] / n[r] / r - top) / (1 - top)
-        d[r] = good if 0 < good < 1 else (r - absolute) / r
+    d[1 : k + 1] = ((1 + 1 / r[:k]) ** e - top) / (1 - top)
     return d
 
 
@@ -181,8 +189,23 @@ def chunked(docs: DataFrame, parts: int) -> DataFrame:
     return rows.mapInArrow(run, "chunk long, docs binary, words binary, counts binary, tokens binary")
 
 
+ROWS = "kind int, chunk long, part int, a binary, b binary, c binary"
+
+
+def _table(out: list[tuple]):
+    import pyarrow as pa
+
+    cols = list(zip(*out)) or [[]] * 6
+    types = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    return pa.table({n: pa.array(c, t) for n, c, t in zip(("kind", "chunk", "part", "a", "b", "c"), cols, types)})
+
+
+#: Kinds of rows: answers of a level to a chunk (the level's number), and these.
+OWN, MODEL, TOTALS, DEALT = 100, 101, 102, 103
+
+
 def counted_words(chunks: DataFrame, parts: int) -> DataFrame:
-    """kind 0: answers (chunk, lot, ids, counts) in the order of the chunk's words; kind 1: the lot of the unigram table; kind 2: its totals."""
+    """Level 1. Answers (numbers, counts) in the order of the chunk's words; MODEL: a lot of the unigram table; TOTALS: its sums."""
 
     def ask(batches):
         import pyarrow as pa
@@ -197,43 +220,29 @@ def counted_words(chunks: DataFrame, parts: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["part", "chunk", "a", "b"])
 
     def count(key, table):
-        import pyarrow as pa
-
         part = key[0].as_py()
         asked = [(c, unrising(a, np.uint64), unpacked(b, np.uint32)) for c, a, b in zip(*(table.column(x).to_pylist() for x in ("chunk", "a", "b")))]
         words, at = np.unique(np.concatenate([a for _, a, _ in asked]), return_inverse=True)
         total = np.bincount(at, np.concatenate([b for _, _, b in asked]).astype(float)).astype(np.int64)
-        ids = (np.arange(len(words), dtype=np.int64) * parts + part).astype(np.uint32)
         out, start = [], 0
         for chunk, a, _ in asked:
             mine = at[start : start + len(a)]
             start += len(a)
-            out.append((0, chunk, part, packed(ids[mine]), packed(total[mine])))
+            out.append((1, chunk, part, rising(mine.astype(np.uint64)), packed(total[mine]), None))
         known = total > 0
-        out.append((1, None, part, rising(words[known]), packed(total[known])))
+        out.append((MODEL, None, part, rising(words[known]), packed(total[known]), None))
         ends = total[words == END]
         totals = [total.sum(), known.sum(), ends.sum(), *np.bincount(np.minimum(total, K + 2), minlength=K + 3)[: K + 2]]
-        out.append((2, None, part, np.array(totals, np.int64).tobytes(), None))
+        out.append((TOTALS, None, part, np.array(totals, np.int64).tobytes(), None, None))
         return _table(out)
 
     schema = "part int, chunk long, a binary, b binary"
     return chunks.select("chunk", "words", "counts").mapInArrow(ask, schema).groupBy("part").applyInArrow(count, ROWS)
 
 
-ROWS = "kind int, chunk long, part int, a binary, b binary"
-
-
-def _table(out: list[tuple]):
-    import pyarrow as pa
-
-    cols = list(zip(*out)) or [[]] * 5
-    types = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-    return pa.table({n: pa.array(c, t) for n, c, t in zip(("kind", "chunk", "part", "a", "b"), cols, types)})
-
-
 def summed(rows: DataFrame, n: int) -> np.ndarray:
     """Sum over the lots of their totals: ``n`` numbers a lot."""
-    got = rows.where("kind = 2").select("a").mapInArrow(_read_totals, "at int, x long").groupBy("at").agg(F.sum("x").alias("x")).collect()
+    got = rows.where(F.col("kind") == TOTALS).select("a").mapInArrow(_read_totals, "at int, x long").groupBy("at").agg(F.sum("x").alias("x")).collect()
     out = np.zeros(n, np.int64)
     for r in got:
         out[r["at"]] = r["x"]
@@ -249,180 +258,263 @@ def _read_totals(batches):
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(np.concatenate(xs) if xs else at, pa.int64())], ["at", "x"])
 
 
+def dealt_sums(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Histories dealt by n-gram, ascending, and their sums over all lots. Each has more than a lot's share of all tokens, so there are fewer than lots."""
+    sums = rows.where(F.col("kind") == DEALT).select("chunk", "a").mapInArrow(_read_dealt, "h long, at int, x double")
+    got = sums.groupBy("h", "at").agg(F.sum("x").alias("x")).collect()
+    names = sorted({r["h"] & (1 << 64) - 1 for r in got})
+    place = {h: i for i, h in enumerate(names)}
+    out = np.zeros((len(names), K + 2))
+    for r in got:
+        out[place[r["h"] & (1 << 64) - 1], r["at"]] = r["x"]
+    return np.array(names, np.uint64), out
+
+
+def _read_dealt(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        xs = [np.frombuffer(b) for b in batch.column(1).to_pylist()]
+        h = np.repeat(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), K + 2) if xs else np.zeros(0, np.int64)
+        at = np.tile(np.arange(K + 2), len(xs))
+        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(at, pa.int32()), pa.array(np.concatenate(xs) if xs else np.zeros(0), pa.float64())], ["h", "at", "x"])
+
+
+class Level:
+    """What is known of a level when its table is counted: discounts, and the histories dealt by n-gram with their sums."""
+
+    def __init__(self, d: np.ndarray, dealt: np.ndarray, sums: np.ndarray):
+        self.d, self.dealt, self.sums = d, dealt, sums
+
+
+def _found(keys: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of values in ascending keys, and whether they are there."""
+    if not len(keys):
+        return np.zeros(len(of), np.int64), np.zeros(len(of), bool)
+    at = np.minimum(np.searchsorted(keys, of), len(keys) - 1)
+    return at, keys[at] == of
+
+
 class Chunk:
-    """A chunk with its words' ids and counts: documents, and for every token id, count, and history's id and count."""
-
-    def __init__(self, rows: list[dict], documents: int):
-        own = next(r for r in rows if r["kind"] == 9)
-        answers = sorted((r for r in rows if r["kind"] == 0), key=lambda r: r["part"])
-        ids = np.concatenate([unpacked(r["a"], np.uint32) for r in answers])
-        counts = np.concatenate([unpacked(r["b"], np.int64) for r in answers])
-        self.docs, at = np.frombuffer(own["a"], _DOC), unpacked(own["b"], np.uint32)
-        self.id, self.count = ids[at], counts[at]
-        first = np.concatenate(([0], np.cumsum(self.docs["tokens"])[:-1]))
-        self.first = first
-        self.history, self.history_count = np.roll(self.id, 1), np.roll(self.count, 1)
-        self.history[first], self.history_count[first] = _BEGIN, documents
+    """A chunk at a level: per token the number and count of its n-gram of the level below, and of that n-gram's history.
+
+    ``climb`` takes it one level up, by the answers to what ``distinct`` asks.
+    """
+
+    def __init__(self, rows: list[dict], uni: Unigrams, parts: int):
+        self.uni, self.parts = uni, parts
+        own = next(r for r in rows if r["kind"] == OWN)
+        self.docs, self.at = np.frombuffer(own["a"], _DOC), unpacked(own["b"], np.uint32)
+        answers = sorted((r for r in rows if r["kind"] == 1), key=lambda r: r["part"])
+        word = np.concatenate([(np.uint64(r["part"]) << np.uint64(PLACE)) + unrising(r["a"], np.uint64) for r in answers])
+        count = np.concatenate([unpacked(r["b"], np.int64) for r in answers])
+        self.word, self.count = word, count[self.at]  # numbers of the chunk's words, ascending; counts of its tokens
+        self.number = word[self.at]
+        self.first = np.concatenate(([0], np.cumsum(self.docs["tokens"])[:-1]))
         self.train = np.repeat(self.docs["train"] > 0, self.docs["tokens"])
-        self.key = (self.history.astype(np.uint64) << np.uint64(32)) | self.id
-
-    def distinct(self, parts: int, tokens: int):
-        """Distinct bigrams ordered by lot: key, place of each token's bigram, lot, whether its history is dealt by bigram, a token of each."""
-        key, first, at = np.unique(self.key, return_index=True, return_inverse=True)
-        hot = self.history_count[first] * parts > tokens
-        lot = lot_of(mixed(np.where(hot, key, key >> np.uint64(32)) + np.uint64(1)), parts)
-        order = np.lexsort((hot, lot))
+        self.level, self.logp = 1, uni.p(self.count)
+        self.base = np.full(len(self.at), max(uni.tokens, 1), np.int64)  # what the level below divides by: c(h') and 1 more where it is closed
+
+    def distinct(self):
+        """Distinct n-grams of the next level whose history is known, ordered by lot: token of each, place of each token's n-gram (-1: none), lot and whether dealt by n-gram."""
+        history, count = np.roll(self.number, 1), np.roll(self.count, 1)
+        history[self.first], count[self.first] = BEGIN, self.uni.documents
+        self.history, self.history_count = history, count
+        known = np.flatnonzero(count > 0)
+        names, local = np.unique(history[known], return_inverse=True)
+        key, token, at = np.unique((local.astype(np.uint64) << np.uint64(32)) | self.at[known], return_index=True, return_inverse=True)
+        token = known[token]
+        hot = count[token] * self.parts > self.uni.tokens
+        lot = lot_of(mixed(np.where(hot, mixed(history[token]) + self.number_of_word(token), history[token]) + np.uint64(1)), self.parts)
+        order = np.argsort(lot * 2 + hot, kind="stable")  # inside a lot by history, then by word
         place = np.empty(len(key), np.int64)
         place[order] = np.arange(len(key))
-        return key[order], place[at], lot[order], hot[order], first[order]
+        where = np.full(len(self.at), -1, np.int64)
+        where[known] = place[at]
+        return token[order], where, lot[order], hot[order]
+
+    def number_of_word(self, token):
+        return self.word[self.at[token]]
+
+    def climb(self, level: Level, answers: list[dict]) -> None:
+        """The next level's counts, numbers and probabilities of every token."""
+        token, where, lot, hot = self.distinct()
+        answers = sorted(answers, key=lambda r: r["part"])
+        got = np.concatenate([unpacked(r["a"], np.int64) for r in answers]) if answers else np.zeros(0, np.int64)
+        r, closed = got >> 1, (got & 1) > 0
+        number = np.zeros(len(r), np.uint64)
+        known_h, known_s, start = [level.dealt], [level.sums], 0
+        for x in answers:
+            n = int(np.frombuffer(x["a"], np.uint64, 1)[0])
+            mine = np.flatnonzero(r[start : start + n] > 0) + start
+            if x["c"]:
+                number[mine] = (np.uint64(x["part"] >> 1) << np.uint64(PLACE)) + unrising(x["c"], np.uint64)
+            if x["b"]:
+                h, s = pickle.loads(x["b"])
+                known_h.append(unrising(h, np.uint64)), known_s.append(unsummary(s))
+            start += n
+        known_h, known_s = np.concatenate(known_h), np.concatenate(known_s)
+        known_h, keep = np.unique(known_h, return_index=True)
+        known_s = known_s[keep]
+        history, total = self.history[token], self.history_count[token]
+        place, ok = _found(known_h, history)
+        if len(known_h):
+            closed |= hot & ok & (known_s[place][:, :K].sum(axis=1) == 0)
+        divisor = total + closed
+        lower = self.logp[token]
+        p = level.d[np.minimum(r, K + 1)] * r / np.maximum(divisor, 1)
+        back = np.flatnonzero((r == 0) & ok)
+        p[r == 0] = lower[r == 0]
+        if len(back):
+            p[back] = weight(known_s[place[back]], total[back], level.d) * lower[back]
+        has = where >= 0
+        w = where[has]
+        self.logp = self.logp.copy()
+        self.logp[has] = p[w]
+        self.base = np.ones(len(self.at), np.int64)
+        self.base[has] = divisor[w]
+        self.number, self.count = np.zeros(len(self.at), np.uint64), np.zeros(len(self.at), np.int64)
+        self.number[has], self.count[has] = number[w], r[w]
+        self.level += 1
 
 
 def _rows(table) -> list[dict]:
-    return table.select(["kind", "part", "a", "b"]).to_pylist()
+    return table.select(["kind", "part", "a", "b", "c"]).to_pylist()
 
 
-def counted_bigrams(chunk_rows: DataFrame, uni: Unigrams, parts: int) -> DataFrame:
-    """kind 0: answers (chunk, lot, counts, weights of histories); kind 1: the lot of the bigram table; kind 2: counts of counts; kind 4: sums of histories dealt by bigram."""
-    documents, tokens = uni.documents, uni.tokens
+def _climbed(rows: list[dict], uni: Unigrams, levels: list[Level], parts: int) -> Chunk:
+    c = Chunk(rows, uni, parts)
+    for i, level in enumerate(levels, 2):
+        c.climb(level, [r for r in rows if r["kind"] == i])
+    return c
+
+
+def counted_ngrams(chunk_rows: DataFrame, uni: Unigrams, levels: list[Level], parts: int, last: bool) -> DataFrame:
+    """The level above ``levels``. Answers (lot, counts, weights of histories, numbers unless it is the ``last``); MODEL: a lot of its table; TOTALS: counts of counts; DEALT: sums of histories dealt by n-gram."""
+    at_level = len(levels) + 2
+    below = levels[-1].d if levels else uni.d
 
     def ask(key, table):
-        c = Chunk(_rows(table), documents)
+        c = _climbed(_rows(table), uni, levels, parts)
         chunk = key[0].as_py()
-        bigrams, at, lot, hot, first = c.distinct(parts, tokens)
-        n = np.bincount(at[c.train], minlength=len(bigrams)).astype(np.uint32)
-        words = c.count[first]
+        token, where, lot, hot = c.distinct()
+        n = np.bincount(where[c.train & (where >= 0)], minlength=len(token)).astype(np.uint32)
+        h, w, lower, base = c.history[token], c.number_of_word(token), c.count[token], c.base[token]
         out = []
         cuts = np.searchsorted(lot * 2 + hot, np.arange(2 * parts + 1))
         for p, (x, y) in enumerate(zip(cuts, cuts[1:])):
-            if y > x:
-                out.append((p % 2, chunk, p // 2, paired(bigrams[x:y]), pickle.dumps((packed(n[x:y]), packed(words[x:y])))))
+            if y > x:  # what the level below divides by is the history's own
+                start = np.flatnonzero(np.concatenate(([True], h[x + 1 : y] != h[x : y - 1])))
+                out.append((p % 2, chunk, p // 2, paired(h[x:y], w[x:y]), pickle.dumps((packed(n[x:y]), packed(lower[x:y]), packed(base[x:y][start] if levels else base[:0]))), None))
         return _table(out)
 
     def count(key, table):
         part = key[0].as_py()
-        out, totals = [], np.zeros(K + 2, np.int64)
+        out, totals, begin_number = [], np.zeros(K + 2, np.int64), 0
         rows = table.select(["kind", "chunk", "a", "b"]).to_pylist()
         for hot in (0, 1):
             asked = []
             for r in rows:
                 if r["kind"] == hot:
-                    n, words = pickle.loads(r["b"])
-                    asked.append((r["chunk"], unpaired(r["a"]), unpacked(n, np.uint32), unpacked(words, np.int64)))
+                    n, lower, base = (unpacked(x, t) for x, t in zip(pickle.loads(r["b"]), (np.uint32, np.int64, np.int64)))
+                    h, w, heads, start = unpaired(r["a"])
+                    base = np.repeat(base, np.diff(start, append=len(h))) if levels else np.full(len(h), max(uni.tokens, 1))
+                    asked.append((r["chunk"], h, w, n, lower, base))
             if not asked:
                 continue
-            keys, first, at = np.unique(np.concatenate([a for _, a, _, _ in asked]), return_index=True, return_inverse=True)
-            total = np.bincount(at, np.concatenate([n for _, _, n, _ in asked]).astype(float)).astype(np.int64)
-            words = np.concatenate([w for _, _, _, w in asked])[first]
+            h, w, n, lower, base = (np.concatenate([x[i] for x in asked]) for i in range(1, 6))
+            names, hi = np.unique(h, return_inverse=True)
+            words, wi = np.unique(w, return_inverse=True)
+            keys, first, at = np.unique((hi.astype(np.uint64) << np.uint64(32)) | wi.astype(np.uint64), return_index=True, return_inverse=True)
+            total = np.bincount(at, n.astype(float)).astype(np.int64)
             known = total > 0
-            seen, r, p = keys[known], total[known], uni.p(words[known])
+            r = total[known]
+            of = (keys[known] >> np.uint64(32)).astype(np.int64)  # place of its history in ``names``
+            if levels:
+                low = lower[first][known]
+                p = below[np.minimum(low, K + 1)] * low / base[first][known]
+            else:
+                p = uni.p(lower[first][known])
             totals += np.bincount(np.minimum(r, K + 2), minlength=K + 3)[: K + 2]
-            out.append((1, None, part, paired(seen), packed(r)))
-            history, start = np.unique((seen >> np.uint64(32)).astype(np.uint32), return_index=True)
-            sums = np.zeros((len(history), K + 2))  # n_1..n_K, the sum of higher counts, the base mass of the followers
-            if len(history):
-                for i in range(K):
-                    sums[:, i] = np.add.reduceat((r == i + 1).astype(float), start)
-                sums[:, K] = np.add.reduceat(np.where(r > K, r, 0).astype(float), start)
-                sums[:, K + 1] = np.add.reduceat(p, start)
+            out.append((MODEL, None, part, paired(names[of], words[(keys[known] & np.uint64(0xFFFFFFFF)).astype(np.int64)]), packed(r), None))
+            sums = np.zeros((len(names), K + 2))  # n_1..n_K, the sum of higher counts, the mass of the followers a level below
+            for i in range(K):
+                sums[:, i] = np.bincount(of[r == i + 1], minlength=len(names))
+            sums[:, K] = np.bincount(of[r > K], r[r > K].astype(float), minlength=len(names))
+            sums[:, K + 1] = np.bincount(of, p, minlength=len(names))
             if hot:
-                out += [(4, int(h), part, s.tobytes(), None) for h, s in zip(history, sums)]
-            place = np.searchsorted(history, (keys >> np.uint64(32)).astype(np.uint32))
-            place = np.minimum(place, max(len(history) - 1, 0))
-            closed = np.zeros(len(keys), np.int64)
-            if len(history) and not hot:  # a history whose followers are all frequent leaves no mass by itself
-                closed = (sums[:, :K].sum(axis=1) == 0).astype(np.int64)[place] & (history[place] == (keys >> np.uint64(32)).astype(np.uint32))
+                out += [(DEALT, int(x.astype(np.int64)), part, s.tobytes(), None, None) for x, s in zip(names, sums)]
+            seen = np.bincount(of, minlength=len(names)) > 0
+            closed = (seen & (sums[:, :K].sum(axis=1) == 0) & (not hot)).astype(np.int64)  # followers that are all frequent leave no mass by themselves
+            number = np.cumsum(known) - 1 + begin_number
+            begin_number += int(known.sum())
             begin = 0
-            for chunk, a, _, _ in asked:
-                mine = at[begin : begin + len(a)]
-                begin += len(a)
-                weights = b""
-                if not hot and len(history):
-                    unseen = np.unique(keys[mine[total[mine] == 0]] >> np.uint64(32)).astype(np.uint32)
-                    where = np.minimum(np.searchsorted(history, unseen), len(history) - 1)
-                    ok = history[where] == unseen
-                    weights = pickle.dumps((rising(unseen[ok]), summary(sums[where[ok]])))
-                out.append((0, chunk, part * 2 + hot, packed(total[mine] * 2 + closed[mine]), weights))
-        out.append((2, None, part, totals.tobytes(), None))
+            for chunk, own, *_ in asked:
+                mine = at[begin : begin + len(own)]
+                place = hi[begin : begin + len(own)]
+                begin += len(own)
+                weights = None
+                if not hot:
+                    unseen = np.unique(place[(total[mine] == 0) & seen[place]])
+                    weights = pickle.dumps((rising(names[unseen]), summary(sums[unseen]))) if len(unseen) else None
+                numbers = None if last else rising(number[mine[known[mine]]].astype(np.uint64))
+                out.append((at_level, chunk, part * 2 + hot, packed(total[mine] * 2 + closed[place]), weights, numbers))
+        out.append((TOTALS, None, part, totals.tobytes(), None, None))
         return _table(out)
 
     return chunk_rows.groupBy("chunk").applyInArrow(ask, ROWS).groupBy("part").applyInArrow(count, ROWS)
 
 
 def weight(sums: np.ndarray, count: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """alpha(h) from the history's sums (rows) and count: the mass its followers leave over the base mass of all other words."""
+    """alpha(h) from the history's sums (rows) and count: the mass its followers leave over what the level below gives to all other words."""
     used = (sums[:, :K] * (d[1 : K + 1] * np.arange(1, K + 1))).sum(axis=1) + sums[:, K]
     closed = sums[:, :K].sum(axis=1) == 0
     left = np.where(closed, 1 / (count + 1), 1 - used / np.maximum(count, 1))
-    return left / (1 - sums[:, K + 1])
-
+    return left / np.maximum(1 - sums[:, K + 1], 1e-12)
 
-def scored(rows: DataFrame, uni: Unigrams, d: np.ndarray, hot: dict[int, np.ndarray], parts: int) -> DataFrame:
-    documents, tokens = uni.documents, uni.tokens
 
+def scored(rows: DataFrame, uni: Unigrams, levels: list[Level], parts: int) -> DataFrame:
     def run(_, table):
         import pyarrow as pa
 
         rows = _rows(table)
-        c = Chunk([r for r in rows if r["kind"] in (0, 9)], documents)
-        answers = sorted((r for r in rows if r["kind"] == 5), key=lambda r: r["part"])
-        _, at, _, dealt, first = c.distinct(parts, tokens)
-        got = np.concatenate([unpacked(r["a"], np.int64) for r in answers])
-        r, closed = got >> 1, (got & 1) > 0
-        history, n_history, base = c.history[first], c.history_count[first], uni.p(c.count[first])
-        hot_ids = np.array(sorted(hot), np.uint32)
-        known_h = [hot_ids]
-        known_s = [np.array([hot[int(h)] for h in hot_ids]).reshape(-1, K + 2)]
-        for a in answers:
-            if a["b"]:
-                h, s = pickle.loads(a["b"])
-                known_h.append(unrising(h, np.uint32)), known_s.append(unsummary(s))
-        known_h, known_s = np.concatenate(known_h), np.concatenate(known_s)
-        known_h, keep = np.unique(known_h, return_index=True)
-        known_s = known_s[keep]
-        if len(known_h):
-            where = np.minimum(np.searchsorted(known_h, history), len(known_h) - 1)
-            ok = known_h[where] == history
-            closed |= dealt & ok & (known_s[where][:, :K].sum(axis=1) == 0)
-            alpha = np.where(ok & (n_history > 0), weight(known_s[where], n_history, d), 1.0)
-        else:
-            alpha = np.ones(len(history))
-        seen = d[np.minimum(r, K + 1)] * r / np.maximum(n_history + closed, 1)
-        p = np.log10(np.where(r > 0, seen, alpha * base))[at]
+        c = Chunk(rows, uni, parts)
+        word_count = c.count
+        for i, level in enumerate(levels, 2):
+            c.climb(level, [r for r in rows if r["kind"] == i])
         per_doc = lambda x: np.add.reduceat(x, c.first)
-        base_score = np.log10((c.count + 1) / (uni.tokens + uni.words + 1))
+        base_score = np.log10((word_count + 1) / (uni.tokens + uni.words + 1))
         ids = pa.array(c.docs["id"], pa.int64(), mask=c.docs["no_id"] > 0)
         return pa.table(
             {
                 "doc_id": ids,
                 "held_out": pa.array(c.docs["train"] == 0),
                 "n_tokens": pa.array(c.docs["tokens"]),
-                "n_known": pa.array(per_doc((c.count > 0).astype(np.int64))),
+                "n_known": pa.array(per_doc((word_count > 0).astype(np.int64))),
                 "train_tokens": pa.array(np.full(len(c.docs), uni.tokens, np.int64)),
                 "base_score": pa.array(per_doc(base_score)),
-                "score": pa.array(per_doc(p)),
+                "score": pa.array(per_doc(np.log10(c.logp))),
             }
         )
 
     return rows.groupBy("chunk").applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def katz_scores(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
+def katz_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10). ``order``: words of the longest n-gram, 1 or more.
 
-    A null text is empty and has one token, its end. A null id is not held out. Repeated rows count, and are scored, each for itself. Without training documents every word is
-    unknown. An empty table gives an empty result. Columns other than doc_id and text are not read.
+    A null text is empty and has one token, its end; texts of any length are scored whole. A null id is not held out. Repeated rows count, and are scored, each for itself. Without training documents
+    every word is unknown. Ties need no rule. An empty table gives an empty result. Columns other than doc_id and text are not read.
     """
-    parts = parts_of(docs.sparkSession)
+    parts = parts_of(docs)
     chunks = written(chunked(docs, parts), "chunks")
-    words = written(counted_words(chunks, parts), "unigrams")
-    totals = summed(words, K + 5)
+    own = chunks.select(F.lit(OWN).alias("kind"), "chunk", F.lit(-1).alias("part"), F.col("docs").alias("a"), F.col("tokens").alias("b"), F.lit(None).cast("binary").alias("c"))
+    tables = [written(counted_words(chunks, parts), "unigrams")]
+    totals = summed(tables[0], K + 5)
     uni = Unigrams(*(int(x) for x in totals[:3]), totals[3 : 3 + K + 2])
-    own = chunks.select(F.lit(9).alias("kind"), "chunk", F.lit(-1).alias("part"), F.col("docs").alias("a"), F.col("tokens").alias("b"))
-    rows = own.unionByName(words.where("kind = 0"))
-    bigrams = written(counted_bigrams(rows, uni, parts), "bigrams")
-    counts = summed(bigrams, K + 2)
-    hot: dict[int, np.ndarray] = {}  # histories with more than a lot's share of all tokens: fewer than lots
-    for r in bigrams.where("kind = 4").select("chunk", "a").collect():
-        hot[r.chunk] = hot.get(r.chunk, 0) + np.frombuffer(r.a)
-    answers = bigrams.where("kind = 0").withColumn("kind", F.lit(5))
-    return scored(rows.unionByName(answers), uni, discounts(counts), hot, parts)
+    rows, levels = own.unionByName(tables[0].where("kind = 1")), []
+    for level in range(2, order + 1):
+        tables.append(written(counted_ngrams(rows, uni, list(levels), parts, level == order), f"level-{level}"))
+        levels.append(Level(discounts(summed(tables[-1], K + 2)), *dealt_sums(tables[-1])))
+        rows = rows.unionByName(tables[-1].where(F.col("kind") == level))
+    return scored(rows, uni, levels, parts)

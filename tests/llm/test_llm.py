@@ -199,41 +199,93 @@ def test_repeats_as_text(spark):
 # ---------------------------------------------------------------- 3
 
 
-def test_katz_on_odd_rows(spark):
-    texts = [*odd_texts(), "a b", "a c", "b a", "c c c", "new words here"]
+def good_turing(n, k=5):
+    """Katz's discounts from counts of counts n[1..k + 1] that a weighted line through (log r, log n_r) stands for."""
+    pts = [(math.log(r), math.log(n[r]), n[r]) for r in range(1, k + 2) if n[r]]
+    slope = -2.0
+    if len(pts) > 1:
+        w = sum(p[2] for p in pts)
+        mx, my = sum(p[0] * p[2] for p in pts) / w, sum(p[1] * p[2] for p in pts) / w
+        slope = sum(p[2] * (p[0] - mx) * (p[1] - my) for p in pts) / sum(p[2] * (p[0] - mx) ** 2 for p in pts)
+    slope = min(slope, -1.05)
+    smooth = lambda r: r**slope
+    common = (k + 1) * smooth(k + 1) / smooth(1)
+    return {r: ((r + 1) * smooth(r + 1) / smooth(r) / r - common) / (1 - common) for r in range(1, k + 1)}
+
+
+class PlainKatz:
+    """The model word by word, from the formulas: nothing of it comes from the code under test."""
+
+    def __init__(self, texts, order):
+        self.order = order
+        self.counts = [Counter() for _ in range(order + 1)]
+        for t in texts:
+            for k in range(1, order + 1):
+                padded = ["\0begin"] * (k - 1) + t
+                self.counts[k].update(tuple(padded[i : i + k]) for i in range(len(t)))
+        of = lambda c: Counter(c.values())
+        self.d = [None] + [good_turing(of(c)) for c in self.counts[1:]]
+        self.n = sum(self.counts[1].values())
+        self.after = [defaultdict(dict) for _ in range(order + 1)]
+        for k in range(2, order + 1):
+            for g, r in self.counts[k].items():
+                self.after[k][g[:-1]][g[-1]] = r
+        self.known = {g[0] for g in self.counts[1]}
+
+    def discounted(self, k, r):
+        return self.d[k][r] * r if r <= 5 else r
+
+    def p(self, history, w):
+        k = len(history) + 1
+        if k == 1:
+            low = sum((1 - self.d[1][r]) * r for r in self.counts[1].values() if r <= 5)
+            scale = 1.0 if low > 0 else self.n / (self.n + 1)
+            if w in self.known:
+                return self.discounted(1, self.counts[1][(w,)]) / self.n * scale
+            return low / self.n if low > 0 else 1 / (self.n + 1)
+        seen = self.after[k].get(history)
+        if not seen:
+            return self.p(history[1:], w)
+        total = sum(seen.values()) + all(r > 5 for r in seen.values())
+        if w in seen:
+            return self.discounted(k, seen[w]) / total
+        left = 1 - sum(self.discounted(k, r) for r in seen.values()) / total
+        return left / (1 - sum(self.p(history[1:], x) for x in seen)) * self.p(history[1:], w)
+
+    def score(self, t):
+        padded = ["\0begin"] * (self.order - 1) + t
+        return sum(math.log10(self.p(tuple(padded[i : i + self.order - 1]), w)) for i, w in enumerate(t))
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_katz_on_odd_rows(spark, order):
+    rng = random.Random(31)
+    texts = [*(t if len(t or "") < 5000 else prose(rng, 400) for t in odd_texts()), "a b", "a c", "b a", "c c c", "a b a b a b a b", *(" ".join(rng.choice("abcd") for _ in range(rng.randint(1, 30))) for _ in range(25)), "new words here"]
     ids = [*range(len(texts) - 1), None]
-    got = {r.doc_id: r for r in katz.katz_scores(docs_of(spark, texts, ids)).collect()}
+    got = {r.doc_id: r for r in katz.katz_scores(docs_of(spark, texts, ids).repartition(3), order=order).collect()}
     tokens = {i: [*WORD.findall((t or "").translate(LOWER)), "\0end"] for i, t in zip(ids, texts)}
     held = {i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i in ids}
-    c, b = Counter(), Counter()
+    plain = PlainKatz([tokens[i] for i in ids if not held[i]], order)
+    c, n, v = plain.counts[1], plain.n, len(plain.counts[1])
+    for h in [("\0begin",) * (order - 1), ("a", "b", "a")[: order - 1], ("zz", "a", "b")[: order - 1]]:
+        assert sum(plain.p(h, w) for w in plain.known) + plain.p(h, "\0none") == pytest.approx(1)
     for i in ids:
-        if not held[i]:
-            c.update(tokens[i])
-            b.update(zip(["\0begin", *tokens[i]], tokens[i]))
-    n, v = sum(c.values()), len(c)
-    of = lambda x: np.array([0] + [sum(1 for y in x.values() if y == r) for r in range(1, katz.K + 2)])
-    uni, d = katz.Unigrams(n, v, c["\0end"], of(c)), katz.discounts(of(b))
-    p1 = lambda w: float(uni.p(np.array([c[w]]))[0])
-    after = defaultdict(dict)
-    for (h, w), r in b.items():
-        after[h][w] = r
-
-    def p(h, w):
-        if h not in after:
-            return p1(w)
-        total = sum(after[h].values()) + all(r > katz.K for r in after[h].values())
-        if w in after[h]:
-            return d[min(after[h][w], katz.K + 1)] * after[h][w] / total
-        left = 1 - sum(d[min(r, katz.K + 1)] * r for r in after[h].values()) / total
-        return left / (1 - sum(map(p1, after[h]))) * p1(w)
-
-    assert sum(p("\0begin", w) for w in c) + p("\0begin", "\0none") == pytest.approx(1)
-    for i in ids:
-        t = tokens[i]
-        r = got[i]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(t), sum(c[w] > 0 for w in t), n)
-        assert r.score == pytest.approx(sum(math.log10(p(h, w)) for h, w in zip(["\0begin", *t], t)))
-        assert r.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t))
+        t, r = tokens[i], got[i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(t), sum(c[(w,)] > 0 for w in t), n)
+        assert r.score == pytest.approx(plain.score(t), rel=1e-9), i
+        assert r.base_score == pytest.approx(sum(math.log10((c[(w,)] + 1) / (n + v + 1)) for w in t))
+
+
+def test_katz_in_many_chunks(spark, monkeypatch):
+    monkeypatch.setattr(katz, "TOKENS", 60)
+    monkeypatch.setattr(katz, "SLICE", 200)
+    rng = random.Random(32)
+    texts = [" ".join(rng.choice(["a", "b", "c", "dd", "ee", "ff"]) for _ in range(rng.randint(0, 40))) for _ in range(60)]
+    got = {r.doc_id: r.score for r in katz.katz_scores(docs_of(spark, texts).repartition(4)).collect()}
+    tokens = [[*WORD.findall(t), "\0end"] for t in texts]
+    plain = PlainKatz([t for i, t in enumerate(tokens) if zlib.crc32(str(i).encode()) % 7 != 2], 3)
+    for i, t in enumerate(tokens):
+        assert got[i] == pytest.approx(plain.score(t), rel=1e-9)
 
 
 def test_discounts_are_usable():
