@@ -7,8 +7,51 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: Equivalent spellings, applied in this order to lower-case text. Fixed values.
-SPELLINGS = (("https://", "http://"), ("licence", "license"), ("sub-license", "sublicense"), ("non-commercial", "noncommercial"), ("favour", "favor"), ("organisation", "organization"), ("authorisation", "authorization"), ("recognise", "recognize"), ("per cent", "percent"), ("&", " and "))
+#: Equivalent spellings as the public matching guidelines for licence texts list them, applied in this order to lower-case text; of two forms the one stands that isn't part of the other. Fixed values.
+SPELLINGS = (
+    ("https://", "http://"),
+    ("acknowledgement", "acknowledgment"),
+    ("analogue", "analog"),
+    ("analyse", "analyze"),
+    ("artefact", "artifact"),
+    ("authorisation", "authorization"),
+    ("authorised", "authorized"),
+    ("calibre", "caliber"),
+    ("cancelled", "canceled"),
+    ("capitalisation", "capitalization"),
+    ("catalogue", "catalog"),
+    ("categorise", "categorize"),
+    ("centre", "center"),
+    ("emphasised", "emphasized"),
+    ("favour", "favor"),
+    ("fulfill", "fulfil"),
+    ("initialise", "initialize"),
+    ("judgement", "judgment"),
+    ("labelling", "labeling"),
+    ("labour", "labor"),
+    ("licence", "license"),
+    ("maximise", "maximize"),
+    ("modelled", "modeled"),
+    ("modelling", "modeling"),
+    ("non-commercial", "noncommercial"),
+    ("offence", "offense"),
+    ("optimise", "optimize"),
+    ("organisation", "organization"),
+    ("organise", "organize"),
+    ("per cent", "percent"),
+    ("practise", "practice"),
+    ("programme", "program"),
+    ("realise", "realize"),
+    ("recognise", "recognize"),
+    ("signalling", "signaling"),
+    ("sub-license", "sublicense"),
+    ("sub license", "sublicense"),
+    ("utilisation", "utilization"),
+    ("whilst", "while"),
+    ("willful", "wilful"),
+    ("copyright owner", "copyright holder"),
+    ("&", " and "),
+)
 #: Words that follow "copyright" in running text and in wrapped lines of licences; a line that goes on with one of them says nothing about a holder.
 RUNNING = "act acts also and are as can cases claim claims disclaimer doctrines exceptions for has have if in including infringement infringements interest interests is issue issues law laws license licenses like line lines management material may more must notice notices of office on or owner owners ownership patent permission permissions protection protections resulting right rights shall should statement statements status term that the then those to treaties treaty under violation violations was were which will with work works holder holders".split()
 
@@ -112,7 +155,8 @@ def known(spark: SparkSession, licenses=KNOWN) -> DataFrame:
 def scan(docs: DataFrame, licenses=KNOWN) -> DataFrame:
     """One row per document: doc_id, digest, license (of the entire text, else null), n_license_lines, line_licenses (names of its licence lines, sorted, by comma).
 
-    A null text is empty; an empty text has the digest of the empty string and no licence. Repeated rows are scanned each for itself. An empty table gives an empty result.
+    A null text is empty; an empty text has the digest of the empty string and no licence; texts of any length are brought to canonical form whole. Of licences with equal digests the first by name is
+    given. Repeated rows are scanned each for itself. An empty table gives an empty result.
     Other columns are not read.
     """
     spark = docs.sparkSession

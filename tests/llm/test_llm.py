@@ -512,6 +512,20 @@ def test_whole_licenses_in_their_usual_forms(spark):
     pd.testing.assert_frame_equal(got.fillna("-"), want.fillna("-"), check_dtype=False)
 
 
+def test_every_license_has_a_hit_a_variant_and_a_near_miss(spark):
+    swap = [("http://", "https://"), ("acknowledgment", "acknowledgement"), ("authorization", "authorisation"), ("favor", "favour"), ("license", "licence"), ("organization", "organisation"), ("program ", "programme "), ("recognize", "recognise"), ("sublicense", "sub-license"), ("while", "whilst"), ("wilful", "willful")]
+    cases = []
+    for name, text in {n: t for n, t in reversed(licenses.KNOWN) if len(t) > 500}.items():
+        other = text
+        for a, b in swap:
+            other = other.replace(a, b)
+        words = text.split(" ")
+        cases += [(name, text), (name, f"Copyright (c) 1999, 2020 Some One and Others\nAll rights reserved.\n\n{other.upper()}"), (None, " ".join(["perhaps" if i == len(words) // 2 else w for i, w in enumerate(words)])), (None, text[: len(text) * 2 // 3])]
+    got = {r.doc_id: r.license for r in licenses.scan(docs_of(spark, [t for _, t in cases])).collect()}
+    assert len(cases) >= 4 * 12
+    assert [(i, got[i]) for i, (n, _) in enumerate(cases) if got[i] != n] == []
+
+
 # ---------------------------------------------------------------- 1
 
 
