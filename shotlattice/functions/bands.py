@@ -55,3 +55,33 @@ def confidence(samples: Column) -> Column:
     n = F.size(s)
     median = (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2
     return F.when(n == 0, "low").when(median >= 10, "good").when(median >= 3, "moderate").otherwise("low")
+
+
+def framing(face: Column, body: Column, ratio: Column, prototype: Column, portrait: float = 0.05) -> Column:
+    """(scale, source, scene): size by the median face and body where somebody was followed, else the prototype's, and no scene."""
+    seen = face.isNotNull() | body.isNotNull()
+    size = shot_size(F.coalesce(face, F.lit(0.0)), F.coalesce(body, F.lit(0.0)))
+    return F.struct(
+        F.when(seen, size).otherwise(prototype).alias("scale"),
+        F.when(seen, "measured").when(prototype.isNotNull(), "prototype").alias("source"),
+        F.when(seen, F.when(ratio >= portrait, "portrait").otherwise("scene")).alias("scene"),
+    )
+
+
+def tight_half(value: Column, low: float, high: float) -> Column:
+    """Whether a measure lies in the larger half of its band."""
+    return value >= (low + high) / 2
+
+
+def chosen(options: Column, here: Column, tight: Column) -> Column:
+    """The name of the option (name, places) nearest a place on an ordinal scale; of equally near ones the one with the smaller least place if ``tight``, else the larger (then by name)."""
+    gap = lambda o: F.array_min(F.transform(o["places"], lambda p: F.abs(p - here)))
+    nearest = F.array_min(F.transform(options, gap))
+    near = F.filter(options, lambda o: gap(o) == nearest)
+    place = lambda sign: F.array_min(F.transform(near, lambda o: F.struct((sign * F.array_min(o["places"])).alias("at"), o["name"].alias("name"))))["name"]
+    return F.when(tight, place(1)).otherwise(place(-1))
+
+
+def measured_step(masked: Column, whole: Column, people: Column) -> Column:
+    """Which fit of a frame pair holds: 1 off people, 0 nobody there, 2 the whole frame after the masked fit failed, -1 none."""
+    return F.when(masked.isNotNull(), 1).when(whole.isNull(), -1).when(~people, 0).otherwise(2)

@@ -120,3 +120,43 @@ def ninth(x: Column, y: Column) -> Column:
     """Name of the cell of a 3 by 3 grid that holds a point of the unit square."""
     band = lambda v, names: F.when(v < 1 / 3, names[0]).when(v > 2 / 3, names[2]).otherwise(names[1])
     return F.concat_ws(" ", band(y, ("top", "middle", "bottom")), band(x, ("left", "centre", "right")))
+
+
+def head_span(face: Column, body: Column, reach: float = 0.58) -> Column:
+    """(x, top, bottom) where a head is: the head centre of a face, else from the body's top down by a share of its width, within the body."""
+    x, y = head_centre(face)
+    mid, _ = centre(body)
+    down = F.least(body["y2"], body["y1"] + reach * (body["x2"] - body["x1"]))
+    span = lambda a, b, c: F.struct(a.cast("double").alias("x"), b.cast("double").alias("top"), c.cast("double").alias("bottom"))
+    return F.when(face.isNotNull(), span(x, y, y)).otherwise(span(mid, body["y1"], down))
+
+
+def clipped(b: Column, width: Column, height: Column, least: int = 24) -> Column:
+    """A box within the frame; null if a side is under ``least``."""
+    c = box(F.greatest(b["x1"], F.lit(0)), F.greatest(b["y1"], F.lit(0)), F.least(b["x2"], width), F.least(b["y2"], height))
+    return F.when((c["x2"] - c["x1"] >= least) & (c["y2"] - c["y1"] >= least), c)
+
+
+def best_face(found: Column, crop: Column, scale: Column, floor: float) -> Column:
+    """Of detections (x, y, w, h, score) in a scaled crop the best, as a box of the frame that stays in the crop; null under the floor, without size or where a number isn't finite."""
+    best = F.array_max(F.transform(found, lambda d: F.struct(d["score"].alias("score"), d["x"].alias("x"), d["y"].alias("y"), d["w"].alias("w"), d["h"].alias("h"))))
+    finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    x, y, w, h = (F.rint(best[n] / scale) for n in ("x", "y", "w", "h"))
+    ok = (best["score"] >= floor) & finite(best["x"]) & finite(best["y"]) & finite(best["w"]) & finite(best["h"]) & (w > 0) & (h > 0)
+    held = lambda v, lo, hi: F.least(F.greatest(v, lo), hi)
+    left, top = crop["x1"] + x, crop["y1"] + y
+    return F.when(ok, box(held(left, crop["x1"], crop["x2"]), held(top, crop["y1"], crop["y2"]), held(left + w, crop["x1"], crop["x2"]), held(top + h, crop["y1"], crop["y2"])))
+
+
+def spans_cells(b: Column, cells: int = 32) -> Column:
+    """Whether a box of the unit square still has an inside when its edges are rounded to cells (halves to even)."""
+    at = lambda v: F.rint(v * cells)
+    return (at(b["x2"]) > at(b["x1"])) & (at(b["y2"]) > at(b["y1"]))
+
+
+def black_edges(means: Column, dark: float) -> Column:
+    """Share of lines that are dark from either end on; 1 if all are."""
+    n = F.size(means)
+    first = F.array_position(F.transform(means, lambda x: x >= dark), True)
+    last = F.array_position(F.reverse(F.transform(means, lambda x: x >= dark)), True)
+    return F.when(first == 0, 1.0).otherwise((first + last - 2) / n)

@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
 from ..functions.chance import uniform
 
+c = F.col
+
 
 def artifact(spark: SparkSession, path: str, schema: StructType | str, made_by: str) -> DataFrame:
     """One JSON document per file with a fixed schema; a missing file names the stage that makes it."""
@@ -26,8 +28,31 @@ def json_lines(spark: SparkSession, path: str, schema: StructType | str) -> Data
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """The words of every line that has some, with the file."""
-    words = F.array_remove(F.split("value", r"\s+"), "")
-    return spark.read.text(path).select(F.input_file_name().alias("file"), words.alias("words")).where("size(words) > 0")
+    return line_words(spark.read.text(path).select(F.input_file_name().alias("file"), "value"), "value")
+
+
+def line_words(rows: DataFrame, line: str) -> DataFrame:
+    """Rows with a line's ``words`` in its place; lines without any are left out."""
+    return rows.withColumn("words", F.array_remove(F.split(line, r"\s+"), "")).drop(line).where("size(words) > 0")
+
+
+def strided_csv(rows: DataFrame, file: str, order: str, line: str, every: int) -> DataFrame:
+    """(file, name, box, inside) of every ``every``-th line "name,x1,y1,x2,y2,gaze" of a file, from the first; a gaze below 0 is outside."""
+    at = F.row_number().over(Window.partitionBy(file).orderBy(order)) - 1
+    parts = rows.where(F.trim(line) != "").withColumn("at_", at).where(F.pmod("at_", F.lit(every)) == 0).withColumn("p", F.split(line, ","))
+    box = F.transform(F.slice("p", 2, 4), lambda x: F.rint(x.cast("double")).cast("int"))
+    return parts.select(file, F.trim(c("p")[0]).alias("name"), box.alias("box"), (c("p")[5].cast("double") >= 0).alias("inside"))
+
+
+def places(rows: DataFrame, path: str, kind: str) -> DataFrame:
+    """Names of place paths (without the first three characters, separators as blanks) and whether they are outdoors (kind 2)."""
+    return rows.withColumn("name", F.translate(F.substr(path, F.lit(4)), "/_", "  ")).withColumn("outdoor", c(kind) == "2")
+
+
+def usable_blocks(blocks: DataFrame, files: DataFrame, counts: DataFrame, item: str, boxes: str, labelled: Column) -> DataFrame:
+    """Frames of two boxes or more with a usable label, of the items whose files and blocks differ by one at most."""
+    fit = files.join(counts, item).where(F.abs(c("files") - c("blocks")) <= 1).select(item)
+    return blocks.where((F.size(boxes) >= 2) & labelled).join(fit, item, "left_semi")
 
 
 def blocks(rows: DataFrame, file: str, order: str, text: str) -> DataFrame:
