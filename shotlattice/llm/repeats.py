@@ -403,7 +403,9 @@ def unrepeated(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] =
         some = written(some, "texts")  # texts with repeats that may be long enough
         longs = repeated_windows(some, window)
         dropped(some)
-        found = marks.select("k1", "k2", F.col("windows").alias("marks")).join(longs, ["k1", "k2"], "left")
+        # written, so that both sides of the next join come from an exchange and copies of one text can be split
+        found = written(marks.select("k1", "k2", F.col("windows").alias("marks")).join(longs, ["k1", "k2"], "left"), "found")
+        dropped(marks, longs)
     both = rows.join(found, ["k1", "k2"], "left").select("text", "windows", "marks", *named)
 
     def cut(batches):
