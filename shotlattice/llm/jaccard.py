@@ -132,7 +132,7 @@ _LOW = np.uint64(1) << np.uint64(63)
 
 
 #: Text bytes, and classes, of a task that are counted before anything is sent; an owner of this number stands for several.
-HELD, SEVERAL = 16 << 20, 0xFFFF
+HELD, SEVERAL = 8 << 20, 0xFFFF
 
 
 def _first_of_class(info: np.ndarray) -> np.ndarray:
@@ -165,9 +165,11 @@ def _counted(rows: DataFrame, width: int, percent: int) -> DataFrame:
             info = _first_of_class(np.concatenate(firsts))
             part = (info["k1"] % np.uint64(parts)).astype(np.int64)
             out = [(p, 2, info[part == p].tobytes()) for p in np.unique(part).tolist()]
-            t, own = np.concatenate(tokens), np.concatenate(owners)
+            t = np.concatenate(tokens)
             if len(t):
-                keys, own = np.unique(own, return_inverse=True)
+                keys, number = np.unique(np.concatenate([k for k, _ in owners]), return_inverse=True)
+                before = np.cumsum([0, *(len(k) for k, _ in owners)])
+                own = np.concatenate([number[b + o] for b, (_, o) in zip(before, owners)])
                 # 48 bits of the hash and 16 of the class: a shorter hash can only make an n-gram look shared
                 packed = np.unique(((t >> np.uint64(16)) << np.uint64(16)) | own.astype(np.uint64))
                 t = packed >> np.uint64(16)
@@ -205,7 +207,8 @@ def _counted(rows: DataFrame, width: int, percent: int) -> DataFrame:
                     if state["classes"] + b - a >= SEVERAL:
                         yield sent()
                     first = _first_of_class(info[n > 0])
-                    firsts.append(first), tokens.append(h[low]), owners.append(k1[r[low]])
+                    keys, of = np.unique(k1, return_inverse=True)
+                    firsts.append(first), tokens.append(h[low]), owners.append((keys, of[r[low]].astype(np.int32)))
                     state["classes"] += len(first)
                     state["size"] += int(offsets[b] - offsets[a])
                     if state["size"] >= HELD:
