@@ -366,27 +366,33 @@ def asof_hold(spark, d):
     return e.select("event_id", "label", Q.held(e, ["video"], "frame", "seen", 21600).alias("held")).where("label = 'purchase'").drop("label")
 
 
-@query(f"{WITH}, p AS (SELECT DISTINCT video, segment FROM e WHERE label = 'purchase') SELECT a.video AS a, b.video AS b, count(*)::BIGINT AS n FROM p a JOIN p b ON a.segment = b.segment AND a.video < b.video GROUP BY 1, 2")
-def co_presence(spark, d):
-    return J.co_presence(events(spark, d).where("label = 'purchase'"), "video", ["segment"])
+#: Pair queries see all events, with the hour as place: a day holds too many users.
+PLACES_SQL = f"{WITH}, h AS (SELECT *, frame // 3600 AS hour FROM e)"
+PAIRS_SQL = f"{PLACES_SQL}, s AS (SELECT video, hour AS segment, avg(value) AS value, avg(k) AS k FROM h GROUP BY ALL), p AS (SELECT a.video AS a, b.video AS b, a.segment, a.value AS av, b.value AS bv, a.k AS ak, b.k AS bk FROM s a JOIN s b ON a.segment = b.segment AND a.video < b.video)"
 
 
-PAIRS_SQL = f"{WITH}, s AS (SELECT video, segment, avg(value) AS value, avg(k) AS k FROM e WHERE label = 'purchase' GROUP BY ALL), p AS (SELECT a.video AS a, b.video AS b, a.segment, a.value AS av, b.value AS bv, a.k AS ak, b.k AS bk FROM s a JOIN s b ON a.segment = b.segment AND a.video < b.video)"
+def hours(spark, d):
+    return events(spark, d).withColumn("segment", F.floor(F.col("frame") / 3600))
 
 
-def day_pairs(spark, d):
-    s = events(spark, d).where("label = 'purchase'").groupBy("video", "segment").agg(F.avg("value").alias("value"), F.avg("k").alias("k"))
+def hour_pairs(spark, d):
+    s = hours(spark, d).groupBy("video", "segment").agg(F.avg("value").alias("value"), F.avg("k").alias("k"))
     return J.pairs_at(s, "video", ["segment"], ["value", "k"])
 
 
+@query(f"{PLACES_SQL}, p AS (SELECT DISTINCT video, hour FROM h) SELECT a.video AS a, b.video AS b, count(*)::BIGINT AS n FROM p a JOIN p b ON a.hour = b.hour AND a.video < b.video GROUP BY 1, 2")
+def co_presence(spark, d):
+    return J.co_presence(hours(spark, d), "video", ["segment"])
+
+
 @query(f"{PAIRS_SQL} SELECT a, b, count(*)::BIGINT AS n, count(*) >= 5 AS available, CASE WHEN count(*) >= 5 AND stddev_pop(av) >= 1e-9 AND stddev_pop(bv) >= 1e-9 THEN covar_pop(av, bv) / (stddev_pop(av) * stddev_pop(bv)) END AS r FROM p GROUP BY 1, 2", "r")
 def synchrony(spark, d):
-    return J.synchrony(day_pairs(spark, d), "value", 5)
+    return J.synchrony(hour_pairs(spark, d), "value", 5)
 
 
 @query(f"{PAIRS_SQL}, g AS (SELECT a, b, avg(av - bv) AS dx, avg(ak - bk) AS dy, coalesce(avg(CASE WHEN bv > 0 THEN av / bv END), 1) AS ratio FROM p GROUP BY 1, 2) SELECT *, CASE WHEN dx < 0 THEN 'left' ELSE 'right' END AS side, CASE WHEN dy < 0 THEN 'above' ELSE 'below' END AS height, CASE WHEN ratio > 1.15 THEN 'a' WHEN ratio < 0.87 THEN 'b' END AS nearer FROM g", "dx dy ratio")
 def placement(spark, d):
-    return J.placement(day_pairs(spark, d), "value", "k", "value")
+    return J.placement(hour_pairs(spark, d), "value", "k", "value")
 
 
 LOOKS_SQL = f"{PAIRS_SQL}, l AS (SELECT a % 100 AS a, b % 100 AS b, segment, abs(ak - bk) < 20 AS hit FROM p), g AS (SELECT a, b, segment, count(*) AS n, sum(hit::INT) AS hits FROM l GROUP BY ALL), t AS (SELECT a, b, sum(n)::BIGINT AS n, sum(hits)::BIGINT AS hits, sum(hits) / sum(n) AS share FROM g GROUP BY ALL), k AS (SELECT a, b, hits / n AS peak_share, n::BIGINT AS peak_n, segment AS peak_segment FROM g WHERE n >= 3 QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY hits / n DESC, n DESC, segment) = 1)"
@@ -399,52 +405,11 @@ def looks(pairs):
 
 @query(f"{LOOKS_SQL} SELECT * FROM t LEFT JOIN k USING (a, b)", "share peak_share")
 def looks_at(spark, d):
-    return looks(day_pairs(spark, d))
+    return looks(hour_pairs(spark, d))
 
 
 @query(f"{LOOKS_SQL} SELECT a, b FROM t LEFT JOIN k USING (a, b) WHERE peak_share >= 0.5")
 def relation_evidence(spark, d):
-    return looks(day_pairs(spark, d)).where("peak_share >= 0.5").select("a", "b")
-
-
-# The pair queries above see one label, as their SQL does; these see all events, with the hour as place since a day holds too many users.
-
-
-HOURS_SQL = f"{WITH}, h AS (SELECT *, frame // 3600 AS hour FROM e)"
-HOUR_PAIRS_SQL = f"{HOURS_SQL}, s AS (SELECT video, hour AS segment, avg(value) AS value, avg(k) AS k FROM h GROUP BY ALL), p AS (SELECT a.video AS a, b.video AS b, a.segment, a.value AS av, b.value AS bv, a.k AS ak, b.k AS bk FROM s a JOIN s b ON a.segment = b.segment AND a.video < b.video)"
-
-
-def hours(spark, d):
-    return events(spark, d).withColumn("segment", F.floor(F.col("frame") / 3600))
-
-
-def hour_pairs(spark, d):
-    s = hours(spark, d).groupBy("video", "segment").agg(F.avg("value").alias("value"), F.avg("k").alias("k"))
-    return J.pairs_at(s, "video", ["segment"], ["value", "k"])
-
-
-@query(f"{HOURS_SQL}, p AS (SELECT DISTINCT video, hour FROM h) SELECT a.video AS a, b.video AS b, count(*)::BIGINT AS n FROM p a JOIN p b ON a.hour = b.hour AND a.video < b.video GROUP BY 1, 2")
-def co_presence_all(spark, d):
-    return J.co_presence(hours(spark, d), "video", ["segment"])
-
-
-@query(_SQL["synchrony"].replace(PAIRS_SQL, HOUR_PAIRS_SQL))
-def synchrony_all(spark, d):
-    return J.synchrony(hour_pairs(spark, d), "value", 5)
-
-
-@query(_SQL["placement"].replace(PAIRS_SQL, HOUR_PAIRS_SQL))
-def placement_all(spark, d):
-    return J.placement(hour_pairs(spark, d), "value", "k", "value")
-
-
-@query(_SQL["looks_at"].replace(PAIRS_SQL, HOUR_PAIRS_SQL))
-def looks_at_all(spark, d):
-    return looks(hour_pairs(spark, d))
-
-
-@query(_SQL["relation_evidence"].replace(PAIRS_SQL, HOUR_PAIRS_SQL))
-def relation_evidence_all(spark, d):
     return looks(hour_pairs(spark, d)).where("peak_share >= 0.5").select("a", "b")
 
 
@@ -752,7 +717,7 @@ def kappa(spark, d):
     return C.kappa(labelled_docs(spark, d), ["lang"], "quality", "said")
 
 
-FUZZY_SQL = f"{WITH}, a AS (SELECT DISTINCT video, label FROM e WHERE segment < 10), b AS (SELECT DISTINCT video, label FROM e WHERE segment >= 20), s(l, r) AS (SELECT x.label, y.label FROM (SELECT DISTINCT label FROM e) x, (SELECT DISTINCT label FROM e) y WHERE x.label = y.label OR substr(x.label, 1, 1) = substr(y.label, 1, 1)), f AS (SELECT video, label, EXISTS (SELECT 1 FROM s JOIN b ON b.label = s.r WHERE s.l = a.label AND b.video = a.video) AS hit FROM a), g AS (SELECT video, label, EXISTS (SELECT 1 FROM s JOIN a ON a.label = s.l WHERE s.r = b.label AND a.video = b.video) AS hit FROM b), fa AS (SELECT video, count(*) AS n, count(*) FILTER (hit) AS h FROM f GROUP BY 1), ga AS (SELECT video, count(*) AS n, count(*) FILTER (hit) AS h FROM g GROUP BY 1) SELECT video, coalesce(fa.n - fa.h, 0)::BIGINT AS only_first, coalesce(fa.h, 0)::BIGINT AS common, coalesce(ga.n - ga.h, 0)::BIGINT AS only_second FROM fa FULL JOIN ga USING (video)"
+FUZZY_SQL = f"{WITH}, a AS (SELECT DISTINCT video, label FROM e WHERE segment < 16), b AS (SELECT DISTINCT video, label FROM e WHERE segment >= 16), s(l, r) AS (SELECT x.label, y.label FROM (SELECT DISTINCT label FROM e) x, (SELECT DISTINCT label FROM e) y WHERE x.label = y.label OR substr(x.label, 1, 1) = substr(y.label, 1, 1)), f AS (SELECT video, label, EXISTS (SELECT 1 FROM s JOIN b ON b.label = s.r WHERE s.l = a.label AND b.video = a.video) AS hit FROM a), g AS (SELECT video, label, EXISTS (SELECT 1 FROM s JOIN a ON a.label = s.l WHERE s.r = b.label AND a.video = b.video) AS hit FROM b), fa AS (SELECT video, count(*) AS n, count(*) FILTER (hit) AS h FROM f GROUP BY 1), ga AS (SELECT video, count(*) AS n, count(*) FILTER (hit) AS h FROM g GROUP BY 1) SELECT video, coalesce(fa.n - fa.h, 0)::BIGINT AS only_first, coalesce(fa.h, 0)::BIGINT AS common, coalesce(ga.n - ga.h, 0)::BIGINT AS only_second FROM fa FULL JOIN ga USING (video)"
 
 
 def fuzzy_overlap(spark, d, until, since):
@@ -765,11 +730,6 @@ def fuzzy_overlap(spark, d, until, since):
 
 @query(FUZZY_SQL)
 def fuzzy_topic_overlap(spark, d):
-    return fuzzy_overlap(spark, d, 10, 20)
-
-
-@query(FUZZY_SQL.replace("segment < 10", "segment < 16").replace("segment >= 20", "segment >= 16"))
-def fuzzy_topic_overlap_all(spark, d):
     return fuzzy_overlap(spark, d, 16, 16)
 
 

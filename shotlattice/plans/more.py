@@ -9,7 +9,7 @@ from ..functions.chance import uniform_sql
 from ..operators import joins as J, media as M, scoring as C, similarity
 from ..sources import readers
 from .adapters import events, table
-from .catalogue import CI_SQL, FIELDS_SQL, HOURS_SQL, LABELLED_SQL, SPANS_SQL, WITH, day_spans, hours, labelled_docs, poisson_sql, query
+from .catalogue import CI_SQL, FIELDS_SQL, LABELLED_SQL, PLACES_SQL, SPANS_SQL, WITH, day_spans, hours, labelled_docs, poisson_sql, query
 
 c = F.col
 
@@ -70,13 +70,8 @@ def longest_range(spark, d):
     return M.longest(day_spans(spark, d), ["video"], "start", "end")
 
 
-@query(f"{WITH}, p AS (SELECT DISTINCT a.video AS a, b.video AS b FROM e a JOIN e b ON a.segment = b.segment AND a.label = 'error' AND b.label = 'error' AND a.video < b.video), n AS (SELECT a AS node FROM p UNION ALL SELECT b FROM p) SELECT node, count(*)::BIGINT AS degree FROM n GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8")
+@query(f"{PLACES_SQL}, p AS (SELECT DISTINCT a.video AS a, b.video AS b FROM h a JOIN h b ON a.hour = b.hour AND a.video < b.video), n AS (SELECT a AS node FROM p UNION ALL SELECT b FROM p) SELECT node, count(*)::BIGINT AS degree FROM n GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8")
 def graph_degrees(spark, d):
-    return M.degrees(J.co_presence(events(spark, d).where("label = 'error'"), "video", ["segment"]), 8)
-
-
-@query(f"{HOURS_SQL}, p AS (SELECT DISTINCT a.video AS a, b.video AS b FROM h a JOIN h b ON a.hour = b.hour AND a.video < b.video), n AS (SELECT a AS node FROM p UNION ALL SELECT b FROM p) SELECT node, count(*)::BIGINT AS degree FROM n GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8")
-def graph_degrees_all(spark, d):
     return M.degrees(J.co_presence(hours(spark, d), "video", ["segment"]), 8)
 
 

@@ -144,12 +144,11 @@ def region_coverage(spark, d):
     return region_shares(events(spark, d), ["video"], "label", 2)
 
 
-@query(f"{WITH}, n AS (SELECT video % 50 AS video, label, count(*) AS n, count(*) FILTER (k > 50) AS p FROM e GROUP BY ALL) SELECT video, coalesce(max(p) FILTER (label = 'view') / nullif(max(n) FILTER (label = 'view'), 0), 0) AS view, coalesce(max(p) FILTER (label = 'click') / nullif(max(n) FILTER (label = 'click'), 0), 0) AS click FROM n GROUP BY 1", "view click")
+@query(f"{WITH}, n AS (SELECT video, label, count(*) AS n, count(*) FILTER (k > 50) AS p FROM e GROUP BY ALL) SELECT video, coalesce(max(p) FILTER (label = 'view') / nullif(max(n) FILTER (label = 'view'), 0), 0) AS view, coalesce(max(p) FILTER (label = 'click') / nullif(max(n) FILTER (label = 'click'), 0), 0) AS click FROM n GROUP BY 1", "view click")
 def counter_matrix(spark, d):
     from ..operators.shapes import counters
 
-    e = events(spark, d).withColumn("video", c("video") % 50)
-    m = counters(e, "video", "label", {"n": F.lit(1), "present": (c("k") > 50).cast("int")}, ["click", "view"])
+    m = counters(events(spark, d), "video", "label", {"n": F.lit(1), "present": (c("k") > 50).cast("int")}, ["click", "view"])
     return m.select("video", *[F.coalesce(F.try_divide(f"{x}_present", f"{x}_n"), F.lit(0.0)).alias(x) for x in ("view", "click")])
 
 

@@ -62,15 +62,15 @@ def test_pair_queries_see_every_event(spark):
     places = e.assign(hour=(e.ts - start) // pd.Timedelta(hours=1)).groupby("hour").user_id.agg(lambda u: sorted(set(u)))
     want = pd.Series([(a, b) for users in places for i, a in enumerate(users) for b in users[i + 1 :]]).value_counts().to_dict()
     q = catalogue.queries()
-    assert {(r.a, r.b): r.n for r in q["co_presence_all"](spark, SF).collect()} == want
-    for name in ("synchrony_all", "placement_all"):
+    assert {(r.a, r.b): r.n for r in q["co_presence"](spark, SF).collect()} == want
+    for name in ("synchrony", "placement"):
         assert {(r.a, r.b) for r in q[name](spark, SF).collect()} == set(want)
-    assert sum(r.n for r in q["looks_at_all"](spark, SF).collect()) == sum(want.values())
+    assert sum(r.n for r in q["looks_at"](spark, SF).collect()) == sum(want.values())
     degrees = pd.Series([x for pair in want for x in pair]).value_counts()
-    assert sorted(r.degree for r in q["graph_degrees_all"](spark, SF).collect()) == sorted(degrees.nlargest(8))
+    assert sorted(r.degree for r in q["graph_degrees"](spark, SF).collect()) == sorted(degrees.nlargest(8))
     early = (e.ts - start).dt.days < 16
     labels = [e[x].groupby("user_id").event_type.agg(set).to_dict() for x in (early, ~early)]
-    got = {r.video: r for r in q["fuzzy_topic_overlap_all"](spark, SF).collect()}
+    got = {r.video: r for r in q["fuzzy_topic_overlap"](spark, SF).collect()}
     assert set(got) == set(e.user_id)
     for v, r in got.items():
         a, b = (x.get(v, set()) for x in labels)
