@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import bands as B, geometry as G, strings as S, vectors as V
-from ..operators import distance as D, entity as E, joins as J, records, routing as R, scoring as C, sequences as Q, stats as A
+from ..operators import blocks, distance as D, entity as E, joins as J, records, routing as R, scoring as C, sequences as Q, stats as A
 from ..functions.chance import uniform_sql
 from .adapters import EVENTS_SQL, events, rounded, rounded_sql, table
 
@@ -537,6 +537,14 @@ def field_pairs(spark, d):
     return raw, v.where("y is null").select(F.lit("errors").alias("field"), "item")
 
 
+def collection(spark, d):
+    """The three fields as dense vectors, for scores in blocks."""
+    e = events(spark, d)
+    v = e.groupBy(F.col("video").alias("item")).agg(F.avg("value").alias("mean"), F.avg(F.when(F.col("label") == "error", F.col("k"))).alias("errors"))
+    items = v.join(blocks.dense(item_mix(spark, d), "item", "label", "share").withColumnRenamed("v", "mix"), "item", "left")
+    return blocks.Collection(items, [("mix", "plastic", "label", "mix"), ("mean", "plastic", "value", "scalar"), ("errors", "figurative", "value", "scalar")])
+
+
 def imputed(spark, d):
     raw, lacks = field_pairs(spark, d)
     return D.impute(D.calibrate_scale(raw), lacks)
@@ -559,7 +567,7 @@ def impute_mean(spark, d):
 
 @query(f"{FIELDS_SQL} SELECT a, b, level, grp, score FROM g UNION ALL SELECT a, b, level, NULL, score FROM lv UNION ALL SELECT a, b, NULL, NULL, score FROM al", "score")
 def score_tree(spark, d):
-    return D.score_tree(imputed(spark, d))
+    return collection(spark, d).tree()
 
 
 NEAR_SQL = f"{FIELDS_SQL}, w AS (SELECT a, b, round(score, 9) AS score FROM al), x AS (SELECT a AS item, b AS other, score FROM w UNION ALL SELECT b, a, score FROM w) SELECT *, row_number() OVER (PARTITION BY item ORDER BY score, other)::INT AS rank FROM x WHERE score IS NOT NULL QUALIFY rank <= 5"
@@ -567,8 +575,7 @@ NEAR_SQL = f"{FIELDS_SQL}, w AS (SELECT a, b, round(score, 9) AS score FROM al),
 
 @query(NEAR_SQL, "score")
 def nearest_items(spark, d):
-    whole = D.score_tree(imputed(spark, d)).where("level is null").select("a", "b", F.round("score", 9).alias("score"))
-    return D.nearest(whole, "score", 5)
+    return collection(spark, d).nearest(5)
 
 
 @query(
