@@ -16,18 +16,21 @@ The tables hold the model: counts of every level in lots. Nothing grows on the d
 from __future__ import annotations
 
 import pickle
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .common import buffers, hashed_words, mixed, parts_of, slices, written
+from .common import buffers, dropped, hashed_words, mixed, parts_of, slices, written
 
 END = np.uint64(0x5DEECE66D1234567)
 #: Counts up to K are discounted.
 K = 5
 ORDER = 3
-TOKENS = 1_000_000
+TOKENS = 600_000
 SLICE = 1 << 20
+#: Lots for each lot of the input's size, and turns in which the lots of a level are served: what is sent for a turn is gone before the next one begins.
+FINER, TURNS = 2, 3
 _DOC = np.dtype([("id", "<i8"), ("no_id", "u1"), ("train", "u1"), ("tokens", "<i8")])
 #: The history at a document's start, at every level.
 BEGIN = np.uint64(1 << 63)
@@ -315,17 +318,18 @@ class Chunk:
         self.level, self.logp = 1, uni.p(self.count)
         self.base = np.full(len(self.at), max(uni.tokens, 1), np.int64)  # what the level below divides by: c(h') and 1 more where it is closed
 
-    def distinct(self):
-        """Distinct n-grams of the next level whose history is known, ordered by lot: token of each, place of each token's n-gram (-1: none), lot and whether dealt by n-gram."""
+    def distinct(self, turn: int | None = None):
+        """Distinct n-grams of the next level whose history is known, ordered by lot: token of each, place of each token's n-gram (-1: none), lot and whether dealt by n-gram; with ``turn`` of its lots only."""
         history, count = np.roll(self.number, 1), np.roll(self.count, 1)
         history[self.first], count[self.first] = BEGIN, self.uni.documents
         self.history, self.history_count = history, count
         known = np.flatnonzero(count > 0)
+        if turn is not None:
+            known = known[self.lots(known)[0] % TURNS == turn]
         names, local = np.unique(history[known], return_inverse=True)
         key, token, at = np.unique((local.astype(np.uint64) << np.uint64(32)) | self.at[known], return_index=True, return_inverse=True)
         token = known[token]
-        hot = count[token] * self.parts > self.uni.tokens
-        lot = lot_of(mixed(np.where(hot, mixed(history[token]) + self.number_of_word(token), history[token]) + np.uint64(1)), self.parts)
+        lot, hot = self.lots(token)
         order = np.argsort(lot * 2 + hot, kind="stable")  # inside a lot by history, then by word
         place = np.empty(len(key), np.int64)
         place[order] = np.arange(len(key))
@@ -333,6 +337,12 @@ class Chunk:
         where[known] = place[at]
         return token[order], where, lot[order], hot[order]
 
+    def lots(self, token):
+        """The lot of each token's n-gram, and whether it is dealt by n-gram."""
+        history = self.history[token]
+        hot = self.history_count[token] * self.parts > self.uni.tokens
+        return lot_of(mixed(np.where(hot, mixed(history) + self.number_of_word(token), history) + np.uint64(1)), self.parts), hot
+
     def number_of_word(self, token):
         return self.word[self.at[token]]
 
@@ -389,15 +399,15 @@ def _climbed(rows: list[dict], uni: Unigrams, levels: list[Level], parts: int) -
     return c
 
 
-def counted_ngrams(chunk_rows: DataFrame, uni: Unigrams, levels: list[Level], parts: int, last: bool) -> DataFrame:
-    """The level above ``levels``. Answers (lot, counts, weights of histories, numbers unless it is the ``last``); MODEL: a lot of its table; TOTALS: counts of counts; DEALT: sums of histories dealt by n-gram."""
+def counted_ngrams(chunk_rows: DataFrame, uni: Unigrams, levels: list[Level], parts: int, last: bool, turn: int) -> DataFrame:
+    """The level above ``levels``, in the lots of a turn. Answers (lot, counts, weights of histories, numbers unless it is the ``last``); MODEL: a lot of its table; TOTALS: counts of counts; DEALT: sums of histories dealt by n-gram."""
     at_level = len(levels) + 2
     below = levels[-1].d if levels else uni.d
 
     def ask(key, table):
         c = _climbed(_rows(table), uni, levels, parts)
         chunk = key[0].as_py()
-        token, where, lot, hot = c.distinct()
+        token, where, lot, hot = c.distinct(turn)
         n = np.bincount(where[c.train & (where >= 0)], minlength=len(token)).astype(np.uint32)
         h, w, lower, base = c.history[token], c.number_of_word(token), c.count[token], c.base[token]
         out = []
@@ -411,10 +421,9 @@ def counted_ngrams(chunk_rows: DataFrame, uni: Unigrams, levels: list[Level], pa
     def count(key, table):
         part = key[0].as_py()
         out, totals, begin_number = [], np.zeros(K + 2, np.int64), 0
-        rows = table.select(["kind", "chunk", "a", "b"]).to_pylist()
         for hot in (0, 1):
             asked = []
-            for r in rows:
+            for r in (dict(zip(("kind", "chunk", "a", "b"), x)) for x in zip(*(table.column(x).to_pylist() for x in ("kind", "chunk", "a", "b")))):
                 if r["kind"] == hot:
                     n, lower, base = (unpacked(x, t) for x, t in zip(pickle.loads(r["b"]), (np.uint32, np.int64, np.int64)))
                     h, w, heads, start = unpaired(r["a"])
@@ -423,10 +432,15 @@ def counted_ngrams(chunk_rows: DataFrame, uni: Unigrams, levels: list[Level], pa
             if not asked:
                 continue
             h, w, n, lower, base = (np.concatenate([x[i] for x in asked]) for i in range(1, 6))
+            asked = [(x[0], len(x[1])) for x in asked]
             names, hi = np.unique(h, return_inverse=True)
             words, wi = np.unique(w, return_inverse=True)
+            del h, w
             keys, first, at = np.unique((hi.astype(np.uint64) << np.uint64(32)) | wi.astype(np.uint64), return_index=True, return_inverse=True)
+            hi = hi.astype(np.int32)
+            del wi
             total = np.bincount(at, n.astype(float)).astype(np.int64)
+            del n
             known = total > 0
             r = total[known]
             of = (keys[known] >> np.uint64(32)).astype(np.int64)  # place of its history in ``names``
@@ -449,10 +463,10 @@ def counted_ngrams(chunk_rows: DataFrame, uni: Unigrams, levels: list[Level], pa
             number = np.cumsum(known) - 1 + begin_number
             begin_number += int(known.sum())
             begin = 0
-            for chunk, own, *_ in asked:
-                mine = at[begin : begin + len(own)]
-                place = hi[begin : begin + len(own)]
-                begin += len(own)
+            for chunk, many in asked:
+                mine = at[begin : begin + many]
+                place = hi[begin : begin + many]
+                begin += many
                 weights = None
                 if not hot:
                     unseen = np.unique(place[(total[mine] == 0) & seen[place]])
@@ -506,15 +520,17 @@ def katz_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     A null text is empty and has one token, its end; texts of any length are scored whole. A null id is not held out. Repeated rows count, and are scored, each for itself. Without training documents
     every word is unknown. Ties need no rule. An empty table gives an empty result. Columns other than doc_id and text are not read.
     """
-    parts = parts_of(docs)
+    parts = parts_of(docs) * FINER
     chunks = written(chunked(docs, parts), "chunks")
-    own = chunks.select(F.lit(OWN).alias("kind"), "chunk", F.lit(-1).alias("part"), F.col("docs").alias("a"), F.col("tokens").alias("b"), F.lit(None).cast("binary").alias("c"))
-    tables = [written(counted_words(chunks, parts), "unigrams")]
-    totals = summed(tables[0], K + 5)
+    own = written(chunks.select(F.lit(OWN).alias("kind"), "chunk", F.lit(-1).alias("part"), F.col("docs").alias("a"), F.col("tokens").alias("b"), F.lit(None).cast("binary").alias("c")), "tokens")
+    unigrams = written(counted_words(chunks, parts), "unigrams")
+    dropped(chunks)
+    totals = summed(unigrams, K + 5)
     uni = Unigrams(*(int(x) for x in totals[:3]), totals[3 : 3 + K + 2])
-    rows, levels = own.unionByName(tables[0].where("kind = 1")), []
+    rows, levels = own.unionByName(unigrams.where("kind = 1")), []
     for level in range(2, order + 1):
-        tables.append(written(counted_ngrams(rows, uni, list(levels), parts, level == order), f"level-{level}"))
-        levels.append(Level(discounts(summed(tables[-1], K + 2)), *dealt_sums(tables[-1])))
-        rows = rows.unionByName(tables[-1].where(F.col("kind") == level))
+        turns = [written(counted_ngrams(rows, uni, list(levels), parts, level == order, turn), f"level-{level}") for turn in range(TURNS)]
+        table = reduce(DataFrame.unionByName, turns)
+        levels.append(Level(discounts(summed(table, K + 2)), *dealt_sums(table)))
+        rows = rows.unionByName(table.where(F.col("kind") == level))
     return scored(rows, uni, levels, parts)
