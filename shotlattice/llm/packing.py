@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, drained boolean"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, drained boolean, row long"
 #: Documents a task, about, where the table has as many; windows open in a task, at most (8 KB each at 2,048 ids).
 LEAST_DOCS, MOST_OPEN = 20_000, 8_192
 #: Entries of a worker's cache of encoded chunks; beyond it chunks are encoded again. About 100 bytes each.
@@ -152,7 +152,7 @@ def pack(docs: DataFrame, size: int = 2048, end: int = 1, tokenizer: str | None
 
     A document is the ids of its text, then ``end``. Pieces of a document have distinct ``start``; the pieces of a sequence are
     gapless from offset 0; ``drained`` pieces were joined by cutting, the others placed by the rule. A null text counts as empty (one id, the end); a null id stays null; repeated rows are packed
-    each for itself; texts of any length are taken whole; an empty table gives an empty result. Of levels that leave equal sums the fullest is taken. Other columns are not read, whatever
+    each for itself, told apart by ``row``, a number of the row that is unique over the result; texts of any length are taken whole; an empty table gives an empty result. Of levels that leave equal sums the fullest is taken. Other columns are not read, whatever
     their names. ``sequence_id`` is unique over the result. ``tokenizer``: a file of ``tokenizers`` with the same vocabulary as ranks beside it.
     """
     if tokenizer is None:
@@ -168,15 +168,16 @@ def pack(docs: DataFrame, size: int = 2048, end: int = 1, tokenizer: str | None
 
         encode = _chunks(tokenizer)
         packer = Packer(size, TaskContext.get().partitionId() << 40)
-        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "drained"]
+        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "drained", "row"]
         out: list[tuple] = []
         stop = np.array([end], "<u4").tobytes()
+        row = (TaskContext.get().partitionId() << 40) - 1
 
         def close(window, drained):
             s, at = packer.sequence(), 0
-            for (doc, ids, total, before), start, length in window:  # of a document only the ids of its last window are held: those from ``before`` on
+            for (doc, ids, total, before, row), start, length in window:  # of a document only the ids of its last window are held: those from ``before`` on
                 x = (start - before) * 4
-                out.append((doc, start, length, zlib.crc32(ids[x : x + length * 4]), total, s, at, drained))
+                out.append((doc, start, length, zlib.crc32(ids[x : x + length * 4]), total, s, at, drained, row))
                 at += length
 
         def flushed():
@@ -186,14 +187,15 @@ def pack(docs: DataFrame, size: int = 2048, end: int = 1, tokenizer: str | None
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                row += 1
                 ids = encode(text.as_py()) + stop
                 total = len(ids) // 4
                 at = 0
                 while total - at >= size:
-                    out.append((doc, at, size, zlib.crc32(ids[at * 4 : (at + size) * 4]), total, packer.sequence(), 0, False))
+                    out.append((doc, at, size, zlib.crc32(ids[at * 4 : (at + size) * 4]), total, packer.sequence(), 0, False, row))
                     at += size
                 if at < total:
-                    full = packer.place(((doc, ids[at * 4 :], total, at), at), total - at)
+                    full = packer.place(((doc, ids[at * 4 :], total, at, row), at), total - at)
                     if full:
                         close(full, False)
                     elif packer.count.sum() > most_open:

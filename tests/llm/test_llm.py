@@ -728,7 +728,28 @@ def test_pipeline_stages(spark):
     taken = {r.doc_id: r.taken // r["size"] for r in mixing.mix(three).collect() if r["size"]}
     assert four.columns == docs.columns and all(copies[i] == n for i, n in taken.items())
     pieces = stages[4](spark, four, SF).toPandas()
-    assert pieces.groupby("doc_id").apply(lambda g: (g.start == 0).sum(), include_groups=False).to_dict() == dict(copies)
+    assert pieces.groupby("doc_id").row.nunique().to_dict() == dict(copies)
+    assert not pieces.duplicated(["row", "start"]).any() and (pieces.groupby("row").length.sum() == pieces.groupby("row").doc_tokens.first()).all()
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(41)
+    passage = prose(rng, 60)
+    texts = [*odd_texts(), *(f"{prose(rng, 40)}\n{passage}\n{prose(rng, 40)}" for _ in range(12)), *(prose(rng, rng.randint(20, 90)) for _ in range(20))]
+    texts += [texts[-1]] * 3
+    rows = [(None if i == 3 else i, t, None if i % 7 == 0 else "en", None if i % 5 == 0 else "s", len(t or "")) for i, t in enumerate(texts)] + [(50, texts[-5], "en", "s", 1)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("row", F.lit("r")).withColumn("size", F.lit(1)).withColumn("k1", F.lit(2)).withColumn("hash", F.lit("h"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    known = {t for t in texts if t}
+    assert len(pieces) and not pieces.duplicated(["row", "start"]).any()
+    assert set(pieces.doc_id.dropna().astype(int)) <= {r[0] for r in rows if r[0] is not None} and known
+    sizes = pieces.groupby("sequence_id").length.sum()
+    assert ((sizes == 2048) | (sizes & (sizes - 1) == 0)).all()
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
 
 
 def test_queries_are_registered():
