@@ -11,8 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 c = F.col
-#: Items of a block; labels that a dense vector may have.
-SIZE, VOCABULARY = 256, 4096
+#: Items of a block; labels that a dense vector may have; bins by which a quantile is found.
+SIZE, VOCABULARY, BINS = 256, 4096, 4096
 
 
 def dense(labels: DataFrame, item: str, label: str, value: str) -> DataFrame:
@@ -101,27 +101,84 @@ class Collection:
         n = items.count()
         blocks = max(1, -(-n // size))
         fields = [c(f).cast("array<double>" if k not in ("share", "scalar") else "double").alias(f) for f, _, _, k in specs]
+        self.items = items.select("item", *fields)
         block = F.pmod(F.xxhash64("item"), F.lit(blocks)).cast("int")
         dealt = items.select("item", *fields, block.alias("own")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
         self.tiles = dealt.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "item", *[f for f, *_ in specs])
         self._scale: tuple[dict, dict] | None = None
 
-    def raw(self) -> DataFrame:
-        """(field, raw) of every measured pair."""
-        specs = self.specs
-
-        def run(g: pd.DataFrame) -> pd.DataFrame:
+    def _spans(self) -> dict[str, float]:
+        """No distance of a field is larger than this."""
+        most = []
+        for f, _, _, kind in self.specs:
+            if kind in ("share", "scalar"):
+                most.append((F.max(f) - F.min(f)).alias(f))
+            elif kind == "samples":
+                most.append((F.max(F.array_max(f)) - F.min(F.array_min(f))).alias(f))
+            else:
+                most.append(F.lit(1.0).alias(f))
+        found = self.items.agg(*most).first()
+        return {f: float(found[f] or 0.0) for f, *_ in self.specs}
+
+    def quantiles(self, q: float = 0.9) -> dict[str, float]:
+        """Each field's quantile of all measured distances, linear between neighbours; distances are counted by bins, then only those of the bins that hold it are looked at."""
+        specs, spans = self.specs, self._spans()
+
+        def binned(m, f):
+            return np.minimum((m / (spans[f] or 1.0) * BINS).astype(np.int64), BINS - 1)
+
+        def counted(g: pd.DataFrame) -> pd.DataFrame:
             _, once, raw = _matrices(g, specs)
-            out = [(f, m[once & ~np.isnan(m)]) for f, (m, _) in raw.items()]
-            return pd.DataFrame({"field": np.repeat([f for f, _ in out], [len(v) for _, v in out]), "raw": np.concatenate([v for _, v in out])})
-
-        return self.tiles.groupBy("i", "j").applyInPandas(run, "field string, raw double")
+            out = []
+            for f, (m, _) in raw.items():
+                n = np.bincount(binned(m[once & ~np.isnan(m)], f), minlength=1)
+                at = np.flatnonzero(n)
+                out.append(pd.DataFrame({"field": f, "bin": at, "n": n[at]}))
+            return pd.concat(out)
+
+        counts = self.tiles.groupBy("i", "j").applyInPandas(counted, "field string, bin long, n long").groupBy("field", "bin").agg(F.sum("n").alias("n")).toPandas()  # at most BINS rows a field
+        wanted = {}
+        for f, own in counts.groupby("field"):
+            own = own.sort_values("bin")
+            upto, total = own["n"].cumsum().to_numpy(), int(own["n"].sum())
+            at = q * (total - 1)
+            ranks = int(np.floor(at)), int(np.ceil(at))
+            places = [int(np.searchsorted(upto, r, "right")) for r in ranks]
+            bins = own["bin"].to_numpy()[places]
+            wanted[f] = (ranks, at, set(bins.tolist()), int(upto[places[0]] - own["n"].to_numpy()[places[0]]))
+        if not wanted:
+            return {}
+        which = {f: w[2] for f, w in wanted.items()}
+
+        def near(g: pd.DataFrame) -> pd.DataFrame:
+            _, once, raw = _matrices(g, specs)
+            out = [pd.DataFrame({"field": pd.Series([], dtype=str), "raw": pd.Series([], dtype=float), "n": pd.Series([], dtype=int)})]
+            for f in which:
+                v = raw[f][0][once & ~np.isnan(raw[f][0])]
+                v, n = np.unique(v[np.isin(binned(v, f), list(which[f]))], return_counts=True)
+                out.append(pd.DataFrame({"field": f, "raw": v, "n": n}))
+            return pd.concat(out)
+
+        values = self.tiles.groupBy("i", "j").applyInPandas(near, "field string, raw double, n long").groupBy("field", "raw").agg(F.sum("n").alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("field").orderBy("raw"))
+        ranks = F.create_map(*[F.lit(x) for f, w in wanted.items() for x in (f, w[3])])
+        values = values.withColumn("past", upto + ranks[c("field")]).withColumn("from", c("past") - c("n"))
+        hit = F.lit(False)
+        for f, (rs, *_) in wanted.items():
+            for r in rs:
+                hit = hit | ((c("field") == f) & (c("from") <= r) & (c("past") > r))
+        found = values.where(hit).collect()  # two rows a field
+        out = {}
+        for f, (rs, at, *_) in wanted.items():
+            low, high = (next(x.raw for x in found if x.field == f and x["from"] <= r < x.past) for r in rs)
+            out[f] = low + (high - low) * (at - rs[0])
+        return out
 
     def scale(self) -> tuple[dict[str, float], dict[str, float]]:
         """Each field's 0.9 quantile of the measured distances, and the mean of the calibrated ones."""
         specs = self.specs
         if self._scale is None:
-            top = {r.field: r.q for r in self.raw().groupBy("field").agg(F.percentile("raw", F.lit(0.9)).alias("q")).collect()}  # one row a field
+            top = self.quantiles()
 
             def run(g: pd.DataFrame) -> pd.DataFrame:
                 _, once, raw = _matrices(g, specs)
