@@ -37,6 +37,16 @@ def _distance(kind: str, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         for i, row in enumerate(x):
             low, high = np.minimum(row, y).sum(axis=1), np.maximum(row, y).sum(axis=1)
             d[i] = np.divide(high - low, high, out=np.full(len(y), np.nan), where=high > 0)
+    elif kind.startswith("histogram"):  # mean over the channels that both have; the widths of channels follow the name
+        edges = np.cumsum([0, *map(int, kind.split(":")[1].split(","))])
+        each = []
+        for a, b in zip(edges, edges[1:]):
+            p, q = x[:, a:b], y[:, a:b]
+            m = np.sqrt(np.maximum(0, 1 - np.sqrt(p) @ np.sqrt(q).T))
+            m[(np.nansum(p, axis=1) == 0)[:, None] | (np.nansum(q, axis=1) == 0)] = np.nan
+            each.append(m)
+        n = np.sum([~np.isnan(m) for m in each], axis=0)
+        d = np.divide(np.nansum(each, axis=0), n, out=np.full((len(x), len(y)), np.nan), where=n > 0)
     elif kind == "samples":
         d = np.array([np.abs(row - y).mean(axis=1) for row in x]).reshape(len(x), len(y))
     else:
@@ -93,10 +103,11 @@ def _tree(g: pd.DataFrame, specs, scale):
 
 
 class Collection:
-    """``items``: item and one column a field, a number or a dense array, null where it has none. ``specs``: (field, level, group, kind)."""
+    """``items``: item and one column a field, a number or a dense array, null where it has none. ``specs``: (field, level, group, kind). ``calibrated``: the kinds that are; all if absent."""
 
-    def __init__(self, items: DataFrame, specs: list[tuple[str, str, str, str]], size: int = SIZE):
+    def __init__(self, items: DataFrame, specs: list[tuple[str, str, str, str]], size: int = SIZE, calibrated: tuple[str, ...] | None = None):
         self.specs = specs
+        self.free = {f for f, _, _, k in specs if calibrated is not None and k not in calibrated}
         self.kind = dict(items.dtypes)["item"]
         n = items.count()
         blocks = max(1, -(-n // size))
@@ -178,7 +189,7 @@ class Collection:
         """Each field's 0.9 quantile of the measured distances, and the mean of the calibrated ones."""
         specs = self.specs
         if self._scale is None:
-            top = self.quantiles()
+            top = {f: q for f, q in self.quantiles().items() if f not in self.free}
 
             def run(g: pd.DataFrame) -> pd.DataFrame:
                 _, once, raw = _matrices(g, specs)

@@ -179,9 +179,52 @@ def readings(spark, d):
     return similarity.Readings(e.select("item").distinct(), labels, numbers, samples, named(arc, "brightness arc").unionByName(named(arc, "emotion arc")), tuple(f for f in similarity.FIELDS if f[0] in ("medium", "objects", "brightness", "outdoor", "shot lengths")), tuple(f for f in similarity.ARCS if f[0] in ("brightness arc", "emotion arc")))
 
 
-@query()
+#: All fields and arcs with readings of their own from the same events: field i takes those with (k + i) % 3 <> 0, every fifth none of the users whose number is divisible by 7.
+EVERY = tuple((i, *f) for i, f in enumerate((*similarity.FIELDS, *similarity.ARCS)))
+
+
+def all_readings(spark, d):
+    rows = spark.createDataFrame([(i, name, kind, name.endswith(" arc")) for i, name, _, _, kind in EVERY], "i int, field string, kind string, arc boolean")
+    x = events(spark, d).withColumnRenamed("video", "item").crossJoin(F.broadcast(rows))  # 40 rows beside each
+    x = x.where(((c("k") + c("i")) % 3 != 0) & ((c("i") % 5 != 0) | (c("item") % 7 != 0)))
+    x = x.withColumn("label", F.when(c("kind") == "histogram", F.concat(F.element_at(F.array(*map(F.lit, "rgb")), (c("k") % 3 + 1).cast("int")), F.lit(":"), c("event_id") % 4)).otherwise(c("label")))
+    f = x.where("not arc")
+    labels = f.where("kind in ('mix', 'set', 'histogram')").groupBy("field", "item", "label").agg(F.sum("value").alias("w"))
+    share = F.avg((c("label") == "error").cast("double"))
+    numbers = f.where("kind in ('share', 'scalar')").groupBy("field", "item", "kind").agg(share.alias("s"), F.avg("value").alias("v")).select("field", "item", F.when(c("kind") == "share", c("s")).otherwise(c("v")).alias("x"))
+    samples = f.where("kind = 'samples'").select("field", "item", F.log1p("value").alias("x"), F.lit(1.0).alias("w"))
+    arcs = x.where("arc").groupBy("field", "item", c("segment").alias("place")).agg(F.avg("value").alias("x"), F.max("label").alias("state"), F.count(F.lit(1)).cast("double").alias("w"))
+    return similarity.Readings(events(spark, d).select(c("video").alias("item")).distinct(), labels, numbers, samples, arcs)
+
+
+EVERY_SQL = f"""{WITH}, fl(i, field, level, grp, kind) AS (VALUES {', '.join(f"({i}, '{n}', '{lv}', '{g}', '{k}')" for i, n, lv, g, k in EVERY)}), it AS (SELECT DISTINCT video AS item FROM e),
+x AS (SELECT fl.*, e.video AS item, event_id, segment, value, k, CASE WHEN kind = 'histogram' THEN ['r', 'g', 'b'][k % 3 + 1] || ':' || (event_id % 4) ELSE label END AS label FROM e, fl WHERE (k + i) % 3 <> 0 AND (i % 5 <> 0 OR e.video % 7 <> 0)),
+lb AS (SELECT field, kind, item, label, sum(value) AS w FROM x WHERE grp <> 'arc' AND kind IN ('mix', 'set', 'histogram') GROUP BY ALL), sh AS (SELECT field, item, CASE WHEN kind = 'histogram' THEN left(label, 1) ELSE '' END AS part, label, w FROM lb WHERE kind <> 'set'),
+ar AS (SELECT field, kind, item, segment AS place, avg(value) AS x, max(label) AS state, count(*)::DOUBLE AS w FROM x WHERE grp = 'arc' GROUP BY ALL), st AS (SELECT field, kind, item, place, w, x - lag(x) OVER o AS step, state || ' > ' || lead(state) OVER o AS change, w + lead(w) OVER o AS w2 FROM ar WINDOW o AS (PARTITION BY field, item ORDER BY place)),
+fs AS (SELECT field, quantile_cont(abs(step), 0.5) / 2 AS flat FROM st WHERE kind = 'number' AND step <> 0 GROUP BY 1), mv AS (SELECT field, item, CASE WHEN step > flat THEN 'rising' WHEN step < -flat THEN 'falling' ELSE 'flat' END AS label, sum(w) AS w FROM st JOIN fs USING (field) WHERE kind = 'number' AND step IS NOT NULL GROUP BY ALL UNION ALL SELECT field, item, change, sum(w2) FROM st WHERE kind <> 'number' AND change IS NOT NULL GROUP BY ALL),
+pt AS (SELECT field, item, part, label, w / sum(w) OVER (PARTITION BY field, item, part) AS p FROM (SELECT * FROM sh UNION ALL SELECT field, item, '' AS part, label, w FROM mv)), hv AS (SELECT DISTINCT field, item, part FROM pt),
+rt AS (SELECT a.field, a.item AS a, b.item AS b, a.part, sum(sqrt(a.p * b.p)) AS root FROM pt a JOIN pt b ON a.field = b.field AND a.part = b.part AND a.label = b.label AND a.item < b.item GROUP BY ALL),
+hd AS (SELECT x.field, x.item AS a, y.item AS b, avg(sqrt(greatest(0, 1 - coalesce(root, 0)))) AS raw FROM hv x JOIN hv y ON x.field = y.field AND x.part = y.part AND x.item < y.item LEFT JOIN rt ON rt.field = x.field AND rt.a = x.item AND rt.b = y.item AND rt.part = x.part GROUP BY 1, 2, 3),
+sn AS (SELECT field, count(DISTINCT item) AS n FROM lb WHERE kind = 'set' GROUP BY 1), sd AS (SELECT field, label, count(DISTINCT item) AS df FROM lb WHERE kind = 'set' GROUP BY ALL), sw AS (SELECT lb.field, item, label, CASE WHEN field IN ('tags', 'place', 'objects', 'animals') THEN w * ln((n + 1) / df) ELSE w END AS w FROM lb JOIN sn USING (field) JOIN sd USING (field, label)),
+tw AS (SELECT field, item, sum(w) AS t FROM sw GROUP BY ALL), lw AS (SELECT a.field, a.item AS a, b.item AS b, sum(least(a.w, b.w)) AS low FROM sw a JOIN sw b ON a.field = b.field AND a.label = b.label AND a.item < b.item GROUP BY ALL), jd AS (SELECT x.field, x.item AS a, y.item AS b, 1 - coalesce(low, 0) / nullif(x.t + y.t - coalesce(low, 0), 0) AS raw FROM tw x JOIN tw y ON x.field = y.field AND x.item < y.item LEFT JOIN lw ON lw.field = x.field AND lw.a = x.item AND lw.b = y.item),
+nm AS (SELECT field, item, CASE WHEN kind = 'share' THEN avg((label = 'error')::INT) ELSE avg(value) END AS x FROM x WHERE kind IN ('share', 'scalar') GROUP BY field, kind, item), nd AS (SELECT x.field, x.item AS a, y.item AS b, abs(x.x - y.x) AS raw FROM nm x JOIN nm y ON x.field = y.field AND x.item < y.item),
+sa AS (SELECT field, item, ln(1 + value) AS x, row_number() OVER o AS r, count(*) OVER (PARTITION BY field, item) AS n FROM x WHERE kind = 'samples' WINDOW o AS (PARTITION BY field, item ORDER BY value)), sp AS (SELECT field, item, x, (r - 0.5) / n AS pos, lead(x) OVER o AS x2, lead((r - 0.5) / n) OVER o AS pos2, r FROM sa WINDOW o AS (PARTITION BY field, item ORDER BY r)), gr AS (SELECT i AS pt, (i + 0.5) / 100 AS t FROM range(100) g(i)),
+sq AS (SELECT field, item, pt, CASE WHEN t <= pos OR pos2 IS NULL THEN x ELSE x + (x2 - x) * (t - pos) / (pos2 - pos) END AS q FROM sp JOIN gr ON (t >= pos OR r = 1) AND (pos2 IS NULL OR t < pos2)), wd AS (SELECT x.field, x.item AS a, y.item AS b, avg(abs(x.q - y.q)) AS raw FROM sq x JOIN sq y ON x.field = y.field AND x.pt = y.pt AND x.item < y.item GROUP BY ALL),
+raw AS (SELECT * FROM hd UNION ALL SELECT * FROM jd UNION ALL SELECT * FROM nd UNION ALL SELECT * FROM wd), q9 AS (SELECT field, quantile_cont(raw, 0.9) AS q FROM raw JOIN fl USING (field) WHERE kind IN ('scalar', 'samples') GROUP BY 1),
+cal AS (SELECT raw.field, a, b, CASE WHEN q > 0 THEN least(raw / q, 1) ELSE raw END AS v FROM raw LEFT JOIN q9 USING (field) WHERE raw IS NOT NULL), mn AS (SELECT field, avg(v) AS m FROM cal GROUP BY 1),
+ha AS (SELECT DISTINCT field, item FROM hv UNION SELECT field, item FROM tw UNION SELECT field, item FROM nm UNION SELECT DISTINCT field, item FROM sq), pr AS (SELECT x.item AS a, y.item AS b FROM it x JOIN it y ON x.item < y.item),
+im AS (SELECT fl.level, fl.grp, pr.a, pr.b, CASE WHEN v IS NOT NULL THEN v WHEN (h1.item IS NULL) <> (h2.item IS NULL) THEN m END AS v FROM fl CROSS JOIN pr LEFT JOIN cal ON cal.field = fl.field AND cal.a = pr.a AND cal.b = pr.b LEFT JOIN ha h1 ON h1.field = fl.field AND h1.item = pr.a LEFT JOIN ha h2 ON h2.field = fl.field AND h2.item = pr.b LEFT JOIN mn ON mn.field = fl.field),
+gm AS (SELECT a, b, level, grp, avg(v) AS s FROM im GROUP BY ALL), lm AS (SELECT a, b, level, avg(s) AS s FROM gm GROUP BY ALL), al AS (SELECT a, b, avg(s) AS s FROM lm GROUP BY ALL)"""
+
+
+@query(f"{EVERY_SQL}, y AS (SELECT a AS item, b AS other, s AS score FROM al UNION ALL SELECT b, a, s FROM al) SELECT *, row_number() OVER (PARTITION BY item ORDER BY round(score, 12), other)::INT AS rank FROM y WHERE score IS NOT NULL QUALIFY rank <= 5", "score")
 def similarity_nearest(spark, d):
-    return similarity.Similarity(readings(spark, d)).nearest(5)
+    return similarity.in_blocks(all_readings(spark, d)).nearest(5)
+
+
+@query(f"{EVERY_SQL} SELECT a, b, level, grp, s AS score FROM gm UNION ALL SELECT a, b, level, NULL, s FROM lm UNION ALL SELECT a, b, NULL, NULL, s FROM al", "score")
+def similarity_tree(spark, d):
+    return similarity.in_blocks(all_readings(spark, d)).tree()
 
 
 @query()
