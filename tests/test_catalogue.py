@@ -1,4 +1,4 @@
-"""Every registered query with SQL against DuckDB on the smallest tables."""
+"""Every registered query with SQL against DuckDB, on tables large enough for ties and rounding to show."""
 
 import glob
 import os
@@ -10,13 +10,13 @@ import pytest
 
 from shotlattice.plans import catalogue
 
-SF = "/root/testdata/sf0.001"
+SF, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for p in glob.glob(f"{SF}/*.parquet"):
+    for p in glob.glob(f"{LARGER}/*.parquet"):
         c.execute(f"CREATE VIEW {os.path.basename(p)[:-8]} AS SELECT * FROM '{p}'")
     return c
 
@@ -36,7 +36,7 @@ def normal(df: pd.DataFrame) -> pd.DataFrame:
 
 @pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
 def test_same_as_sql(spark, con, name):
-    got = normal(catalogue.queries()[name](spark, SF).toPandas())
+    got = normal(catalogue.queries()[name](spark, LARGER).toPandas())
     want = normal(con.sql(catalogue.oracle_sql()[name]).df())
     pd.testing.assert_frame_equal(got, want, check_dtype=False, rtol=1e-9, atol=1.1e-6)
 
