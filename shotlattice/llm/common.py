@@ -36,6 +36,23 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+#: Tables written and not dropped; results read them when they are evaluated, so they stay until the driver ends.
+_LIVE: set[str] = set()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _swept(spark: SparkSession) -> None:
+    try:
+        for path in sorted(_LIVE):
+            _delete(spark, path)
+    except Exception:  # the session has ended first; then whoever owns the shared folder empties it
+        pass
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: lineage is cut, a lost executor costs nothing already written."""
     spark = df.sparkSession
@@ -43,6 +60,9 @@ def written(df: DataFrame, what: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._llm_path = path
+    if not _LIVE:
+        atexit.register(_swept, spark)
+    _LIVE.add(path)
     del df
     gc.collect()
     spark._jvm.System.gc()  # shuffle files go when the driver's garbage does: ask for it, as their rows are in the table now
@@ -52,9 +72,8 @@ def written(df: DataFrame, what: str) -> DataFrame:
 def dropped(*tables: DataFrame) -> None:
     """Delete tables made by ``written`` that nothing reads any more."""
     for t in tables:
-        spark = t.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(t._llm_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(t.sparkSession, t._llm_path)
+        _LIVE.discard(t._llm_path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
