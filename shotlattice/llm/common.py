@@ -69,6 +69,23 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, what: str, key: str) -> DataFrame:
+    """``df`` as a table in the shared folder whose files are dealt by ``key``: grouping and joining it by the key moves its rows no more."""
+    spark = df.sparkSession
+    name = f"llm_{what}_{uuid.uuid4().hex}".replace("-", "_")
+    path = f"{shared_dir(spark)}/llm/{name}"
+    n = parts_of(spark)
+    df.repartition(n, key).write.format("parquet").bucketBy(n, key).option("path", path).saveAsTable(name)
+    if not _LIVE:
+        atexit.register(_swept, spark)
+    _LIVE.add(path)
+    out = spark.table(name)
+    out._llm_path = path
+    gc.collect()
+    spark._jvm.System.gc()
+    return out
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete tables made by ``written`` that nothing reads any more."""
     for t in tables:

@@ -21,7 +21,7 @@ from functools import reduce
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .common import buffers, dropped, hashed_words, mixed, parts_of, slices, written
+from .common import bucketed, buffers, dropped, hashed_words, mixed, parts_of, slices, written
 
 END = np.uint64(0x5DEECE66D1234567)
 #: Counts up to K are discounted.
@@ -399,13 +399,22 @@ def _climbed(rows: list[dict], uni: Unigrams, levels: list[Level], parts: int) -
     return c
 
 
-def counted_ngrams(chunk_rows: DataFrame, uni: Unigrams, levels: list[Level], parts: int, last: bool, turn: int) -> DataFrame:
+def _by_chunk(own: DataFrame, answers: DataFrame, run, schema: str) -> DataFrame:
+    """``run`` (chunk, rows) for every chunk, its own row and its answers together; only answers move."""
+
+    def both(key, mine, others):
+        return run(key, _rows(mine) + _rows(others))
+
+    return own.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(both, schema)
+
+
+def counted_ngrams(own: DataFrame, answers: DataFrame, uni: Unigrams, levels: list[Level], parts: int, last: bool, turn: int) -> DataFrame:
     """The level above ``levels``, in the lots of a turn. Answers (lot, counts, weights of histories, numbers unless it is the ``last``); MODEL: a lot of its table; TOTALS: counts of counts; DEALT: sums of histories dealt by n-gram."""
     at_level = len(levels) + 2
     below = levels[-1].d if levels else uni.d
 
-    def ask(key, table):
-        c = _climbed(_rows(table), uni, levels, parts)
+    def ask(key, rows):
+        c = _climbed(rows, uni, levels, parts)
         chunk = key[0].as_py()
         token, where, lot, hot = c.distinct(turn)
         n = np.bincount(where[c.train & (where >= 0)], minlength=len(token)).astype(np.uint32)
@@ -476,7 +485,7 @@ def counted_ngrams(chunk_rows: DataFrame, uni: Unigrams, levels: list[Level], pa
         out.append((TOTALS, None, part, totals.tobytes(), None, None))
         return _table(out)
 
-    return chunk_rows.groupBy("chunk").applyInArrow(ask, ROWS).groupBy("part").applyInArrow(count, ROWS)
+    return _by_chunk(own, answers, ask, ROWS).groupBy("part").applyInArrow(count, ROWS)
 
 
 def weight(sums: np.ndarray, count: np.ndarray, d: np.ndarray) -> np.ndarray:
@@ -487,11 +496,10 @@ def weight(sums: np.ndarray, count: np.ndarray, d: np.ndarray) -> np.ndarray:
     return left / np.maximum(1 - sums[:, K + 1], 1e-12)
 
 
-def scored(rows: DataFrame, uni: Unigrams, levels: list[Level], parts: int) -> DataFrame:
-    def run(_, table):
+def scored(own: DataFrame, answers: DataFrame, uni: Unigrams, levels: list[Level], parts: int) -> DataFrame:
+    def run(_, rows):
         import pyarrow as pa
 
-        rows = _rows(table)
         c = Chunk(rows, uni, parts)
         word_count = c.count
         for i, level in enumerate(levels, 2):
@@ -511,7 +519,7 @@ def scored(rows: DataFrame, uni: Unigrams, levels: list[Level], parts: int) -> D
             }
         )
 
-    return rows.groupBy("chunk").applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return _by_chunk(own, answers, run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def katz_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
@@ -522,15 +530,15 @@ def katz_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """
     parts = parts_of(docs) * FINER
     chunks = written(chunked(docs, parts), "chunks")
-    own = written(chunks.select(F.lit(OWN).alias("kind"), "chunk", F.lit(-1).alias("part"), F.col("docs").alias("a"), F.col("tokens").alias("b"), F.lit(None).cast("binary").alias("c")), "tokens")
+    own = bucketed(chunks.select(F.lit(OWN).alias("kind"), "chunk", F.lit(-1).alias("part"), F.col("docs").alias("a"), F.col("tokens").alias("b"), F.lit(None).cast("binary").alias("c")), "tokens", "chunk")
     unigrams = written(counted_words(chunks, parts), "unigrams")
     dropped(chunks)
     totals = summed(unigrams, K + 5)
     uni = Unigrams(*(int(x) for x in totals[:3]), totals[3 : 3 + K + 2])
-    rows, levels = own.unionByName(unigrams.where("kind = 1")), []
+    answers, levels = unigrams.where("kind = 1"), []
     for level in range(2, order + 1):
-        turns = [written(counted_ngrams(rows, uni, list(levels), parts, level == order, turn), f"level-{level}") for turn in range(TURNS)]
+        turns = [written(counted_ngrams(own, answers, uni, list(levels), parts, level == order, turn), f"level-{level}") for turn in range(TURNS)]
         table = reduce(DataFrame.unionByName, turns)
         levels.append(Level(discounts(summed(table, K + 2)), *dealt_sums(table)))
-        rows = rows.unionByName(table.where(F.col("kind") == level))
-    return scored(rows, uni, levels, parts)
+        answers = answers.unionByName(table.where(F.col("kind") == level))
+    return scored(own, answers, uni, levels, parts)
