@@ -371,18 +371,18 @@ PLACES_SQL = f"{WITH}, h AS (SELECT *, frame // 3600 AS hour FROM e)"
 PAIRS_SQL = f"{PLACES_SQL}, s AS (SELECT video, hour AS segment, avg(value) AS value, avg(k) AS k FROM h GROUP BY ALL), p AS (SELECT a.video AS a, b.video AS b, a.segment, a.value AS av, b.value AS bv, a.k AS ak, b.k AS bk FROM s a JOIN s b ON a.segment = b.segment AND a.video < b.video)"
 
 
-def hours(spark, d):
+def by_hour(spark, d):
     return events(spark, d).withColumn("segment", F.floor(F.col("frame") / 3600))
 
 
 def hour_pairs(spark, d):
-    s = hours(spark, d).groupBy("video", "segment").agg(F.avg("value").alias("value"), F.avg("k").alias("k"))
+    s = by_hour(spark, d).groupBy("video", "segment").agg(F.avg("value").alias("value"), F.avg("k").alias("k"))
     return J.pairs_at(s, "video", ["segment"], ["value", "k"])
 
 
 @query(f"{PLACES_SQL}, p AS (SELECT DISTINCT video, hour FROM h) SELECT a.video AS a, b.video AS b, count(*)::BIGINT AS n FROM p a JOIN p b ON a.hour = b.hour AND a.video < b.video GROUP BY 1, 2")
 def co_presence(spark, d):
-    return J.co_presence(hours(spark, d), "video", ["segment"])
+    return J.co_presence(by_hour(spark, d), "video", ["segment"])
 
 
 @query(f"{PAIRS_SQL} SELECT a, b, count(*)::BIGINT AS n, count(*) >= 5 AS available, CASE WHEN count(*) >= 5 AND stddev_pop(av) >= 1e-9 AND stddev_pop(bv) >= 1e-9 THEN covar_pop(av, bv) / (stddev_pop(av) * stddev_pop(bv)) END AS r FROM p GROUP BY 1, 2", "r")
