@@ -155,3 +155,48 @@ def test_planted_controls_fail(spark):
     rows = [(i, "g", i % 2 == 0, rng.gauss(1 if i % 2 == 0 else 0, 1)) for i in range(400)]
     got = {r.control: r.auc for r in intervals.planted(spark.createDataFrame(rows, "id int, g string, good boolean, s double"), ["g"], "id", "good", "s").collect()}
     assert got["own"] > 0.7 and got["constant"] == 0.5 and abs(got["dealt"] - 0.5) < 0.08 and math.isclose(got["turned"], 1 - got["own"]) and 0.6 < got["collapsed"] < got["own"]
+
+
+def test_tracks_follow_moving_boxes(spark):
+    from shotlattice.operators import joins
+
+    rows = [(1, 100 * who + f, f, who * 200 + 3 * f, 0, who * 200 + 3 * f + 40, 30) for who in range(3) for f in range(12) if (who, f) != (1, 4)]
+    rows.append((1, 900, 20, 36, 0, 76, 30))  # too late for the first track
+    got = {r.id: r.track for r in joins.link_tracks(spark.createDataFrame(rows, "video long, id long, frame long, x1 int, y1 int, x2 int, y2 int"), "video").collect()}
+    assert all(len({got[100 * who + f] for f in range(12) if (who, f) != (1, 4)}) == 1 for who in range(3)) and len(set(got.values())) == 4
+
+
+def test_keyframes_are_the_sharpest_of_the_most_typical(spark):
+    from shotlattice.operators import entity
+
+    rng = np.random.default_rng(6)
+    rows = [(1, i, unit(np.eye(3)[i // 8] + rng.normal(size=3) * 0.05), float(rng.random())) for i in range(24)]
+    got = sorted((r.place, r.at) for r in entity.pick_keyframes(spark.createDataFrame(rows, "video long, at long, v array<double>, sharp double"), "video", "at", "v", "sharp", 3).collect())
+    want = []
+    for part in (rows[:8], rows[8:16], rows[16:]):
+        mean = np.mean([r[2] for r in part], axis=0)
+        pool = sorted(part, key=lambda r: -float(np.dot(r[2], mean)))[:2]
+        want.append(max(pool, key=lambda r: r[3])[1])
+    assert got == list(enumerate(want))
+
+
+def test_first_neighbours_merge_what_is_near(spark):
+    from shotlattice.operators import entity
+
+    rng = np.random.default_rng(7)
+    rows = [(1, i, unit(np.eye(4)[i % 4] + rng.normal(size=4) * 0.1)) for i in range(40)]
+    got = {r.id: r.cluster for r in entity.first_neighbours(spark.createDataFrame(rows, "video long, id long, v array<double>"), "video", "id", "v").collect()}
+    assert all((got[a] == got[b]) == (a % 4 == b % 4) for a in got for b in got)
+
+
+@pytest.mark.parametrize("most", [2000, 3])
+def test_medoids_reach_the_best_cost(spark, monkeypatch, most):
+    from shotlattice.operators import entity
+
+    monkeypatch.setattr(entity, "MATRIX_ITEMS", most)  # with 3, pairs go to restarts as rows
+    rng = random.Random(9)
+    at = {f"i{k}": rng.random() + k % 3 * 4 for k in range(12)}
+    pairs = [(a, b, abs(at[a] - at[b])) for a, b in itertools.combinations(sorted(at), 2)]
+    got = entity.k_medoids(spark.createDataFrame(pairs, "a string, b string, d double"), "d", 3).collect()
+    best = min(sum(min(abs(at[x] - at[m]) for m in ms) for x in at) for ms in itertools.combinations(at, 3))
+    assert {r.item for r in got} == set(at) and sum(abs(at[r.item] - at[r.medoid]) for r in got) == pytest.approx(best)
