@@ -575,7 +575,7 @@ NEAR_SQL = f"{FIELDS_SQL}, w AS (SELECT a, b, round(score, 9) AS score FROM al),
 
 @query(NEAR_SQL, "score")
 def nearest_items(spark, d):
-    return collection(spark, d).nearest(5)
+    return collection(spark, d).nearest(5).withColumn("score", F.round("score", 9))
 
 
 @query(
