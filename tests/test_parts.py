@@ -187,6 +187,10 @@ def test_first_neighbours_merge_what_is_near(spark):
     rows = [(1, i, unit(np.eye(4)[i % 4] + rng.normal(size=4) * 0.1)) for i in range(40)]
     got = {r.id: r.cluster for r in entity.first_neighbours(spark.createDataFrame(rows, "video long, id long, v array<double>"), "video", "id", "v").collect()}
     assert all((got[a] == got[b]) == (a % 4 == b % 4) for a in got for b in got)
+    two = [(1, 1, [1.0, 0.0], [1, 2]), (1, 2, [1.0, 0.01], [2, 3]), (2, 1, [1.0, 0.0], [1]), (2, 2, [1.0, 0.01], [2])]
+    df = spark.createDataFrame(two, "video long, id long, v array<double>, frames array<int>")
+    got = {(r.video, r.id): r.cluster for r in entity.first_neighbours(df, "video", "id", "v", frames="frames").collect()}
+    assert got[1, 1] != got[1, 2] and got[2, 1] == got[2, 2]
 
 
 @pytest.mark.parametrize("most", [2000, 3])
