@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import embeddings, jaccard, katz, licenses, mixing, outliers, packing, quality_knn, repeats, url_rules
+from . import embeddings, jaccard, katz, licenses, lines, mixing, outliers, packing, quality_knn, repeats, url_rules
 from .common import table
 
 
@@ -53,9 +53,13 @@ def op10_url_filter(spark, sf_dir):
     return url_rules.judge(pages, known)
 
 
+def op12_line_dedup(spark, sf_dir):
+    return lines.digest(lines.deduplicated(table(spark, sf_dir, "documents")))
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
 
 def oracle_sql():
-    return {"op4_license_scan": licenses.sql(), "op6_mixing": mixing.SQL}
+    return {"op4_license_scan": licenses.sql(), "op6_mixing": mixing.SQL, "op12_line_dedup": lines.SQL}
