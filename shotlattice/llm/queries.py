@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import embeddings, jaccard, katz, licenses, lines, mixing, outliers, packing, quality_knn, repeats, url_rules
+from . import embeddings, funnels, jaccard, katz, licenses, lines, mixing, outliers, packing, quality_knn, repeats, url_rules
 from .common import table
 
 
@@ -53,6 +53,10 @@ def op10_url_filter(spark, sf_dir):
     return url_rules.judge(pages, known)
 
 
+def op11_funnels(spark, sf_dir):
+    return funnels.count_funnels(table(spark, sf_dir, "clicks"))
+
+
 def op12_line_dedup(spark, sf_dir):
     return lines.digest(lines.deduplicated(table(spark, sf_dir, "documents")))
 
@@ -62,4 +66,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op4_license_scan": licenses.sql(), "op6_mixing": mixing.SQL, "op12_line_dedup": lines.SQL}
+    return {"op4_license_scan": licenses.sql(), "op6_mixing": mixing.SQL, "op11_funnels": funnels.SQL, "op12_line_dedup": lines.SQL}
