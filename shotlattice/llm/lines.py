@@ -46,7 +46,8 @@ def n_lines(text: Column) -> Column:
 def _frequent(rows: DataFrame, named: int) -> DataFrame:
     """64-bit hashes (``f``) of the keys a sketch finds most often, ``named`` at most."""
     states = rows.groupBy(F.pmod(F.spark_partition_id(), F.lit(MERGES)).alias("merge")).agg(F.expr(f"approx_top_k_accumulate(xxhash64(h), {TRACKED})").alias("s"))
-    found = states.agg(F.expr(f"approx_top_k_combine(s, {TRACKED})").alias("s")).select(F.explode(F.expr(f"approx_top_k_estimate(s, {named})")).alias("t"))
+    # by a key that all share: without one, a task without states gives an empty state that can't be merged
+    found = states.groupBy(F.pmod("merge", F.lit(1))).agg(F.expr(f"approx_top_k_combine(s, {TRACKED})").alias("s")).select(F.explode(F.expr(f"approx_top_k_estimate(s, {named})")).alias("t"))
     return found.where("t.count > 1").select(F.col("t.item").alias("f"))
 
 
