@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import embeddings, funnels, jaccard, katz, licenses, lines, mixing, outliers, packing, quality_knn, repeats, url_rules
+from . import embeddings, funnels, jaccard, katz, licenses, lines, mixing, outliers, packing, quality_knn, repeats, trie, url_rules
 from .common import table
 
 
@@ -61,9 +61,13 @@ def op12_line_dedup(spark, sf_dir):
     return lines.digest(lines.deduplicated(table(spark, sf_dir, "documents")))
 
 
+def op13_conversation_trie(spark, sf_dir):
+    return trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
 
 def oracle_sql():
-    return {"op4_license_scan": licenses.sql(), "op6_mixing": mixing.SQL, "op11_funnels": funnels.SQL, "op12_line_dedup": lines.SQL}
+    return {"op4_license_scan": licenses.sql(), "op6_mixing": mixing.SQL, "op11_funnels": funnels.SQL, "op12_line_dedup": lines.SQL, "op13_conversation_trie": trie.SQL}
