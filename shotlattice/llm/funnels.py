@@ -10,8 +10,8 @@ A chain that runs past the end of its lot needs no rows of other lots:
 * All attempts that leave a lot by one step land on one row, the first of its kind in the lot they come to. What follows from there is computed once with that lot (its ``go`` rows), so leaving
   attempts meet their continuation by a join of tables with a few rows a lot.
 
-Percentiles are selected by ``numpy.partition`` where a client lies in one lot. The times of a client of several lots are counted by value, then by bins of value (at most 4,096), then by value inside
-the one bin that holds the rank: no group grows with the number of attempts.
+Percentiles are selected by ``numpy.partition`` where a client lies in one lot. A client of several lots has a histogram of its times in each, of 64 bins at most; their sum names the bin that holds the
+rank, and only the times of that bin leave the lots, where they are counted by value, then by finer bins (8,192 at most), then by value inside one of those: no group grows with the number of attempts.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ FUNNELS = {"A": ("view", "click", "view", "purchase", "error"), "B": ("signup",
 LIMIT = 60 * 60 * 1_000_000
 PERCENT = 90
 LOT_ROWS = 200_000
+#: Bins of a histogram of times, at most.
+COARSE = 64
 
 
 def micros(ts: Column, kind: T.DataType) -> Column:
@@ -65,6 +67,11 @@ def _carries(lots: DataFrame, n_kinds: int, limit: int) -> DataFrame:
     return opened.join(carried, "lot")
 
 
+def _shift(limit: int) -> int:
+    """Bits by which a time is shifted to its coarse bin."""
+    return max(0, int(limit).bit_length() - COARSE.bit_length() + 1)
+
+
 class _Lot:
     """The rows of one lot as numbers: ``at`` and ``client`` by number, ``kinds`` the sorted numbers of each kind, those from ``n`` on standing for rows of later lots."""
 
@@ -133,7 +140,7 @@ def _run(lot: _Lot, key: int, carry: dict, funnels: dict, limit: int, percent: i
                 if s and n:
                     v = times[s - 1][begins[s][c] : begins[s][c + 1]]
                     if split[c]:
-                        row[f"v{s + 1}"] = v
+                        row[f"v{s + 1}"], row[f"h{s + 1}"] = v, np.bincount(v >> _shift(limit))
                     else:
                         k = -(-percent * n // 100) - 1
                         row[f"t{s + 1}"] = int(np.partition(v, k)[k])
@@ -157,7 +164,7 @@ def _run(lot: _Lot, key: int, carry: dict, funnels: dict, limit: int, percent: i
 
 def _chained(lots: DataFrame, carries: DataFrame, funnels: dict, kinds: list[str], limit: int, percent: int) -> DataFrame:
     client = lots.schema["client"].dataType.simpleString()
-    schema = f"part string, funnel string, client {client}, split boolean, n1 long, n2 long, n3 long, n4 long, t2 long, t3 long, t4 long, v2 array<long>, v3 array<long>, v4 array<long>, lot int, step int, weight long, took long, to_lot int, then long"
+    schema = f"part string, funnel string, client {client}, split boolean, n1 long, n2 long, n3 long, n4 long, t2 long, t3 long, t4 long, v2 array<long>, v3 array<long>, v4 array<long>, h2 array<long>, h3 array<long>, h4 array<long>, lot int, step int, weight long, took long, to_lot int, then long"
     columns = [f.split()[0] for f in schema.split(", ")]
     coded = {f: [kinds.index(k) for k in ks] for f, ks in funnels.items()}
 
@@ -172,17 +179,36 @@ def _chained(lots: DataFrame, carries: DataFrame, funnels: dict, kinds: list[str
     return lots.groupBy("lot").cogroup(carries.groupBy("lot")).applyInPandas(of_lot, schema)
 
 
-def _selected(values: DataFrame, limit: int, percent: int) -> DataFrame:
-    """The percentile of the times of each (funnel, client, step), exact, from rows (funnel, client, step, value, n): by bins, then by the values of one bin."""
-    bits = max(0, int(limit).bit_length() - 12)
-    keys = ["funnel", "client", "step"]
-    values = written(values.groupBy(*keys, "value").agg(F.sum("n").alias("n")).withColumn("bin", F.shiftright("value", bits)), "funnel-times")
-    upto = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    bins = values.groupBy(*keys, "bin").agg(F.sum("n").alias("n")).withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(Window.partitionBy(*keys)))
-    rank = F.expr(f"({percent} * `all` + 99) div 100")
-    bins = bins.where((F.col("upto") >= rank) & (F.col("upto") - F.col("n") < rank)).select(*keys, "bin", (rank - F.col("upto") + F.col("n")).alias("rank"))
-    inside = Window.partitionBy(*keys, "bin").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = values.join(bins, [*keys, "bin"]).withColumn("upto", F.sum("n").over(inside)).where("upto >= rank and upto - n < rank")
+_KEYS = ["funnel", "client", "step"]
+
+
+def _ranked(counts: DataFrame, by: str, within: list[str], rank: Column | None, percent: int = 0) -> DataFrame:
+    """Of rows (keys, ``by``, n) the one that holds the rank, and the rank inside it. Without ``rank`` it is the percentile of all rows of the keys."""
+    upto = Window.partitionBy(*within).orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = counts.withColumn("upto", F.sum("n").over(upto))
+    if rank is None:
+        counts, rank = counts.withColumn("all", F.sum("n").over(Window.partitionBy(*within))), F.expr(f"({percent} * `all` + 99) div 100")
+    return counts.where((F.col("upto") >= rank) & (F.col("upto") - F.col("n") < rank)).select(*within, by, (rank - F.col("upto") + F.col("n")).alias("rank"))
+
+
+def _selected(split: DataFrame, met: DataFrame, limit: int, percent: int) -> DataFrame:
+    """The percentiles of clients of several lots, exact: from their lots' histograms and times (``split``) and the rows (keys, value, n) of attempts that crossed over (``met``).
+
+    The histograms tell the coarse bin, of ``COARSE`` at most; only the times in it are taken out of the lots' arrays, counted by value, narrowed to a finer bin and then to the value.
+    """
+    shift = _shift(limit)
+    counted = met.select(*_KEYS, F.shiftright("value", shift).alias("bin"), "n")
+    for s in (2, 3, 4):
+        counted = counted.unionByName(split.select("funnel", "client", F.lit(s).alias("step"), F.posexplode(f"h{s}").alias("bin", "n")).where("n > 0").withColumn("bin", F.col("bin").cast("long")))
+    coarse = written(_ranked(counted.groupBy(*_KEYS, "bin").agg(F.sum("n").alias("n")), "bin", _KEYS, None, percent), "funnel-bins")
+    values = met.join(coarse, _KEYS).where(F.shiftright("value", shift) == F.col("bin")).select(*_KEYS, "rank", "value", "n")
+    for s in (2, 3, 4):
+        inside = F.filter(f"v{s}", lambda x: F.shiftright(x, shift) == F.col("bin"))
+        values = values.unionByName(split.join(coarse.where(f"step = {s}"), ["funnel", "client"]).select(*_KEYS, "rank", F.explode(inside).alias("value"), F.lit(1).cast("long").alias("n")))
+    fine = shift // 2
+    values = written(values.groupBy(*_KEYS, "rank", "value").agg(F.sum("n").alias("n")).withColumn("bin", F.shiftright("value", fine)), "funnel-times")
+    bins = _ranked(values.groupBy(*_KEYS, "rank", "bin").agg(F.sum("n").alias("n")).withColumnRenamed("rank", "of"), "bin", [*_KEYS, "of"], F.col("of")).drop("of")
+    found = _ranked(values.drop("rank").join(bins, [*_KEYS, "bin"]).withColumnRenamed("rank", "of"), "value", [*_KEYS, "of"], F.col("of"))
     return found.select("funnel", "client", *[F.when(F.col("step") == s, F.col("value")).alias(f"t{s}") for s in (2, 3, 4)])
 
 
@@ -209,14 +235,14 @@ def count_funnels(events: DataFrame, funnels: dict = FUNNELS, limit: int = LIMIT
     third = written(met(left(3).unionByName(second.where("onward is not null").select(F.col("onward").alias("lot"), "funnel", "weight")), 3), "funnel-third")
 
     timed = lambda df, step, value: df.where(f"{value} is not null").select("funnel", "client", F.lit(step).alias("step"), F.col(value).alias("value"), F.col("weight").alias("n"))
-    own = [chains.where("part = 'sum' and split").select("funnel", "client", F.lit(s).alias("step"), F.explode(f"v{s}").alias("value"), F.lit(1).cast("long").alias("n")) for s in (2, 3, 4)]
-    values = own[0].unionByName(own[1]).unionByName(own[2]).unionByName(timed(second, 3, "took")).unionByName(timed(second, 4, "then")).unionByName(timed(third, 4, "took"))
+    crossed = timed(second, 3, "took").unionByName(timed(second, 4, "then")).unionByName(timed(third, 4, "took"))
+    split = chains.where("part = 'sum' and split").select("funnel", "client", *[f"{c}{s}" for c in "hv" for s in (2, 3, 4)])
 
     none = F.lit(None).cast("long")
     row = lambda df, **have: df.select("funnel", "client", *[have.get(c, none).alias(c) for c in ("n1", "n2", "n3", "n4", "t2", "t3", "t4")])
     sums = row(chains.where("part = 'sum'"), **{c: F.col(c) for c in ("n1", "n2", "n3", "n4", "t2", "t3", "t4")})
     got = sums.unionByName(row(second, n3=F.col("weight"), n4=F.when(F.col("then").isNotNull(), F.col("weight")))).unionByName(row(third, n4=F.col("weight")))
-    got = got.unionByName(row(_selected(values, limit, percent), t2=F.col("t2"), t3=F.col("t3"), t4=F.col("t4")))
+    got = got.unionByName(row(_selected(split, crossed, limit, percent), t2=F.col("t2"), t3=F.col("t3"), t4=F.col("t4")))
     total = got.groupBy("funnel", "client").agg(*[F.coalesce(F.sum(f"n{s}"), F.lit(0).cast("long")).alias(f"n{s}") for s in (1, 2, 3, 4)], *[F.max(f"t{s}").alias(f"t{s}") for s in (2, 3, 4)])
     deepest = F.when(F.col("n4") > 0, 4).when(F.col("n3") > 0, 3).when(F.col("n2") > 0, 2).otherwise(1)
     total = written(total.withColumn("deepest", deepest), "funnel-totals")
