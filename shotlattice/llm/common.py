@@ -125,15 +125,10 @@ def words(text: Column) -> Column:
 
 # ---------------------------------------------------------------- vectorised words of Arrow text
 
-_SPACES = np.zeros(256, bool)
-_SPACES[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_UNBASE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _POWERS = {}
-#: Bytes up to which a word's hash is its polynomial.
-LONG = 32
 
 
 def powers(n: int, base: np.uint64 = _BASE) -> tuple[np.ndarray, np.ndarray]:
@@ -186,27 +181,21 @@ def slices(offsets: np.ndarray, limit: int):
 
 
 def hashed_words(offsets: np.ndarray, data: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of consecutive texts, and the row of each word."""
-    data = data[offsets[0] : offsets[-1]]
-    n = len(data)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    if lower:
-        data = _LOWER[data]
-    solid = np.zeros(n + 2, bool)
-    solid[1:-1] = ~_SPACES[data]
-    cuts = np.zeros(n + 1, bool)
-    cuts[offsets[1:-1] - offsets[0]] = True
-    starts = np.flatnonzero(solid[1:-1] & (~solid[:-2] | cuts[:-1]))
-    ends = np.flatnonzero(solid[1:-1] & (~solid[2:] | cuts[1:])) + 1
-    up, down = powers(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-    hashes = mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    for i in np.flatnonzero(ends - starts > LONG).tolist():  # sums of powers are no hash of long words: two that swap letters may agree for any base
-        hashes[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
-    rows = np.searchsorted(offsets - offsets[0], starts, "right") - 1
-    return hashes, rows
+    """64-bit hashes of the words of consecutive texts, and the row of each word.
+
+    A word's hash is XXH3 of its bytes. Sums of powers, which numpy would give for all words at once, are linear: words that differ by the coefficients of a product of factors that vanish for every odd base share them.
+    """
+    base = int(offsets[0])
+    data = data[base : offsets[-1]]
+    flat = (_LOWER[data] if lower else data).tobytes()
+    cuts = (offsets - base).tolist()
+    words: list[bytes] = []
+    counts = np.zeros(len(cuts) - 1, np.int64)
+    for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        found = flat[a:b].split()  # at the bytes of SPACE, and at no others
+        counts[i] = len(found)
+        words += found
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)), np.repeat(np.arange(len(counts)), counts)
 
 
 def shingle_hashes(words: np.ndarray, rows: np.ndarray, width: int, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -220,9 +209,9 @@ def shingle_hashes(words: np.ndarray, rows: np.ndarray, width: int, n_rows: int)
     if n > 0:
         whole = rows[:n] == rows[width - 1 :]
         acc = np.zeros(n, np.uint64)
-        for i in range(width):
-            acc = acc * step + words[i : i + n]
-        out.append(mixed(acc[whole]))
+        for i in range(width):  # mixed after each word: a sum of multiples would let chosen words cancel each other
+            acc = mixed(acc * step + words[i : i + n])
+        out.append(acc[whole])
         out_rows.append(rows[:n][whole])
     short = np.flatnonzero((counts > 0) & (counts < width))
     if len(short):
@@ -230,7 +219,7 @@ def shingle_hashes(words: np.ndarray, rows: np.ndarray, width: int, n_rows: int)
         acc = np.zeros(len(short), np.uint64)
         for i in range(width - 1):
             has = counts[short] > i
-            acc[has] = acc[has] * step + words[first[has] + i]
+            acc[has] = mixed(acc[has] * step + words[first[has] + i])
         out.append(mixed(acc + counts[short].astype(np.uint64) * np.uint64(0xA24BAED4963EE407)))
         out_rows.append(short)
     return np.concatenate(out), np.concatenate(out_rows)

@@ -21,7 +21,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import _BASE, buffers, dropped, mixed, parts_of, powers, slices, written
+from .common import buffers, dropped, mixed, parts_of, powers, slices, written
 
 #: Bytes of a string that is removed, and of one that is marked.
 WINDOW, MARK = 400, 200
@@ -30,7 +30,6 @@ CHUNK = 1 << 20
 HELD = 32 << 20
 #: Kinds of contexts that one index may hold of an anchor.
 HOT = 4096
-_SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
 KEY = [("k1", "<i8"), ("k2", "<i8")]
 RUN = np.dtype([("fp", "<u8"), ("ctx", "<u8"), *KEY, ("start", "<u4"), ("span", "u1"), ("many", "u1")])
 #: Windows start .. start + span of a text. dup: all repeated; need: 1 a partner for others, 2 in question, 3 to be counted by windows.
@@ -61,14 +60,10 @@ def runs(data: np.ndarray, cuts: np.ndarray, window: int = WINDOW, gram: int | N
     at = np.flatnonzero(valid)
     if not len(at):
         return np.zeros(0, RUN), np.zeros(0, np.int64)
-    bytes_ = data.astype(np.uint64) + np.uint64(1)
-    sums, downs = [], []
-    for base in (_BASE, _SECOND):
-        up, down = powers(n + 1, base)
-        s = np.zeros(n + 1, np.uint64)
-        np.cumsum(bytes_ * up[:n], out=s[1:])
-        sums.append(s), downs.append(down)
-    grams = mixed((sums[0][gram:] - sums[0][:-gram]) * downs[0][: n + 1 - gram])
+    up, down = powers(n + 1)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
+    grams = mixed((sums[gram:] - sums[:-gram]) * down[: n + 1 - gram])  # these only bring windows together; what is removed rests on the contexts' digests
     key = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
     width = 1  # least key in each window of ``spread`` places, by doubling; of equal hashes the leftmost
     while width * 2 <= spread:
@@ -80,11 +75,13 @@ def runs(data: np.ndarray, cuts: np.ndarray, window: int = WINDOW, gram: int | N
     new = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1))))
     first, last = at[new], at[np.concatenate((new[1:] - 1, [len(at) - 1]))]
     a = anchor[new]
-    one, two = ((s[last + window] - s[first]) * d[first] for s, d in zip(sums, downs))
     out = np.zeros(len(new), RUN)
     doc = np.searchsorted(cuts, first, "right") - 1
     out["fp"], out["start"], out["span"] = grams[a], first - cuts[doc], last - first
-    out["ctx"] = mixed(mixed(one) + two + ((a - first).astype(np.uint64) << np.uint64(32)) + out["span"].astype(np.uint64))
+    flat = np.ascontiguousarray(data).data
+    digests = b"".join(hashlib.blake2b(flat[x:y], digest_size=8).digest() for x, y in zip(first.tolist(), (last + window).tolist()))
+    # a context is its bytes and where its anchor stands in them; its length follows from the span
+    out["ctx"] = mixed(np.frombuffer(digests, np.uint64) + mixed(((a - first).astype(np.uint64) << np.uint64(32)) + out["span"].astype(np.uint64)))
     return out, doc
 
 

@@ -211,3 +211,38 @@ def test_hashes_of_ends_span_batches():
     rows = pd.DataFrame({"depth": 1, "node": [1] * 5 + [2] * 2, "first": range(7), "piece": list("abcdefg")})
     got = pd.concat(trie._hashes([rows[:2], rows[2:3], rows[3:6], rows[6:]]))
     assert got["ends_sha256"].tolist() == [hashlib.sha256(x).hexdigest() for x in (b"a,b,c,d,e", b"f,g")]
+
+
+# ---------------------------------------------------------------- texts made to share sums of powers
+
+TWINS = ("n" * 32, "mmppnnmpmnlommpnnplolnmomnmlnnnn")
+
+
+def crafted_texts():
+    """Two texts that differ by the coefficients of (x - 1) (x^2 - 1) (x^4 - 1) ... (x^32 - 1), which vanishes modulo 2^64 for every odd x."""
+    poly = [1]
+    for k in [1, *range(2, 33, 2)]:
+        poly = [a - b for a, b in zip([0] * k + poly, poly + [0] * k)]
+    assert len(poly) == 274 and max(map(abs, poly)) == 6
+    rng = random.Random(1)
+    head, tail = ("".join(rng.choice("abcdefghij") for _ in range(200)) for _ in range(2))
+    return [head + "".join(chr(109 + (c if side else 0)) for c in poly) + tail for side in (0, 1)]
+
+
+def test_texts_that_share_every_polynomial_do_not_repeat(spark):
+    from shotlattice.llm import repeats
+
+    texts = crafted_texts()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in repeats.digest(repeats.unrepeated(docs)).collect()} == {0: 0, 1: 0}
+
+
+def test_words_that_share_every_polynomial_are_two(spark):
+    from shotlattice.llm import jaccard, katz
+
+    docs = spark.createDataFrame([(1, TWINS[0]), (2, TWINS[1])], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in jaccard.jaccard_components(docs).collect()) == [(1, 1), (2, 2)]
+    out, train = (next(i for i in range(1, 99) if (zlib.crc32(str(i).encode()) % 7 == 2) == held) for held in (True, False))
+    docs = spark.createDataFrame([(out, TWINS[0]), (train, TWINS[1])], "doc_id long, text string")
+    got = {r.doc_id: r for r in katz.katz_scores(docs).collect()}
+    assert got[out].held_out and got[out].n_known == 1 and got[out].base_score < got[train].base_score
