@@ -28,6 +28,7 @@ class Config:
     hold_frames: int = 8
     jitter: float = 0.00309
     movement: float = 0.00923
+    steady: float = 0.605
     neighbours: int = 5
 
 

@@ -26,30 +26,6 @@ def split_counts(df: DataFrame, keys: list[str], live: Column, readable: Column)
     return df.groupBy(*keys).agg(c(live & readable).alias("kept"), c(~live).alias("withheld_footage"), c(live & ~readable).alias("withheld_quality"))
 
 
-def camera(steps: DataFrame, keys: list[str], tx: str, ty: str, fps: float) -> DataFrame:
-    """Movement of a camera from shifts between frames (null where none was found), content moving against it.
-
-    Below two known pairs it is unknown. Jitter is the spread of the shifts; a handheld camera still moves if its mean step stands out from its scatter.
-    """
-    known = steps.where(F.col(tx).isNotNull() & F.col(ty).isNotNull())
-    med = known.groupBy(*keys).agg(F.percentile(tx, F.lit(0.5)).alias("mx_"), F.percentile(ty, F.lit(0.5)).alias("my_"))
-    dev = known.join(med, keys).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(tx).alias("sx"), F.sum(ty).alias("sy"), F.stddev_pop(tx).alias("dx"), F.stddev_pop(ty).alias("dy"), F.percentile(F.abs(F.col(tx) - F.col("mx_")), F.lit(0.5)).alias("ax"), F.percentile(F.abs(F.col(ty) - F.col("my_")), F.lit(0.5)).alias("ay")
-    )
-    pan, tilt = F.col("sx") * fps / F.col("n"), F.col("sy") * fps / F.col("n")
-    jitter = 1.4826 * (F.col("ax") + F.col("ay")) * float(fps) ** 0.5
-    m = dev.select(*keys, "n", pan.alias("pan"), tilt.alias("tilt"), jitter.alias("jitter"), "dx", "dy")
-    wide = F.abs("pan") >= F.abs("tilt")
-    rate, scatter = F.when(wide, F.abs("pan")).otherwise(F.abs("tilt")), F.when(wide, F.col("dx")).otherwise(F.col("dy")) * fps
-    handheld = F.col("jitter") > DEFAULT.jitter
-    moves = (rate > DEFAULT.movement) & (~handheld | (scatter == 0) | (rate / F.when(scatter > 0, scatter) >= 0.605))
-    known_ = F.col("n") >= 2
-    return m.select(
-        *keys, "n", "pan", "tilt", "jitter", F.when(known_, F.when(handheld, "handheld").otherwise("steady")).alias("rig"), F.when(~known_, "unknown").when(moves, F.when(wide, "pan").otherwise("tilt")).when(handheld, "handheld").otherwise("static").alias("move"),
-        F.when(known_ & moves, F.when(wide, F.when(F.col("pan") > 0, "left").otherwise("right")).otherwise(F.when(F.col("tilt") > 0, "up").otherwise("down"))).alias("direction"),
-    )
-
-
 def pose_movement(samples: DataFrame, keys: list[str], segment: str, order: list[str], joints: str, floor: float = DEFAULT.pose_visibility) -> DataFrame:
     """Mean displacement of joints (array of x, y, visibility) usable in both of two consecutive samples; never across segments."""
     before = F.lag(joints).over(Window.partitionBy(*keys, segment).orderBy(*order))

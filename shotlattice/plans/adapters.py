@@ -30,4 +30,4 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
 
 def rounded_sql(sql: str, doubles: str, places: int = 6) -> str:
     """``sql`` with the named columns rounded."""
-    return f"SELECT * REPLACE ({', '.join(f'round({c}, {places}) AS {c}' for c in doubles.split())}) FROM ({sql})"
+    return f"SELECT * REPLACE ({', '.join(f'round({c}, {places}) + 0.0 AS {c}' for c in doubles.split())}) FROM ({sql})"

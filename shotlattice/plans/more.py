@@ -19,21 +19,6 @@ def split_counts(spark, d):
     return M.split_counts(events(spark, d), ["video"], c("label") != "error", c("k") >= 20)
 
 
-@query(
-    f"""{WITH}, s AS (SELECT video, CASE WHEN label <> 'error' THEN (value - 50) / 20000 END AS tx, CASE WHEN label <> 'error' THEN (k - 50) / 20000 END AS ty FROM e), kn AS (SELECT * FROM s WHERE tx IS NOT NULL),
-a AS (SELECT video, count(*)::BIGINT AS n, sum(tx) * 24 / count(*) AS pan, sum(ty) * 24 / count(*) AS tilt, 1.4826 * (mad(tx) + mad(ty)) * sqrt(24) AS jitter, stddev_pop(tx) AS dx, stddev_pop(ty) AS dy FROM kn GROUP BY 1),
-r AS (SELECT *, abs(pan) >= abs(tilt) AS wide, CASE WHEN abs(pan) >= abs(tilt) THEN abs(pan) ELSE abs(tilt) END AS rate, CASE WHEN abs(pan) >= abs(tilt) THEN dx ELSE dy END * 24 AS scatter, jitter > 0.00309 AS hand FROM a),
-m AS (SELECT *, rate > 0.00923 AND (NOT hand OR scatter = 0 OR rate / nullif(scatter, 0) >= 0.605) AS moves FROM r)
-SELECT video, n, pan, tilt, jitter, CASE WHEN n >= 2 THEN CASE WHEN hand THEN 'handheld' ELSE 'steady' END END AS rig, CASE WHEN n < 2 THEN 'unknown' WHEN moves THEN CASE WHEN wide THEN 'pan' ELSE 'tilt' END WHEN hand THEN 'handheld' ELSE 'static' END AS move,
-CASE WHEN n >= 2 AND moves THEN CASE WHEN wide THEN CASE WHEN pan > 0 THEN 'left' ELSE 'right' END ELSE CASE WHEN tilt > 0 THEN 'up' ELSE 'down' END END END AS direction FROM m""",
-    "pan tilt jitter",
-)
-def camera_moves(spark, d):
-    e = events(spark, d)
-    shift = lambda x: F.when(c("label") != "error", (x - 50) / 20000)
-    return M.camera(e.select("video", shift(c("value")).alias("tx"), shift(c("k")).alias("ty")), ["video"], "tx", "ty", 24.0)
-
-
 @query(
     f"""{WITH}, p AS (SELECT video, segment, frame, event_id, least(value / 200, 1.2) AS x, k / 100 AS y, (event_id % 10) / 10 AS v FROM e),
 s AS (SELECT *, lag(x) OVER w AS x0, lag(y) OVER w AS y0, lag(v) OVER w AS v0 FROM p WINDOW w AS (PARTITION BY video, segment ORDER BY frame, event_id))

@@ -199,14 +199,6 @@ def test_pixels():
     assert pixels.masked((2, 2), [(0, 0, 1, 1)]).tolist() == [[False, True], [True, True]]
 
 
-def test_camera_and_pose(spark):
-    from shotlattice.operators import media as M
-
-    steps = spark.createDataFrame([(1, 0.01, 0.0)] * 4 + [(2, 0.01, 0.0), (2, None, 0.0)], "k int, x double, y double")
-    got = {r.k: r for r in M.camera(steps, ["k"], "x", "y", 24.0).collect()}
-    assert (round(got[1].pan, 6), got[1].rig, got[1].move, got[1].direction) == (0.24, "steady", "pan", "left") and got[2].move == "unknown" and got[2].rig is None
-
-
 def test_similarity_is_symmetric_and_zero_on_copies(spark):
     from shotlattice.operators import similarity
 
