@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import bands as B, geometry as G, strings as S, vectors as V
-from ..operators import blocks, distance as D, entity as E, joins as J, records, routing as R, scoring as C, sequences as Q, stats as A
+from ..operators import blocks, distance as D, entity as E, joins as J, medoids, records, routing as R, scoring as C, sequences as Q, stats as A
 from ..functions.chance import uniform_sql
 from .adapters import EVENTS_SQL, events, rounded, rounded_sql, table
 
@@ -600,7 +600,13 @@ def explain_pair(spark, d):
 @query()
 def medoid_clusters(spark, d):
     whole = D.score_tree(imputed(spark, d)).where("level is null").select("a", "b", "score")
-    return E.k_medoids(whole, "score", 4)
+    return medoids.k_medoids(whole, "score", 4)
+
+
+@query()
+def cluster_recovery(spark, d):
+    whole = D.score_tree(imputed(spark, d)).where("level is null").select("a", "b", "score")
+    return medoids.recovery(whole, "score", 4)
 
 
 # ---------------------------------------------------------------- vectors and entities

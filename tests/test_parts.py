@@ -193,14 +193,77 @@ def test_first_neighbours_merge_what_is_near(spark):
     assert got[1, 1] != got[1, 2] and got[2, 1] == got[2, 2]
 
 
-@pytest.mark.parametrize("most", [2000, 3])
-def test_medoids_reach_the_best_cost(spark, monkeypatch, most):
-    from shotlattice.operators import entity
+def plain_runs(spark, pairs, k, restarts, subsamples, share, seed):
+    """Labels of the cheapest restart of each subsample, by item; sample 0 is everything."""
+    from shotlattice.functions.chance import uniform_here
+    from shotlattice.operators.medoids import chance
+
+    names = sorted({x for p in pairs for x in p[:2]})
+    hashes = {r[0]: r[1] for r in spark.createDataFrame([(n,) for n in names], "item string").selectExpr("item", f"xxhash64({seed}, item)").collect()}
+    mean = np.mean([d for _, _, d in pairs if d is not None])
+    dist = {(a, b): mean if d is None else d for a, b, d in pairs}
+    dist |= {(b, a): d for (a, b), d in dist.items()} | {(a, a): 0.0 for a in names}
+    out = {}
+    for s in range(subsamples + 1):
+        inside = [n for n in names if s == 0 or uniform_here(seed, s, n) < share]
+        tries = []
+        for r in range(s * restarts, (s + 1) * restarts):
+            ms = []
+            for step in range(min(k, len(names))):
+                w = {x: max(min(dist[x, m] for m in ms) ** 2, 1e-300) if ms else 1.0 for x in inside}
+                ms.append(min(inside, key=lambda x: -math.log(chance(np.array([hashes[x]]), seed, r, step)[0]) / w[x]))
+            while True:
+                own = {x: min(range(len(ms)), key=lambda c: (dist[x, ms[c]], c)) for x in inside}
+                new = [min((x for x in inside if own[x] == c), key=lambda x: (round(sum(dist[x, y] for y in inside if own[y] == c), 12), hashes[x]), default=m) for c, m in enumerate(ms)]
+                if new == ms:
+                    break
+                ms = new
+            tries.append((round(sum(dist[x, ms[own[x]]] for x in inside), 9), r, own, ms))
+        out[s] = min(tries)
+    return out
+
+
+@pytest.mark.parametrize("block", [128, 5, 1])
+def test_medoids_match_plain_runs_and_reach_the_best_cost(spark, block):
+    from shotlattice.operators import medoids
 
-    monkeypatch.setattr(entity, "MATRIX_ITEMS", most)  # with 3, pairs go to restarts as rows
     rng = random.Random(9)
-    at = {f"i{k}": rng.random() + k % 3 * 4 for k in range(12)}
-    pairs = [(a, b, abs(at[a] - at[b])) for a, b in itertools.combinations(sorted(at), 2)]
-    got = entity.k_medoids(spark.createDataFrame(pairs, "a string, b string, d double"), "d", 3).collect()
-    best = min(sum(min(abs(at[x] - at[m]) for m in ms) for x in at) for ms in itertools.combinations(at, 3))
-    assert {r.item for r in got} == set(at) and sum(abs(at[r.item] - at[r.medoid]) for r in got) == pytest.approx(best)
+    at = {f"i{k}": (rng.random() + k % 3 * 4, rng.random()) for k in range(12)}
+    pairs = [(a, b, math.dist(at[a], at[b]) if (a, b) != ("i1", "i4") else None) for a, b in itertools.combinations(sorted(at), 2)]
+    df = spark.createDataFrame(pairs, "a string, b string, d double")
+    got = medoids.k_medoids(df, "d", 3, restarts=6, block=block).collect()
+    cost, _, own, ms = plain_runs(spark, pairs, 3, 6, 0, 1.0, 0)[0]
+    assert {r.item: r.medoid for r in got} == {x: ms[c] for x, c in own.items()} and got[0].cost == pytest.approx(cost)
+    whole = [(a, b, math.dist(at[a], at[b])) for a, b in itertools.combinations(sorted(at), 2)]
+    got = medoids.k_medoids(spark.createDataFrame(whole, "a string, b string, d double"), "d", 3, block=block).collect()
+    best = min(sum(min(math.dist(at[x], at[m]) for m in ms) for x in at) for ms in itertools.combinations(at, 3))
+    assert {r.item for r in got} == set(at) and sum(math.dist(at[r.item], at[r.medoid]) for r in got) == pytest.approx(best)
+
+
+def test_recovery_matches_plain_clusterings(spark):
+    from shotlattice.operators import medoids
+
+    rng = random.Random(4)
+    at = {f"i{k}": (rng.random() * 1.5 + k % 3 * 1.2, rng.random()) for k in range(30)}
+    pairs = [(a, b, math.dist(at[a], at[b])) for a, b in itertools.combinations(sorted(at), 2)]
+    got = {r.cluster: r for r in medoids.recovery(spark.createDataFrame(pairs, "a string, b string, d double"), "d", 3, subsamples=6, share=0.7, restarts=2, block=8).collect()}
+    runs = plain_runs(spark, pairs, 3, 2, 6, 0.7, 0)
+    own = runs[0][2]
+    for c in set(own.values()):
+        found = []
+        for s in range(1, 7):
+            part = runs[s][2]
+            members = {x for x in part if own[x] == c}
+            if members:
+                others = [{x for x in part if part[x] == k} for k in range(3)]
+                found.append(max(len(members & o) / len(members | o) for o in others))
+        assert (got[c].size, got[c].found) == (sum(v == c for v in own.values()), len(found)) and got[c].jaccard == pytest.approx(np.mean(found))
+
+
+def test_medoids_of_little(spark):
+    from shotlattice.operators import medoids
+
+    none = spark.createDataFrame([], "a string, b string, d double")
+    assert medoids.k_medoids(none, "d", 3).count() == 0 and medoids.recovery(none, "d", 3).count() == 0
+    two = spark.createDataFrame([("x", "y", 1.0)], "a string, b string, d double")
+    assert sorted((r.item, r.medoid) for r in medoids.k_medoids(two, "d", 4, restarts=2).collect()) == [("x", "x"), ("y", "y")]
