@@ -109,6 +109,59 @@ def test_tracks_from_behind(spark):
     assert (got[1], got[2], got[3]) == (1, 1, 2) and {got[4], got[5]} == {3, 4}
 
 
+def plain_back(rows, ratio, far):
+    """Persons of one item's tracks (segment, id, frames, body, person, back)."""
+    rows = sorted(rows, key=lambda r: r[1])
+    gap = lambda a, b: 1 - float(np.dot(a[3], b[3]))
+    bodies = [r for r in rows if r[3] is not None]
+
+    def distinct(r):
+        d = sorted(gap(r, o) for o in bodies if o is not r)
+        return bool(d) and (len(d) == 1 or d[1] <= 0 or d[0] / d[1] <= ratio)
+
+    out = {r[1]: r[4] for r in rows if not r[5]}
+    used = [(set(r[2]), r[4]) for r in rows if not r[5]]
+    new = max(out.values(), default=0)
+    for r in rows:
+        if r[5]:
+            who = None
+            if r[3] is not None and distinct(r):
+                for o in sorted((o for o in bodies if not o[5] and distinct(o) and abs(o[0] - r[0]) <= 1 and gap(r, o) <= far), key=lambda o: gap(r, o)):
+                    if not any(p == o[4] and f & set(r[2]) for f, p in used):
+                        who = o[4]
+                        break
+            if who is None:
+                new += 1
+                who = new
+            out[r[1]] = who
+            used.append((set(r[2]), who))
+    return out
+
+
+def test_tracks_from_behind_match_plain_assignment(spark):
+    rng = np.random.default_rng(8)
+    centres, rows = rng.normal(size=(4, 6)), {}
+    for v in range(6):
+        rows[v] = [(int(rng.integers(4)), i, (int(rng.integers(30)) + np.arange(int(rng.integers(1, 6)))).tolist(), None if rng.random() < 0.15 else unit(centres[rng.integers(4)] + rng.normal(size=6) * 0.4), 0, bool(rng.random() < 0.5)) for i in range(25)]
+        rows[v] = [(*r[:4], int(rng.integers(1, 5)), r[5]) for r in rows[v]]
+    df = spark.createDataFrame([(v, *r) for v, x in rows.items() for r in x], "video int, segment int, id int, frames array<int>, body array<double>, person int, back boolean")
+    got = {}
+    for r in identity.back_assigned(df, "video", "segment", "id", "frames", "body", "person", "back", 0.95, 0.6).collect():
+        got.setdefault(r.video, {})[r.id] = r.person
+    want = {v: plain_back(x, 0.95, 0.6) for v, x in rows.items()}
+    assert got == want
+    assert any(r[5] and want[v][r[1]] <= 4 for v, x in rows.items() for r in x)  # some do find a person
+
+
+def test_segments_are_cut_where_no_track_continues(spark):
+    nan = float("nan")
+    rows = [("v", 1, [5, 3, 3], [1.0, nan], None), ("v", 2, [0, 4], [1.0, 0.0], [0.5, 0.5]), ("v", 3, [6], None, None), ("v", 4, [9, 7], None, [nan, 1.0]), ("v", 5, [9], None, None), ("v", 6, [], None, None), ("v", 7, [8], None, None), ("w", 8, [100], None, None)]
+    df = spark.createDataFrame(rows, "video string, id int, frames array<int>, face array<double>, body array<double>")
+    got = {r.id: r for r in identity.units(df, "video", "id", "frames", "face", "body").collect()}
+    assert {i: r.segment for i, r in got.items()} == {2: 0, 1: 0, 3: 1, 4: 2, 5: 2, 7: 2, 6: None, 8: 0}
+    assert got[1].frames == [3, 5] and got[1].face is None and got[2].face == [1.0, 0.0] and got[4].body is None and got[2].body == [0.5, 0.5]
+
+
 def test_blocks_of_any_size_give_the_same_tree(spark):
     rng = random.Random(3)
     rows = [(f"i{k}", None if k == 2 else rng.random(), None if k in (4, 5) else [rng.choice([0.0, 1.0, 2.0]) for _ in range(4)], [rng.random() for _ in range(5)]) for k in range(23)]
