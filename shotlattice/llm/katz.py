@@ -10,7 +10,7 @@ Texts become chunks of token numbers once; all later steps exchange distinct wor
 4. Each chunk scores its documents: P(w | h) = d_r r / c(h) if the n-gram has count r > 0, else alpha(h) P(w | h') with h' the history without its first word, down to P(w), which is
    discounted the same way and leaves the mass of words not known to one unknown word. A history that training has not seen has the weight 1.
 
-The tables hold the model: counts of every level in lots. Nothing grows on the driver but fixed numbers and the histories named in 3. Numbers are the lot and the place in it, in 64 bits.
+A level's table holds, by lot and chunk, the counts, numbers and weights that chunks ask for; evaluation reads these. An n-gram that no document asks for is in none of them, as all documents are scored. Nothing grows on the driver but fixed numbers and the histories named in 3. Numbers are the lot and the place in it, in 64 bits.
 """
 
 from __future__ import annotations
@@ -204,11 +204,11 @@ def _table(out: list[tuple]):
 
 
 #: Kinds of rows: answers of a level to a chunk (the level's number), and these.
-OWN, MODEL, TOTALS, DEALT = 100, 101, 102, 103
+OWN, TOTALS, DEALT = 100, 102, 103
 
 
 def counted_words(chunks: DataFrame, parts: int) -> DataFrame:
-    """Level 1. Answers (numbers, counts) in the order of the chunk's words; MODEL: a lot of the unigram table; TOTALS: its sums."""
+    """Level 1. Answers (numbers, counts) in the order of the chunk's words; TOTALS: the sums of a lot."""
 
     def ask(batches):
         import pyarrow as pa
@@ -233,7 +233,6 @@ def counted_words(chunks: DataFrame, parts: int) -> DataFrame:
             start += len(a)
             out.append((1, chunk, part, rising(mine.astype(np.uint64)), packed(total[mine]), None))
         known = total > 0
-        out.append((MODEL, None, part, rising(words[known]), packed(total[known]), None))
         ends = total[words == END]
         totals = [total.sum(), known.sum(), ends.sum(), *np.bincount(np.minimum(total, K + 2), minlength=K + 3)[: K + 2]]
         out.append((TOTALS, None, part, np.array(totals, np.int64).tobytes(), None, None))
@@ -409,7 +408,7 @@ def _by_chunk(own: DataFrame, answers: DataFrame, run, schema: str) -> DataFrame
 
 
 def counted_ngrams(own: DataFrame, answers: DataFrame, uni: Unigrams, levels: list[Level], parts: int, last: bool, turn: int) -> DataFrame:
-    """The level above ``levels``, in the lots of a turn. Answers (lot, counts, weights of histories, numbers unless it is the ``last``); MODEL: a lot of its table; TOTALS: counts of counts; DEALT: sums of histories dealt by n-gram."""
+    """The level above ``levels``, in the lots of a turn. Answers (lot, counts, weights of histories, numbers unless it is the ``last``); TOTALS: counts of counts; DEALT: sums of histories dealt by n-gram."""
     at_level = len(levels) + 2
     below = levels[-1].d if levels else uni.d
 
@@ -459,7 +458,6 @@ def counted_ngrams(own: DataFrame, answers: DataFrame, uni: Unigrams, levels: li
             else:
                 p = uni.p(lower[first][known])
             totals += np.bincount(np.minimum(r, K + 2), minlength=K + 3)[: K + 2]
-            out.append((MODEL, None, part, paired(names[of], words[(keys[known] & np.uint64(0xFFFFFFFF)).astype(np.int64)]), packed(r), None))
             sums = np.zeros((len(names), K + 2))  # n_1..n_K, the sum of higher counts, the mass of the followers a level below
             for i in range(K):
                 sums[:, i] = np.bincount(of[r == i + 1], minlength=len(names))
