@@ -6,7 +6,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.chance import uniform, uniform_here
+from ..functions.chance import uniform
+from ..sources.stored import stored
+from .prefixes import running
 
 
 def confusion(df: DataFrame, truth: str, found: str) -> DataFrame:
@@ -51,8 +53,11 @@ def average_precision(df: DataFrame, keys: list[str], positive: str, score: str)
 
 
 def average_ranks(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
-    """Ranks within groups, equal values at their mean rank."""
+    """Ranks within groups, equal values at their mean rank. Without keys all rows are one group, and running sums over ranges of the values rank them."""
     by = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c_"))
+    if not keys:
+        ranks = running(by.where(F.col(value).isNotNull()), value, ["c_"]).select(value, (F.col("c__before") + (F.col("c_") + 1) / 2).alias(out))
+        return df.join(ranks, value)
     before = F.coalesce(F.sum("c_").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return df.join(by.select(*keys, value, (before + (F.col("c_") + 1) / 2).alias(out)), [*keys, value])
 
@@ -126,51 +131,49 @@ def bootstrap_mean(df: DataFrame, item: str, value: str, draws: int = 200, seed:
     return items.agg(F.avg("x").alias("mean"), F.count(F.lit(1)).alias("items")).crossJoin(ci).select("mean", "items", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
-#: Items whose matrix is sent to all tasks, at most: 64 MB of numbers.
-MATRIX_ITEMS = 2000
+def _known(pairs: DataFrame, x: str, y: str) -> DataFrame:
+    """Pairs (a, b) with both distances known, and the ranks ``rx`` and ``ry`` of these among them."""
+    rows = pairs.select("a", "b", F.col(x).alias("x"), F.col(y).alias("y")).dropna()
+    return stored(average_ranks(average_ranks(rows, [], "x", "rx"), [], "y", "ry").select("a", "b", "rx", "ry"), "mantel-ranks")
 
 
 def mantel(pairs: DataFrame, x: str, y: str, permutations: int = 99, seed: int = 0) -> DataFrame:
-    """Rank correlation of two distances over pairs (a, b) and its permutation p-value; one row.
+    """Rank correlation of two distances over pairs (a < b) and its permutation p-value; one row.
 
-    The matrix of a collection of up to ``MATRIX_ITEMS`` items is sent to the tasks once, and permutations are dealt out as numbers; that of a larger one goes to each permutation as rows.
+    A permutation gives the items each other's names. A pair meets the second distance of the pair that its items stand for by a join, so nothing holds a matrix; ranks do not change by it. Where a
+    permuted pair has no distance, it is left out of that permutation. A constant side has correlation 0.
     """
-    rows = pairs.select("a", "b", F.col(x).alias("x"), F.col(y).alias("y")).dropna()
-
-    def rho(i, j, m, first, p, names):
-        order = np.arange(len(names)) if p == 0 else np.array(sorted(range(len(names)), key=lambda k: (uniform_here(seed, p, names[k]), k)))
-        second = pd.Series(m[order[i], order[j]]).rank()
-        found = first.corr(second)
-        return 0.0 if found != found else found
-
-    def prepared(g: pd.DataFrame):
-        names = sorted({*g["a"].tolist(), *g["b"].tolist()})
-        at = {n: k for k, n in enumerate(names)}
-        i, j = g["a"].map(at).to_numpy(), g["b"].map(at).to_numpy()
-        m = np.full((len(names), len(names)), np.nan)
-        m[i, j] = m[j, i] = g["y"].to_numpy()
-        return i, j, m, pd.Series(g["x"].to_numpy()).rank(), names
-
-    perms = pairs.sparkSession.range(permutations + 1).select(F.col("id").cast("int").alias("perm"))
-    items = rows.select(F.col("a").alias("i")).union(rows.select("b")).distinct().limit(MATRIX_ITEMS + 1).count()
-    if items <= MATRIX_ITEMS:
-        sent = pairs.sparkSession.sparkContext.broadcast(prepared(rows.toPandas()))
-
-        def run(batches):
-            for batch in batches:
-                i, j, m, first, names = sent.value
-                yield pd.DataFrame({"perm": batch["perm"], "rho": [rho(i, j, m, first, int(p), names) for p in batch["perm"]]})
-
-        each = perms.mapInPandas(run, "perm int, rho double")
-    else:
-
-        def alone(g: pd.DataFrame) -> pd.DataFrame:
-            i, j, m, first, names = prepared(g)
-            return pd.DataFrame({"perm": g["perm"].iloc[:1], "rho": [rho(i, j, m, first, int(g["perm"].iloc[0]), names)]})
-
-        each = rows.crossJoin(F.broadcast(perms)).groupBy("perm").applyInPandas(alone, "perm int, rho double")  # permutations: a fixed number
+    rows = _known(pairs, x, y)
+    items = rows.select(F.col("a").alias("item")).union(rows.select("b")).distinct()
+    each = items.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations))))
+    at = lambda *order: F.row_number().over(Window.partitionBy("perm").orderBy(*order))  # noqa: E731  the items of a permutation, not its pairs
+    own = each.select("perm", "item", at("item").alias("pos"))
+    hand = each.select("perm", F.col("item").alias("other"), at(F.when(F.col("perm") > 0, uniform(seed, "perm", "item")).otherwise(0.0), "item").alias("pos"))
+    names = stored(own.join(hand, ["perm", "pos"]).select("perm", "item", "other"), "mantel-names")
+    first, second = (names.select("perm", F.col("item").alias(e), F.col("other").alias(f"{e}_other")) for e in "ab")
+    turned = rows.select("a", "b", "rx").join(first, "a").join(second, ["perm", "b"])
+    turned = turned.select("perm", "rx", F.least("a_other", "b_other").alias("a"), F.greatest("a_other", "b_other").alias("b")).join(rows.select("a", "b", "ry"), ["a", "b"])
+    rho = F.coalesce(F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry")), F.lit(0.0))
+    each = stored(turned.groupBy("perm").agg(F.round(rho, 12).alias("rho")), "mantel")  # a row a permutation
     own = each.where("perm = 0").select(F.col("rho").alias("own"))
-    return each.where("perm > 0").crossJoin(own).groupBy("own").agg(((1 + F.sum((F.col("rho") >= F.col("own")).cast("int"))) / (permutations + 1)).alias("p")).select(F.col("own").alias("rho"), "p")
+    return each.where("perm > 0").crossJoin(F.broadcast(own)).groupBy("own").agg(((1 + F.sum((F.col("rho") >= F.col("own")).cast("int"))) / (permutations + 1)).alias("p")).select(F.col("own").alias("rho"), "p")
+
+
+def mantel_interval(pairs: DataFrame, x: str, y: str, draws: int = 100, seed: int = 0) -> DataFrame:
+    """Rank correlation of two distances and its 95 % interval over items drawn; one row (rho, low, high).
+
+    An item counts as often as a Poisson weight says, a pair as often as its items together, so an item that is drawn twice is never paired with itself. Ranks are those of the whole collection.
+    """
+    rows = _known(pairs, x, y)
+
+    def rho(w: Column) -> Column:
+        n, sx, sy = F.sum(w), F.sum(w * F.col("rx")), F.sum(w * F.col("ry"))
+        cov = F.sum(w * F.col("rx") * F.col("ry")) - sx * sy / n
+        return F.try_divide(cov, F.sqrt((F.sum(w * F.col("rx") * F.col("rx")) - sx * sx / n) * (F.sum(w * F.col("ry") * F.col("ry")) - sy * sy / n)))
+
+    many = rows.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", (poisson_weight("a", seed) * poisson_weight("b", seed)).cast("double")).where("w > 0")
+    ends = many.groupBy("draw").agg(rho(F.col("w")).alias("rho")).agg(F.percentile("rho", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    return rows.agg(rho(F.lit(1.0)).alias("rho")).crossJoin(F.broadcast(ends)).select("rho", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
 def density(df: DataFrame, value: str, low: float, high: float, bins: int = 480, points: int = 241, width: float = 0.02) -> DataFrame:
