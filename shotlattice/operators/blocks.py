@@ -10,6 +10,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..sources.stored import stored
+
 c = F.col
 #: Items of a block; labels that a dense vector may have; bins by which a quantile is found.
 SIZE, VOCABULARY, BINS = 256, 4096, 4096
@@ -109,12 +111,11 @@ class Collection:
         self.specs = specs
         self.free = {f for f, _, _, k in specs if calibrated is not None and k not in calibrated}
         self.kind = dict(items.dtypes)["item"]
-        n = items.count()
-        blocks = max(1, -(-n // size))
         fields = [c(f).cast("array<double>" if k not in ("share", "scalar") else "double").alias(f) for f, _, _, k in specs]
-        self.items = items.select("item", *fields)
+        self.items = stored(items.select("item", *fields), "collection")  # every pass over the tiles starts from the vectors, not from what they were made of
+        blocks = max(1, -(-self.items.count() // size))
         block = F.pmod(F.xxhash64("item"), F.lit(blocks)).cast("int")
-        dealt = items.select("item", *fields, block.alias("own")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        dealt = self.items.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
         self.tiles = dealt.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "item", *[f for f, *_ in specs])
         self._scale: tuple[dict, dict] | None = None
 
@@ -132,7 +133,11 @@ class Collection:
         return {f: float(found[f] or 0.0) for f, *_ in self.specs}
 
     def quantiles(self, q: float = 0.9) -> dict[str, float]:
-        """Each field's quantile of all measured distances, linear between neighbours; distances are counted by bins, then only those of the bins that hold it are looked at."""
+        """Each field's quantile of all measured distances, linear between neighbours; distances are counted and summed by bins, then only those of the bins that hold it are looked at."""
+        return self._measured(q)[0]
+
+    def _measured(self, q: float) -> tuple[dict[str, float], dict[str, float]]:
+        """The quantiles, and the means of the distances over them, 1 at most, from the same two passes."""
         specs, spans = self.specs, self._spans()
 
         def binned(m, f):
@@ -142,12 +147,13 @@ class Collection:
             _, once, raw = _matrices(g, specs)
             out = []
             for f, (m, _) in raw.items():
-                n = np.bincount(binned(m[once & ~np.isnan(m)], f), minlength=1)
+                v = m[once & ~np.isnan(m)]
+                n, total = np.bincount(binned(v, f), minlength=1), np.bincount(binned(v, f), v, minlength=1)
                 at = np.flatnonzero(n)
-                out.append(pd.DataFrame({"field": f, "bin": at, "n": n[at]}))
+                out.append(pd.DataFrame({"field": f, "bin": at, "n": n[at], "total": total[at]}))
             return pd.concat(out)
 
-        counts = self.tiles.groupBy("i", "j").applyInPandas(counted, "field string, bin long, n long").groupBy("field", "bin").agg(F.sum("n").alias("n")).toPandas()  # at most BINS rows a field
+        counts = self.tiles.groupBy("i", "j").applyInPandas(counted, "field string, bin long, n long, total double").groupBy("field", "bin").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).toPandas()  # at most BINS rows a field
         wanted = {}
         for f, own in counts.groupby("field"):
             own = own.sort_values("bin")
@@ -158,7 +164,7 @@ class Collection:
             bins = own["bin"].to_numpy()[places]
             wanted[f] = (ranks, at, set(bins.tolist()), int(upto[places[0]] - own["n"].to_numpy()[places[0]]))
         if not wanted:
-            return {}
+            return {}, {}
         which = {f: w[2] for f, w in wanted.items()}
 
         def near(g: pd.DataFrame) -> pd.DataFrame:
@@ -170,7 +176,8 @@ class Collection:
                 out.append(pd.DataFrame({"field": f, "raw": v, "n": n}))
             return pd.concat(out)
 
-        values = self.tiles.groupBy("i", "j").applyInPandas(near, "field string, raw double, n long").groupBy("field", "raw").agg(F.sum("n").alias("n"))
+        exact = stored(self.tiles.groupBy("i", "j").applyInPandas(near, "field string, raw double, n long").groupBy("field", "raw").agg(F.sum("n").alias("n")), "collection-values")
+        values = exact
         upto = F.sum("n").over(Window.partitionBy("field").orderBy("raw"))
         ranks = F.create_map(*[F.lit(x) for f, w in wanted.items() for x in (f, w[3])])
         values = values.withColumn("past", upto + ranks[c("field")]).withColumn("from", c("past") - c("n"))
@@ -183,22 +190,24 @@ class Collection:
         for f, (rs, at, *_) in wanted.items():
             low, high = (next(x.raw for x in found if x.field == f and x["from"] <= r < x.past) for r in rs)
             out[f] = low + (high - low) * (at - rs[0])
-        return out
+        over = {f: 1.0 if f in self.free else (out[f] or 1.0) for f in out}
+        capped = {f: np.inf if f in self.free or not out[f] else 1.0 for f in out}
+        divided = c("raw") / F.create_map(*[F.lit(x) for f, t in over.items() for x in (f, float(t))])[c("field")]
+        edge = {r.field: r.total for r in exact.groupBy("field").agg(F.sum(F.least(divided, F.create_map(*[F.lit(x) for f, t in capped.items() for x in (f, float(t))])[c("field")]) * c("n")).alias("total")).collect()}  # one row a field
+        means = {}
+        for f, own in counts.groupby("field"):
+            bins, n, total = own["bin"].to_numpy(), own["n"].to_numpy(), own["total"].to_numpy()
+            inside = np.isin(bins, list(which[f]))
+            high = (bins > max(which[f])) & ~inside
+            above = float(n[high].sum()) if np.isfinite(capped[f]) else float(total[high].sum() / over[f])
+            means[f] = (float(total[~high & ~inside].sum() / over[f]) + above + edge.get(f, 0.0)) / float(n.sum())
+        return out, means
 
     def scale(self) -> tuple[dict[str, float], dict[str, float]]:
         """Each field's 0.9 quantile of the measured distances, and the mean of the calibrated ones."""
-        specs = self.specs
         if self._scale is None:
-            top = {f: q for f, q in self.quantiles().items() if f not in self.free}
-
-            def run(g: pd.DataFrame) -> pd.DataFrame:
-                _, once, raw = _matrices(g, specs)
-                found = [(f, _calibrated(m, top.get(f))[once & ~np.isnan(m)]) for f, (m, _) in raw.items()]
-                return pd.DataFrame([(f, float(v.sum()), len(v)) for f, v in found], columns=["field", "total", "n"])
-
-            sums = self.tiles.groupBy("i", "j").applyInPandas(run, "field string, total double, n long")
-            means = sums.groupBy("field").agg(F.try_divide(F.sum("total"), F.sum("n")).alias("m")).collect()  # one row a field
-            self._scale = top, {r.field: r.m for r in means}
+            top, means = self._measured(0.9)
+            self._scale = {f: q for f, q in top.items() if f not in self.free}, means
         return self._scale
 
     def tree(self) -> DataFrame:
