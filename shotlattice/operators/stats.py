@@ -28,13 +28,15 @@ def distribution(df: DataFrame, keys: list[str], row: str, label: str, p: str) -
 
     ``df`` is long: one line per key, row and label.
     """
-    rows = df.groupBy(*keys).agg(F.countDistinct(row).alias("rows"))
-    mean = df.groupBy(*keys, label).agg(F.sum(p).alias("total")).join(rows, keys).withColumn("share", F.col("total") / F.col("rows"))
-    first = lambda x: F.min_by(F.col(label), F.struct((-F.col(x)).alias("x"), F.col(label).alias("l")))
-    modal = mean.groupBy(*keys).agg(first("share").alias("modal"))
-    best = df.groupBy(*keys, row).agg(first(p).alias("best"))
-    agreement = best.join(modal, keys).groupBy(*keys).agg(F.avg((F.col("best") == F.col("modal")).cast("double")).alias("agreement"))
-    return mean.select(*keys, label, "share").join(modal, keys).join(agreement, keys)
+    best = df.groupBy(*keys, row).agg(F.min_by(F.col(label), F.struct((-F.col(p)).alias("x"), F.col(label).alias("l"))).alias(label))
+    none = F.lit(0).cast("long")
+    both = df.select(*keys, label, F.col(p).alias("p_"), none.alias("votes_")).unionByName(best.select(*keys, label, (none * 1.0).alias("p_"), (none + 1).alias("votes_")))
+    sums = both.groupBy(*keys, label).agg(F.sum("p_").alias("total_"), F.sum("votes_").alias("votes_"))
+    whole = Window.partitionBy(*keys)  # the labels of a group, not its rows
+    shares = sums.withColumn("rows_", F.sum("votes_").over(whole)).withColumn("share", F.col("total_") / F.col("rows_"))
+    named = shares.withColumn("modal", F.min_by(F.col(label), F.struct((-F.col("share")).alias("x"), F.col(label).alias("l"))).over(whole))
+    agreement = F.sum(F.when(F.col(label) == F.col("modal"), F.col("votes_")).otherwise(0)).over(whole) / F.col("rows_")
+    return named.select(*keys, label, "share", "modal", agreement.alias("agreement"))
 
 
 def labelled(df: DataFrame, keys: list[str], label: str, score: str, top: int) -> DataFrame:
