@@ -754,5 +754,5 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
 
 def test_queries_are_registered():
     found = sorted(queries.queries(), key=lambda k: int(k[2:].split("_")[0]))
-    assert [int(k[2:].split("_")[0]) for k in found] == list(range(1, 11))
+    assert [int(k[2:].split("_")[0]) for k in found] == list(range(1, 14))
     assert importlib.util.find_spec("corpus_pipeline")
