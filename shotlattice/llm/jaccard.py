@@ -498,7 +498,8 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     """One row per document: doc_id, n_shingles, component_id, k1, k2 (the class of equal sets; 0, 0 for the empty set), text_hash.
 
     A text without words, or null, has an empty set and links with nothing. Rows with a null id take part; ``component_id`` is the smallest id that is not null,
-    and null if there is none. Repeated rows link with one another. An empty table gives an empty result. Other columns are not read.
+    and null if there is none. Repeated rows link with one another. Texts of any length are taken whole, in parts where their sets
+    are long. Ties need no rule: links are exact, and a component's id is a minimum. An empty table gives an empty result. Other columns are not read.
     """
     lots = parts_of(docs) * 4
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
