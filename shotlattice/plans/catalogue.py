@@ -837,4 +837,4 @@ def tumbling_counts(spark, d):
     return e.groupBy(w, "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
-from . import frames, images, judged, kits, more, motion, parts, shapes, shown, stores, terminal  # noqa: E402,F401  they register their queries
+from . import episodes, frames, images, judged, kits, more, motion, parts, shapes, shown, stores, terminal  # noqa: E402,F401  they register their queries
