@@ -395,12 +395,12 @@ def placement(spark, d):
     return J.placement(hour_pairs(spark, d), "value", "k", "value")
 
 
-LOOKS_SQL = f"{PAIRS_SQL}, l AS (SELECT a % 100 AS a, b % 100 AS b, segment, abs(ak - bk) < 20 AS hit FROM p), g AS (SELECT a, b, segment, count(*) AS n, sum(hit::INT) AS hits FROM l GROUP BY ALL), t AS (SELECT a, b, sum(n)::BIGINT AS n, sum(hits)::BIGINT AS hits, sum(hits) / sum(n) AS share FROM g GROUP BY ALL), k AS (SELECT a, b, hits / n AS peak_share, n::BIGINT AS peak_n, segment AS peak_segment FROM g WHERE n >= 3 QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY hits / n DESC, n DESC, segment) = 1)"
+LOOKS_SQL = f"{PAIRS_SQL}, l AS (SELECT a, b, segment, abs(ak - bk) < 20 AS hit FROM p), g AS (SELECT a, b, segment, count(*) AS n, sum(hit::INT) AS hits FROM l GROUP BY ALL), t AS (SELECT a, b, sum(n)::BIGINT AS n, sum(hits)::BIGINT AS hits, sum(hits) / sum(n) AS share FROM g GROUP BY ALL), k AS (SELECT a, b, hits / n AS peak_share, n::BIGINT AS peak_n, segment AS peak_segment FROM g WHERE n >= 1 QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY hits / n DESC, n DESC, segment) = 1)"
 
 
 def looks(pairs):
-    p = pairs.select((F.col("a") % 100).alias("a"), (F.col("b") % 100).alias("b"), "segment", (F.abs(F.col("a_k") - F.col("b_k")) < 20).alias("hit"))
-    return J.looks_at(p, "segment", 3)
+    p = pairs.select("a", "b", "segment", (F.abs(F.col("a_k") - F.col("b_k")) < 20).alias("hit"))
+    return J.looks_at(p, "segment", 1)
 
 
 @query(f"{LOOKS_SQL} SELECT * FROM t LEFT JOIN k USING (a, b)", "share peak_share")
