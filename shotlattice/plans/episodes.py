@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.chance import uniform_sql
 from ..operators import episodes as P
-from .adapters import events, table
+from .adapters import events
 from .catalogue import WITH, poisson_sql, query
 
 c = F.col
@@ -62,18 +62,12 @@ def frame_sizes(spark, d):
     return g.select("video", size["width"].alias("width"))
 
 
-@query("WITH m AS (SELECT doc_id, unnest(list_transform(string_split(coalesce(text, ''), ''), lambda x: CASE WHEN x = '' THEN 0 ELSE unicode(x) % 5 END)) AS id FROM documents), n AS (SELECT doc_id, id, count(*) AS n FROM m GROUP BY ALL) SELECT doc_id, 'class ' || id AS name, n / sum(n) OVER (PARTITION BY doc_id) AS share FROM n", "share")
+@query(f"{WITH}, n AS (SELECT video, segment, k % 5 AS id, count(*) AS n FROM e GROUP BY ALL) SELECT video || '-' || segment AS item, CASE WHEN id < 4 THEN 'class ' || id END AS name, n / sum(n) OVER (PARTITION BY video, segment) AS share FROM n", "share")
 def map_shares(spark, d):
-    """A document's characters as the pixels of a map of five classes."""
-    letters = F.filter(F.split(F.coalesce("text", F.lit("")), ""), lambda x: x != "")
-    ids = F.when(F.size(letters) > 0, F.transform(letters, lambda x: _code(x) % 5)).otherwise(F.array(F.lit(0)))
-    names = spark.range(5).select(c("id").cast("int").alias("id"), F.concat(F.lit("class "), "id").alias("name"))
-    return P.map_shares(table(spark, d, "documents").select("doc_id", ids.alias("pixels")), "doc_id", "pixels", names)
-
-
-def _code(letter):
-    """The code point of a character."""
-    return F.conv(F.hex(F.encode(letter, "UTF-32")), 16, 10).cast("int")
+    """A day's events as the pixels of a map of five classes, one of them without a name."""
+    maps = events(spark, d).groupBy(F.concat_ws("-", "video", "segment").alias("item")).agg(F.collect_list(c("k") % 5).alias("pixels"))
+    names = spark.range(4).select(c("id").cast("int").alias("id"), F.concat(F.lit("class "), "id").alias("name"))
+    return P.map_shares(maps, "item", "pixels", names)
 
 
 @query(
