@@ -26,11 +26,26 @@ def shared_folder(spark: SparkSession) -> str:
     return at
 
 
+#: Tables that go when the driver ends; results read them when they are evaluated, so they stay until then.
+_LIVE: set[str] = set()
+
+
+def _swept(spark: SparkSession) -> None:
+    try:
+        for path in sorted(_LIVE):
+            _Files(spark, path).remove()
+    except Exception:  # the session has ended first; then whoever owns the shared folder empties it
+        pass
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: later steps start from files, so a lost executor repeats none of what led here."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stored/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not _LIVE:
+        atexit.register(_swept, spark)
+    _LIVE.add(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
