@@ -109,7 +109,7 @@ def categorical_report(df: DataFrame, labels: DataFrame, keys: list[str], label:
     """Counts and shares of every label of the vocabulary, zero ones too."""
     groups = df.select(*keys).distinct()
     counts = df.groupBy(*keys, label).agg(F.count(F.lit(1)).alias("n"))
-    all_ = groups.join(F.broadcast(labels.select(label).distinct()))  # a closed vocabulary
+    all_ = groups.crossJoin(labels.select(label).distinct())  # every group has every label by definition; Spark broadcasts the vocabulary if it is small
     full = all_.join(counts, [*keys, label], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     total = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
     return full.join(total, keys).select(*keys, label, "n", (F.col("n") / F.col("total")).alias("share"))
