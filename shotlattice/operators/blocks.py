@@ -19,10 +19,10 @@ SIZE, VOCABULARY, BINS = 256, 4096, 4096
 
 def dense(labels: DataFrame, item: str, label: str, value: str) -> DataFrame:
     """(item, v): each item's values as an array over all labels in order. For closed vocabularies: more than ``VOCABULARY`` labels are an error."""
-    names = [r[0] for r in labels.select(label).distinct().orderBy(label).limit(VOCABULARY + 1).collect()]
+    names = [r[0] for r in labels.select(label).where(c(label).isNotNull()).distinct().orderBy(label).limit(VOCABULARY + 1).collect()]
     if len(names) > VOCABULARY:
         raise ValueError(f"more than {VOCABULARY} labels: use the joins of operators.distance")
-    own = labels.groupBy(item).agg(F.map_from_entries(F.collect_list(F.struct(label, c(value).cast("double")))).alias("m"))
+    own = labels.groupBy(item).agg(F.map_from_entries(F.collect_list(F.when(c(label).isNotNull(), F.struct(label, c(value).cast("double"))))).alias("m"))
     all_ = F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")
     return own.select(item, F.transform(all_, lambda x: F.coalesce(F.try_element_at("m", x), F.lit(0.0))).alias("v"))
 
@@ -75,6 +75,26 @@ def _matrices(g: pd.DataFrame, specs):
     return names, once, raw
 
 
+def pairwise(labels: DataFrame, value: str, kind: str, item: str = "item", label: str = "label", size: int = SIZE) -> DataFrame:
+    """(a, b, raw) of every pair a < b of items by their labels (one row an item and label): ``mix`` is the Hellinger distance of shares, ``set`` the weighted Jaccard distance, null for two items without weight.
+
+    For closed vocabularies, see ``dense``: items are vectors, a task scores a pair of blocks as one matrix, and no label is joined, however many items have it.
+    """
+    items = stored(dense(labels, item, label, value).select(c(item).alias("item"), "v"), "vectors")
+    blocks = max(1, -(-items.count() // size))
+    dealt = items.withColumn("own", F.pmod(F.xxhash64("item"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    tiles = dealt.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "item", "v")
+    specs = [("v", "", "", kind)]
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        (a, b), once, raw = _matrices(g, specs)
+        i, j = np.nonzero(once)
+        return pd.DataFrame({"a": np.minimum(a[i], b[j]), "b": np.maximum(a[i], b[j]), "raw": raw["v"][0][i, j]})
+
+    named = dict(items.dtypes)["item"]
+    return tiles.groupBy("i", "j").applyInPandas(run, f"a {named}, b {named}, raw double").withColumn("raw", F.nanvl("raw", F.lit(None).cast("double")))
+
+
 def _calibrated(m: np.ndarray, top: float | None) -> np.ndarray:
     return np.minimum(m / top, 1) if top else m
 

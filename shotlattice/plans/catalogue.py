@@ -486,7 +486,7 @@ HELL_SQL = f"{USER_MIX_SQL}, h AS (SELECT pr.a, pr.b, sqrt(greatest(0, 1 - coale
 
 @query(f"{HELL_SQL} SELECT * FROM h", "raw")
 def hellinger_pairs(spark, d):
-    return D.hellinger(item_mix(spark, d))
+    return blocks.pairwise(item_mix(spark, d), "share", "mix")
 
 
 JAC_SQL = f"{USER_MIX_SQL}, t AS (SELECT item, sum(w) AS t FROM m GROUP BY 1), l AS (SELECT x.item AS a, y.item AS b, sum(least(x.w, y.w)) AS low FROM m x JOIN m y ON x.label = y.label AND x.item < y.item GROUP BY 1, 2), j AS (SELECT pr.a, pr.b, 1 - coalesce(low, 0) / nullif(ta.t + tb.t - coalesce(low, 0), 0) AS raw FROM pr LEFT JOIN l USING (a, b) JOIN t ta ON ta.item = pr.a JOIN t tb ON tb.item = pr.b)"
@@ -494,7 +494,7 @@ JAC_SQL = f"{USER_MIX_SQL}, t AS (SELECT item, sum(w) AS t FROM m GROUP BY 1), l
 
 @query(f"{JAC_SQL} SELECT * FROM j", "raw")
 def jaccard_pairs(spark, d):
-    return D.weighted_jaccard(item_mix(spark, d))
+    return blocks.pairwise(item_mix(spark, d), "w", "set")
 
 
 @query(f"{WITH}, v AS (SELECT video AS item, avg(value) AS x FROM e GROUP BY 1) SELECT a.item AS a, b.item AS b, abs(a.x - b.x) AS raw FROM v a JOIN v b ON a.item < b.item", "raw")

@@ -198,6 +198,20 @@ def test_blocks_of_any_size_give_the_same_tree(spark):
         assert [o for _, o in sorted(near[item])] == [o for _, o in others[:3]]
 
 
+def test_pairs_in_blocks_are_those_of_joins(spark):
+    from shotlattice.operators import distance
+
+    rng = random.Random(11)
+    rows = [(f"i{k}", x, rng.random()) for k in range(17) for x in rng.sample(["a", "b", "c", "d", None], rng.randint(1, 3))] + [("bare", "a", 0.0), ("bald", None, 0.0)]
+    df = spark.createDataFrame(rows, "item string, label string, w double")
+    share = df.join(df.groupBy("item").sum("w").withColumnRenamed("sum(w)", "t"), "item").selectExpr("item", "label", "w", "coalesce(try_divide(w, t), 0) as share")
+    for kind, value, joined in (("mix", "share", distance.hellinger(share)), ("set", "w", distance.weighted_jaccard(df.where("label is not null or w = 0")))):
+        own = share if kind == "mix" else df.where("label is not null or w = 0")
+        got = {(r.a, r.b): r.raw for r in blocks.pairwise(own, value, kind, size=4).collect()}
+        want = {(r.a, r.b): r.raw for r in joined.collect()}
+        assert got.keys() == want.keys() and all((v is None and want[k] is None) or v == pytest.approx(want[k]) for k, v in got.items())
+
+
 def test_coordinate_search_climbs():
     score = lambda s: -((s["a"] - 0.4) ** 2) - abs(s["b"] - 0.1)
     assert intervals.coordinate_search(score, {"a": 0.0, "b": 0.5}, 0.1) == {"a": 0.4, "b": 0.1}
