@@ -16,8 +16,8 @@ def norm(a: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """A vector of length one; null for a null vector or one too short to have a direction."""
-    length = norm(a)
-    return F.when(length >= 1e-6, F.transform(a.cast("array<double>"), lambda x: x / length))
+    # the length is bound first: an expression inside the inner function would be computed again for each place
+    return F.element_at(F.transform(F.array(norm(a)), lambda length: F.when(length >= 1e-6, F.transform(a.cast("array<double>"), lambda x: x / length))), 1)
 
 
 def cosine(a: Column, b: Column) -> Column:
