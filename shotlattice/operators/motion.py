@@ -215,9 +215,13 @@ def two_stage_tracks(boxes: DataFrame, keys: list[str], high: float = 0.5, low:
     def run(g: pd.DataFrame) -> pd.DataFrame:
         tracks: list[_Track] = []
         out, count, before = [], 0, None
-        for frame, rows in g.sort_values(["frame", "id"]).groupby("frame", sort=True):
-            frame = int(frame)
-            box, score, ids = rows[["x1", "y1", "x2", "y2"]].to_numpy(float), rows["score"].to_numpy(float), rows["id"].tolist()
+        every, place = g["frame"].to_numpy(), g["id"].to_numpy()
+        order = np.lexsort((place, every))
+        every, place, boxed, scored = every[order], place[order], g[["x1", "y1", "x2", "y2"]].to_numpy(float)[order], g["score"].to_numpy(float)[order]
+        edges = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1], [True])))
+        own = [g[k].iloc[0] for k in keys]
+        for first, past in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            frame, box, score, ids = int(every[first]), boxed[first:past], scored[first:past], place[first:past].tolist()
             tracks = [t for t in tracks if frame - t.frame <= patience and (t.hits > 1 or t.frame == before)]
             kept = {}
             sure = np.flatnonzero(score >= high)
@@ -237,7 +241,7 @@ def two_stage_tracks(boxes: DataFrame, keys: list[str], high: float = 0.5, low:
                     count += 1
                     tracks.append(t)
                 if t is not None:
-                    out.append((*[g[k].iloc[0] for k in keys], ids[j], frame, t.number))
+                    out.append((*own, ids[j], frame, t.number))
             before = frame
         return pd.DataFrame(out, columns=[*keys, "id", "frame", "track"])
 

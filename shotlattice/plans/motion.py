@@ -89,8 +89,8 @@ def fitted_motions(spark, d):
 def two_stage_tracks(spark, d):
     e = events(spark, d)
     at = c("k") * 8.0
-    boxes = e.select("video", "segment", c("event_id").alias("id"), F.floor(c("frame") % 86400 / 7200).alias("frame"), F.least(c("value") / 100, F.lit(1.0)).alias("score"), at.alias("x1"), (at * 0).alias("y1"), (at + 200).alias("x2"), (at * 0 + 300).alias("y2"))
-    return Y.two_stage_tracks(boxes, ["video", "segment"], high=0.4, low=0.05, new=0.4)
+    boxes = e.select("video", c("event_id").alias("id"), F.floor(c("frame") / 7200).alias("frame"), F.least(c("value") / 100, F.lit(1.0)).alias("score"), at.alias("x1"), (at * 0).alias("y1"), (at + 200).alias("x2"), (at * 0 + 300).alias("y2"))
+    return Y.two_stage_tracks(boxes, ["video"], high=0.4, low=0.05, new=0.4)
 
 
 # ---------------------------------------------------------------- cuts
