@@ -209,3 +209,11 @@ def test_similarity_is_symmetric_and_zero_on_copies(spark):
     d = {(r.a, r.b): r.score for r in s.overall().collect()}
     assert d[1, 2] == 0 and d[1, 3] == d[2, 3] > 0
     assert [(r.item, r.other) for r in s.nearest(1).orderBy("item").collect()] == [(1, 2), (2, 1), (3, 1)]
+
+
+def test_modal_label_ties_to_twelve_places(spark):
+    tenths = [("a", 0.1), ("b", 0.3), ("a", 0.2), ("b", 0.0)]
+    rows = [(1, i, label, p) for i, (label, p) in enumerate(tenths)]  # 0.1 + 0.2 is more than 0.3 in the last bit
+    flipped = [(2, i, {"a": "b", "b": "a"}[label], p) for i, (label, p) in enumerate(tenths)]
+    got = A.distribution(spark.createDataFrame(rows + flipped, "k int, r int, l string, p double"), ["k"], "r", "l", "p")
+    assert {(r.k, r.modal) for r in got.collect()} == {(1, "a"), (2, "a")}
