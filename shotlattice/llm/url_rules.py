@@ -56,10 +56,10 @@ def url_tokens(url: Column) -> Column:
 
 
 def frequent(rows: DataFrame, least: Column) -> DataFrame:
-    """(token, score): tokens of at least ``least`` URLs, of those found in the very same URLs the first by name.
+    """(token, n, k, score): tokens of at least ``least`` URLs, of those found in the very same URLs the first by name.
 
     A rule with one of such twins has the support and confidence of the rule with another, but each would double the combinations to be mined. Twins are told by their counts and
-    two 64-bit sums over the numbers of their URLs. ``score`` is the chi-square of token and label.
+    two 64-bit sums over the numbers of their URLs. ``n`` and ``k``: the URLs that hold the token, and the blocked ones of them; ``score`` is the chi-square of token and label.
     """
     whole = rows.agg(F.count(F.lit(1)).alias("all"), F.sum(F.col("block").cast("long")).alias("bad"))
     tokens = rows.select("id", F.col("block").cast("long").alias("b"), F.explode("tokens").alias("token"))
@@ -68,7 +68,7 @@ def frequent(rows: DataFrame, least: Column) -> DataFrame:
     n, k, total, bad = (F.col(c).cast("double") for c in ("n", "k", "all", "bad"))
     apart = k * (total - bad - n + k) - (n - k) * (bad - k)
     score = F.coalesce(F.try_divide(total * apart * apart, n * (total - n) * bad * (total - bad)), F.lit(0.0))
-    return often.withColumn("score", score).groupBy("n", "x", "y").agg(F.min("token").alias("token"), F.min("score").alias("score")).select("token", "score")
+    return often.withColumn("score", score).groupBy("n", "k", "x", "y").agg(F.min("token").alias("token"), F.min("score").alias("score")).select("token", "n", "k", "score")
 
 
 def lower_bound(confidence: Column, n: Column, z: float = 1.96) -> Column:
@@ -76,33 +76,34 @@ def lower_bound(confidence: Column, n: Column, z: float = 1.96) -> Column:
     return (confidence + z * z / (2 * n) - z * F.sqrt((confidence * (1 - confidence) + z * z / (4 * n)) / n)) / (1 + z * z / n)
 
 
-def mine(labelled: DataFrame, min_support: float = 0.0005, least: int = 20, min_confidence: float = 0.6, width: int = 12) -> DataFrame:
+def mine(labelled: DataFrame, min_support: float = 0.0005, least: int = 20, min_confidence: float = 0.6, width: int | None = None) -> DataFrame:
     """(rule, confidence, support), a written table: token combinations of labelled URLs (columns url, block) that mean "block".
 
     A rule is kept if the share ``min_support`` of all URLs, and ``least`` of them whatever their number, are blocked and hold it, and if the lower bound of its confidence (95 %) is ``min_confidence`` or more.
-    FP-growth sees of a URL the ``width`` frequent tokens that say most about the label (chi-square, then by name), so a rule has at most so many tokens and a URL at most 2 ** width
-    combinations; counts are over all URLs that hold those. Matching uses all tokens. Null URLs and null labels teach nothing; a URL given repeatedly counts each time. An empty table gives no rules.
-    FP-growth ranks the frequent tokens on the driver: at most tokens a URL / min_support of them.
+    Left out before mining is only what no longer rule needs: tokens that are rules alone, those of too few blocked URLs, and those of all URLs. Every other token of a URL is mined; combinations are made one after another
+    and not kept, so many such tokens in one URL cost time and not memory. A ``width`` bounds them, if one is given, to the tokens that say most about the label (chi-square, then by name). Matching uses all tokens.
+    Null URLs and null labels teach nothing; a URL given repeatedly counts each time. An empty table gives no rules. FP-growth ranks the frequent tokens on the driver: at most tokens a URL / min_support of them.
     """
     rows = labelled.where("url is not null and block is not null").select(F.monotonically_increasing_id().alias("id"), "block", url_tokens(F.col("url")).alias("tokens"))
     rows = written(rows, "labelled")
     total = rows.count()
     floor = max(least, min_support * total)
     known = written(frequent(rows, F.lit(floor)), "tokens")
-    own = rows.select("id", F.explode("tokens").alias("token")).join(known, "token")
-    # the order of the list decides which tokens stay, not what they are
-    own = own.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "token"))), 1, width).alias("best"))
+    sure = (F.col("k") >= floor) & (lower_bound(F.col("k") / F.col("n"), F.col("n")) >= min_confidence)
+    alone = known.where(sure).select(F.array("token").alias("rule"), (F.col("k") / F.col("n")).alias("confidence"), (F.col("k") / F.lit(float(max(total, 1)))).alias("support"))
+    own = rows.select("id", F.explode("tokens").alias("token")).join(known.where(~sure & (F.col("k") >= floor) & (F.col("n") < total)).select("token", "score"), "token")
+    own = own.groupBy("id").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "token"))).alias("best"))
+    if width is not None:
+        own = own.withColumn("best", F.slice("best", 1, width))
     items = rows.select("id", "block").join(own, "id", "left")
     items = items.select(F.concat(F.coalesce(F.transform("best", lambda x: x["token"]), F.array().cast("array<string>")), F.when(F.col("block"), F.array(F.lit(BLOCK))).otherwise(F.array().cast("array<string>"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, floor / max(total, 1)), minConfidence=min_confidence, numPartitions=parts_of(labelled.sparkSession)).fit(items)
-    rules = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCK)).select(F.array_sort("antecedent").alias("rule"), "confidence", "support")
+    rules = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCK) & (F.size("antecedent") > 1)).select(F.array_sort("antecedent").alias("rule"), "confidence", "support")
     held_by = F.round(F.col("support") * total / F.col("confidence"))  # URLs that hold the antecedent
-    rules = written(rules.where((F.round(F.col("support") * total) >= floor) & (lower_bound(F.col("confidence"), held_by) >= min_confidence)), "rules")
+    rules = rules.where((F.round(F.col("support") * total) >= floor) & (lower_bound(F.col("confidence"), held_by) >= min_confidence))
+    out = written(alone.unionByName(rules), "rules")
     dropped(rows, known)
-    single = rules.select(F.col("rule").alias("small"), F.explode("rule").alias("token")).where("size(small) = 1").select("token")
-    longer = rules.where("size(rule) > 1").withColumn("id", F.xxhash64("rule"))
-    held = longer.select("id", F.explode("rule").alias("token")).join(single, "token", "left_semi").select("id").distinct()
-    return written(rules.where("size(rule) = 1").unionByName(longer.join(held, "id", "left_anti").select("rule", "confidence", "support")), "rules")
+    return out
 
 
 def blocked_urls(urls: DataFrame, rules: DataFrame) -> DataFrame:

@@ -756,3 +756,12 @@ def test_queries_are_registered():
     found = sorted(queries.queries(), key=lambda k: int(k[2:].split("_")[0]))
     assert [int(k[2:].split("_")[0]) for k in found] == list(range(1, 14))
     assert importlib.util.find_spec("corpus_pipeline")
+
+
+def test_rules_hold_tokens_that_alone_say_nothing_beside_many_that_say_more(spark):
+    rng = random.Random(3)
+    some = lambda bad: "&".join(f"d{i}=1" for i in range(22) if rng.random() < (0.72 if bad else 0.62))
+    rows = [(f"http://s{i}.io{'/p' * (i % 2)}{'/q' * (i // 2 % 2)}/?{some(i % 4 in (0, 3))}", i % 4 in (0, 3)) for i in range(280)]
+    rules = url_rules.mine(spark.createDataFrame(rows, "url string, block boolean"))
+    unseen = spark.createDataFrame([("http://new.io/p/q/",), ("http://new.io/p/",), ("http://new.io/q/",)], "url string")
+    assert {r.url for r in url_rules.blocked_urls(unseen, rules).collect()} == {"http://new.io/p/q/"}
