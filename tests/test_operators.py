@@ -217,3 +217,15 @@ def test_modal_label_ties_to_twelve_places(spark):
     flipped = [(2, i, {"a": "b", "b": "a"}[label], p) for i, (label, p) in enumerate(tenths)]
     got = A.distribution(spark.createDataFrame(rows + flipped, "k int, r int, l string, p double"), ["k"], "r", "l", "p")
     assert {(r.k, r.modal) for r in got.collect()} == {(1, "a"), (2, "a")}
+
+
+def test_tracks_long_gone_cost_nothing(spark):
+    import time
+
+    n = 30_000  # each box is alone: as many tracks as boxes
+    boxes = spark.range(0, n, 1, 1).selectExpr("1L AS v", "id", "id * 10 AS frame", "0.0 AS x1", "0.0 AS y1", "5.0 AS x2", "5.0 AS y2")
+    J.link_tracks(boxes.limit(5), "v").collect()
+    start = time.monotonic()
+    got = J.link_tracks(boxes, "v").collect()
+    assert [r.track for r in sorted(got, key=lambda r: r.id)] == list(range(n))
+    assert time.monotonic() - start < 15
