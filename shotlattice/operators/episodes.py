@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .intervals import drawn, ends
+from .kits import bound
 
 c = F.col
 
@@ -76,9 +77,15 @@ def map_shares(maps: DataFrame, item: str, pixels: str, names: DataFrame) -> Dat
 def reading_chunks(width: Column, height: Column, line: int = 32, step: int = 100, least: int = 8) -> Column:
     """Where a text line is cut to be read: (start, end) pixels at a height of ``line``, in parts of about ``step``; parts under ``least`` are left out."""
     wide = F.greatest(F.lit(least), F.bround(width * line / height).cast("int"))
-    n = F.greatest(F.lit(1), F.bround(wide / step).cast("int"))
-    cut = lambda i: F.bround(i * wide / n).cast("int")
-    return F.filter(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(cut(i).alias("start"), cut(i + 1).alias("end"))), lambda x: x["end"] - x["start"] >= least)
+
+    def cuts(size: Column) -> Column:
+        n, wide = size["n"], size["wide"]
+        cut = lambda i: F.bround(i * wide / n).cast("int")
+        return F.filter(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(cut(i).alias("start"), cut(i + 1).alias("end"))), lambda x: x["end"] - x["start"] >= least)
+
+    # width and parts are bound first: named inside the inner function they would be computed again for each part
+    size = lambda wide: F.struct(F.greatest(F.lit(1), F.bround(wide / step).cast("int")).alias("n"), wide.alias("wide"))
+    return bound(bound(wide, size), cuts)
 
 
 def joined_readings(readings: Column) -> Column:

@@ -74,7 +74,9 @@ def map_shares(spark, d):
     f"""{WITH}, p AS (SELECT event_id, greatest(8, round_even((k * 40 + 5) * 32 / (20 + event_id % 30), 0)::INT) AS wide FROM e), n AS (SELECT *, greatest(1, round_even(wide / 100, 0)::INT) AS n FROM p), x AS (SELECT event_id, list_filter(list_transform(range(0, n), lambda i: [round_even(i * wide / n, 0)::INT, round_even((i + 1) * wide / n, 0)::INT]), lambda y: y[2] - y[1] >= 8) AS xs FROM n) SELECT event_id, len(xs)::INT AS parts, xs[1][2] AS first_end, xs[-1][2] AS last_end FROM x"""
 )
 def reading_chunks(spark, d):
-    x = events(spark, d).withColumn("xs", P.reading_chunks(c("k") * 40 + 5, 20 + c("event_id") % 30))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    e = events(spark, d).select("event_id", "k").repartition(parts, "event_id")  # a file of narrow rows is few tasks, and a row is much work
+    x = e.withColumn("xs", P.reading_chunks(c("k") * 40 + 5, 20 + c("event_id") % 30))
     return x.select("event_id", F.size("xs").alias("parts"), c("xs")[0]["end"].alias("first_end"), F.element_at("xs", -1)["end"].alias("last_end"))
 
 
