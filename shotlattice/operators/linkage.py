@@ -40,7 +40,7 @@ def tiles(left: DataFrame, right: DataFrame | None, keys: list[str], id_: str, s
         lo, hi = F.least("own_", "other_"), F.greatest("own_", "other_")
         return dealt(left, n, n).select(lo.alias("i"), hi.alias("j"), F.when((lo != hi) & (c("own_") == hi), 1).otherwise(0).alias("side"), *left.columns)
     m = blocks(right)
-    return dealt(left, n, m).select(c("own_").alias("i"), c("other_").alias("j"), F.lit(0).alias("side"), *left.columns).unionByName(dealt(right, m, n).select(c("other_").alias("i"), c("own_").alias("j"), F.lit(1).alias("side"), *left.columns))
+    return dealt(left, n, m).select(c("own_").alias("i"), c("other_").alias("j"), F.lit(0).alias("side"), *left.columns).unionByName(dealt(right, m, n).select(c("other_").alias("i"), c("own_").alias("j"), F.lit(1).alias("side"), *right.columns), allowMissingColumns=True)
 
 
 def sides(g: pd.DataFrame, id_: str) -> tuple[pd.DataFrame, pd.DataFrame]:

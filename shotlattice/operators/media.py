@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import DEFAULT
 from ..functions import geometry as G
 from ..functions.chance import uniform
+from . import linkage as L
 
 
 def codec(v: Column) -> Column:
@@ -80,12 +83,39 @@ def min_max(df: DataFrame, keys: list[str], value: str) -> Column:
     return F.coalesce(F.try_divide(F.col(value) - lo, hi - lo), F.lit(0.0))
 
 
-def smallest_holder(points: DataFrame, boxes: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """Points with the smallest box (id, box) of their group that holds them, the first by id on ties; areas count to 6 places."""
-    p, b = points.alias("p"), boxes.alias("b")
-    on = [F.col(f"p.{k}") == F.col(f"b.{k}") for k in keys] + [G.inside(F.col(f"p.{x}"), F.col(f"p.{y}"), F.col("b.box"))]
-    hit = p.join(b, on).groupBy(F.col("p.id").alias("id")).agg(F.min(F.struct(F.round(G.area(F.col("b.box")), 6).alias("a"), F.col("b.id").alias("i"))).alias("m"))
-    return hit.select("id", F.col("m.i").alias("holder"))
+#: Points and boxes of a tile, about; boxes that are tried at once.
+HELD, TRIED = 16_384, 64
+
+
+def smallest_holder(points: DataFrame, boxes: DataFrame, keys: list[str], x: str, y: str, size: int = HELD) -> DataFrame:
+    """Points with the smallest box (id, box) of their group that holds them, the first by id on ties; areas count to 6 places.
+
+    A tile tries its boxes from the smallest on, and only on the points that none has held yet; it sends a row a point at most.
+    """
+    corners = ["x1", "y1", "x2", "y2"]
+    p = points.select(*keys, "id", F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
+    b = boxes.select(*keys, "id", F.round(G.area(F.col("box")), 6).cast("double").alias("area"), *[F.col(f"box.{k}").cast("double").alias(k) for k in corners]).dropna()
+    own, other = dict(p.dtypes)["id"], dict(b.dtypes)["id"]
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        p, b = g[g["side"] == 0], g[g["side"] == 1].sort_values(["area", "id"])
+        px, py = p["x"].to_numpy(), p["y"].to_numpy()
+        x1, y1, x2, y2 = (b[k].to_numpy() for k in corners)
+        left, held = np.arange(len(p)), np.full(len(p), -1)
+        for k in range(0, len(b), TRIED):
+            if not len(left):
+                break
+            at = slice(k, k + TRIED)
+            u, v = px[left][:, None], py[left][:, None]
+            inside = (u >= x1[at]) & (u <= x2[at]) & (v >= y1[at]) & (v <= y2[at])
+            hit = inside.any(axis=1)
+            held[left[hit]] = k + inside[hit].argmax(axis=1)
+            left = left[~hit]
+        ok = held >= 0
+        return pd.DataFrame({"id": p["id"].to_numpy()[ok], "a": b["area"].to_numpy()[held[ok]], "holder": b["id"].to_numpy()[held[ok]]})
+
+    found = L.tiles(p, b, keys, "id", size).groupBy(*keys, "i", "j").applyInPandas(run, f"id {own}, a double, holder {other}")
+    return found.groupBy("id").agg(F.min(F.struct("a", F.col("holder").alias("i"))).alias("m")).select("id", F.col("m.i").alias("holder"))
 
 
 def differing(a: DataFrame, b: DataFrame) -> DataFrame:
