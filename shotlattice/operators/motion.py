@@ -59,8 +59,7 @@ def fitted_motions(pairs: DataFrame, points: str, width: float, height: float, s
     """
     centre = complex(width / 2, height / 2)
 
-    def fit(rows: list) -> tuple | None:
-        p = np.array([(r["x0"], r["y0"], r["x1"], r["y1"]) for r in rows], float)
+    def fit(p: np.ndarray) -> tuple | None:
         if len(p) < least:
             return None
         found = similarity(p[:, 0] + 1j * p[:, 1], p[:, 2] + 1j * p[:, 3], np.random.default_rng(seed))
@@ -69,18 +68,23 @@ def fitted_motions(pairs: DataFrame, points: str, width: float, height: float, s
         shift = found[0] * centre + found[1] - centre
         return shift.real / width, shift.imag / width, float(np.log(abs(found[0]))), float(np.angle(found[0]))
 
-    def step(rows: list | None) -> tuple:
-        rows = [r for r in rows if None not in (r["x0"], r["y0"], r["x1"], r["y1"])] if rows is not None else []
-        off = [r for r in rows if not r["person"]]
-        masked = fit(off) if len(off) < len(rows) else None
-        whole = masked or fit(rows)
-        return (*(whole or (None,) * 4), 1 if masked else -1 if whole is None else 0 if len(off) == len(rows) else 2)
+    def step(*columns) -> tuple:
+        p = np.array([[] if x is None else x for x in columns], float).T
+        p, person = p[:, :4], p[:, 4] > 0
+        off = p[~person]
+        masked = fit(off) if len(off) < len(p) else None
+        whole = masked or fit(p)
+        return (*(whole or (None,) * 4), 1 if masked else -1 if whole is None else 0 if len(off) == len(p) else 2)
 
     @F.pandas_udf("tx double, ty double, scale double, roll double, source int")
-    def motions(column: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([step(rows) for rows in column], columns=["tx", "ty", "scale", "roll", "source"]).astype({"source": "int32", **{c: "float64" for c in ("tx", "ty", "scale", "roll")}})
-
-    return pairs.withColumn("motion", motions(F.col(points)))
+    def motions(x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series, person: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([step(*row) for row in zip(x0, y0, x1, y1, person)], columns=["tx", "ty", "scale", "roll", "source"]).astype({"source": "int32", **{c: "float64" for c in ("tx", "ty", "scale", "roll")}})
+
+    # points cross as arrays of numbers, not as a row object a point
+    at = ("x0", "y0", "x1", "y1")
+    known = F.filter(points, lambda p: p["x0"].isNotNull() & p["y0"].isNotNull() & p["x1"].isNotNull() & p["y1"].isNotNull())
+    number = lambda f: F.transform(known, lambda p: f(p).cast("double"))
+    return pairs.withColumn("motion", motions(*[number(lambda p, k=k: p[k]) for k in at], number(lambda p: F.coalesce(p["person"], F.lit(False)))))
 
 
 # ---------------------------------------------------------------- cameras
