@@ -144,6 +144,42 @@ def lot_of(words: np.ndarray, parts: int) -> np.ndarray:
     return (words % np.uint64(parts)).astype(np.int64)
 
 
+def firsts(x: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values of ``x`` (uint64, below 2**bits) ascending, where one of each is, and the place of every element among them.
+
+    Where they fit into 64 bits, values are sorted with their places behind them, which takes a third of the time of sorting places by value.
+    """
+    n = len(x)
+    if not n:
+        return x, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    shift = np.uint64((n - 1).bit_length())
+    if bits + int(shift) <= 64:
+        s = np.sort((x << shift) | np.arange(n, dtype=np.uint64))
+        order = (s & ((np.uint64(1) << shift) - np.uint64(1))).astype(np.int64)
+        s >>= shift
+    else:
+        order = np.argsort(x)
+        s = x[order]
+    new = np.concatenate(([True], s[1:] != s[:-1]))
+    at = np.empty(n, np.int64)
+    at[order] = np.cumsum(new) - 1
+    return s[new], order[new], at
+
+
+def dense_numbers(x: np.ndarray, parts: int) -> tuple[np.ndarray, int]:
+    """Numbers (lot and place) without the gaps between lots, in the same order, and how many bits they have; BEGIN comes last."""
+    if not len(x):
+        return x, 0
+    place = x & np.uint64((1 << PLACE) - 1)
+    width = int(place.max()) + 1
+    return np.minimum(x >> np.uint64(PLACE), np.uint64(parts)) * np.uint64(width) + place, (width * (parts + 1)).bit_length()
+
+
+def by_lot(lots: np.ndarray, many: int) -> np.ndarray:
+    """Places in order of lots (below ``many``), those of a lot as they were; small numbers are sorted by radix."""
+    return np.argsort(lots.astype(np.uint16) if many <= 1 << 16 else lots, kind="stable")
+
+
 def chunked(docs: DataFrame, parts: int) -> DataFrame:
     """(chunk, docs, words, counts, tokens): distinct words ordered by lot and hash, and every token's place among them."""
 
@@ -159,8 +195,7 @@ def chunked(docs: DataFrame, parts: int) -> DataFrame:
             d, h = np.concatenate(info), np.concatenate(hashes)
             info.clear(), hashes.clear()
             words, at = np.unique(h, return_inverse=True)
-            lots = lot_of(words, parts)
-            order = np.argsort(lots, kind="stable")
+            order = by_lot(lot_of(words, parts), parts)
             place = np.empty(len(words), np.uint32)
             place[order] = np.arange(len(words), dtype=np.uint32)
             at = place[at]
@@ -311,10 +346,11 @@ class Chunk:
         word = np.concatenate([(np.uint64(r["part"]) << np.uint64(PLACE)) + unrising(r["a"], np.uint64) for r in answers])
         count = np.concatenate([unpacked(r["b"], np.int64) for r in answers])
         self.word, self.count = word, count[self.at]  # numbers of the chunk's words, ascending; counts of its tokens
+        self.where, self.places = self.at.astype(np.int64), len(word)  # places of n-grams ascend as their numbers do
         self.number = word[self.at]
         self.first = np.concatenate(([0], np.cumsum(self.docs["tokens"])[:-1]))
         self.train = np.repeat(self.docs["train"] > 0, self.docs["tokens"])
-        self.level, self.logp = 1, uni.p(self.count)
+        self.level, self.logp = 1, uni.p(count)[self.at]
         self.base = np.full(len(self.at), max(uni.tokens, 1), np.int64)  # what the level below divides by: c(h') and 1 more where it is closed
 
     def distinct(self, turn: int | None = None):
@@ -324,12 +360,16 @@ class Chunk:
         self.history, self.history_count = history, count
         known = np.flatnonzero(count > 0)
         if turn is not None:
-            known = known[self.lots(known)[0] % TURNS == turn]
-        names, local = np.unique(history[known], return_inverse=True)
-        key, token, at = np.unique((local.astype(np.uint64) << np.uint64(32)) | self.at[known], return_index=True, return_inverse=True)
-        token = known[token]
-        lot, hot = self.lots(token)
-        order = np.argsort(lot * 2 + hot, kind="stable")  # inside a lot by history, then by word
+            lot, hot = self.lots(known)
+            mine = np.flatnonzero(lot % TURNS == turn)
+            known, lot, hot = known[mine], lot[mine], hot[mine]
+        local = np.roll(self.where, 1)
+        local[self.first] = self.places  # BEGIN, after all others
+        words = len(self.word)
+        key, token, at = firsts(local[known].astype(np.uint64) * np.uint64(words) + self.at[known], ((self.places + 1) * words).bit_length())
+        some, token = token, known[token]
+        lot, hot = self.lots(token) if turn is None else (lot[some], hot[some])
+        order = by_lot(lot * 2 + hot, 2 * self.parts)  # inside a lot by history, then by word
         place = np.empty(len(key), np.int64)
         place[order] = np.arange(len(key))
         where = np.full(len(self.at), -1, np.int64)
@@ -340,7 +380,10 @@ class Chunk:
         """The lot of each token's n-gram, and whether it is dealt by n-gram."""
         history = self.history[token]
         hot = self.history_count[token] * self.parts > self.uni.tokens
-        return lot_of(mixed(np.where(hot, mixed(history) + self.number_of_word(token), history) + np.uint64(1)), self.parts), hot
+        if hot.any():
+            of = token[hot]
+            history[hot] = mixed(history[hot]) + self.number_of_word(of)
+        return lot_of(mixed(history + np.uint64(1)), self.parts), hot
 
     def number_of_word(self, token):
         return self.word[self.at[token]]
@@ -384,6 +427,7 @@ class Chunk:
         self.base[has] = divisor[w]
         self.number, self.count = np.zeros(len(self.at), np.uint64), np.zeros(len(self.at), np.int64)
         self.number[has], self.count[has] = number[w], r[w]
+        self.where, self.places = where, len(r)
         self.level += 1
 
 
@@ -436,22 +480,23 @@ def counted_ngrams(own: DataFrame, answers: DataFrame, uni: Unigrams, levels: li
                     n, lower, base = (unpacked(x, t) for x, t in zip(pickle.loads(r["b"]), (np.uint32, np.int64, np.int64)))
                     h, w, heads, start = unpaired(r["a"])
                     base = np.repeat(base, np.diff(start, append=len(h))) if levels else np.full(len(h), max(uni.tokens, 1))
-                    asked.append((r["chunk"], h, w, n, lower, base))
+                    asked.append((r["chunk"], heads, np.diff(start, append=len(h)), w, n, lower, base))
             if not asked:
                 continue
-            h, w, n, lower, base = (np.concatenate([x[i] for x in asked]) for i in range(1, 6))
-            asked = [(x[0], len(x[1])) for x in asked]
-            names, hi = np.unique(h, return_inverse=True)
-            words, wi = np.unique(w, return_inverse=True)
-            del h, w
-            keys, first, at = np.unique((hi.astype(np.uint64) << np.uint64(32)) | wi.astype(np.uint64), return_index=True, return_inverse=True)
+            heads, many, w, n, lower, base = (np.concatenate([x[i] for x in asked]) for i in range(1, 7))
+            asked = [(x[0], len(x[3])) for x in asked]
+            _, first, hi = firsts(*dense_numbers(heads, parts))
+            names, hi = heads[first], np.repeat(hi, many)
+            words, _, wi = firsts(*dense_numbers(w, parts))
+            del w
+            keys, first, at = firsts(hi.astype(np.uint64) * np.uint64(len(words)) + wi.astype(np.uint64), (len(names) * len(words)).bit_length())
             hi = hi.astype(np.int32)
             del wi
             total = np.bincount(at, n.astype(float)).astype(np.int64)
             del n
             known = total > 0
             r = total[known]
-            of = (keys[known] >> np.uint64(32)).astype(np.int64)  # place of its history in ``names``
+            of = (keys[known] // np.uint64(len(words))).astype(np.int64)  # place of its history in ``names``
             if levels:
                 low = lower[first][known]
                 p = below[np.minimum(low, K + 1)] * low / base[first][known]
@@ -476,7 +521,7 @@ def counted_ngrams(own: DataFrame, answers: DataFrame, uni: Unigrams, levels: li
                 begin += many
                 weights = None
                 if not hot:
-                    unseen = np.unique(place[(total[mine] == 0) & seen[place]])
+                    unseen = np.flatnonzero(np.bincount(place[(total[mine] == 0) & seen[place]]))
                     weights = pickle.dumps((rising(names[unseen]), summary(sums[unseen]))) if len(unseen) else None
                 numbers = None if last else rising(number[mine[known[mine]]].astype(np.uint64))
                 out.append((at_level, chunk, part * 2 + hot, packed(total[mine] * 2 + closed[place]), weights, numbers))

@@ -276,6 +276,17 @@ def test_katz_on_odd_rows(spark, order):
         assert r.base_score == pytest.approx(sum(math.log10((c[(w,)] + 1) / (n + v + 1)) for w in t))
 
 
+@pytest.mark.parametrize("bits", [20, 64])  # values sorted with their places, and places sorted by value
+def test_katz_distinct_numbers(bits):
+    x = np.random.default_rng(1).integers(0, 1 << 10, 5000).astype(np.uint64)
+    values, some, at = katz.firsts(x, bits)
+    assert values.tolist() == sorted(set(x.tolist())) and (x[some] == values).all() and (values[at] == x).all()
+    assert [len(a) for a in katz.firsts(x[:0], bits)] == [0, 0, 0]
+    numbers = np.array([katz.BEGIN, (2 << katz.PLACE) + 1, 7, (1 << katz.PLACE) + 9, 0], np.uint64)
+    dense, most = katz.dense_numbers(numbers, 3)
+    assert np.argsort(dense).tolist() == np.argsort(numbers).tolist() and int(dense.max()) < 1 << most < 1 << 20
+
+
 def test_katz_in_many_chunks(spark, monkeypatch):
     monkeypatch.setattr(katz, "TOKENS", 60)
     monkeypatch.setattr(katz, "SLICE", 200)
