@@ -68,6 +68,12 @@ def assembled(t: Tables, item: str, parts: int | None = None) -> DataFrame:
     return out.select(item, *lists, total.alias("inputs_bytes"))
 
 
+def _once(df: DataFrame, **made: Column) -> DataFrame:
+    """``df`` with columns that are computed once a row however often later expressions use them; a projection would be merged into those, and its columns computed at each use."""
+    rest = [x for x in df.columns if x not in made]
+    return df.select(*rest, F.explode(F.array(F.struct(*[v.alias(k) for k, v in made.items()]))).alias("made_")).select(*rest, "made_.*")
+
+
 def _inside(table: str, key: Column) -> Column:
     """The inner rows of a list's element; an empty list if it has none."""
     found = F.try_element_at(c(table), key)
@@ -106,8 +112,9 @@ def terminal(t: Tables, item: str, relation_share: float = DEFAULT.relation_shar
         modal = F.element_at(F.array_sort(found, lambda a, b: F.when(a["share"] > b["share"], -1).when(a["share"] < b["share"], 1).when(a["label"] < b["label"], -1).otherwise(1)), 1)["label"]
         return F.when(F.size(found) > 0, F.struct(modal.alias("modal"), F.map_from_entries(F.transform(found, lambda x: F.struct(x["label"], x["share"]))).alias("distribution"), F.array_max(F.transform(found, lambda x: x["n"])).alias("n")))
 
-    wide = wide.withColumn("persons", F.transform("persons", lambda p: p.withField("traits", _inside("traits", p["person_id"])).withField("measures", _inside("measures", p["person_id"])).withField("by_segment", _inside("by_segment", p["person_id"])).withField("status", F.when(p["samples"] > 1, "described").when(p["samples"] == 1, "glimpsed").otherwise("tracked"))))
-    wide = wide.withColumn("segments", F.transform("segments", lambda s: s.withField("keyframes", _inside("keyframes", s["segment"])).withField("assessment", B.assess(s["visible"], s["followed"]))))
+    persons = F.transform("persons", lambda p: p.withField("traits", _inside("traits", p["person_id"])).withField("measures", _inside("measures", p["person_id"])).withField("by_segment", _inside("by_segment", p["person_id"])).withField("status", F.when(p["samples"] > 1, "described").when(p["samples"] == 1, "glimpsed").otherwise("tracked")))
+    segments = F.transform("segments", lambda s: s.withField("keyframes", _inside("keyframes", s["segment"])).withField("assessment", B.assess(s["visible"], s["followed"])))
+    wide = _once(wide, persons=persons, segments=segments)
     best_look = lambda r: F.greatest(F.coalesce(r["ab_share"], F.lit(0.0)), F.coalesce(r["ba_share"], F.lit(0.0)))
     kept = F.filter("relations", lambda r: (best_look(r) >= relation_share) | (F.coalesce(r["synchrony"], F.lit(0)) >= relation_minimum))
     shown = F.filter("persons", lambda p: p["status"] != "tracked")
@@ -153,6 +160,6 @@ def terminal(t: Tables, item: str, relation_share: float = DEFAULT.relation_shar
             _ids(c("segments"), "segment", lambda s: ~s["tracked"]).alias("segments_without_tracks"), _ids(c("segments"), "segment", lambda s: s["assessment"] == "under_tracked").alias("under_tracked_segments"),
         ),
     }
-    record = wide.select(item, "inputs_bytes", *[v.alias(k) for k, v in sections.items()])
+    record = _once(wide, **sections).select(item, "inputs_bytes", *sections)
     bytes_ = F.octet_length(F.to_json(F.struct(item, *sections)))
     return record.withColumn("record_bytes_", bytes_).select(item, *sections, F.struct("inputs_bytes", c("record_bytes_").cast("long").alias("record_bytes"), (1 - F.try_divide(c("record_bytes_"), c("inputs_bytes"))).alias("reduction")).alias("budget"))

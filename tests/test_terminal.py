@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from shotlattice.operators import kits, terminal
+from shotlattice.plans import catalogue
 
 COLUMNS = {
     "segments": "segment int, start long, end long, seconds double, frames long, visible int, followed int, tracked boolean, medium string, movement string, person_ids array<int>", "keyframes": "segment int, start long, end long", "visuals": "segment int, field string, mean double, sd double, n long",
@@ -66,3 +67,9 @@ def test_one_exchange_a_table_and_empty_tables(spark):
     assert terminal.terminal(tables_of(spark, {}), "video").count() == 0
     alone = terminal.terminal(tables_of(spark, {"segments": ROWS["segments"][:1]}), "video").first()
     assert alone.summary.segments == 1 and alone.enunciative.relations == [] and alone.plastic.video.visuals == {}
+
+
+def test_events_and_persons_are_taken_apart_once(spark):
+    plan = catalogue.queries()["terminal_readback"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "get_json_object" not in plan  # in the stored events, not in each table
+    assert plan.count("THEN glimpsed") == 1  # the status of a person, which several readers need
