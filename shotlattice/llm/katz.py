@@ -388,8 +388,8 @@ class Chunk:
     def number_of_word(self, token):
         return self.word[self.at[token]]
 
-    def climb(self, level: Level, answers: list[dict]) -> None:
-        """The next level's counts, numbers and probabilities of every token."""
+    def climb(self, level: Level, answers: list[dict], scores: bool = True) -> None:
+        """The next level's counts, numbers and, with ``scores``, probabilities of every token."""
         token, where, lot, hot = self.distinct()
         answers = sorted(answers, key=lambda r: r["part"])
         got = np.concatenate([unpacked(r["a"], np.int64) for r in answers]) if answers else np.zeros(0, np.int64)
@@ -401,28 +401,33 @@ class Chunk:
             mine = np.flatnonzero(r[start : start + n] > 0) + start
             if x["c"]:
                 number[mine] = (np.uint64(x["part"] >> 1) << np.uint64(PLACE)) + unrising(x["c"], np.uint64)
-            if x["b"]:
+            if scores and x["b"]:
                 h, s = pickle.loads(x["b"])
                 known_h.append(unrising(h, np.uint64)), known_s.append(unsummary(s))
             start += n
         known_h, known_s = np.concatenate(known_h), np.concatenate(known_s)
-        known_h, keep = np.unique(known_h, return_index=True)
-        known_s = known_s[keep]
+        if scores:
+            known_h, keep = np.unique(known_h, return_index=True)
+            known_s = known_s[keep]
         history, total = self.history[token], self.history_count[token]
-        place, ok = _found(known_h, history)
-        if len(known_h):
-            closed |= hot & ok & (known_s[place][:, :K].sum(axis=1) == 0)
+        if len(known_h):  # without scores those dealt by n-gram only, as the others' answers say whether they are closed
+            place, ok = _found(known_h, history)
+            closed |= hot & ok & (known_s[:, :K].sum(axis=1) == 0)[place]
+        else:
+            place, ok = np.zeros(len(history), np.int64), np.zeros(len(history), bool)
         divisor = total + closed
-        lower = self.logp[token]
-        p = level.d[np.minimum(r, K + 1)] * r / np.maximum(divisor, 1)
-        back = np.flatnonzero((r == 0) & ok)
-        p[r == 0] = lower[r == 0]
-        if len(back):
-            p[back] = weight(known_s[place[back]], total[back], level.d) * lower[back]
+        if scores:
+            lower = self.logp[token]
+            p = level.d[np.minimum(r, K + 1)] * r / np.maximum(divisor, 1)
+            back = np.flatnonzero((r == 0) & ok)
+            p[r == 0] = lower[r == 0]
+            if len(back):
+                p[back] = weight(known_s[place[back]], total[back], level.d) * lower[back]
         has = where >= 0
         w = where[has]
-        self.logp = self.logp.copy()
-        self.logp[has] = p[w]
+        if scores:
+            self.logp = self.logp.copy()
+            self.logp[has] = p[w]
         self.base = np.ones(len(self.at), np.int64)
         self.base[has] = divisor[w]
         self.number, self.count = np.zeros(len(self.at), np.uint64), np.zeros(len(self.at), np.int64)
@@ -438,7 +443,7 @@ def _rows(table) -> list[dict]:
 def _climbed(rows: list[dict], uni: Unigrams, levels: list[Level], parts: int) -> Chunk:
     c = Chunk(rows, uni, parts)
     for i, level in enumerate(levels, 2):
-        c.climb(level, [r for r in rows if r["kind"] == i])
+        c.climb(level, [r for r in rows if r["kind"] == i], scores=False)
     return c
 
 

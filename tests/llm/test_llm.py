@@ -776,3 +776,18 @@ def test_rules_hold_tokens_that_alone_say_nothing_beside_many_that_say_more(spar
     rules = url_rules.mine(spark.createDataFrame(rows, "url string, block boolean"))
     unseen = spark.createDataFrame([("http://new.io/p/q/",), ("http://new.io/p/",), ("http://new.io/q/",)], "url string")
     assert {r.url for r in url_rules.blocked_urls(unseen, rules).collect()} == {"http://new.io/p/q/"}
+
+
+def test_katz_asks_without_scores(monkeypatch):
+    said = []
+
+    class Stub:
+        def __init__(self, *_):
+            pass
+
+        def climb(self, level, answers, scores=True):
+            said.append(scores)
+
+    monkeypatch.setattr(katz, "Chunk", Stub)
+    katz._climbed([], None, [None, None], 1)
+    assert said == [False, False]
