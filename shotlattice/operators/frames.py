@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .prefixes import running
+
 c = F.col
 
 
@@ -70,6 +72,25 @@ def pairs_without(pairs: DataFrame, duplicates: DataFrame, items: DataFrame, ite
     return pairs.join(items.select(item).distinct(), item, "left_semi").join(duplicates.select(item, "a", "b"), [item, "a", "b"], "left_anti")
 
 
+def marks_without(members: DataFrame, items: DataFrame, item: str, name: str, doubled: int, of_a: int, of_b: int) -> DataFrame:
+    """(item, pairs, marks): how many pairs a < b of the members (one row each) of the given items ``pairs_without`` keeps if those are doubles whose sum ``doubled`` divides, and the sum of ``of_a * a + of_b * b``.
+
+    Members before and after one are counted by remainder along the order of all of them, so no pair is made and no item is one task. Items without such a pair have no row.
+    """
+    cells = members.where(c(name).isNotNull()).join(items.select(item).distinct(), item, "left_semi")
+    kinds = [f"n{k}_" for k in range(doubled)]
+    cells = cells.select(item, name, F.struct(item, name).alias("at_"), F.pmod(name, F.lit(doubled)).cast("int").alias("own_"))
+    sums = running(cells.withColumns({n: (c("own_") == k).cast("long") for k, n in enumerate(kinds)}), "at_", kinds)
+    whole = sums.groupBy(item).agg(*[x for n in kinds for x in (F.min(f"{n}_before").alias(f"{n}first"), F.sum(n).alias(f"{n}all"))])
+    j = sums.join(whole, item)
+    other = (doubled - c("own_")) % doubled  # a double's remainder
+    before = [c(f"{n}_before") - c(f"{n}first") for n in kinds]
+    after = [c(f"{n}all") - b - c(n) for n, b in zip(kinds, before)]
+    kept = lambda counts: sum(F.when(other != k, x).otherwise(F.lit(0)) for k, x in enumerate(counts))
+    each = j.select(item, name, kept(before).alias("low"), kept(after).alias("high"))
+    return each.groupBy(item).agg(F.sum("low").alias("pairs"), F.sum(c(name) * (of_a * c("high") + of_b * c("low"))).alias("marks")).where("pairs > 0")
+
+
 def fitted_steps(frames: DataFrame, item: str, frame: str, masked: Column, whole: Column) -> DataFrame:
     """(item, frame, fit): for every pair of consecutive frames the fit off people, else that of the whole frame; null where both failed."""
     nxt = F.lead(frame).over(Window.partitionBy(item).orderBy(frame))
