@@ -1,21 +1,25 @@
-"""Blocks of a collection that are dealt together give the same results and are sent less often."""
+"""Pairs of items in lots of blocks: an item is sent to every lot, not to every block, and every pair comes once."""
 
 import random
 
+from pyspark.sql import functions as F
+
 from shotlattice.operators import blocks
 
 
-def test_blocks_dealt_in_lots(spark, monkeypatch):
-    rng = random.Random(3)
-    rows = [(i, rng.choice([1.0, 2.0, 7.0]) if i % 11 else None, rng.random()) for i in range(60)]
-    items = spark.createDataFrame(rows, "item long, x double, y double").cache()
-    specs = [("x", "p", "a", "scalar"), ("y", "q", "b", "scalar")]
-    nine = lambda v: None if v is None else round(v, 9)
-    found, sent = [], []
-    for lots in (1 << 20, 2):  # blocks one by one, and six or seven together
-        monkeypatch.setattr(blocks, "LOTS", lots)
-        x = blocks.Collection(items, specs, 4)
-        sent.append(x.lots.count())
-        found.append((sorted((r.item, r["rank"], r.other, nine(r.score)) for r in x.nearest(4).collect()), sorted((r.a, r.b, nine(r.score)) for r in x.whole().collect())))
-    assert found[0] == found[1] and len(found[0][1]) == 60 * 59 // 2
-    assert sent[0] == 60 * 15 and sent[1] == 60 * 3
+def test_pairs_come_once_from_lots(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "LOTS", 2)
+    monkeypatch.setattr(blocks, "TOGETHER", 3)
+    rng = random.Random(2)
+    labels = spark.createDataFrame([(i, x, rng.random()) for i in range(50) for x in rng.sample("abcd", rng.randint(1, 4))], "item long, label string, w double").cache()
+    for kind in ("mix", "set"):
+        want, got = ({(r.a, r.b): round(r.raw, 9) for r in blocks.pairwise(labels, "w", kind, size=size).collect()} for size in (256, 4))
+        assert got == want and len(got) == 50 * 49 // 2
+
+
+def test_items_are_sent_to_lots(spark):
+    items = spark.range(100).withColumnRenamed("id", "item").withColumn("v", F.array(F.lit(1.0)))
+    dealt = blocks._lots(items, (F.col("item") % 64).cast("int"), 64)  # 16 lots of 4 blocks
+    assert dealt.count() == 100 * 16
+    made = blocks.pairwise(items.select("item", F.lit("x").alias("label"), F.lit(1.0).alias("w")), "w", "mix", size=1)
+    assert "block" in made._jdf.queryExecution().optimizedPlan().toString()
