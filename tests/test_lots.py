@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from shotlattice.operators import blocks
@@ -23,3 +24,14 @@ def test_items_are_sent_to_lots(spark):
     assert dealt.count() == 100 * 16
     made = blocks.pairwise(items.select("item", F.lit("x").alias("label"), F.lit(1.0).alias("w")), "w", "mix", size=1)
     assert "block" in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_least_of_each_row():
+    rng = np.random.default_rng(3)
+    for shape in ((7, 3), (9, 40), (1, 1), (0, 4)):
+        d = rng.integers(0, 6, shape).astype(float)
+        d[rng.random(shape) < 0.3] = np.inf
+        for k in (1, 4, 50):
+            order = np.argsort(d, axis=1, kind="stable")[:, :k]
+            want = [(i, int(j)) for i, js in enumerate(order) for j in js if d[i, j] < np.inf]
+            assert list(zip(*(x.tolist() for x in blocks._least(d, k)))) == want
